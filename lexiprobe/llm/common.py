@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lexiprobe/{name}-{uuid.uuid4().hex}"
 
@@ -73,3 +75,17 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
     """At most ``most`` rows, the same ones on every run: those whose hashed key is smallest."""
     h = F.xxhash64(F.col(key), F.lit(seed))
     return df.orderBy(h, F.col(key)).limit(most)
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, whatever their own search path; once an application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        to = tempfile.mkdtemp(prefix="lexiprobe-code-")  # read by the driver alone, which serves it
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
+        _shipped[context.applicationId] = shutil.make_archive(f"{to}/{root.name}", "zip", root.parent, root.name)
+        context.addPyFile(_shipped[context.applicationId])

@@ -6,7 +6,9 @@ import importlib
 
 #: Query, module that defines it, name of its SQL there.
 _QUERIES = (
+    ("op1_near_dedup", "near_dedup", None),
     ("op3_exact_dedup", "exact_dedup", "OP3_SQL"),
+    ("op4_packing", "packing", None),
     ("op10_mixing", "mixing", None),
 )
 
