@@ -7,8 +7,11 @@ import importlib
 #: Query, module that defines it, name of its SQL there.
 _QUERIES = (
     ("op1_near_dedup", "near_dedup", None),
+    ("op2_quality", "quality_crf", None),
     ("op3_exact_dedup", "exact_dedup", "OP3_SQL"),
     ("op4_packing", "packing", None),
+    ("op6_toxicity", "toxicity", None),
+    ("op7_language_id", "language_id", None),
     ("op10_mixing", "mixing", None),
 )
 
