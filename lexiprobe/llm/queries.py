@@ -12,6 +12,7 @@ _QUERIES = (
     ("op4_packing", "packing", None),
     ("op6_toxicity", "toxicity", None),
     ("op7_language_id", "language_id", None),
+    ("op8_pii", "pii", None),
     ("op9_token_ids", "token_codec", None),
     ("op10_mixing", "mixing", None),
 )
