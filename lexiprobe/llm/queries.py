@@ -10,6 +10,7 @@ _QUERIES = (
     ("op2_quality", "quality_crf", None),
     ("op3_exact_dedup", "exact_dedup", "OP3_SQL"),
     ("op4_packing", "packing", None),
+    ("op5_ann", "mih_ann", None),
     ("op6_toxicity", "toxicity", None),
     ("op7_language_id", "language_id", None),
     ("op8_pii", "pii", None),
