@@ -24,8 +24,11 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {query: getattr(_module(module), query) for query, module, _ in _QUERIES}
+    out = {query: getattr(_module(module), query) for query, module, _ in _QUERIES}
+    return out | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {query: getattr(_module(module), sql) for query, module, sql in _QUERIES if sql}
+    out = {query: getattr(_module(module), sql) for query, module, sql in _QUERIES if sql}
+    pipeline = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return out | ({"pipeline": pipeline} if pipeline else {})
