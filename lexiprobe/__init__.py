@@ -1,0 +1 @@
+"""Question labelling, complexity datasets, TF-IDF probes and experiment rollups on Spark DataFrames."""
