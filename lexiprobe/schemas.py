@@ -26,27 +26,37 @@ def dataset_configs() -> list[str]:
     return ["base", *(f"control_{label}_seed{seed}" for label in CONTROLLED for seed in SEEDS)]
 
 
-def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-QUESTION = _fields("question_text STRING, language STRING, annotations STRUCT<yes_no_answer: ARRAY<STRING>>")
-CLASSIFIED = _fields("question_text STRING, language STRING, annotation_class STRING, classifier_class STRING, agreement BOOLEAN, final_class STRING, included BOOLEAN")
-SENTENCE = _fields("file STRING, sent_ix LONG, text STRING, lines ARRAY<STRING>")
-COMPLEXITY = _fields("avg_links_len DOUBLE, avg_max_depth DOUBLE, avg_subordinate_chain_len DOUBLE, avg_verb_edges DOUBLE, lexical_density DOUBLE, n_tokens DOUBLE, language STRING, type STRING")
-DATASET = _fields("doc_id LONG, text STRING, language STRING, question_type INT, complexity_score DOUBLE, avg_links_len DOUBLE, avg_max_depth DOUBLE, avg_subordinate_chain_len DOUBLE, avg_verb_edges DOUBLE, lexical_density DOUBLE, n_tokens DOUBLE")
-VECTORS = _fields("split STRING, doc_id LONG, term_id INT, tfidf DOUBLE")
-VOCABULARY = _fields("term STRING, term_id INT, df LONG, idf DOUBLE")
-TOKENIZED = _fields("doc_id LONG, input_ids ARRAY<INT>, attention_mask ARRAY<INT>, label DOUBLE")
-HIDDEN = _fields("doc_id LONG, layer INT, tokens ARRAY<ARRAY<DOUBLE>>, mask ARRAY<INT>")
-_METRICS = "STRUCT<primary_metric: STRING, primary_value: DOUBLE, accuracy: DOUBLE, precision: DOUBLE, recall: DOUBLE, f1: DOUBLE, mse: DOUBLE, r2: DOUBLE>"
-RESULT = _fields(
-    "experiment_id STRING, timestamp STRING, status STRING, error STRING, language STRING, task STRING, model STRING, model_type STRING, model_class STRING, task_type STRING, train_time DOUBLE, "
-    "config STRUCT<experiment_name: STRING, language: STRING, task: STRING, model_type: STRING, task_type: STRING, config: STRING, dataset_config: STRING, experiment_type: STRING, features_dir: STRING, batch_name: STRING>, "
-    f"train_metrics {_METRICS}, val_metrics {_METRICS}, test_metrics {_METRICS}, "
-    "data_shapes STRUCT<train: ARRAY<LONG>, val: ARRAY<LONG>, test: ARRAY<LONG>>, "
-    "train_info STRUCT<samples: LONG>, val_info STRUCT<samples: LONG>, test_info STRUCT<samples: LONG>"
-)
-RESULT_LONG = _fields("experiment_type STRING, language STRING, task STRING, model STRING, metric STRING, value DOUBLE")
-TRACKER = _fields("experiment_type STRING, language STRING, task STRING, submetric STRING, control_index STRING, layer_index INT, metric STRING, value STRING")
-IMPORTANCE = _fields("task STRING, task_type STRING, language STRING, model_type STRING, feature_importance ARRAY<DOUBLE>")
+_S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+_A = T.ArrayType
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    """A schema of nullable fields; needs no session, so workers can import it."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def extended(schema: T.StructType, **fields: T.DataType) -> T.StructType:
+    """A copy of the schema with further fields."""
+    return T.StructType([*schema.fields, *struct(**fields).fields])
+
+
+_FEATURE_FIELDS = {f: _D for f in FEATURES}
+QUESTION = struct(question_text=_S, language=_S, annotations=struct(yes_no_answer=_A(_S)))
+CLASSIFIED = struct(question_text=_S, language=_S, annotation_class=_S, classifier_class=_S, agreement=_B, final_class=_S, included=_B)
+SENTENCE = struct(file=_S, sent_ix=_L, text=_S, lines=_A(_S))
+COMPLEXITY = struct(**_FEATURE_FIELDS, language=_S, type=_S)
+DATASET = struct(doc_id=_L, text=_S, language=_S, question_type=_I, complexity_score=_D, **_FEATURE_FIELDS)
+VECTORS = struct(split=_S, doc_id=_L, term_id=_I, tfidf=_D)
+VOCABULARY = struct(term=_S, term_id=_I, df=_L, idf=_D)
+TOKENIZED = struct(doc_id=_L, input_ids=_A(_I), attention_mask=_A(_I), label=_D)
+HIDDEN = struct(doc_id=_L, layer=_I, tokens=_A(_A(_D)), mask=_A(_I))
+_METRICS = struct(primary_metric=_S, primary_value=_D, accuracy=_D, precision=_D, recall=_D, f1=_D, mse=_D, r2=_D)
+_CONFIG = struct(experiment_name=_S, language=_S, task=_S, model_type=_S, task_type=_S, config=_S, dataset_config=_S, experiment_type=_S, features_dir=_S, batch_name=_S)
+_INFO = struct(samples=_L)
+RESULT = struct(
+    experiment_id=_S, timestamp=_S, status=_S, error=_S, language=_S, task=_S, model=_S, model_type=_S, model_class=_S, task_type=_S, train_time=_D, config=_CONFIG,
+    train_metrics=_METRICS, val_metrics=_METRICS, test_metrics=_METRICS, data_shapes=struct(train=_A(_L), val=_A(_L), test=_A(_L)), train_info=_INFO, val_info=_INFO, test_info=_INFO,
+)
+RESULT_LONG = struct(experiment_type=_S, language=_S, task=_S, model=_S, metric=_S, value=_D)
+TRACKER = struct(experiment_type=_S, language=_S, task=_S, submetric=_S, control_index=_S, layer_index=_I, metric=_S, value=_S)
+IMPORTANCE = struct(task=_S, task_type=_S, language=_S, model_type=_S, feature_importance=_A(_D))

@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import COMPLEXITY, DATASET, FEATURES, IMPORTANCE, QUESTION, RESULT, RESULT_LONG, TRACKER, VECTORS, VOCABULARY, dataset_configs
-
-def _with(schema: T.StructType, **fields: str) -> T.StructType:
-    """A copy of the schema with further fields."""
-    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items())).fields])
-
+from ..schemas import COMPLEXITY, DATASET, FEATURES, IMPORTANCE, QUESTION, RESULT, RESULT_LONG, TRACKER, VECTORS, VOCABULARY, dataset_configs, extended
 
 SPLIT_ALIASES = {"val": "validation", "dev": "validation"}
 
@@ -45,7 +40,7 @@ def complexity_csv(spark: SparkSession, path: str) -> DataFrame:
         pick = lambda c, d, there=frozenset(columns): F.coalesce(F.col(c), F.col(d)) if c in there else F.col(d)
         one = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in FEATURES], pick("language", "__l").alias("language"), pick("type", "__t").alias("type"), "source_file")
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], _with(COMPLEXITY, source_file="string"))
+    return out if out is not None else spark.createDataFrame([], extended(COMPLEXITY, source_file=T.StringType()))
 
 
 def conllu(spark: SparkSession, path: str, glob: str = "*.conllu") -> DataFrame:
@@ -75,7 +70,7 @@ def dataset(spark: SparkSession, path: str, config: str = "base", split: str | N
     """One configuration (and split) of the dataset; both are partition columns, so others aren't read."""
     if config not in dataset_configs():
         raise ValueError(f"unknown configuration {config!r}")
-    rows = spark.read.schema(_with(DATASET, config="string", split="string")).parquet(path).where(F.col("config") == config)
+    rows = spark.read.schema(extended(DATASET, config=T.StringType(), split=T.StringType())).parquet(path).where(F.col("config") == config)
     return rows if split is None else rows.where(F.col("split") == SPLIT_ALIASES.get(split, split))
 
 
@@ -108,7 +103,7 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def result_json(spark: SparkSession, path: str) -> DataFrame:
     """Result documents, one JSON object a file or line; what can't be parsed is left out."""
-    rows = spark.read.schema(_with(RESULT, _corrupt="string")).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(extended(RESULT, _corrupt=T.StringType())).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
     return rows.where("experiment_id IS NOT NULL").drop("_corrupt")
 
 
