@@ -1,9 +1,10 @@
 """Token ids of whole texts from a vocabulary file of the tokenizers library.
 
-Neither kind of vocabulary used here joins text across the front of a single space that is not
-inside a run of white space, so a text is cut there, each distinct piece is encoded once, and the
-ids of a text are its pieces' ids in a row. Texts with a space inside a run of white space are
-encoded whole. Ids are the same as those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+A text is cut where no token can reach across: before a single space, before and behind a single
+line break, and before a full stop or comma behind a letter or digit. Each distinct piece is encoded
+once, and the ids of a text are its pieces' ids in a row. Texts with longer runs of white space or
+signs at those places are encoded whole. Ids are the same as those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -13,13 +14,25 @@ import re
 
 import numpy as np
 
-#: A space that follows white space and stands before more of it, or at the end of the text.
-_RUN = re.compile(r"[\s\x1c-\x1f\x85] (?=[\s\x1c-\x1f\x85]|\Z)")
+#: Stands where a text is cut.
+_CUT = "\x00"
+#: White space other than space and line break, the cutting sign itself, and the one letter whose
+#: lower case does not end in a letter.
+_RARE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A full stop or comma that is not behind a letter or digit.
+_STOP = re.compile(r"[.,](?<![^\W_].)", re.DOTALL)
 #: Pieces remembered in each of two generations; it bounds memory and changes no result.
-_MOST = 300_000
+_MOST = 800_000
 _open: dict[str, "Encoder"] = {}
 
 
+def _plain(text: str) -> bool:
+    """Whether the text may be cut."""
+    if "  " in text or " \n" in text or "\n\n" in text or "\n " in text:
+        return False
+    return not (_RARE.search(text) or _STOP.search(text))
+
+
 class Encoder:
     """Turns texts into little-endian unsigned 32-bit ids."""
 
@@ -28,68 +41,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.opens = self._opening()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._borders()
 
-    def _opening(self) -> np.ndarray | None:
-        """Which ids begin with the space, where a vocabulary writes the space into its tokens."""
-        first = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])
-        if len(first) < 2 or first.endswith("</w>"):
-            return None
+    def _borders(self) -> None:
+        """Which ids begin a word of letters, or end one, where the vocabulary's own signs tell."""
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        out[[i for t, i in vocabulary.items() if t.startswith(first[0])]] = True
-        return out
+        first = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])
+        self.begins = not first.endswith("</w>")  # else white space leaves no trace in the ids
+        self.border = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.border[[i for t, i in vocabulary.items() if (t.startswith(first[0]) if self.begins else t.endswith("</w>"))]] = True
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [i for i, t in enumerate(texts) if _RUN.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(runs, self.whole([texts[i] for i in runs])):
+        out: list = [None] * len(texts)
+        odd = [i for i, t in enumerate(texts) if not _plain(t)]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
-        skip = set(runs)
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in skip}
-        self._learn(set().union(*(p[1:] for p in cut.values())))
-        heads = self.whole([p[0] for p in cut.values()])
-        known = self.young
-        for (i, pieces), head in zip(cut.items(), heads):
-            out[i] = head + b"".join([known[p] for p in pieces[1:]])
+        known = self.young.get
+        holes: list[tuple[int, list[str], list[int]]] = []
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                pieces = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace(".", "\x00.").replace(",", "\x00,").split(_CUT)
+                out[i] = got = list(map(known, pieces))
+                at, ks = -1, []
+                try:
+                    while True:
+                        ks.append(at := got.index(None, at + 1))
+                except ValueError:
+                    if ks:
+                        holes.append((i, pieces, ks))
+        new = self._learn({pieces[k] for _, pieces, ks in holes for k in ks})
+        for i, pieces, ks in holes:
+            got = out[i]
+            for k in ks:
+                got[k] = new[pieces[k]]
+        return [b"".join(ids) if isinstance(ids, list) else ids for ids in out]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each piece; they are remembered."""
+        out = {p: self.old[p] for p in pieces & self.old.keys()}
+        missing = pieces - out.keys()
+        spaced = [p for p in missing if p[1:].isalpha() and p[0] == " "]
+        bare = [p for p in missing if p.isalpha()]
+        other = list(missing.difference(spaced, bare))
+        out.update(zip(other, self.whole(other)))
+        for words in (spaced, bare):
+            for at in range(0, len(words), 10_000):
+                part = words[at : at + 10_000]
+                out.update(zip(part, self._words(part, words is spaced)))
+        if len(self.young) + len(out) > _MOST:
+            self.old, self.young = self.young, {}
+        self.young.update(out)
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts each piece, with the space before it, into the young generation."""
-        new = pieces - self.young.keys()
-        if len(self.young) + len(new) > _MOST:
-            self.old, self.young, new = self.young, {}, pieces
-        for p in [p for p in new if p in self.old]:
-            self.young[p] = self.old[p]
-        missing = [p for p in new if p not in self.young]
-        alone = [p for p in missing if not p or p[0].isspace()]
-        self.young.update(zip(alone, self.whole([" " + p for p in alone])))
-        apart = set(alone)
-        joined = [p for p in missing if p not in apart]
-        for at in range(0, len(joined), 10_000):
-            part = joined[at : at + 10_000]
-            self.young.update(zip(part, self._together(part)))
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many pieces by one call; the borders show in the ids, or else in their places."""
-        text = " " + " ".join(pieces)
-        if self.opens is not None:
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.opens[ids])
-        else:
-            got = self.tokenizer.encode(text, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            fronts = np.cumsum([0] + [len(p) + 1 for p in pieces[:-1]])
-            starts = np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), fronts)
-        if len(starts) != len(pieces):
-            return self.whole([" " + p for p in pieces])
-        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    def _words(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of many words of letters by one call; the ids themselves show the borders."""
+        lines = self.begins and not spaced
+        text = "".join(words) if spaced else "\n" + "\n".join(words) if lines else " " + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.line[0]) if lines else np.flatnonzero(self.border[ids])
+        if len(at) != len(words) or (lines and len(self.line) != 1):
+            return self.whole(words)
+        raw = ids.tobytes()
+        if not self.begins:
+            cuts = [0, *(4 * at + 4).tolist()]
+            return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        starts, ends = (4 * at + 4 * lines).tolist(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(starts, ends)]
 
 
 def encoder(path: str) -> Encoder:
