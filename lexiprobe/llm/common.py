@@ -1,67 +1,20 @@
-"""Helpers shared by the operators: the shared folder, written intermediate tables, test data checks."""
+"""What the operators share: words, folds, bounded samples, and the shared folder's tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, read, shared_dir, ship
+
+__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "fold", "read", "shared_dir", "ship", "text_or_empty"]
+
 #: ASCII white space, as a Java and DuckDB character class.
 WHITE = r"[\x20\x09-\x0D]+"
 #: A word: a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor reach.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a temporary folder of its own; a cluster session must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="lexiprobe-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
-
-
-class Scratch:
-    """Tables of one run, written below the shared folder so that a lost executor loses nothing.
-
-    ``keep`` writes a frame and gives it back as read from the files, which cuts its lineage.
-    ``drop`` deletes a table that later plans don't read any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/lexiprobe/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
-        at = f"{self.path}/{table}"
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, *tables: str) -> None:
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,17 +28,3 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
     """At most ``most`` rows, the same ones on every run: those whose hashed key is smallest."""
     h = F.xxhash64(F.col(key), F.lit(seed))
     return df.orderBy(h, F.col(key)).limit(most)
-
-
-_shipped: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the Python workers this package, whatever their own search path; once an application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        to = tempfile.mkdtemp(prefix="lexiprobe-code-")  # read by the driver alone, which serves it
-        atexit.register(shutil.rmtree, to, ignore_errors=True)
-        _shipped[context.applicationId] = shutil.make_archive(f"{to}/{root.name}", "zip", root.parent, root.name)
-        context.addPyFile(_shipped[context.applicationId])

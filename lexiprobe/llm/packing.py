@@ -123,7 +123,7 @@ def pack(
         out.take([w[1] for w in packer.open], left_of=part)
         yield out.batch()
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packer, out = Packer(length, windows * MERGED, 1), _Rows(0, with_ids)
         out.next = -(int(key[0]) + 1) * STEP  # below 0: no other sequence has these
         pieces = sorted(zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["start"], pdf["ids"], pdf["doc_tokens"], pdf["sequence_id"], pdf["offset"]), key=lambda p: (-len(p[2]), p[4], p[5]))
