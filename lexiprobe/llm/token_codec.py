@@ -109,6 +109,25 @@ class _Model:
             self._weigh()
 
 
+def _settled(low: np.ndarray, rng: np.ndarray) -> Iterator[np.ndarray]:
+    """Gives, again and again, the places whose upper 16 bits are settled, then shifts those out.
+
+    They are settled if low and low + range agree in them, or made so where the range is too small.
+    """
+    at = None
+    while True:
+        a, r = (low, rng) if at is None else (low[at], rng[at])
+        agree = (a ^ (a + r)) < _TOP
+        go = np.flatnonzero(agree | (r < _BOT))
+        if not len(go):
+            return
+        a, r = a[go], r[go]
+        r = np.where(agree[go], r, (~a + _U(1)) & _LOW)
+        at = go if at is None else at[go]
+        yield at
+        low[at], rng[at] = a << _U(16), r << _U(16)
+
+
 class _Writer:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, ~_U(0))
@@ -118,21 +137,13 @@ class _Writer:
     def code(self, lanes: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
         low, rng = self.low[lanes], self.range[lanes] >> _U(bits)
         low = low + start.astype(_U) * rng
-        rng = rng * freq.astype(_U)
+        rng *= freq.astype(_U)
+        for at in _settled(low, rng):
+            lane = at if isinstance(lanes, slice) else lanes[at]  # a slice starts at lane 0
+            place = self.used[lane]
+            self.words[lane, place] = (low[at] >> _U(48)).astype(np.uint16)
+            self.used[lane] = place + 1
         self.low[lanes], self.range[lanes] = low, rng
-        at = np.arange(len(self.low))[lanes]
-        while len(at):
-            low, rng = self.low[at], self.range[at]
-            open_ = (low ^ (low + rng)) < _TOP
-            small = rng < _BOT
-            go = open_ | small
-            if not go.any():
-                return
-            at, low, rng = at[go], low[go], rng[go]
-            rng = np.where(open_[go], rng, (~low + _U(1)) & _LOW)
-            self.words[at, self.used[at]] = (low >> _U(48)).astype(np.uint16)
-            self.used[at] += 1
-            self.low[at], self.range[at] = low << _U(16), rng << _U(16)
 
     def finish(self) -> tuple[np.ndarray, bytes]:
         for k in range(4):
@@ -157,21 +168,15 @@ class _Reader:
         return np.minimum(got, _U((1 << bits) - 1)).astype(np.int64)
 
     def take(self, lanes: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        rng = self.range[lanes] >> _U(bits)
-        self.low[lanes] = self.low[lanes] + start.astype(_U) * rng
-        self.range[lanes] = rng * freq.astype(_U)
-        at = np.arange(len(self.low))[lanes]
-        while len(at):
-            low, rng = self.low[at], self.range[at]
-            open_ = (low ^ (low + rng)) < _TOP
-            go = open_ | (rng < _BOT)
-            if not go.any():
-                return
-            at, low, rng = at[go], low[go], rng[go]
-            rng = np.where(open_[go], rng, (~low + _U(1)) & _LOW)
-            self.value[at] = (self.value[at] << _U(16)) | self.words[self.at[at]]
-            self.at[at] += 1
-            self.low[at], self.range[at] = low << _U(16), rng << _U(16)
+        low, rng = self.low[lanes], self.range[lanes] >> _U(bits)
+        low = low + start.astype(_U) * rng
+        rng *= freq.astype(_U)
+        for at in _settled(low, rng):
+            lane = at if isinstance(lanes, slice) else lanes[at]
+            place = self.at[lane]
+            self.value[lane] = (self.value[lane] << _U(16)) | self.words[place]
+            self.at[lane] = place + 1
+        self.low[lanes], self.range[lanes] = low, rng
 
 
 def _lanes(n: int) -> tuple[int, int]:
