@@ -16,24 +16,43 @@ def draw(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def _ranked(df: DataFrame, key: str, seed: int, group: Sequence[str]) -> Column:
-    return F.row_number().over(W.partitionBy(*group).orderBy(draw(key, seed), key))
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], part: Column, rank: str, size: str) -> DataFrame:
+    """Adds each row's place in its group, from 1, and the group's size.
+
+    There are few groups (a language and type), so a window over a group would put much of the input
+    into one task. ``part`` cuts a group into pieces that follow the order; pieces are counted, and a
+    row's place is that of its piece plus its place within.
+    """
+    g = F.to_json(F.struct(*[F.col(c) for c in group]), {"ignoreNullFields": "false"}) if group else F.lit("")
+    rows = df.withColumn("__g", g).withColumn("__part", part)
+    cells = rows.groupBy("__g", "__part").agg(F.count("*").alias("__k"))
+    w = W.partitionBy("__g")
+    before = F.coalesce(F.sum("__k").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("__g", "__part", before.alias("__before"), F.sum("__k").over(w).alias(size))
+    placed = rows.join(cells, ["__g", "__part"])
+    inside = F.row_number().over(W.partitionBy("__g", "__part").orderBy(*order))
+    return placed.withColumn(rank, F.col("__before") + inside).drop("__g", "__part", "__before")
+
+
+def drawn(df: DataFrame, group: Sequence[str], key: str, seed: int, rank: str, size: str) -> DataFrame:
+    """``ranked`` by random draw; the pieces are the first three digits of the draw."""
+    d = draw(key, seed)
+    return ranked(df, group, [d, F.col(key)], F.substring(d, 1, 3), rank, size)
 
 
 def hold_out(df: DataFrame, group: Sequence[str], size: int, key: str = "doc_id", seed: int = 69) -> DataFrame:
     """Adds ``dev``: least(size, a tenth) rows of each group are held out, drawn first."""
-    n = F.count("*").over(W.partitionBy(*group))
-    return df.withColumn("dev", _ranked(df, key, seed, group) <= F.least(F.lit(size), F.floor(n / 10)))
+    rows = drawn(df, group, key, seed, "__rank", "__n")
+    return rows.withColumn("dev", F.col("__rank") <= F.least(F.lit(size), F.floor(F.col("__n") / 10))).drop("__rank", "__n")
 
 
 def split(df: DataFrame, strata: Sequence[str], ratio: float = 0.1, least: int = 5, key: str = "doc_id", seed: int = 69) -> DataFrame:
     """Adds ``split``: validation gets greatest(2, floor(n * ratio)) rows of each stratum with at
     least ``least`` rows; smaller strata, and frames of at most ten rows, are all train."""
-    n = F.count("*").over(W.partitionBy(*strata))
-    total = df.agg(F.count("*").alias("__total"))
-    quota = F.greatest(F.lit(2), F.floor(n * ratio))
-    chosen = (F.col("__total") > 10) & (n >= least) & (_ranked(df, key, seed, strata) <= quota)
-    return df.crossJoin(F.broadcast(total)).withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("__total")  # one row
+    total = df.agg(F.count("*").alias("__total"))  # one row
+    rows = drawn(df, strata, key, seed, "__rank", "__n").crossJoin(F.broadcast(total))
+    chosen = (F.col("__total") > 10) & (F.col("__n") >= least) & (F.col("__rank") <= F.greatest(F.lit(2), F.floor(F.col("__n") * ratio)))
+    return rows.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("__total", "__rank", "__n")
 
 
 def token_bins(df: DataFrame, group: Sequence[str], column: str = "n_tokens") -> DataFrame:
@@ -56,13 +75,13 @@ def token_sample(df: DataFrame, target: int, group: Sequence[str], column: str =
     A group of at most ``target`` rows stays whole. Each bin gives greatest(1, floor(share of
     target)) rows; what exceeds the target in all is trimmed by a second draw.
     """
-    n_group, n_bin = F.count("*").over(W.partitionBy(*group)), F.count("*").over(W.partitionBy(*group, "bin"))
-    rows = token_bins(df, group, column).withColumn("__n", n_group)
-    quota = F.greatest(F.lit(1), F.floor(F.lit(float(target)) * n_bin / F.col("__n")))
-    rows = rows.withColumn("__rank", _ranked(df, key, seed, [*group, "bin"])).withColumn("__quota", quota)
-    rows = rows.where((F.col("__n") <= target) | (F.col("__rank") <= F.col("__quota")))
-    rows = rows.withColumn("__again", _ranked(df, key, seed + 1, group))
-    return rows.where((F.col("__n") <= target) | (F.col("__again") <= target)).drop("__n", "__rank", "__quota", "__again", "bin")
+    n_group = df.groupBy(*group).agg(F.count("*").alias("__all"))
+    rows = token_bins(df, group, column).join(n_group, list(group))
+    rows = drawn(rows, [*group, "bin"], key, seed, "__rank", "__n")
+    small = F.col("__all") <= target
+    rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(target)) * F.col("__n") / F.col("__all"))))).drop("__rank", "__n")
+    rows = drawn(rows, group, key, seed + 1, "__rank", "__n")
+    return rows.where(small | (F.col("__rank") <= target)).drop("__rank", "__n", "__all", "bin")
 
 
 def match_distribution(pool: DataFrame, reference: DataFrame, target: int, column: str = SCORE, key: str = "doc_id", seed: int = 69) -> DataFrame:
@@ -81,22 +100,22 @@ def match_distribution(pool: DataFrame, reference: DataFrame, target: int, colum
     edges = sorted(set(reference.agg(F.percentile(F.col(column).cast("double"), [k / bins for k in range(bins + 1)])).first()[0]))[1:-1]
     place = sum(((F.col(column) >= e).cast("int") for e in edges), F.lit(0))
     share = reference.groupBy(place.alias("bin")).agg((F.count("*") / F.lit(float(n_ref))).alias("share"))
-    rows = pool.withColumn("bin", place).join(F.broadcast(share), "bin", "left")  # at most ten bins
-    rank = F.row_number().over(W.partitionBy("bin").orderBy(draw(key, seed), key))
+    rows = drawn(pool.withColumn("bin", place), ["bin"], key, seed, "__rank", "__n").join(F.broadcast(share), "bin", "left")  # at most ten bins
     quota = F.when(F.col("share").isNull(), 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("share") * target)))
-    rows = rows.withColumn("__in", rank <= quota)
-    order = F.row_number().over(W.orderBy(F.desc("__in"), draw(key, seed + 1), key))
     # Rows chosen by bin come first; filling up and trimming are both the first ``target`` of this order.
-    return rows.withColumn("__at", order).where(F.col("__at") <= target).drop("bin", "share", "__in", "__at")
+    rows = rows.withColumn("__in", F.col("__rank") <= quota)
+    return rows.orderBy(F.desc("__in"), draw(key, seed + 1), key).limit(target).drop("bin", "share", "__in", "__rank", "__n")
 
 
 def shuffled_labels(df: DataFrame, label: str, seeds: Sequence[int] = SEEDS, within: str = "language", key: str = "doc_id") -> DataFrame:
     """Controls: for each seed, the label permuted within each language; ``config`` names the control."""
-    seeds_df = F.explode(F.array(*map(F.lit, seeds))).alias("seed")
-    rows = df.select("*", seeds_df)
-    natural = F.row_number().over(W.partitionBy(within, "seed").orderBy(key))
-    drawn = F.row_number().over(W.partitionBy(within, "seed").orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("seed").cast("string"))), key))
-    left = rows.withColumn("__at", natural).drop(label)
-    right = rows.select(F.col(within).alias("__w"), F.col("seed").alias("__s"), drawn.alias("__r"), F.col(label))
+    rows = df.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    ends = df.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))  # one row
+    rows = rows.crossJoin(F.broadcast(ends))
+    piece = F.floor((F.col(key) - F.col("__lo")) * 1000 / (F.col("__hi") - F.col("__lo") + 1))
+    d = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("seed").cast("string")))
+    group = [within, "seed"]
+    left = ranked(rows, group, [F.col(key)], piece, "__at", "__n").drop(label, "__lo", "__hi", "__n")
+    right = ranked(rows, group, [d, F.col(key)], F.substring(d, 1, 3), "__r", "__n").select(F.col(within).alias("__w"), F.col("seed").alias("__s"), "__r", F.col(label))
     on = F.col(within).eqNullSafe(F.col("__w")) & (F.col("seed") == F.col("__s")) & (F.col("__at") == F.col("__r"))
     return left.join(right, on).drop("__w", "__s", "__r", "__at").withColumn("config", F.concat(F.lit(f"control_{label}_seed"), F.col("seed").cast("string")))
