@@ -27,8 +27,9 @@ def _violations(df: DataFrame, key: Sequence[str], rules: dict) -> DataFrame:
 def metric_ranges(long: DataFrame, key: Sequence[str] = ("language", "task", "model", "metric")) -> DataFrame:
     """Metrics that are missing, not finite or out of range ([0, 1], mse >= 0, r2 <= 1)."""
     m, v = F.col("metric"), F.col("value")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
     return _violations(long, key, {
-        "missing": v.isNull(), "not finite": F.isnan(v) | (F.abs(v) == float("inf")), "outside 0..1": m.isin(*BOUNDED) & ~v.between(0, 1), "negative mse": (m == "mse") & (v < 0), "r2 above 1": (m == "r2") & (v > 1),
+        "missing": v.isNull(), "not finite": ~finite, "outside 0..1": finite & m.isin(*BOUNDED) & ~v.between(0, 1), "negative mse": finite & (m == "mse") & (v < 0), "r2 above 1": finite & (m == "r2") & (v > 1),
     })
 
 

@@ -75,13 +75,13 @@ def token_sample(df: DataFrame, target: int, group: Sequence[str], column: str =
     A group of at most ``target`` rows stays whole. Each bin gives greatest(1, floor(share of
     target)) rows; what exceeds the target in all is trimmed by a second draw.
     """
-    n_group = df.groupBy(*group).agg(F.count("*").alias("__all"))
+    n_group = df.groupBy(*group).agg(F.count("*").alias("__group"))
     rows = token_bins(df, group, column).join(n_group, list(group))
     rows = drawn(rows, [*group, "bin"], key, seed, "__rank", "__n")
-    small = F.col("__all") <= target
-    rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(target)) * F.col("__n") / F.col("__all"))))).drop("__rank", "__n")
+    small = F.col("__group") <= target
+    rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(target)) * F.col("__n") / F.col("__group"))))).drop("__rank", "__n")
     rows = drawn(rows, group, key, seed + 1, "__rank", "__n")
-    return rows.where(small | (F.col("__rank") <= target)).drop("__rank", "__n", "__all", "bin")
+    return rows.where(small | (F.col("__rank") <= target)).drop("__rank", "__n", "__group", "bin")
 
 
 def match_distribution(pool: DataFrame, reference: DataFrame, target: int, column: str = SCORE, key: str = "doc_id", seed: int = 69) -> DataFrame:
