@@ -9,12 +9,11 @@ register values name the buckets in which documents meet.
 1. Documents with equal sets are one node (named by a 128-bit hash of the set), so a group of copies
    is one node however large it is.
 2. In each bucket a node meets one leader, never all others. A pair is dropped only if the joint
-   likelihood of both sketches puts its similarity far below the threshold; all other pairs are
-   verified on the full sets. Verified links give components.
-3. Nodes that share a bucket but not yet a component meet another leader in further rounds, while
-   that is cheaper than 4.
-4. Finally every pair of nodes that shares a bucket but no component is compared. So no link between
-   candidates is lost, whatever the size of a bucket.
+   likelihood of both sketches puts its similarity far below the threshold, or the sizes of the sets
+   rule it out; all other pairs are verified on the full sets. Verified links give components.
+3. What shares a bucket but no component is then compared in blocks of bounded size, by its sketches
+   and, where those find a pair likely, by the full sets. Only verified links leave a block, so a
+   bucket is never expanded into pairs, and no link between candidates is lost, whatever its size.
 
 Defined results
 ---------------
@@ -44,10 +43,10 @@ _CHUNK = 1 << 15
 
 
 class _WordHashes(dict):
-    """Words to 64-bit hashes; emptied beyond a million words, which changes no hash."""
+    """Words to 64-bit hashes; emptied beyond 250,000 words, which changes no hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -136,6 +135,16 @@ class SetSketch:
         return np.take_along_axis(j, best[:, None], 1)[:, 0]
 
 
+def _name(shingle_set: np.ndarray) -> bytes:
+    """A set's node."""
+    return xxhash.xxh3_128_digest(shingle_set.tobytes())
+
+
+def _bucket(registers: np.ndarray, band: int, rows: int) -> int:
+    """The bucket that a band of register values names."""
+    return xxhash.xxh3_64_intdigest(registers[band * rows : (band + 1) * rows].tobytes(), band) - (1 << 63)
+
+
 _SKETCH = "doc_id long, n_shingles long, node binary, registers binary, bands array<long>"
 
 
@@ -150,8 +159,8 @@ def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int) -> DataF
                 sets = [shingles(t or "", width) for t in batch.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 k = sketch.registers(full)
-                keys = [[xxhash.xxh3_64_intdigest(row[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)] for row in k]
-                regs = iter(zip((xxhash.xxh3_128_digest(s.tobytes()) for s in full), k, keys))
+                keys = [[_bucket(row, b, rows) for b in range(bands)] for row in k]
+                regs = iter(zip(map(_name, full), k, keys))
                 got = [next(regs) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([None if g[1] is None else g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))],
@@ -161,10 +170,15 @@ def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, least: float) -> DataFrame:
+def _fits(na, nb, percent: int):
+    """Whether sets of these sizes can be as similar as asked; for columns and arrays."""
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int, least: float) -> DataFrame:
     """Those pairs (a, b) of which the sketches don't put the similarity below ``least``."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"k{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits(F.col("na"), F.col("nb"), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,23 +192,163 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, least: float)
     return both.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a binary, b binary")
 
 
+def _blocks(at: DataFrame, block: int = 1024) -> DataFrame:
+    """(bucket, i, j, asks, node, label): the rows that meet, dealt into blocks of bounded size.
+
+    ``at``: bucket, n (its rows), rest (rows whose label is not the leader's), node, label,
+    lead_label. In each pair of differing labels one is not the leader's, so it is enough that those
+    rows ("asking") meet all rows of their bucket. Asking rows are dealt into blocks i, all rows into
+    blocks j, and a task compares one block of each kind at a time.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("long")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks(c))
+    asking = at.where("label != lead_label").select("bucket", own("rest", 1).alias("i"), upto("n").alias("j"), F.lit(True).alias("asks"), "node", "label")
+    asked = at.select("bucket", upto("rest").alias("i"), own("n", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
+    return asking.unionByName(asked)
+
+
+def _grouped(rows: DataFrame, handle, schema: str) -> DataFrame:
+    """Applies ``handle`` to the rows of each (bucket, i, j), asking rows first, as they stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                key = tuple(keys[:, x].tolist())
+                if key != last and held:
+                    yield handle(pa.Table.from_batches(held))
+                    held = []
+                last = key
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield handle(pa.Table.from_batches(held))
+
+    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("asks"))
+    return placed.mapInArrow(run, schema)
+
+
+class _Block:
+    """One block: which asked rows are likely partners of an asking row."""
+
+    def __init__(self, group: pa.Table, sketch: SetSketch, rows: int, percent: int, least: float):
+        self.sketch, self.rows, self.percent, self.least = sketch, rows, percent, least
+        self.bucket = group.column("bucket")[0].as_py()
+        self.asking = int(group.column("asks").to_numpy().sum())
+        self.ids = group.column("node").to_pylist()
+        self.label = np.unique(np.array(group.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
+        self.size = group.column("n_shingles").to_numpy().astype(float)
+        self.regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
+
+    def likely(self, x: int) -> np.ndarray:
+        """Places of the likely partners of another label that share no earlier bucket with row x."""
+        k, regs, size = self.asking, self.regs, self.size
+        y = k + np.flatnonzero((self.label[k:] != self.label[x]) & _fits(size[k:], size[x], self.percent))
+        if len(y):
+            # As many registers are equal as the sets are alike, give or take 0.05: far below that
+            # the likelihood needn't be computed.
+            same = regs[y] == regs[x]
+            near = same.sum(1) >= (self.least - 0.15) * self.sketch.m
+            y, same = y[near], same[near]
+        if len(y):
+            band = same.reshape(len(y), -1, self.rows).all(2).argmax(1)
+            y = y[np.isin(band, [b for b in set(band.tolist()) if _bucket(regs[x], b, self.rows) == self.bucket])]
+        if len(y):
+            y = y[self.sketch.similarity(np.broadcast_to(regs[x], (len(y), self.sketch.m)), regs[y], np.full(len(y), size[x]), size[y]) >= self.least]
+        return y
+
+
+def _apart(at: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, sketch: SetSketch, rows: int, percent: int, least: float) -> DataFrame:
+    """Verified links (a, b) between nodes that share a bucket but no label.
+
+    The sketches tell which rows of a block have likely partners at all; only those get their full
+    sets, and are then compared exactly in the same block. A node's first link to a label is enough.
+    Pairs never leave a block, so their number, which can be the square of a bucket's size, is only
+    time, not rows.
+    """
+    with_registers = lambda df: df.join(nodes.select("node", "n_shingles", "registers"), "node")
+
+    def sift(group: pa.Table) -> pa.RecordBatch:
+        block = _Block(group, sketch, rows, percent, least)
+        stay = np.zeros(group.num_rows, dtype=bool)
+        for x in range(block.asking):
+            y = block.likely(x)
+            if len(y):
+                stay[x] = stay[y] = True
+        kept = group.filter(pa.array(stay))
+        return pa.RecordBatch.from_arrays([pa.array(kept.column(c).to_pylist(), t) for c, t in kinds.items()], names=list(kinds))
+
+    kinds = {"bucket": pa.int64(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
+    columns = ("bucket", "i", "j", "asks", "node", "label", "n_shingles", "registers")
+    left = scratch.keep(_grouped(with_registers(_blocks(at)).select(*columns), sift, "bucket long, i long, j long, asks boolean, node binary, label binary"), "sifted")
+
+    def verify(group: pa.Table) -> pa.RecordBatch:
+        block = _Block(group, sketch, rows, percent, least)
+        shingle = [np.array(s, dtype=np.int64) for s in group.column("shingles").to_numpy()]
+        a, b = [], []
+        for x in range(block.asking):
+            linked: set[int] = set()
+            y = block.likely(x)
+            for at in range(0, len(y), 64):
+                part = np.array([z for z in y[at : at + 64] if block.label[z] not in linked], dtype=np.int64)
+                if not len(part):
+                    continue
+                flat = np.concatenate([shingle[z] for z in part])
+                place = np.minimum(np.searchsorted(shingle[x], flat), len(shingle[x]) - 1)
+                ends = np.cumsum([len(shingle[z]) for z in part])
+                hits = np.concatenate([[0], np.cumsum(shingle[x][place] == flat)])
+                common = hits[ends] - hits[np.concatenate([[0], ends[:-1]])]
+                union = len(shingle[x]) + np.array([len(shingle[z]) for z in part]) - common
+                for z in part[common * 100 >= union * percent]:
+                    if block.label[z] not in linked:
+                        linked.add(int(block.label[z]))
+                        a.append(min(block.ids[x], block.ids[z]))
+                        b.append(max(block.ids[x], block.ids[z]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    ordered = sets.select("node", F.sort_array("shingles").alias("shingles"))
+    full = with_registers(left).join(_only(ordered, left.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
+    return _grouped(full.select(*columns, "shingles"), verify, "a binary, b binary").distinct()
+
+
+def _only(table: DataFrame, pairs: DataFrame, most: int = 50_000) -> DataFrame:
+    """The rows of ``table`` (by node) that pairs need; few nodes are broadcast, after counting them."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return table.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
+    sets = _only(sets, pairs)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: SetSketch | None = None, rows: int = 4, margin: float = 0.2, rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: SetSketch | None = None, rows: int = 4, margin: float = 0.2) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
     ``rows`` registers a band; with 128 registers a pair of similarity 0.8 shares a band but for one
     case in 20 million. ``margin``: pairs are dropped unverified if the sketches' estimate lies that
     far below the threshold (over five standard deviations).
     """
-    sketch = sketch or SetSketch()
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    # Rows with sets are large: a thousand go to Python at a time. All Python runs within this call.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = docs.sparkSession.conf.get(batch)
+    docs.sparkSession.conf.set(batch, "1000")
+    try:
+        return _near_duplicates(docs, width, percent, sketch or SetSketch(), rows, margin)
+    finally:
+        docs.sparkSession.conf.set(batch, before)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketch, rows: int, margin: float) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     all_docs = scratch.keep(sketches(docs, width, sketch, rows), "sketches")
     some = all_docs.where("node is not null")
     first = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
@@ -208,33 +362,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     one = first.join(nodes.select("node"), "node", "left_semi").where("first_id is not null").select("node", F.col("first_id").alias("doc_id"))
     sets = scratch.keep(_sets(docs, one, width), "sets")
 
-    found = None  # (node, label) so far
-    links = None
-    for turn in range(rounds + 1):
-        at = met.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")) if found is not None else met.select("bucket", "node", F.col("node").alias("label"))
-        open_ = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("lead")).where("low < high")
-        open_ = scratch.keep(open_, f"open-{turn}")
-        at = at.join(open_.select("bucket", "lead", "n"), "bucket")
-        at = scratch.keep(at.select("bucket", "node", "label", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"), "n"), f"at-{turn}")
-        # What a comparison of all that share a bucket and no component would cost at most.
-        cost, n = at.agg(F.sum(F.when(F.col("label") != F.col("lead_label"), F.col("n")).otherwise(0)), F.count("*")).first()
-        if not n:
-            break
-        last = turn == rounds or (turn > 0 and cost <= 4 * n)
-        if last:
-            other = at.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = at.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a")).join(other, "bucket").where("label_a != label_b and a < b").select("a", "b")
-        else:
-            pairs = at.where("label != lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        likely = scratch.keep(_likely(pairs.distinct(), nodes, sketch, percent / 100 - margin), f"likely-{turn}")
-        new = scratch.keep(_verified(likely, sets, percent), f"links-{turn}")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            found = components(links, scratch, f"labels-{turn}")
-        if last:
-            break
-
-    named = first.withColumn("label", F.col("node")) if found is None else first.join(found, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    # Each node and its bucket's leader.
+    leaders = met.groupBy("bucket").agg(F.min("node").alias("lead"))
+    pairs = met.join(leaders, "bucket").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    least = percent / 100 - margin
+    links = scratch.keep(_verified(scratch.keep(_likely(pairs, nodes, sketch, percent, least), "likely"), sets, percent), "links")
+    found = components(links, scratch, "labels")
+    # What still shares a bucket but no component.
+    at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "at")
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("label").alias("label")))
+    open_ = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), lead.alias("lead")).where("low < high")
+    open_ = scratch.keep(open_.select("bucket", "n", F.col("lead.label").alias("lead_label")), "open")
+    rest = at.join(open_, "bucket")
+    rest = scratch.keep(rest.join(rest.where("label != lead_label").groupBy("bucket").agg(F.count("*").alias("rest")), "bucket"), "rest")
+    more = scratch.keep(_apart(rest, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
+    scratch.drop("at", "open", "rest", "sifted")
+    if not more.isEmpty():
+        found = components(links.unionByName(more), scratch, "more-labels")
+    scratch.drop("likely", "met", "nodes", "sets")
+
+    named = first.join(found, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_node = scratch.keep(named.select("node", "label").join(ids, "label").select("node", "component_id"), "by-node")
     # Both sides of the last join are plain files, so a node with many copies can be split.
@@ -249,11 +396,11 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [shingles(t or "", width).view(np.int64) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "shingles"])
+                rows = [(n, s.view(np.int64)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _name(s := shingles(t or "", width)) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(one, "doc_id").dropDuplicates(["node"]).select("node", "text")
-    return texts.mapInArrow(run, "node binary, shingles array<long>")
+    # A row whose text is not the node's (an id with several texts) is left out in ``run``.
+    return docs.select("doc_id", "text").join(one, "doc_id").select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
