@@ -69,17 +69,27 @@ def token_bins(df: DataFrame, group: Sequence[str], column: str = "n_tokens") ->
     return df.join(edges, list(group)).withColumn("bin", F.least(F.size(inner), F.greatest(top, F.lit(0)))).drop("edges")
 
 
-def token_sample(df: DataFrame, target: int, group: Sequence[str], column: str = "n_tokens", key: str = "doc_id", seed: int = 69) -> DataFrame:
-    """At most ``target`` rows a group, from each token bin in proportion to its share.
+def quota(table: dict[tuple[str, str], int], default: int, language: str = "language", kind: str = "type") -> Column:
+    """Rows wanted of a language and type; ``default`` where the table has none."""
+    out = F.lit(default)
+    for (name, of), n in table.items():
+        out = F.when((F.col(language) == name) & (F.col(kind) == of), n).otherwise(out)
+    return out
+
+
+def token_sample(df: DataFrame, target: int | Column, group: Sequence[str], column: str = "n_tokens", key: str = "doc_id", seed: int = 69) -> DataFrame:
+    """At most ``target`` rows a group (a number, or a column of the group, as from ``quota``), from
+    each token bin in proportion to its share.
 
     A group of at most ``target`` rows stays whole. Each bin gives greatest(1, floor(share of
     target)) rows; what exceeds the target in all is trimmed by a second draw.
     """
+    target = F.lit(target) if isinstance(target, int) else target
     n_group = df.groupBy(*group).agg(F.count("*").alias("__group"))
     rows = token_bins(df, group, column).join(n_group, list(group))
     rows = drawn(rows, [*group, "bin"], key, seed, "__rank", "__n")
     small = F.col("__group") <= target
-    rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.lit(float(target)) * F.col("__n") / F.col("__group"))))).drop("__rank", "__n")
+    rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(target * 1.0 * F.col("__n") / F.col("__group"))))).drop("__rank", "__n")
     rows = drawn(rows, group, key, seed + 1, "__rank", "__n")
     return rows.where(small | (F.col("__rank") <= target)).drop("__rank", "__n", "__group", "bin")
 

@@ -33,8 +33,12 @@ def _joined(words: Column, n: int):
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, tokenizer=tokens) -> DataFrame:
-    """(doc_id, term, tf). ``tokenizer`` maps a text column to an array of tokens."""
-    words = docs.select(key, tokenizer(F.col(text)).alias("w"))
+    """(doc_id, term, tf). ``tokenizer`` maps a text column to an array of tokens.
+
+    Texts are dealt out by key before they are taken apart: that moves each text once instead of
+    all its n-grams, and the counts, and later the norms, of a document need no further shuffle.
+    """
+    words = docs.select(key, text).repartition(key).select(key, tokenizer(F.col(text)).alias("w"))
     return words.select(key, F.explode(ngrams(F.col("w"), 1, most)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -17,7 +17,7 @@ from .functions import annotations as ann
 from .functions import questions as q
 from .operators import checks, grid, metrics, models, normalize, projection, results, sampling, tfidf
 from .plans import datasets, labelling
-from .schemas import FEATURES, LANGUAGES, MODELS, RESULT, SCORE
+from .schemas import FEATURES, LANGUAGES, MODELS, RESULT, SCORE, dataset_configs
 from .sentences import SENTENCES
 from .sources import readers
 from .sources.shared import Scratch, read
@@ -274,6 +274,16 @@ def token_bin_sample(spark, sf):
     return sampling.token_sample(_rounded(spark, sf), 60, _GROUP, "original_n_tokens").select("doc_id", "language", "type")
 
 
+@query("quota_sample", f"WITH {_PIPE}, g AS (SELECT language, type, count(*) AS n, CASE WHEN language = 'en' AND type = 'polar' THEN 30 ELSE 500 END AS quota FROM rounded GROUP BY language, type) SELECT language, type, CASE WHEN n <= quota THEN n END AS whole, n > quota AS cut FROM g")
+def quota_sample(spark, sf):
+    """Groups below their quota stay whole; of the others at most the quota is kept."""
+    rows = _rounded(spark, sf)
+    wanted = sampling.quota({("en", "polar"): 30}, 500)
+    sampled = sampling.token_sample(rows, wanted, _GROUP, "original_n_tokens").groupBy(*_GROUP).agg(F.count("*").alias("k"))
+    both = rows.groupBy(*_GROUP).agg(F.count("*").alias("n")).join(sampled, list(_GROUP)).withColumn("quota", wanted)
+    return both.select(*_GROUP, F.when(F.col("n") <= F.col("quota"), F.col("k")).alias("whole"), ((F.col("n") > F.col("quota")) & (F.col("k") <= F.col("quota"))).alias("cut"))
+
+
 @query("complexity_match_sample", f"""WITH {_PIPE}, ref AS (SELECT * FROM rounded WHERE source = 'tydi'), pool AS (SELECT * FROM rounded WHERE source = 'ud'),
 e AS (SELECT unnest(list_distinct([{', '.join(f"quantile_cont({SCORE}, {k / 10})" for k in range(1, 10))}])) AS edge FROM ref),
 binned AS (SELECT 'ref' AS side, doc_id, (SELECT count(*) FROM e WHERE {SCORE} >= edge) AS bin FROM ref UNION ALL SELECT 'pool', doc_id, (SELECT count(*) FROM e WHERE {SCORE} >= edge) FROM pool),
@@ -336,6 +346,34 @@ def conllu_sentences(spark, sf):
     return rows.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text", F.size("lines").alias("lines"))
 
 
+@query("mock_dataset", "SELECT i AS doc_id, 'text ' || CAST(i AS VARCHAR) AS text, CAST(i % 2 AS INTEGER) AS question_type, round_even(0.1 + (i % 10) * 0.1, 6) AS complexity_score, round_even(greatest(0.0, least(1.0, 0.1 + (i % 10) * 0.1 - 0.1)), 6) AS avg_links_len FROM (SELECT unnest(range(0, 100)) AS i)")
+def mock_dataset(spark, sf):
+    return r6(readers.mock_dataset(spark).select("doc_id", "text", "question_type", "complexity_score", "avg_links_len"), "complexity_score", "avg_links_len")
+
+
+@query("missing_partitions", f"SELECT config, split FROM (SELECT unnest({_list(dataset_configs())}) AS config), (SELECT unnest(['train', 'validation', 'test']) AS split) WHERE NOT (config = 'base' AND split <> 'test')")
+def missing_partitions(spark, sf):
+    """A dataset with two partitions, and which of the 75 it lacks."""
+    path = f"{Scratch(spark, 'dataset').path}/rows"
+    readers.write_dataset(readers.mock_dataset(spark).withColumn("config", F.lit("base")).withColumn("split", F.when(F.col("doc_id") < 70, "train").otherwise("validation")), path)
+    return readers.missing_partitions(spark, path)
+
+
+@query("dataset_one_partition", "SELECT i AS doc_id, CAST(i % 2 AS INTEGER) AS question_type FROM (SELECT unnest(range(70, 100)) AS i)")
+def dataset_one_partition(spark, sf):
+    path = f"{Scratch(spark, 'dataset').path}/rows"
+    readers.write_dataset(readers.mock_dataset(spark).withColumn("config", F.lit("base")).withColumn("split", F.when(F.col("doc_id") < 70, "train").otherwise("validation")), path)
+    return readers.dataset(spark, path, "base", "dev").select("doc_id", "question_type")
+
+
+@query("finalized_rows", f"WITH {_PIPE} SELECT doc_id, language, round_even(n_tokens, 3) AS n_tokens FROM rounded WHERE source = 'ud' UNION ALL SELECT doc_id, language, round_even(n_tokens, 3) FROM rounded WHERE source = 'tydi'")
+def finalized_rows(spark, sf):
+    rows = _rounded(spark, sf)
+    out = normalize.finalized(normalize.combined([rows.where("source = 'ud'"), rows.where("source = 'tydi'")]))
+    assert "original_n_tokens" not in out.columns and "type_original" not in out.columns
+    return out.select("doc_id", "language", "n_tokens")
+
+
 # --- Questions: C1-C23, A1-A5 -------------------------------------------------------------------
 
 
@@ -507,6 +545,13 @@ def class_weights(spark, sf):
     return r6(models.class_weights(read(spark, sf, "labels").withColumnRenamed("quality", "label")), "weight")
 
 
+@query("language_codes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en' ELSE lang END AS code FROM documents")
+def language_codes(spark, sf):
+    """Full names become codes, anything else passes through."""
+    name = F.when(F.col("lang") == "en", "English").otherwise(F.col("lang"))
+    return read(spark, sf, "documents").select("doc_id", projection.language_code(name).alias("code"))
+
+
 @query("thresholded_scores", "SELECT event_id, CAST(value > 0.5 AS INTEGER) AS predicted FROM events")
 def thresholded_scores(spark, sf):
     return read(spark, sf, "events").select("event_id", metrics.thresholded(F.col("value")).alias("predicted"))
@@ -729,6 +774,11 @@ def error_categories(spark, sf):
     return standard(spark).where("error IS NOT NULL").groupBy(results.error_category(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
 
 
+@query("primary_metrics", f"WITH {_STD} SELECT experiment_id, CASE WHEN task_type = 'classification' THEN test_accuracy ELSE test_mse END AS value FROM done")
+def primary_metrics(spark, sf):
+    return completed(spark).select("experiment_id", projection.primary_metric(F.col("task_type"), F.col("test_accuracy"), F.col("test_mse")).alias("value"))
+
+
 @query("success_rate", f"WITH {_STD} SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, round_even(count(*) FILTER (status = 'completed') / CAST(greatest(1, count(*)) AS DOUBLE), 6) AS success_rate FROM std")
 def success_rate(spark, sf):
     return r6(results.success(standard(spark)), "success_rate")
