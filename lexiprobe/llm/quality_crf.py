@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,14 +203,18 @@ def fit(texts: list[str], label: np.ndarray, turns: int = 2) -> LineField:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> LineField | float:
     """Fits on at most ``sample`` labelled documents of each class, none of them held out."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
     rows = []
     for value in (0, 1):
         chosen = bounded_sample(known.where(F.col("y") == value), "doc_id", sample, seed=1)
         rows += docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "y").collect()
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) == 2:
-        return fit([r["text"] or "" for r in rows], y)
+        field = fit([r["text"] or "" for r in rows], y)
+        # The curve was fitted with classes of equal weight; their real shares shift it.
+        shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+        field.shift += math.log(shares[1] / shares[0])
+        return field
     return float(y[0]) if len(y) else 1.0
 
 
