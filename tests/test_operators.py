@@ -206,3 +206,37 @@ def test_error_categories_first_match_wins(spark):
 
 def test_features_are_the_six(spark):
     assert len(FEATURES) == 6
+
+
+def test_boosting_curve_and_saved_models(spark, tmp_path):
+    from pyspark.ml.regression import GBTRegressionModel
+
+    rng = np.random.default_rng(4)
+    rows = [(i, Vectors.dense(x), float(x[0] > 0)) for i, x in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, ["doc_id", "features", "label"])
+    model = models.estimator("xgboost", "regression", {"n_estimators": 4, "max_depth": 2})(df)
+    curve = models.boosting_curve(model, df)
+    assert len(curve) == 4 and curve[-1] <= curve[0]
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = GBTRegressionModel.load(str(tmp_path / "m"))
+    assert [r["prediction"] for r in again.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+    assert np.allclose(models.importances(model).sum(), 1)
+
+
+def test_missing_splits_terms_and_sparsity(spark):
+    v = spark.createDataFrame([("train", 1, 0, 0.5), ("train", 2, 7, 0.5)], "split string, doc_id long, term_id int, tfidf double")
+    vocabulary = spark.createDataFrame([("a", 0)], "term string, term_id int")
+    assert sorted(r["split"] for r in checks.missing_splits(v).collect()) == ["test", "validation"]
+    assert [r["term_id"] for r in checks.foreign_terms(v, vocabulary).collect()] == [7]
+    assert checks.sparsity(v, 10, 0.8).count() == 0 and checks.sparsity(v, 1, 0.5).count() == 1
+
+
+def test_dataset_integrity_reports_what_lacks(spark):
+    df = spark.createDataFrame([("train", "en"), ("test", "fi")], "split string, language string")
+    assert checks.dataset_integrity(df, ["split", "text"], ["en", "fi"]) == {"splits": False, "columns": False, "languages": True}
+
+
+def test_incompatible_results_and_grid_coverage(spark):
+    df = spark.createDataFrame([("logistic", "regression", "en", "complexity"), ("ridge", "regression", "en", "complexity")], "model_type string, task_type string, language string, task string")
+    assert [r["model_type"] for r in checks.incompatible(df).collect()] == ["logistic"]
+    assert checks.grid_coverage(df).where("dimension = 'language'").count() == 6
