@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, read, shared_dir, ship
 
-__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "fold", "read", "shared_dir", "ship", "text_or_empty"]
+__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "claim", "fold", "read", "shared_dir", "ship", "text_or_empty"]
 
 #: ASCII white space, as a Java and DuckDB character class.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -28,3 +30,19 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
     """At most ``most`` rows, the same ones on every run: those whose hashed key is smallest."""
     h = F.xxhash64(F.col(key), F.lit(seed))
     return df.orderBy(h, F.col(key)).limit(most)
+
+
+#: How to empty what an operator's module keeps in a Python worker between tasks.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
+    """Says whose task runs in this worker; what other operators kept there is let go.
+
+    Workers live on through many stages, and an executor's memory must not hold the caches of all
+    operators that ever ran in it.
+    """
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+    if empty:
+        _kept[owner] = empty

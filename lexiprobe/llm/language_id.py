@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, ship
+from .common import claim, fold, read, ship
 
 #: Components of a vector, letters of an n-gram.
 DIMENSIONS, GRAM = 512, 3
@@ -116,6 +116,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     chosen = train.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("__share") * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -143,6 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((names, table))  # a vector a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         langs, protos = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

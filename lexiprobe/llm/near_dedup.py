@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, claim, read
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -153,6 +153,7 @@ def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int) -> DataF
     bands = sketch.m // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _words.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -181,6 +182,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int,
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits(F.col("na"), F.col("nb"), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _words.clear)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -212,6 +214,7 @@ def _grouped(rows: DataFrame, handle, schema: str) -> DataFrame:
     """Applies ``handle`` to the rows of each (bucket, i, j), asking rows first, as they stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _words.clear)
         held: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
         last = None
         for batch in batches:
@@ -393,6 +396,7 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of one document of each node in ``one`` (node, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _words.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, read, ship
+from .common import bounded_sample, claim, fold, read, ship
 from .tokens import batches as slices
 from .toxicity import logistic_1d
 
@@ -224,6 +224,7 @@ def score(docs: DataFrame, field: LineField | float, threshold: float = 0.3) ->
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         f = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

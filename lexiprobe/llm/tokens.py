@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import claim
+
 #: Stands where a text is cut.
 _CUT = "\x00"
 #: White space other than space and line break, the cutting sign itself, and the one letter whose
@@ -116,7 +118,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of that file; a worker keeps it over its tasks."""
+    """The worker's encoder of that file; a worker keeps it until another operator's task comes."""
+    claim(__name__, _open.clear)
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]

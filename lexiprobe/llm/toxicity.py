@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, read, ship
+from .common import bounded_sample, claim, fold, read, ship
 
 #: Orders of the n-grams, in code points.
 ORDERS = (3, 4, 5)
@@ -145,6 +145,7 @@ def score(docs: DataFrame, model: NbLinear | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CELLS weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         m = sent.value
         for batch in batches:
             scores = [m.score(t or "") if m else 0.0 for t in batch.column(1).to_pylist()]
