@@ -55,6 +55,14 @@ def test_candidates_are_selected_by_form_and_context(spark, model):
     assert all(not got[i] for i in range(len(cases), len(cases) + len(clean)))
 
 
+def test_gates_pass_all_that_their_generators_match(spark, docs):
+    texts = ["mail jane {at} example {dot} com", "contact jane [ at ] example.org", "JANE AT EXAMPLE DOT COM", "jo { AT } a (DOT) b", "tel 06 12 34 56 78", "tel (0)6-1 2-3 4-5 6", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "fe80:1:2::3", "at home", ""]
+    df = spark.createDataFrame([(-i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string").union(docs.select("doc_id", F.coalesce("text", F.lit(""))))
+    for kind, pattern in pii.GENERATORS.items():
+        pairs = df.select(pii._candidates(F.col("text"), kind).alias("gated"), pii.found(F.col("text"), pattern).alias("all"))
+        assert pairs.where("gated != all").count() == 0 and pairs.where("size(all) > 0").count() > 0
+
+
 def test_written_form_and_redaction(spark, model):
     df = spark.createDataFrame([(1, "a@b.co and a@b.co"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pii.find(df, model).select("doc_id", pii.written(F.col("base")).alias("s"), F.sha2(pii.written(F.col("base")), 256).alias("h")).collect()}
