@@ -45,10 +45,13 @@ KINDS = ("email", "ip", "card", "phone", "email_alt", "ip_alt", "card_alt", "pho
 
 _AT = r"(?:\x20?[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20?|\x20(?:at|AT)\x20)"
 _DOT = r"(?:\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20|\.)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_HEXES = r"(?:" + _HEX + r"(?::" + _HEX + r"){0,6})"
 #: Generators: kind and pattern.
 GENERATORS = {
     "email_alt": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)+",
-    "ip_alt": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    # Whole addresses of two colons or more, or one "::" at any place; no run has more than eight colons.
+    "ip_alt": r"(?<![0-9A-Fa-f])(?<![0-9A-Fa-f:]:)(?!(?:[0-9A-Fa-f]*+:){9})(?:(?:" + _HEX + r":){2,7}" + _HEX + r"|" + _HEXES + r"?::" + _HEXES + r"?)(?![0-9A-Fa-f]|::|:[0-9A-Fa-f])",
     "card_alt": r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){12,18}(?![0-9])",
     "phone_alt": r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])",
 }
@@ -148,6 +151,9 @@ TEMPLATES = (
     ("card_alt", "no ", "##.##.####.##.##.####", "", 0), ("card_alt", "the ", "##############", " a", 0), ("card_alt", "ref ", "####.####.####.####", "", 0),
     ("ip_alt", "host ", "~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~", "", 1), ("ip_alt", "ip ", "~~~~:~~~::~~~~", "", 1), ("ip_alt", "from ", "~~~~:~~~~:~~~~:~~~~::~~~~", " to", 1),
     ("ip_alt", "at ", "##:##:##", "", 0), ("ip_alt", "time ", "#:##:##", "", 0), ("ip_alt", "id ", "~~:~~:~~:~~:~~:~~", "", 0), ("ip_alt", "ratio ", "#:#:#", "", 0),
+    ("ip_alt", "ip:", "~~~~:~~~::~", ".", 1), ("ip_alt", "ip ", "~~~~::~", "", 1), ("ip_alt", "host ", "~~~~:~~~::~~~~:~~~:~~~~", "", 1), ("ip_alt", "from ", "~~~~::~~~:~~~~:~~~~:~~~~", " to", 1), ("ip_alt", "server ", "::~~~~:~~~~", "", 1),
+    ("ip_alt", "address ", "::~", "", 1), ("ip_alt", "on ", "~~~~:~~~~:~~~~::", " and", 1), ("ip_alt", "and ", "~~~~::~~~~", " or", 1), ("ip_alt", "the ", "~~~~:~~~::~~~~", ".", 1),
+    ("ip_alt", "std", "::", "@@@@@", 0), ("ip_alt", "type ", "::", " is", 0), ("ip_alt", "list[", "::#", "]", 0), ("ip_alt", "of ", "##:##:##", " the", 0), ("ip_alt", "and ", "~~:~~:~~:~~:~~:~~", " or", 0),
     ("email_alt", "mail ", "@@@@@ (at) @@@@@@ (dot) com", "", 1), ("email_alt", "contact ", "@@@@.@@@@ [at] @@@@@@@.org", "", 1), ("email_alt", "or ", "@@@@@@ at @@@@@ dot net", " x", 1),
     ("email_alt", "he is ", "@@@@@ at @@@@.@@@@@", " and", 0), ("email_alt", "look ", "@@@ at @@@.@@@@", "", 0), ("email_alt", "meet ", "@@@@ at @@@@@.@@", "", 0),
 )
@@ -223,7 +229,7 @@ def _candidates(text: Column, kind: str) -> Column:
     none = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)")
     likely = {
         "email_alt": lambda: text.rlike(r"[A-Za-z0-9._%+-]" + _AT + r"[A-Za-z0-9-]++" + _DOT + r"[A-Za-z0-9-]"),
-        "ip_alt": lambda: F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+        "ip_alt": lambda: F.contains(text, F.lit("::")) | (F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
         "card_alt": lambda: text.rlike(r"[0-9](?:[\x20./_-]?[0-9]){12}"),
         "phone_alt": lambda: text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
     }

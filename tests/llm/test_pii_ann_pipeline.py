@@ -63,6 +63,21 @@ def test_gates_pass_all_that_their_generators_match(spark, docs):
         assert pairs.where("gated != all").count() == 0 and pairs.where("size(all) > 0").count() > 0
 
 
+def test_compressed_addresses_are_proposed_and_selected(spark, model):
+    whole = ["fe80::1", "2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8:1::", "::ffff:1:2", "1:2:3:4:5:6:7::", "2001:db8:85a3:0:0:8a2e:370:7334"]
+    cases = [("ip ", w, " up") for w in whole] + [("host ", "fe80::1", ": up"), ("ip:", "2001:db8::1", ".")]
+    clean = ["at 12:30:45", "id 00:1a:2b:3c:4d:5e", "and 0a:1b:2c:3d:4e:5f or", "std::begin", "list[::2]", "ratio 1:2:3", "a type :: is"]
+    never = ["1::2::3", "1:::2", "12:30", "1:2:3:4:5:6:7:8:9:0"]
+    texts = [a + w + b for a, w, b in cases] + clean + never
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    proposed = {r["doc_id"]: [s["match"] for s in r["c"]] for r in df.select("doc_id", pii._candidates(F.col("text"), "ip_alt").alias("c")).collect()}
+    assert [proposed[i] for i in range(len(cases))] == [[w] for _, w, _ in cases]
+    assert not any(proposed[len(texts) - 1 - i] for i in range(len(never)))
+    added = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"] if pii.KINDS[s["kind"]] == "ip_alt"] for r in pii.find(df, model).collect()}
+    assert [added[i] for i in range(len(cases))] == [[w] for _, w, _ in cases]
+    assert not any(added[len(cases) + i] for i in range(len(clean)))
+
+
 def test_written_form_and_redaction(spark, model):
     df = spark.createDataFrame([(1, "a@b.co and a@b.co"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pii.find(df, model).select("doc_id", pii.written(F.col("base")).alias("s"), F.sha2(pii.written(F.col("base")), 256).alias("h")).collect()}
