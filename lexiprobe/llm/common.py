@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, read, shared_dir, ship
 
-__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "claim", "fold", "read", "shared_dir", "ship", "text_or_empty"]
+__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "claim", "fold", "read", "rows_kept", "shared_dir", "ship", "text_or_empty"]
 
 #: ASCII white space, as a Java and DuckDB character class.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -26,6 +26,24 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
+def rows_kept(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row of ``kept`` (doc_id, digest, n), with the columns of ``docs``.
+
+    ``kept`` is gone through several times. ``n`` says how many rows have that id (null is an id) and digest; of several, the one of smallest
+    text is given. Digests are those of ``kept``; no digest is there with two ids.
+    """
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest"), F.col("n").alias("__n"))
+    named = docs.withColumn("__digest", digest)
+    same = (F.col("__digest") == F.col("__kept_digest")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    one = named.join(kept.where("__n = 1"), same, "left_semi").select(*docs.columns)
+    several = kept.where("__n > 1")
+    n = several.count()  # ids are unique in most corpora; then the texts are gone through once
+    if not n:
+        return one
+    many = named.join(F.broadcast(several) if n <= 50_000 else several, same, "left_semi").groupBy("__digest").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("__row"))
+    return one.unionByName(many.select("__row.*"))
+
+
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows, the same ones on every run: those whose hashed key is smallest."""
     h = F.xxhash64(F.col(key), F.lit(seed))

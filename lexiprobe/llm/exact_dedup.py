@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch, read, text_or_empty
+from .common import WHITE, Scratch, read, rows_kept, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -89,9 +89,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of each normalised text, of smallest doc_id (null last), with the columns of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "keep-distinct")
+    kept = exact_dedup(docs).where("kept").groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.count("*").alias("n"))
+    return rows_kept(docs, F.unhex(F.sha2(normalised(text_or_empty()), 256)), scratch.keep(kept, "kept"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,9 +110,18 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies (times the mix takes it)."""
+    return _mixed(docs, weights, share, most, seed).drop("key")
+
+
+def _key() -> Column:
+    """The source as a key; null gets one of its own, which no source has."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """The rows of ``mix`` with their source's key."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    # null gets a key of its own, which no source has
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    key = _key()
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     each = scratch.keep(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")).select("*", key.alias("key"), rank.alias("rank"), F.pmod(rank, F.lit(HASH_PARTS)).cast("int").alias("part")), "documents")
     parts = scratch.keep(each.groupBy("key", "size", "part").agg(F.count("*").alias("n"), F.first("source").alias("source")), "parts")
@@ -130,16 +139,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     sure = at.where(~split).select("*", (F.col("quota") > 0).cast("int").alias("chosen"))
     cut = at.where(split).select("*", (place <= F.col("quota")).cast("int").alias("chosen"))
     copies = F.col("passes") + F.col("chosen")
-    return sure.unionByName(cut).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return sure.unionByName(cut).select("doc_id", "key", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it (a document without words: once a pass).
 
-    Rows are matched by doc_id, which is unique in a corpus; of repeated rows each is taken.
+    Rows are matched by doc_id (null is an id), source and size. Where the mix takes some of the rows
+    that share all three once more than the others, these are the ones of smallest text.
     """
-    taken = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"])
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    scratch = Scratch(docs.sparkSession, "repeated")
+    low = F.min("copies").cast("int")
+    taken = _mixed(docs, **how).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), F.col("size").alias("__words")).agg(
+        low.alias("__low"), F.max("copies").alias("__high"), (F.sum("copies") - low * F.count("*")).alias("__more")
+    )
+    taken = scratch.keep(taken.where("__high > 0"), "taken")
+    named = docs.withColumns({"__key": _key(), "__size": words_in(F.col("text"))})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")) & (F.col("__size") == F.col("__words"))
+    out = named.join(taken.where("__low = __high"), same).select(*docs.columns, F.col("__low").alias("__copies"))
+    unlike = taken.where("__low < __high")
+    n = unlike.count()  # ids are unique in most corpora; then the texts are gone through once
+    if n:
+        place = F.row_number().over(W.partitionBy("__id", "__of", "__words").orderBy("text"))
+        met = named.join(F.broadcast(unlike) if n <= 50_000 else unlike, same)
+        out = out.unionByName(met.select(*docs.columns, (F.col("__low") + (place <= F.col("__more")).cast("int")).alias("__copies")))
+    return out.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, read
+from .common import WORD, Scratch, claim, read, rows_kept, text_or_empty
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -148,9 +148,10 @@ def _bucket(registers: np.ndarray, band: int, rows: int) -> int:
 _SKETCH = "doc_id long, n_shingles long, node binary, registers binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int) -> DataFrame:
-    """A row per document; node, registers and bands are null for empty sets."""
+def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int, more: tuple[Column, ...] = ()) -> DataFrame:
+    """A row per document; node, registers and bands are null for empty sets. ``more``: at most a digest to carry along."""
     bands = sketch.m // rows
+    names = ["doc_id", "n_shingles", "node", "registers", "bands", *["digest"][: len(more)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _words.clear)
@@ -164,11 +165,11 @@ def sketches(docs: DataFrame, width: int, sketch: SetSketch, rows: int) -> DataF
                 regs = iter(zip(map(_name, full), k, keys))
                 got = [next(regs) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([None if g[1] is None else g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "registers", "bands"],
+                    [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([None if g[1] is None else g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64())), *batch.columns[2:]],
+                    names=names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", *more).mapInArrow(run, _SKETCH + ", digest binary" * len(more))
 
 
 def _fits(na, nb, percent: int):
@@ -340,19 +341,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     case in 20 million. ``margin``: pairs are dropped unverified if the sketches' estimate lies that
     far below the threshold (over five standard deviations).
     """
+    out = _in_batches(docs, width, percent, sketch, rows, margin)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _in_batches(docs: DataFrame, width: int, percent: int, sketch: SetSketch | None, rows: int, margin: float, more: tuple[Column, ...] = ()) -> DataFrame:
     # Rows with sets are large: a thousand go to Python at a time. All Python runs within this call.
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = docs.sparkSession.conf.get(batch)
     docs.sparkSession.conf.set(batch, "1000")
     try:
-        return _near_duplicates(docs, width, percent, sketch or SetSketch(), rows, margin)
+        return _near_duplicates(docs, width, percent, sketch or SetSketch(), rows, margin, more)
     finally:
         docs.sparkSession.conf.set(batch, before)
 
 
-def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketch, rows: int, margin: float) -> DataFrame:
+def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketch, rows: int, margin: float, carry: tuple[Column, ...]) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id; with ``carry`` also node, label (a component's own) and digest."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    all_docs = scratch.keep(sketches(docs, width, sketch, rows), "sketches")
+    all_docs = scratch.keep(sketches(docs, width, sketch, rows, carry), "sketches")
     some = all_docs.where("node is not null")
     first = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
 
@@ -386,10 +393,11 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
 
     named = first.join(found, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_node = scratch.keep(named.select("node", "label").join(ids, "label").select("node", "component_id"), "by-node")
+    carried = ("node", "label", "digest") if carry else ()
+    by_node = scratch.keep(named.select("node", "label").join(ids, "label").select("node", "component_id", *carried[1:2]), "by-node")
     # Both sides of the last join are plain files, so a node with many copies can be split.
-    out = all_docs.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = all_docs.select("doc_id", "n_shingles", "node", *carried[2:]).join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", *carried)
 
 
 def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
@@ -407,10 +415,15 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").join(one, "doc_id").select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, with the columns of ``docs``; texts without words all stay."""
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, sketch: SetSketch | None = None, rows: int = 4, margin: float = 0.2) -> DataFrame:
+    """One row of each group, of smallest doc_id (null last), with the columns of ``docs``; texts without words all stay."""
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    digest = F.unhex(F.sha2(text_or_empty(), 256))
+    first = _in_batches(docs, width, percent, sketch, rows, margin, (digest,)).where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = first.groupBy("label", "digest", "doc_id").agg(F.count("*").alias("n"))
+    kept = texts.groupBy("label").agg(F.min(F.struct("digest", "doc_id", "n")).alias("row")).select("row.*")
+    blank = docs.where(~text_or_empty().rlike(WORD))
+    return rows_kept(docs, digest, scratch.keep(kept, "kept")).unionByName(blank)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
