@@ -107,16 +107,17 @@ def pack(
     ``tokenizer`` is the path of a vocabulary file; ``ids`` are little-endian unsigned 32-bit ids
     (null without ``with_ids``). The pieces of a sequence stand gapless from offset 0.
     """
-    end = end_id.to_bytes(4, "little")
-
     def partition(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
         packer, out = Packer(length, windows, min_cut), _Rows(part, with_ids)
         for batch in rows:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in batches(texts):
-                for key, ids in zip(keys[a:b], encode(texts[a:b])):
-                    packer.add(key, ids + end)
+                flat, sizes = encode(texts.slice(a, b - a), end_id)
+                raw, at = flat.tobytes(), 0
+                for key, n in zip(keys[a:b], sizes.tolist()):
+                    packer.add(key, raw[at : at + 4 * n])
+                    at += 4 * n
                 out.take(packer.done)
                 packer.done = []
                 yield out.batch()

@@ -1,30 +1,44 @@
 """Token ids of whole texts from a vocabulary file of the tokenizers library.
 
 A text is cut where no token can reach across: before a single space, before and behind a single
-line break, and before a full stop or comma behind a letter or digit. Each distinct piece is encoded
-once, and the ids of a text are its pieces' ids in a row. Texts with longer runs of white space or
-signs at those places are encoded whole. Ids are the same as those of
+line break, and before a full stop or comma behind a letter or digit. The cuts are places in the
+batch's bytes, so pieces are views of the texts. Each distinct piece of a batch is encoded once, and
+the ids of a text are its pieces' ids in a row. Texts with longer runs of white space or signs at
+those places are pieces of their own. Ids are the same as those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+Words of plain Latin letters skip the tokenizer's normaliser and splitting pattern, which leave them
+as they are but for lower case and the byte alphabet: the same model reads them, spelled so already.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import claim
 
-#: Stands where a text is cut.
-_CUT = "\x00"
-#: White space other than space and line break, the cutting sign itself, and the one letter whose
-#: lower case does not end in a letter.
+#: Bytes a piece starts with.
+_CUTS = np.zeros(256, dtype=bool)
+_CUTS[list(b" \n.,")] = True
+#: White space other than space and line break, and the one letter whose lower case does not end in
+#: a letter.
 _RARE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A full stop or comma that is not behind a letter or digit.
 _STOP = re.compile(r"[.,](?<![^\W_].)", re.DOTALL)
-#: Pieces remembered in each of two generations; it bounds memory and changes no result.
-_MOST = 800_000
+#: Words of letters that are normal forms and have lower cases of one letter each.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Pieces (and ids in them) remembered at most; it bounds memory and changes no result.
+_MOST, _MOST_IDS = 1_200_000, 12_000_000
+#: Characters of the longest piece that is remembered.
+_LONG = 48
 _open: dict[str, "Encoder"] = {}
 
 
@@ -35,17 +49,33 @@ def _plain(text: str) -> bool:
     return not (_RARE.search(text) or _STOP.search(text))
 
 
+def _byte_alphabet() -> np.ndarray:
+    """The code point that stands for each byte in byte-level vocabularies; a line break, the separator here, becomes a space.
+
+    Fixed values: printable bytes stand for themselves, the others follow from 256 on in order.
+    """
+    table = np.arange(256, dtype="<u4")
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    table[odd] = 256 + np.arange(len(odd))
+    table[10] = 32
+    return table
+
+
+_ALPHABET = _byte_alphabet()
+_BREAK = "\u010a"  # a line break in that alphabet
+
+
 class Encoder:
-    """Turns texts into little-endian unsigned 32-bit ids."""
+    """Turns arrays of texts into ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self._borders()
+        self._stripped(path)
+        self._forget()
 
     def _borders(self) -> None:
         """Which ids begin a word of letters, or end one, where the vocabulary's own signs tell."""
@@ -56,65 +86,128 @@ class Encoder:
         self.border[[i for t, i in vocabulary.items() if (t.startswith(first[0]) if self.begins else t.endswith("</w>"))]] = True
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not _plain(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        known = self.young.get
-        holes: list[tuple[int, list[str], list[int]]] = []
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                pieces = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace(".", "\x00.").replace(",", "\x00,").split(_CUT)
-                out[i] = got = list(map(known, pieces))
-                at, ks = -1, []
-                try:
-                    while True:
-                        ks.append(at := got.index(None, at + 1))
-                except ValueError:
-                    if ks:
-                        holes.append((i, pieces, ks))
-        new = self._learn({pieces[k] for _, pieces, ks in holes for k in ks})
-        for i, pieces, ks in holes:
-            got = out[i]
-            for k in ks:
-                got[k] = new[pieces[k]]
-        return [b"".join(ids) if isinstance(ids, list) else ids for ids in out]
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of each piece; they are remembered."""
-        out = {p: self.old[p] for p in pieces & self.old.keys()}
-        missing = pieces - out.keys()
-        spaced = [p for p in missing if p[1:].isalpha() and p[0] == " "]
-        bare = [p for p in missing if p.isalpha()]
-        other = list(missing.difference(spaced, bare))
-        out.update(zip(other, self.whole(other)))
-        for words in (spaced, bare):
-            for at in range(0, len(words), 10_000):
-                part = words[at : at + 10_000]
-                out.update(zip(part, self._words(part, words is spaced)))
-        if len(self.young) + len(out) > _MOST:
-            self.old, self.young = self.young, {}
-        self.young.update(out)
-        return out
-
-    def _words(self, words: list[str], spaced: bool) -> list[bytes]:
-        """Ids of many words of letters by one call; the ids themselves show the borders."""
-        lines = self.begins and not spaced
-        text = "".join(words) if spaced else "\n" + "\n".join(words) if lines else " " + " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(ids == self.line[0]) if lines else np.flatnonzero(self.border[ids])
-        if len(at) != len(words) or (lines and len(self.line) != 1):
-            return self.whole(words)
-        raw = ids.tobytes()
+    def _stripped(self, path: str) -> None:
+        """The same model behind white space alone, if the file's other steps are those that words need not take."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        steps = [s["type"] for s in (parts["normalizer"] or {}).get("normalizers", [parts["normalizer"]] if parts["normalizer"] else [])]
+        splits = parts["pre_tokenizer"] or {}
+        self.words = None
+        if parts["model"]["type"] == "BPE" and steps in ([], ["NFC", "Replace", "Lowercase"]) and "ByteLevel" in json.dumps(splits):
+            self.lower = bool(steps)
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ends: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.start, self.known = np.zeros(1 << 16, np.int64), 0  # of each known piece; the next one's start is its end
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Puts further pieces behind the known ones; gives the place of the first."""
+        first, n, m = self.known, len(sizes), len(ids)
+        if self.used + m > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(m, len(self.ids)), np.uint32)])
+        if first + n + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(n + 1, len(self.start)), np.int64)])
+        self.ids[self.used : self.used + m] = ids
+        self.start[first] = self.used
+        self.start[first + 1 : first + n + 1] = self.used + np.cumsum(sizes)
+        self.used, self.known = self.used + m, first + n
+        return first
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text); null counts as empty, ``end_id`` closes each text."""
+        if len(self.at) > _MOST or self.used > _MOST_IDS:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        whole = texts.buffers()[2]
+        data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole else np.zeros(0, np.uint8)
+        offsets -= offsets[0]
+        pieces, bounds = self._cut(data, offsets, [not _plain(t) for t in texts.to_pylist()])
+        coded = pieces.dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        if end_id is not None:
+            if end_id not in self.ends:
+                self.ends[end_id] = self._add(np.array([end_id], np.uint32), np.ones(1, np.int64))
+            place, bounds = np.insert(place, bounds[1:], self.ends[end_id]), bounds + np.arange(n + 1)
+        begin = self.start[place]
+        sizes = self.start[place + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(begin - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(ends[bounds])
+
+    @staticmethod
+    def _cut(data: np.ndarray, offsets: np.ndarray, odd: list[bool]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and the place of each text's first piece (and of the end)."""
+        cut = _CUTS[data]
+        cut[1:] |= data[:-1] == 10
+        for i in np.flatnonzero(odd):
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        return pieces, np.searchsorted(at, offsets)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each piece are; new pieces are encoded."""
+        place = np.array(list(map(self.at.get, pieces, repeat(-1))), dtype=np.int64)
+        new = np.flatnonzero(place < 0)
+        texts = [pieces[i] for i in new]
+        word = _WORD.fullmatch
+        kind = [0 if self.words is None else 1 if word(p) else 2 if p[0] == " " and word(p, 1) else 0 for p in texts]
+        kind = np.array(kind, dtype=np.int8)
+        if not self.begins:  # the ids of a word are the same behind a space
+            kind = np.minimum(kind, 1)
+        for k, read in enumerate((self._whole, self._bare, self._spaced)):
+            group = np.flatnonzero(kind == k)
+            for part in np.split(group, range(10_000, len(group), 10_000)) if len(group) else ():
+                some = [texts[i] for i in part.tolist()]
+                first = self._add(*read(some))
+                places = range(first, first + len(some))
+                place[new[part]] = places
+                short = max(map(len, some)) <= _LONG
+                self.at.update(zip(some, places) if short else ((p, at) for p, at in zip(some, places) if len(p) <= _LONG))
+        return place
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array(list(map(len, got)), dtype=np.int64)
+
+    def _read(self, text: str, between: str = " ") -> np.ndarray:
+        """Ids of words, one a line, by one call."""
+        raw = np.frombuffer((text.lower() if self.lower else text).encode(), np.uint8)
+        spelled = _ALPHABET[raw].tobytes().decode("utf-32-le")
+        if between != " ":
+            spelled = between[1:] + spelled.replace(" ", between)
+        return np.array(self.words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words behind a space, in vocabularies whose ids tell where a word begins."""
+        ids = self._read("\n".join(words))
+        at = np.flatnonzero(self.border[ids])
+        return (ids, np.diff(np.append(at, len(ids)))) if len(at) == len(words) else self._whole(words)
+
+    def _bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.begins:
-            cuts = [0, *(4 * at + 4).tolist()]
-            return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        starts, ends = (4 * at + 4 * lines).tolist(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip(starts, ends)]
+            ids = self._read("\n".join(words).replace(" ", ""))
+            at = np.flatnonzero(self.border[ids])
+            return (ids, np.diff(at, prepend=-1)) if len(at) == len(words) else self._whole(words)
+        # A line break stands before each word; no word of letters holds one.
+        ids = self._read("\n".join(words), f" {_BREAK} ")
+        at = np.flatnonzero(ids == self.line[0])
+        if len(at) != len(words) or len(self.line) != 1:
+            return self._whole(words)
+        return np.delete(ids, at), np.diff(np.append(at, len(ids))) - 1
 
 
 def encoder(path: str) -> Encoder:
@@ -125,13 +218,14 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
-def batches(texts: list[str], most: int = 4_000_000):
-    """Slices (from, to) of about ``most`` characters."""
+def batches(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Slices (from, to) of about ``most`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes.tolist()):
+        size += n
         if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)

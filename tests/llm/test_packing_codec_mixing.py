@@ -3,12 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lexiprobe.llm import mixing, packing, token_codec
 from lexiprobe.llm.common import Scratch
-from lexiprobe.llm.tokens import Encoder
+from lexiprobe.llm.tokens import Encoder, batches
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -23,16 +24,34 @@ def test_pieces_give_the_ids_of_whole_texts(path, docs):
     draw = np.random.default_rng(0)
     letters = list("ab \n.,'1éΣ!?_-\t\x00 　İ")
     texts += ["".join(draw.choice(letters, draw.integers(0, 15))) for _ in range(3000)] + ["", " ", "a  b", "a \n b", "don't. I'll,\nx", "<|endoftext|>. a"]
-    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert Encoder(path).encode(texts) == want
+    texts += ["\u00c0\u00c9\u00ff\u0178 \u017dlu\u0165 \u0141\u00d3D\u0179 \u017fo stra\u00dfe", "\u03a3\u03bf\u03c6\u03cc\u03c2 \u039f\u0394\u039f\u03a3 x", "e\u0301 \ufb01", "x" * 3000, "\u0661\u0662 4five", "foo\nbar\nbaz. Qux", None]
+    want = reference_ids(path, [t or "" for t in texts])
+    assert encoded(Encoder(path), texts, 1) == want
+    assert encoded(Encoder(path), texts) == [ids[:-1] for ids in want]
+    assert encoded(Encoder(path), []) == []
+
+
+def encoded(encoder, texts, end_id=None):
+    """Lists of ids; the texts are a slice of a longer array, as Spark may give them."""
+    flat, sizes = encoder.encode(pa.array(["before. x", *texts, "y"], pa.string()).slice(1, len(texts)), end_id)
+    assert len(flat) == sizes.sum()
+    ends = np.cumsum(sizes)
+    return [flat[e - n : e].tolist() for e, n in zip(ends, sizes)]
 
 
 def test_a_full_cache_changes_no_ids(monkeypatch, docs):
     texts = [r["text"] for r in docs.collect()]
-    want = Encoder(BYTES).encode(texts)
+    want = encoded(Encoder(BYTES), texts)
     monkeypatch.setattr("lexiprobe.llm.tokens._MOST", 50)
     small = Encoder(BYTES)
-    assert [small.encode([t])[0] for t in texts] == want
+    assert [encoded(small, [t])[0] for t in texts] == want
+
+
+def test_batches_cover_all_texts():
+    texts = pa.array(["ab", None, "", "abcdef", "a"] * 7)
+    for most in (1, 3, 100):
+        cuts = list(batches(texts, most))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(35))
 
 
 def check_packing(pieces, rows, length):
@@ -84,6 +103,51 @@ def test_blocks_round_trip():
         token_codec.encode_block(np.array([1 << 22]))
 
 
+def test_carries_run_back_through_full_words():
+    draw = np.random.default_rng(3)
+    out = token_codec._Writer(200)
+    starts, sizes = [], []
+    for _ in range(token_codec.STEPS):  # parts at the upper end of the range fill words with ones
+        size = draw.choice([1, 2, 1 << 10], 200)
+        start = np.where(draw.random(200) < 0.9, (1 << 20) - size, draw.integers(0, 1 << 19, 200))
+        out.code(start, size, 20)
+        starts.append(start)
+        sizes.append(size)
+    used, words = out.finish()
+    source = token_codec._Reader(used, np.frombuffer(words, "<u4"))
+    for start, size in zip(starts, sizes):
+        got = source.target(200, 20)
+        assert ((start <= got) & (got < start + size)).all()
+        source.take(start, size)
+
+
+def test_the_mixture_covers_its_total_once():
+    draw = np.random.default_rng(4)
+    model = token_codec._Model(5, 64)
+    for _ in range(40):
+        model.predict(64)
+        parts = [model.share(np.full(64, k, dtype=np.int32)) for k in range(5)]
+        end = np.zeros(64, dtype=np.int64)
+        for k, (start, size) in enumerate(parts):
+            assert (start == end).all() and (size > 0).all()
+            end = start + size
+            assert (model.at_target(start) == k).all() and (model.at_target(end - 1) == k).all()
+        assert (end == 1 << model.bits).all()
+        x = draw.integers(0, 3, 64).astype(np.int32)
+        model.share(x)
+        model.learn(x)
+
+
+def test_runs_hold_whole_documents():
+    texts = ["a b", "word " * 2000, None, "c " * 600, "d", "e f"]
+    rows = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.string())], names=["doc_id", "text"]) for ids, part in (([1, 2, None], texts[:3]), ([4, 5, 6], texts[3:]))]
+    got = list(token_codec.runs(iter(rows), Encoder(WORDS).encode, 1, most=512))
+    assert [keys for keys, _, _ in got] == [[1], [2], [None], [4], [5, 6]]
+    assert [i for _, _, flat in got for i in flat.tolist()] == [i for ids in reference_ids(WORDS, [t or "" for t in texts]) for i in ids]
+    back = [token_codec.decode_frame(token_codec.encode_frame(*run)) for run in got]
+    assert all(b[0] == g[0] and (b[1] == g[1]).all() and (b[2] == g[2]).all() for b, g in zip(back, got, strict=True))
+
+
 def test_repetitive_ids_shrink():
     ids = np.tile(np.arange(50), 4000)
     assert len(token_codec.encode_block(ids)) < 0.15 * 2 * len(ids)
@@ -94,7 +158,7 @@ def test_damage_is_noticed():
     block[-10] ^= 1
     with pytest.raises(ValueError):
         token_codec.decode_block(bytes(block))
-    frame = bytearray(token_codec.encode_frame([1, None], [np.array([3, 1], "<u4").tobytes(), np.array([1], "<u4").tobytes()]))
+    frame = bytearray(token_codec.encode_frame([1, None], np.array([2, 1]), np.array([3, 1, 1], np.uint32)))
     frame[18] ^= 1
     with pytest.raises(ValueError):
         token_codec.decode_frame(bytes(frame))
