@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, claim, fold, read, ship
 from .tokens import batches as slices
-from .toxicity import logistic_1d
+from .toxicity import logistic
 
 #: Labelled documents used for fitting: at most so many of each class.
 SAMPLE = 1500
@@ -72,7 +72,6 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = np.zeros(n)
     again = np.zeros(n)
     if len(first):
-        last = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
         place = np.arange(len(flat), dtype=np.int64)
         place -= np.repeat(first, np.diff(np.concatenate([first, [len(flat)]]))) if first[0] == 0 else np.concatenate([place[: first[0]], np.repeat(first, np.diff(np.concatenate([first, [len(flat)]])))])
         value = np.where(space, np.uint64(0), _RANDOM[flat] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
@@ -81,8 +80,6 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         words = np.bincount(of, minlength=n).astype(np.float64)
         same = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
         again = np.bincount(of[1:][same], minlength=n).astype(np.float64)
-        # a line's last bytes: junk lines often break off without a stop
-        del last
     text_lines = np.bincount(owner, minlength=len(texts))
     more = np.stack([
         np.log1p(length) / 8, again / np.maximum(words - 1, 1), length / np.maximum(words, 1) / 20, (length == 0).astype(float),
@@ -197,7 +194,7 @@ def fit(texts: list[str], label: np.ndarray, turns: int = 2) -> LineField:
         none = np.bincount(owner, weights=1 - y)[owner] == 0  # a bad text keeps a bad line at least
         y = np.where(none & (whole == 0), 0, y)
     z = field.evidence(lines, length, x)
-    field.slope, field.shift = logistic_1d(z, label.astype(float))
+    field.slope, field.shift = map(float, logistic(z[:, None], label.astype(float)))
     return field
 
 
@@ -207,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = []
     for value in (0, 1):
         chosen = bounded_sample(known.where(F.col("y") == value), "doc_id", sample, seed=1)
-        rows += docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "y").collect()
+        rows += docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").select("text", "y").collect()
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) == 2:
         field = fit([r["text"] or "" for r in rows], y)

@@ -61,7 +61,7 @@ def test_labels_of_held_out_rows_teach_nothing(docs, labels):
 
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.learn(docs, labels), toxicity.learn(docs, flipped)
-    assert (a.weights == b.weights).all() and a.shift == b.shift
+    assert (a.weights == b.weights).all() and (a.curve == b.curve).all()
 
 
 def test_forward_backward_equals_enumeration():
@@ -93,3 +93,38 @@ def test_profiles_are_the_same_in_every_process():
     language_id._cache.clear()
     assert (language_id._vector(97) == one).all() and set(one.tolist()) == {1, -1}
     assert np.allclose(np.linalg.norm(language_id.bundles(["some words here", "!!"]), axis=1), [1, 0])
+
+
+def test_toxicity_equals_a_naive_loop(docs, labels):
+    """Log-count ratios and scores n-gram by n-gram."""
+    rows = [(r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").where("text IS NOT NULL AND toxic IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    cell = lambda gram: int(toxicity.ngram_cells(gram, (len(gram),))[0][0])
+    grams = lambda t: [[cell(t.lower()[k : k + n]) for k in range(len(t.lower()) - n + 1)] for n in toxicity.ORDERS]
+    texts, y = [t[:400] for t, _ in rows], np.array([c for _, c in rows], dtype=float)
+    y[:5] = 1
+    each = [grams(t) for t in texts]
+    sets = [{c for order in e for c in order} for e in each]
+    ratio = toxicity.log_count_ratios([np.unique(np.concatenate(toxicity.ngram_cells(t))) for t in texts], y)
+    for c in list(set().union(*sets))[:3000]:
+        p = 1 + sum(c in s and v == 1 for s, v in zip(sets, y))
+        q = 1 + sum(c in s and v == 0 for s, v in zip(sets, y))
+        want = np.log(p / (y.sum() + 2)) - np.log(q / (len(y) - y.sum() + 2))
+        assert ratio[c] == pytest.approx(0 if abs(want) < 1 or p + q - 2 < 2 else want)
+    model = toxicity.fit(texts, y.astype(int), 0.2)
+    assert (model.used == (ratio != 0)).all()
+    for t, e, s in zip(texts[:20], each, sets):
+        there = [c for c in s if ratio[c] != 0]
+        whole = sum(float(model.weights[c]) for c in there) / max(1, len(there)) ** 0.5 + model.bias
+        at = [sum(float(model.weights[order[k]]) for order in e if k < len(order)) for k in range(len(e[0]))]
+        width = min(toxicity.WINDOW, len(at))
+        window = max(sum(at[k : k + width]) for k in range(len(at) - width + 1))
+        assert model.margins(t) == pytest.approx((whole, window), rel=1e-4, abs=1e-4)
+        a, b, c = model.curve
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(a * whole + b * window + c))), abs=1e-3)
+
+
+def test_toxicity_without_telling_ngrams():
+    """Texts alike in both classes: the share of toxic labels, and below one half."""
+    for share, want in ((0.1, 0.1), (0.9, 0.49)):
+        model = toxicity.fit(["same words here"] * 8, np.array([0, 1] * 4), share)
+        assert model.score("same words here") == pytest.approx(want) and model.score("") == pytest.approx(want)
