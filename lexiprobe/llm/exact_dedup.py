@@ -64,6 +64,10 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.table)
 
+    def forget(self) -> None:
+        """Takes the table out of the catalog; its files stay and can be attached again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicates one batch within itself and against ``index``, and appends what is new.
@@ -77,15 +81,40 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, scratch: Scratc
     # Written before the join with the documents, so that both sides of it are plain exchanges
     # and a digest with a third of all rows is split by adaptive execution.
     settled = scratch.keep(groups.select("digest", "group_size").join(index.rows().select("digest", "keep_id"), "digest"), f"{batch}-settled")
+    return _decided(of, settled)
+
+
+def _decided(of: DataFrame, settled: DataFrame) -> DataFrame:
     return of.join(settled, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``dedup_batch`` of one batch with an index of its own."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+    """All of ``docs``, brought to an index of its own in ``batches`` batches of ascending ids (null last).
+
+    Each batch's texts are anti-joined with what the batches before brought, so the row that stays is
+    the one of smallest id in the whole table; ``group_size`` counts all batches' rows with the text.
+    """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    return dedup_batch(docs, DigestIndex(docs.sparkSession, f"{scratch.path}/index"), "first", scratch, id_col, text_col)
+    of = scratch.keep(digests(docs, id_col, text_col), "digests")
+    index = DigestIndex(docs.sparkSession, f"{scratch.path}/index")
+    cuts = of.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    # A batch is what lies above one cut and not above the next; without ids there is one batch.
+    bounds = [None, *sorted(set(cuts or [])), None]
+    brought = None
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        last = high is None
+        within = F.lit(True) if low is None else F.col("doc_id") > low
+        part = of.where((within | F.col("doc_id").isNull()) if last else within & (F.col("doc_id") <= high))
+        groups = scratch.keep(part.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), f"groups-{k}")
+        index.append(index.lacks(groups), str(k))
+        brought = groups if brought is None else brought.unionByName(groups)
+    sizes = brought.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    settled = scratch.keep(sizes.join(index.rows().select("digest", "keep_id"), "digest"), "settled")
+    index.forget()
+    scratch.drop("index", *(f"groups-{k}" for k in range(len(bounds) - 1)))
+    return _decided(of, settled)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
