@@ -11,14 +11,17 @@ register values name the buckets in which documents meet.
 2. In each bucket a node meets one leader, never all others. A pair is dropped only if the joint
    likelihood of both sketches puts its similarity far below the threshold, or the sizes of the sets
    rule it out; all other pairs are verified on the full sets. Verified links give components.
-3. What shares a bucket but no component is then compared in blocks of bounded size, by its sketches
-   and, where those find a pair likely, by the full sets. Only verified links leave a block, so a
-   bucket is never expanded into pairs, and no link between candidates is lost, whatever its size.
+3. What shares a bucket but no component is then compared in blocks of bounded rows and bytes, by its
+   sketches and, where those find a pair likely, by the full sets. Only verified links leave a block,
+   so a bucket is never expanded into pairs. A bucket of more than 2 ** 24 pairs is divided first:
+   nodes of it are compared if they share a second band, which a pair of similarity 0.8 fails to do
+   in one case of a million. A row is copied to each block of the other kind, so in what is left of
+   a bucket of n rows both time and rows grow with n * n, the rows divided by 1024.
 
 Defined results
 ---------------
 * Null texts, texts without words and empty sets are linked with nothing: component_id = doc_id.
-* Rows with a null doc_id are left out of comparisons between ids: their component is the smallest
+* Rows with a null doc_id link like others but have no id to give: their component is the smallest
   id of their group (null if it has none). Repeated rows have equal sets and so one component.
 * An empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so further columns
   may have any name.
@@ -38,6 +41,8 @@ from .common import WORD, Scratch, claim, read, rows_kept, text_or_empty
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Rows and shingles of a block, about; pairs of a bucket beyond which it is divided by further bands.
+_ROWS, _SHINGLES, _PAIRS = 1024, 1 << 22, 1 << 24
 #: Elements hashed at a time; they stay in a core's cache over all registers.
 _CHUNK = 1 << 15
 
@@ -195,22 +200,53 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int,
     return both.select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a binary, b binary")
 
 
-def _blocks(at: DataFrame, block: int = 1024) -> DataFrame:
-    """(bucket, i, j, asks, node, label): the rows that meet, dealt into blocks of bounded size.
+def _opened(at: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """What meets in buckets of several labels: its rows, and a row a bucket with the numbers of its blocks.
 
-    ``at``: bucket, n (its rows), rest (rows whose label is not the leader's), node, label,
-    lead_label. In each pair of differing labels one is not the leader's, so it is enough that those
-    rows ("asking") meet all rows of their bucket. Asking rows are dealt into blocks i, all rows into
-    blocks j, and a task compares one block of each kind at a time.
+    ``at``: bucket, inner, node, label, n_shingles. In each pair of differing labels one is not the
+    leader's, so it is enough that those rows ("asking") meet all rows of their bucket. Aggregates
+    are written before they are joined: both sides of a join are then plain exchanges, and adaptive
+    execution can split a bucket that holds a large part of all rows.
     """
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("long")
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
-    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks(c))
-    asking = at.where("label != lead_label").select("bucket", own("rest", 1).alias("i"), upto("n").alias("j"), F.lit(True).alias("asks"), "node", "label")
-    asked = at.select("bucket", upto("rest").alias("i"), own("n", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("label").alias("label")))
+    open_ = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead.alias("lead")).where("low < high")
+    open_ = scratch.keep(open_.select("bucket", F.col("lead.label").alias("lead_label")), f"{name}-open")
+    rows = scratch.keep(at.join(open_, "bucket").withColumn("asks", F.col("label") != F.col("lead_label")).drop("lead_label"), f"{name}-rows")
+    asks = F.col("asks").cast("long")
+    blocks = lambda n, words: F.greatest(F.ceil(n / _ROWS), F.ceil(words / _SHINGLES)).cast("long")
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"), F.sum(asks).alias("asking"), F.sum(asks * F.col("n_shingles")).alias("asking_words"))
+    return rows, scratch.keep(sums.select("bucket", (F.col("n") * F.col("asking")).alias("pairs"), blocks(F.col("asking"), F.col("asking_words")).alias("n_i"), blocks(F.col("n"), F.col("words")).alias("n_j")), f"{name}-sums")
+
+
+def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """(bucket, inner, i, j, asks, node, label): asking rows are dealt into blocks i, all rows into blocks j.
+
+    A task compares one block of each kind at a time: by the numbers in ``sums`` some _ROWS rows and
+    _SHINGLES shingles of each. So every row is there once for each block of the other kind.
+    """
+    at = rows.join(sums, "bucket")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c))
+    asking = at.where("asks").select("bucket", "inner", own("n_i", 1).alias("i"), upto("n_j").alias("j"), F.lit(True).alias("asks"), "node", "label")
+    asked = at.select("bucket", "inner", upto("n_i").alias("i"), own("n_j", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
     return asking.unionByName(asked)
 
 
+def _meetings(at: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The blocks of all buckets; large buckets are divided by the nodes' further bands first.
+
+    Links share many bands, so in a bucket of more than _PAIRS pairs it is enough to compare nodes
+    that share a second one ("inner" buckets). Those that are still large are compared in blocks.
+    """
+    rows, sums = _opened(at.withColumn("inner", F.lit(False)), scratch, "meet")
+    large = sums.where(F.col("pairs") > _PAIRS)
+    if large.isEmpty():
+        return _blocks(rows, sums)
+    within = rows.join(large.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node").select("bucket", "node", "label", "n_shingles", F.explode("bands").alias("band"))
+    within = within.where("band != bucket").select(F.xxhash64("bucket", "band").alias("bucket"), F.lit(True).alias("inner"), "node", "label", "n_shingles")
+    return _blocks(rows, sums.where(F.col("pairs") <= _PAIRS)).unionByName(_blocks(*_opened(scratch.keep(within, "within"), scratch, "inner")))
+
+
 def _grouped(rows: DataFrame, handle, schema: str) -> DataFrame:
     """Applies ``handle`` to the rows of each (bucket, i, j), asking rows first, as they stream by."""
 
@@ -242,7 +278,7 @@ class _Block:
 
     def __init__(self, group: pa.Table, sketch: SetSketch, rows: int, percent: int, least: float):
         self.sketch, self.rows, self.percent, self.least = sketch, rows, percent, least
-        self.bucket = group.column("bucket")[0].as_py()
+        self.bucket, self.inner = group.column("bucket")[0].as_py(), group.column("inner")[0].as_py()
         self.asking = int(group.column("asks").to_numpy().sum())
         self.ids = group.column("node").to_pylist()
         self.label = np.unique(np.array(group.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
@@ -250,7 +286,10 @@ class _Block:
         self.regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
 
     def likely(self, x: int) -> np.ndarray:
-        """Places of the likely partners of another label that share no earlier bucket with row x."""
+        """Places of the likely partners of another label that share no earlier bucket with row x.
+
+        In an inner bucket of a large one, those that share an earlier bucket are there as well.
+        """
         k, regs, size = self.asking, self.regs, self.size
         y = k + np.flatnonzero((self.label[k:] != self.label[x]) & _fits(size[k:], size[x], self.percent))
         if len(y):
@@ -259,7 +298,7 @@ class _Block:
             same = regs[y] == regs[x]
             near = same.sum(1) >= (self.least - 0.15) * self.sketch.m
             y, same = y[near], same[near]
-        if len(y):
+        if len(y) and not self.inner:
             band = same.reshape(len(y), -1, self.rows).all(2).argmax(1)
             y = y[np.isin(band, [b for b in set(band.tolist()) if _bucket(regs[x], b, self.rows) == self.bucket])]
         if len(y):
@@ -267,13 +306,12 @@ class _Block:
         return y
 
 
-def _apart(at: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, sketch: SetSketch, rows: int, percent: int, least: float) -> DataFrame:
+def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, sketch: SetSketch, rows: int, percent: int, least: float) -> DataFrame:
     """Verified links (a, b) between nodes that share a bucket but no label.
 
     The sketches tell which rows of a block have likely partners at all; only those get their full
     sets, and are then compared exactly in the same block. A node's first link to a label is enough.
-    Pairs never leave a block, so their number, which can be the square of a bucket's size, is only
-    time, not rows.
+    Pairs never leave a block: of them only time depends, and rows on the number of blocks.
     """
     with_registers = lambda df: df.join(nodes.select("node", "n_shingles", "registers"), "node")
 
@@ -287,9 +325,10 @@ def _apart(at: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, s
         kept = group.filter(pa.array(stay))
         return pa.RecordBatch.from_arrays([pa.array(kept.column(c).to_pylist(), t) for c, t in kinds.items()], names=list(kinds))
 
-    kinds = {"bucket": pa.int64(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
-    columns = ("bucket", "i", "j", "asks", "node", "label", "n_shingles", "registers")
-    left = scratch.keep(_grouped(with_registers(_blocks(at)).select(*columns), sift, "bucket long, i long, j long, asks boolean, node binary, label binary"), "sifted")
+    kinds = {"bucket": pa.int64(), "inner": pa.bool_(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
+    columns = ("bucket", "i", "j", "asks", "inner", "node", "label", "n_shingles", "registers")
+    blocks = with_registers(_meetings(met, nodes, scratch)).select(*columns)
+    left = scratch.keep(_grouped(blocks, sift, "bucket long, inner boolean, i long, j long, asks boolean, node binary, label binary"), "sifted")
 
     def verify(group: pa.Table) -> pa.RecordBatch:
         block = _Block(group, sketch, rows, percent, least)
@@ -364,29 +403,24 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
     first = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
 
     # Buckets of two nodes or more.
-    entries = some.select("node", F.explode("bands").alias("bucket"))
+    entries = some.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = scratch.keep(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
     met = scratch.keep(entries.join(shared, "bucket").distinct(), "met")
-    nodes = scratch.keep(some.select("node", "n_shingles", "registers").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    nodes = scratch.keep(some.select("node", "n_shingles", "registers", "bands").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
     # Full sets of the documents that meet others, from their whole texts.
-    one = first.join(nodes.select("node"), "node", "left_semi").where("first_id is not null").select("node", F.col("first_id").alias("doc_id"))
+    one = first.join(nodes.select("node"), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
     sets = scratch.keep(_sets(docs, one, width), "sets")
 
     # Each node and its bucket's leader.
-    leaders = met.groupBy("bucket").agg(F.min("node").alias("lead"))
+    leaders = scratch.keep(met.groupBy("bucket").agg(F.min("node").alias("lead")), "leaders")
     pairs = met.join(leaders, "bucket").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     least = percent / 100 - margin
     links = scratch.keep(_verified(scratch.keep(_likely(pairs, nodes, sketch, percent, least), "likely"), sets, percent), "links")
     found = components(links, scratch, "labels")
     # What still shares a bucket but no component.
-    at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "at")
-    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("label").alias("label")))
-    open_ = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), lead.alias("lead")).where("low < high")
-    open_ = scratch.keep(open_.select("bucket", "n", F.col("lead.label").alias("lead_label")), "open")
-    rest = at.join(open_, "bucket")
-    rest = scratch.keep(rest.join(rest.where("label != lead_label").groupBy("bucket").agg(F.count("*").alias("rest")), "bucket"), "rest")
-    more = scratch.keep(_apart(rest, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
-    scratch.drop("at", "open", "rest", "sifted")
+    at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label")), "at")
+    more = scratch.keep(_apart(at, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
+    scratch.drop("at", "leaders", "sifted", "within", *(f"{a}-{b}" for a in ("meet", "inner") for b in ("open", "rows", "sums")))
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "more-labels")
     scratch.drop("likely", "met", "nodes", "sets")
@@ -408,11 +442,19 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [(n, s.view(np.int64)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if _name(s := shingles(t or "", width)) == n]
+                sets = [(n, shingles(t or "", width)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                rows = [(name, s.view(np.int64)) for n, s in sets if (name := _name(s)) == n or n is None]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # A row whose text is not the node's (an id with several texts) is left out in ``run``.
-    return docs.select("doc_id", "text").join(one, "doc_id").select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
+    schema = "node binary, shingles array<long>"
+    by_id = docs.select("doc_id", "text").join(one.where("doc_id IS NOT NULL"), "doc_id").select("node", "text").mapInArrow(run, schema)
+    nameless = one.where("doc_id IS NULL").select("node")
+    if nameless.isEmpty():
+        return by_id
+    # Nodes of null ids alone are found by their texts, each text once.
+    texts = docs.where("doc_id IS NULL AND text IS NOT NULL").select("text").distinct().select(F.lit(None).cast("binary").alias("node"), "text")
+    return by_id.unionByName(texts.mapInArrow(run, schema).join(nameless, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, sketch: SetSketch | None = None, rows: int = 4, margin: float = 0.2) -> DataFrame:

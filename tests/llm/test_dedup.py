@@ -108,8 +108,11 @@ def test_registers_merge_and_estimate():
         assert abs(est - len(part) / len(u)) < 0.15
 
 
-def test_blocks_find_links_that_leaders_miss(spark):
-    """Many near copies of different degree around one text: components as by brute force."""
+@pytest.mark.parametrize("pairs, rows_, words", [(1 << 24, 1024, 1 << 22), (100, 1024, 1 << 22), (100, 7, 1 << 22), (1 << 24, 1024, 400)])
+def test_blocks_find_links_that_leaders_miss(spark, monkeypatch, pairs, rows_, words):
+    """Many near copies of different degree around one text: components as by brute force, however buckets are divided."""
+    for name, value in (("_PAIRS", pairs), ("_ROWS", rows_), ("_SHINGLES", words)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(150)]
     rows = []
@@ -121,3 +124,16 @@ def test_blocks_find_links_that_leaders_miss(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=2).collect())
     assert got == sorted(brute(rows, 2))
+
+
+def test_rows_without_ids_link_others(spark):
+    """A chain 5 - null - 7 whose ends meet through the row without an id only, and a longer text without an id."""
+    words = [f"w{i}" for i in range(200)]
+    chain = [(5, " ".join(words[0:100])), (None, " ".join(words[8:108])), (7, " ".join(words[16:116]))]
+    other = [f"v{i}" for i in range(60)]
+    rows = [*chain, (6, " ".join(other)), (None, " ".join([*other, "more"])), (None, " ".join([*other, "more"])), (None, "alone and far from all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda t: (t[0] is None, t[0] or 0, t[1])
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=2).collect()), key=key)
+    assert got == sorted(brute(rows, 2), key=key)
+    assert {c for k, _, c in got if k in (5, 7)} == {5}
