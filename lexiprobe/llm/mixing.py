@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, read
 
-#: The dynamic program runs over a remaining budget of at most so many words.
-DP_WORDS = 1 << 16
+#: The dynamic program runs over a remaining budget of at most so many words (times the lengths' common divisor).
+DP_WORDS = 1 << 24
+#: Sources of at most so many documents are fitted by trying all sets.
+ENUMERATED = 16
 #: Parts by hash into which the documents of one length are counted, so that no length is one task.
 HASH_PARTS = 256
 
@@ -61,42 +63,87 @@ def targets(per_source: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come to ``budget``.
 
-    The sum is the largest one not above the budget that the last step can reach. Memory: one bit
-    set of DP_WORDS bits a step of the dynamic program.
+    Documents are taken in proportion, and dynamic programming over those still free closes the gap.
+    Where it can't, more of what was taken is given back and the program runs over a wider gap, at
+    last one of DP_WORDS. So the sum is the largest one not above the budget for budgets up to DP_WORDS
+    (times the lengths' common divisor), and for sources of up to ENUMERATED documents. Beyond that
+    it is the largest that differs from the proportional choice within DP_WORDS words; subset sums of
+    any size have no bounded method. Memory: five bytes a word of the gap.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = (counts * budget) // max(total, 1)
-    left = budget - int((take * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):  # down to what the dynamic program can hold
-        if left <= DP_WORDS:
-            break
-        if lengths[k] > 0:
-            more = min(int(counts[k] - take[k]), (left - DP_WORDS // 2) // int(lengths[k]))
+    if int(counts[lengths > 0].sum()) <= ENUMERATED:
+        return _enumerated(lengths, counts, budget)
+    unit = int(np.gcd.reduce(lengths[lengths > 0]))
+    size, budget = lengths // unit, budget // unit
+    take = (counts * budget) // max(total // unit, 1)
+    left = budget - int((take * size).sum())
+    longest, shortest = np.argsort(-size, kind="stable"), np.argsort(size, kind="stable")
+    for window in (1 << 16, 1 << 20, DP_WORDS):
+        for k in longest:  # down to what the window holds
+            if left <= window:
+                break
+            more = min(int(counts[k] - take[k]), (left - window // 2) // max(int(size[k]), 1))
             if more > 0:
                 take[k] += more
-                left -= more * int(lengths[k])
-    left_cap = min(left, DP_WORDS)
-    mask, reach, steps = (1 << (left_cap + 1)) - 1, 1, []
-    for k in np.argsort(lengths, kind="stable"):
-        size, free = int(lengths[k]), int(counts[k] - take[k])
-        if size == 0 or size > left_cap:
+                left -= more * int(size[k])
+        gap = min(left, window)
+        got, missed = _reached(size, counts - take, gap)
+        if missed == 0 and gap == left or gap == budget:
+            break
+        if window < DP_WORDS:  # give back what the next window holds; short documents close gaps best
+            for k in shortest:
+                back = min(int(take[k]), max(window * 16 - left, 0) // max(int(size[k]), 1))
+                take[k] -= back
+                left += back * int(size[k])
+    return take + got
+
+
+def _enumerated(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The best set of a few documents, out of all."""
+    which = np.repeat(np.arange(len(lengths)), np.where(lengths > 0, counts, 0))
+    sums = np.zeros(1, dtype=np.int64)
+    for k in which:
+        sums = np.concatenate([sums, sums + lengths[k]])  # bit i of a place: whether document i is in
+    best = int(np.where(sums <= budget, sums, -1).argmax())
+    return np.bincount(which[[i for i in range(len(which)) if best >> i & 1]], minlength=len(lengths)).astype(counts.dtype)
+
+
+def _reached(size: np.ndarray, free: np.ndarray, gap: int) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: the documents of the largest sum not above ``gap``, and what is missing to it.
+
+    Each length's documents form bundles of 1, 2, 4, ...; for each sum the first bundle that reached
+    it is kept. The sum without that bundle was reached by earlier bundles alone.
+    """
+    seen = np.zeros(gap + 1, dtype=bool)
+    first = np.full(gap + 1, -1, dtype=np.int32)
+    seen[0] = True
+    bundles: list[tuple[int, int]] = []
+    top = 0  # no sum above it is reached
+    for k in np.argsort(size, kind="stable").tolist():
+        words, n, part = int(size[k]), int(free[k]), 1
+        if words == 0 or words > gap:
             continue
-        part, free = 1, min(free, left_cap // size)
-        while free > 0 and not reach >> left_cap & 1:
-            n = min(part, free)
-            steps.append((k, n, reach))
-            reach = (reach | reach << (n * size)) & mask
-            part, free = part * 2, free - n
-        if reach >> left_cap & 1:
+        n = min(n, gap // words)
+        while n > 0 and not seen[gap]:
+            some = min(part, n)
+            add = some * words
+            upto = min(top + add, gap)
+            new = seen[: upto + 1 - add] & ~seen[add : upto + 1]
+            seen[add : upto + 1] |= new
+            first[add : upto + 1][new] = len(bundles)
+            bundles.append((k, some))
+            top, n, part = upto, n - some, part * 2
+        if seen[gap]:
             break
-    at = reach.bit_length() - 1
-    for k, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += n
-            at -= n * int(lengths[k])
-    return take
+    best = at = int(np.flatnonzero(seen)[-1])
+    out = np.zeros(len(size), dtype=np.int64)
+    while at:
+        k, some = bundles[first[at]]
+        out[k] += some
+        at -= some * int(size[k])
+    return out, gap - best
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:

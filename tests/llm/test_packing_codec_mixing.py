@@ -239,3 +239,29 @@ def test_fit_lengths_reaches_reachable_sums():
         budget = int(draw.integers(0, (lengths * counts).sum() + 1))
         take = mixing.fit_lengths(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all() and 0 <= budget - (take * lengths).sum() <= 2
+
+
+@pytest.mark.parametrize("enumerated", [0, 16])
+def test_fit_lengths_of_long_documents_is_best(monkeypatch, enumerated):
+    monkeypatch.setattr(mixing, "ENUMERATED", enumerated)
+    draw = np.random.default_rng(2)
+    cases = [([80_000, 90_001], [1, 1], 90_000), ([100, 80_000], [3, 1], 80_100), ([0, 100_000, 100_001, 100_002], [5, 1, 1, 1], 120_000)]
+    for top in (30, 200_000):
+        for _ in range(60):
+            lengths = np.unique(draw.integers(0, top, draw.integers(2, 7)))
+            counts = draw.integers(1, 5, len(lengths))
+            cases.append((lengths, counts, int(draw.integers(0, (lengths * counts).sum() + 1))))
+    for lengths, counts, budget in cases:
+        lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+        sums = {0}
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(n):
+                sums |= {s + length for s in sums if s + length <= budget}
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == max(sums)
+
+
+def test_a_source_of_few_long_documents_meets_its_target(spark):
+    df = spark.createDataFrame([(i, "w " * n, "s0") for i, n in enumerate((100_000, 100_001, 100_002))] + [(9, "x " * 400_000, "s1")], "doc_id long, text string, source string")
+    for size, taken, target, *_ in check_mix(df).values():
+        assert 0 <= target - taken < 100_000
