@@ -46,7 +46,7 @@ def _list(values) -> str:
 
 # --- TF-IDF: T1-T12, S5-S7, S15, S25, S26 -------------------------------------------------------
 
-MIN_DF, MAX_FEATURES = 3, 2000
+MIN_DF, MAX_FEATURES = tfidf.MIN_DF, tfidf.MAX_FEATURES
 
 
 def _train(docs: DataFrame) -> DataFrame:
@@ -334,16 +334,17 @@ def complexity_csv_load(spark, sf):
     return readers.complexity_csv(spark, f"{path}/all.csv").groupBy("language", "type").agg(F.count("*").alias("n"), F.bround(F.sum("n_tokens"), 3).alias("tokens"))
 
 
-@query("conllu_sentences", r"""SELECT doc_id, regexp_extract(text, '^[^\n]+') AS text, len(list_filter(regexp_split_to_array(regexp_extract(text, '^[^\n]+'), '[ \t\r]+'), lambda x: x <> '')) + 1 AS lines FROM documents WHERE regexp_extract(text, '^[^\n]+') <> '' AND doc_id < 200""")
+@query("conllu_sentences", r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n\r]+')) AS text FROM documents)
+SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '[ \t]+'), lambda x: x <> '')) + 2 AS lines FROM l WHERE len(list_filter(regexp_split_to_array(text, '[ \t]+'), lambda x: x <> '')) > 0""")
 def conllu_sentences(spark, sf):
-    """First lines of texts written as treebank sentences and read again."""
+    """Every line of every text written as a treebank sentence, and read again; a comment holds its document."""
     path = Scratch(spark, "conllu").path
-    first = read(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n]+", 0).alias("text")).where("text != '' AND doc_id < 200")
-    words = F.filter(F.split("text", r"[ \t\r]+"), lambda x: x != "")
-    body = F.array_join(F.transform(words, lambda w, i: F.concat((i + 1).cast("string"), F.lit("\t"), w)), "\n")
-    first.select(F.concat(F.lit("# text = "), "text", F.lit("\n"), body, F.lit("\n")).alias("value"), "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(path)
-    rows = readers.conllu(spark, path, "*.txt")
-    return rows.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text", F.size("lines").alias("lines"))
+    texts = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", r"[\n\r]+")).alias("text"))
+    words = texts.withColumn("words", F.filter(F.split("text", r"[ \t]+"), lambda x: x != "")).where("size(words) > 0")
+    body = F.array_join(F.transform("words", lambda w, i: F.concat((i + 1).cast("string"), F.lit("\t"), w)), "\n")
+    words.select(F.concat(F.lit("# doc_id = "), F.col("doc_id").cast("string"), F.lit("\n# text = "), "text", F.lit("\n"), body, F.lit("\n")).alias("value")).write.text(path)
+    of = F.regexp_extract(F.get("lines", F.lit(0)), r"^# doc_id = (\d+)$", 1).cast("long")
+    return readers.conllu(spark, path, "*.txt").select(of.alias("doc_id"), "text", F.size("lines").alias("lines"))
 
 
 @query("mock_dataset", "SELECT i AS doc_id, 'text ' || CAST(i AS VARCHAR) AS text, CAST(i % 2 AS INTEGER) AS question_type, round_even(0.1 + (i % 10) * 0.1, 6) AS complexity_score, round_even(greatest(0.0, least(1.0, 0.1 + (i % 10) * 0.1 - 0.1)), 6) AS avg_links_len FROM (SELECT unnest(range(0, 100)) AS i)")
@@ -410,6 +411,31 @@ def ud_bucket_counts(spark, sf):
     return labelling.bucket_counts(labelling.route_sentences(sentences(spark).withColumn("file", F.col("language"))))
 
 
+_TURN_LANGUAGES = ("en", "fi", "ko", "ja", "ru", "ar", "id")
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, turn, language, text): every line of every turn, with each language's rules in turn."""
+    lines = read(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    language = F.element_at(F.array(*map(F.lit, _TURN_LANGUAGES)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_TURN_LANGUAGES))) + 1).cast("int"))
+    return lines.select("conv_id", "turn", "line", language.alias("language"), "text")
+
+
+@query("question_rules_conversations")
+def question_rules_conversations(spark, sf):
+    """Both rule sets, the question test, the filter and the bucket of every line of every turn."""
+    t, code = F.col("text"), F.col("language")
+    return turns(spark, sf).select("conv_id", "turn", "line", "language", q.qa_class(t, code).alias("qa"), q.ud_class(t, code).alias("ud"), q.is_question(t).alias("question"), q.is_filtered(t).alias("rejected"), q.ud_bucket(t, code).alias("bucket"))
+
+
+@query("ud_buckets_documents")
+def ud_buckets_documents(spark, sf):
+    """Every line of every document, made a question, through the treebank rules of the languages in turn."""
+    lines = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("lang", F.lit("")).alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    language = F.element_at(F.array(*map(F.lit, _TURN_LANGUAGES)), (F.pmod(F.col("doc_id") + F.col("line"), F.lit(len(_TURN_LANGUAGES))) + 1).cast("int"))
+    return labelling.bucket_counts(labelling.route_sentences(lines.select("file", language.alias("language"), F.concat("text", F.lit("?")).alias("text"))))
+
+
 _B, _E = r"(^|[^\p{L}\p{N}\p{M}_])", r"($|[^\p{L}\p{N}\p{M}_])"
 _WH = "(wha[t]*|wh[o]*|wher[e]*|whe[n]*|wh[y]*|ho[w]*|whic[h]*)"
 _ST = "(is|are|do|does|did|have|has|can|could|will|would|should|may|might)"
@@ -962,9 +988,11 @@ def cls_pool_embeddings(spark, sf):
     return r6(models.pooled(hidden(spark, sf), "cls", 5, 1).select("doc_id", F.element_at("embedding", 1).alias("first")), "first")
 
 
-@query("padded_ids", "SELECT doc_id, list_sum(list_transform(range(1, least(CAST(doc_id % 200 AS INTEGER), 128) + 1), lambda x: x)) AS total, least(doc_id % 200, 128) AS used, CAST(128 AS INTEGER) AS length FROM documents WHERE doc_id % 200 > 0")
+@query("padded_ids", "SELECT doc_id, CAST(coalesce(list_sum(list_transform(range(1, least(CAST(doc_id % 200 AS INTEGER), 128) + 1), lambda x: x)), 0) AS BIGINT) AS total, least(doc_id % 200, 128) AS used, CAST(128 AS INTEGER) AS length FROM documents")
 def padded_ids(spark, sf):
-    rows = read(spark, sf, "documents").where("doc_id % 200 > 0").select("doc_id", F.sequence(F.lit(1), (F.col("doc_id") % 200).cast("int")).alias("input_ids"), F.lit(1).alias("label"))
+    n = (F.col("doc_id") % 200).cast("int")
+    ids = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    rows = read(spark, sf, "documents").select("doc_id", ids.alias("input_ids"), F.lit(1).alias("label"))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return models.tokenized(rows, pad=0).select("doc_id", add("input_ids").alias("total"), add("attention_mask").alias("used"), F.size("input_ids").alias("length"))
 
@@ -992,12 +1020,12 @@ def ridge_probe(spark, sf):
 
 @query("gbt_probe")
 def gbt_probe(spark, sf):
-    return _fitted(spark, sf, "xgboost", "classification", F.col("label"), n_estimators=10, max_depth=3)
+    return _fitted(spark, sf, "xgboost", "classification", F.col("label"))
 
 
 @query("forest_probe")
 def forest_probe(spark, sf):
-    return _fitted(spark, sf, "random_forest", "regression", F.col("class"), n_estimators=10, max_depth=6)
+    return _fitted(spark, sf, "random_forest", "regression", F.col("class"))
 
 
 @query("mlp_probes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,16 +44,31 @@ def complexity_csv(spark: SparkSession, path: str) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], extended(COMPLEXITY, source_file=T.StringType()))
 
 
+#: White space that may stand alone on the line that ends a sentence.
+_BLANK = r"(?U)^[\s\x1c-\x1f\x85]*$"
+
+
 def conllu(spark: SparkSession, path: str, glob: str = "*.conllu") -> DataFrame:
     """Sentences (file, sent_ix, text, lines) of all files below ``path`` that ``glob`` names.
 
-    A sentence ends at an empty line or at the end of the file; its text is in the comment "text" or
-    "sent". ``sent_ix`` orders the sentences of a file without being dense.
+    A sentence ends at a line without anything but white space, or at the end of the file; lines end
+    at any of the three line breaks. Its text is in the comment "text" or "sent". ``sent_ix`` orders
+    the sentences of a file without being dense.
+
+    Files are split as any text, so a sentence may reach over two blocks: blank lines are counted
+    within a block, and the blocks' sums give each line the number of its sentence in the file.
     """
-    raw = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    text = F.regexp_extract("value", r"(?m)^# (?:text|sent) = (.+)$", 1)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("sent_ix"), F.nullif(text, F.lit("")).alias("text"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("lines"))
-    return rows.where(F.size("lines") > 0)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", F.col("value").rlike(_BLANK).alias("blank"))
+    ends = F.col("blank").cast("long")
+    blocks = lines.groupBy("file", "block").agg(F.sum(ends).alias("n"))  # a row a block
+    upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.select("file", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("sent", F.sum(ends).over(W.partitionBy("file", "block").orderBy("at"))).where("NOT blank").join(before, ["file", "block"])
+    sentences = numbered.groupBy("file", (F.col("sent") + F.col("before")).alias("sent_ix")).agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"))
+    texts = F.transform("l", lambda x: x["value"])
+    text = F.nullif(F.array_join(F.slice(F.filter(F.transform(texts, lambda v: F.regexp_extract(v, r"(?d)^# (?:text|sent) = (.+)$", 1)), lambda v: v != ""), -1, 1), ""), F.lit(""))
+    return sentences.select("file", "sent_ix", text.alias("text"), texts.alias("lines"))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

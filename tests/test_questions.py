@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexiprobe import queries
 from lexiprobe.functions import questions as q
 from lexiprobe.functions.annotations import answered, unanimous, yes_count
 from lexiprobe.sentences import SENTENCES
@@ -42,3 +43,24 @@ def test_token_limits(spark):
 def test_annotations(spark, answers, any_, same, yes):
     r = spark.createDataFrame([(answers,)], "a array<string>").select(answered(F.col("a")), unanimous(F.col("a")), yes_count(F.col("a"))).first()
     assert tuple(r) == (any_, same, yes)
+
+
+def test_rules_over_tables_equal_the_labels(spark, tmp_path):
+    """The queries over whole tables, given the labelled sentences as lines of turns and documents."""
+    code = {name: k for k, name in enumerate(queries._TURN_LANGUAGES)}
+    turns = [(7 * i, code[s[0]], "user", s[1] + "\nLima") for i, s in enumerate(SENTENCES) if s[0] in code]
+    spark.createDataFrame([*turns, (3, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = {(r["conv_id"], r["line"]): r for r in queries.question_rules_conversations(spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 * len(turns)
+    for i, (language, text, qa, ud, asks, out, _) in enumerate(SENTENCES):
+        if language in code:
+            r = rows[7 * i, 0]
+            bucket = "other" if not asks else "filtered" if out else ud or "unclassified"
+            assert (r["language"], r["qa"], r["ud"], r["question"], r["rejected"], r["bucket"]) == (language, qa, ud, asks, out, bucket)
+    documents = [(7 * i + code[s[0]], s[1][:-1], "x") for i, s in enumerate(SENTENCES) if s[0] in code and s[1].endswith("?")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["file"]: r for r in queries.ud_buckets_documents(spark, str(tmp_path)).collect()}
+    asked = [s for s in SENTENCES if s[0] in code and s[1].endswith("?")]
+    for name in ("polar", "content"):
+        assert got["x"][name] == got[None][name] == sum(s[4] and not s[5] and s[3] == name for s in asked)
+    assert got["x"]["filtered"] == sum(s[4] and s[5] for s in asked) and got["x"]["sentences"] == len(asked)

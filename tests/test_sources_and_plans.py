@@ -94,3 +94,21 @@ def test_summaries_and_stream_agree(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 672 and got.where("status = 'completed'").count() == tables["successful_results"].count()
     assert set(RESULT.names) >= {"experiment_id", "config"}
+
+
+def test_treebank_sentences_end_at_blank_lines_of_every_kind(spark, tmp_path):
+    """CRLF, blanks on the empty line, several empty lines, no empty line at the end, blocks smaller than a sentence."""
+    sentence = lambda k: [f"# text = words of {k}", *(f"{i}\tw{k}" for i in range(1, 4))]
+    for name, line, blank in (("crlf", "\r\n", ""), ("spaces", "\n", " \t"), ("several", "\n", "\n"), ("wide", "\n", "\u3000"), ("old", "\r", "")):
+        text = line.join([x for k in range(5) for x in (*sentence(k), blank)][:-1])
+        (tmp_path / f"{name}.conllu").write_bytes(text.encode())
+    want = [(f"words of {k}", sentence(k)) for k in range(5)]
+    for size in ("128m", "50"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.conllu(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for name in ("crlf", "spaces", "several", "wide", "old"):
+            of = sorted((r for r in rows if r["file"].endswith(f"{name}.conllu")), key=lambda r: r["sent_ix"])
+            assert [(r["text"], r["lines"]) for r in of] == want, (name, size)
