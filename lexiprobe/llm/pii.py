@@ -8,15 +8,18 @@ Everything that touches documents is DataFrame functions; nothing is exploded or
    phone numbers, cards in other spellings, IPv6 addresses.
 3. Gradient-boosted trees over format and context features score each candidate. They are fitted on
    candidates that templates write (a fixed number of rows, made and measured by the same column
-   functions), one half for the trees and one for the thresholds; for each generator the threshold
-   is the lowest score from which on the held half is right to the wanted share.
-4. A candidate is added if it reaches its threshold, overlaps no base span and no better candidate.
+   functions). Thresholds come from whole templates that the trees did not see: for each generator
+   the lowest score from which on those are right to the wanted share.
+4. A candidate is added if it reaches its threshold and overlaps no base span. Candidates of several
+   generators may overlap; a redaction masks their union.
+
+Work grows with the length of a text and the number n of its matches as n log n: places are running
+sums, overlaps one sweep in order, and context is what stands between matches.
 
 Defined results
 ---------------
 * A null text counts as empty; it has no spans. Rows with a null doc_id and repeated rows are
-  searched like others. Ties between overlapping candidates fall to the earlier, then the kind
-  listed first. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
+  searched like others. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
   further columns may have any name.
 * Offsets count code points; ends are exclusive. n_email, n_ip, n_card and n_phone count base spans;
   added spans have kinds of their own, listed behind the base kinds.
@@ -57,25 +60,70 @@ GENERATORS = {
 }
 
 
+#: What a generator's or base pattern's match is: its place, itself, and what stands around it.
+_SPAN = "struct<start:int,end:int,match:string,left:string,before:string,after:string>"
+#: Characters kept of what stands before a match.
+_LEFT = 24
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, join) -> Column:
+    """Running sums (or maxima, ...) of a non-empty array, in as many rounds as its size has binary digits.
+
+    In each round an element is joined with the one twice as far before it as in the last round.
+    """
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.size(values))).cast("int"))
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(rounds, values, lambda s, k: F.transform(s, lambda x, i: F.when(i >= step(k), join(x, F.get(s, i - step(k)))).otherwise(x)))
+
+
 def found(text: Column, pattern: str) -> Column:
-    """All matches, leftmost and non-overlapping: array of (start, end, match).
+    """All matches, leftmost and non-overlapping, as an array of _SPAN.
 
     There is no function for the places of all matches; they follow from the lengths of the matches
-    and of the pieces between them.
+    and of the pieces between them. ``left``: the end of the piece before the match.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), matches.alias("match"))
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["0"]
-        end = begin + F.length(x["1"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("match")))).alias("out"))
+    def spans(b: Column) -> Column:
+        n = F.size(b["m"])
+        sizes = F.zip_with(F.slice(b["g"], F.lit(1), n), b["m"], lambda g, m: F.length(g) + F.length(m))
+
+        def span(ends: Column, m: Column, i: Column) -> Column:
+            gap, after = F.get(b["g"], i), F.get(b["g"], i + 1)
+            before = F.when(gap != "", F.substring(gap, -1, 1)).when(i > 0, F.substring(F.get(b["m"], i - 1), -1, 1)).otherwise("")
+            behind = F.when(after != "", F.substring(after, 1, 1)).otherwise(F.coalesce(F.substring(F.get(b["m"], i + 1), 1, 1), F.lit("")))
+            end = F.get(ends, i)
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"), F.substring(gap, -_LEFT, _LEFT).alias("left"), before.alias("before"), behind.alias("after"))
+
+        places = _let(_running(sizes, lambda x, y: x + y), lambda ends: F.transform(b["m"], lambda m, i: span(ends, m, i)))
+        return F.when(n > 0, places).otherwise(_none())
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), spans)
+
+
+def _none() -> Column:
+    return F.expr(f"CAST(array() AS array<{_SPAN}>)")
 
-    # The piece behind the last match has no match beside it.
-    zipped = F.slice(F.transform(pairs, lambda p: F.struct(p["gap"].alias("0"), p["match"].alias("1"))), 1, F.size(matches))
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(none)
+
+def _clear_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``, in one sweep over both.
+
+    In order of a span's end and a base span's start, the furthest end of the base spans so far lies
+    beyond the span's start if and only if one of them overlaps it.
+    """
+    of_base = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("tag"), b["end"].alias("reach"), F.lit(None).cast(_SPAN).alias("span")))
+    of_spans = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("tag"), F.lit(0).alias("reach"), s.alias("span")))
+
+    def sweep(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        free = _let(reach, lambda r: F.filter(events, lambda e, i: (e["tag"] == 0) & (F.get(r, i) <= e["span"]["start"])))
+        return F.transform(free, lambda e: e["span"])
+
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_let(F.array_sort(F.concat(of_spans, of_base)), sweep))
 
 
 def digits_of(text: Column) -> Column:
@@ -99,9 +147,8 @@ def _between(n: Column, least: int, most: int) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """By base kind, the array of spans (start, end, match)."""
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)")
     number = text.rlike("[0-9]")
-    where = lambda cond, pattern: F.when(cond, found(text, pattern)).otherwise(none)
+    where = lambda cond, pattern: F.when(cond, found(text, pattern)).otherwise(_none())
     small = lambda p: F.coalesce(p.try_cast("int") <= 255, F.lit(False))
     return {
         "email": where(F.contains(text, F.lit("@")), EMAIL),
@@ -113,24 +160,24 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 #: Words before a span that hint at its kind, one pattern a feature.
 CUES = {"phone": r"(?:tel|phone|fax|call|mobile|cell)[^a-z]*$", "card": r"(?:card|visa|credit|iban|account)[^a-z]*$", "host": r"(?:ip|host|ipv6|address|server)[^a-z]*$", "mail": r"(?:mail|contact|write to)[^a-z]*$", "other": r"(?:order|no|id|isbn|version|date|invoice|ref|total|page)[^a-z]*$"}
-FEATURES = ("generator", "digits", "letters", "signs", "groups", "longest", "shortest", "luhn", "bracket", "before", "after", *CUES)
+FEATURES = ("generator", "digits", "letters", "signs", "groups", "longest", "shortest", "luhn", "bracket", "spelled", "domain", "before", "after", *CUES)
 
 
 def _char_class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[A-Za-z]"), 2).when(c.rlike("^[0-9]"), 3).when(c.rlike("^[$%#+=/-]"), 4).otherwise(5)
 
 
-def features(text: Column, span: Column, generator: int) -> Column:
+def features(span: Column, generator: int) -> Column:
     """A struct of small integers: format of the span, context around it."""
     m = span["match"]
     digits = digits_of(m)
     groups = F.transform(F.filter(F.split(m, "[^A-Za-z0-9]+"), lambda g: g != ""), F.length)
-    left = F.lower(F.substr(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24))))
-    before = F.when(span["start"] > 0, F.substr(text, span["start"], F.lit(1))).otherwise("")
+    left = F.lower(span["left"])
     value = {
         "generator": F.lit(generator), "digits": F.length(digits), "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "signs": F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
         "groups": F.size(groups), "longest": F.array_max(groups), "shortest": F.array_min(groups), "luhn": (_between(F.length(digits), 13, 19) & luhn(digits)).cast("int"),
-        "bracket": m.rlike(r"[(\[{]").cast("int"), "before": _char_class(before), "after": _char_class(F.substr(text, span["end"] + 1, F.lit(1))),
+        "bracket": m.rlike(r"[(\[{]").cast("int"), "spelled": m.rlike("(?i)[^a-z]dot[^a-z]").cast("int"), "domain": m.rlike("(?i)[^a-z](?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$").cast("int"),
+        "before": _char_class(span["before"]), "after": _char_class(span["after"]),
     } | {name: left.rlike(cue).cast("int") for name, cue in CUES.items()}
     return F.struct(*[F.coalesce(value[name].cast("int"), F.lit(0)).alias(name) for name in FEATURES])
 
@@ -146,23 +193,32 @@ TEMPLATES = (
     ("phone_alt", "$", "#######", "", 0), ("phone_alt", "ref ", "###-###-####", "", 0), ("phone_alt", "the ", "##########", " of", 0),
     ("phone_alt", "isbn ", "###-#-##-######-#", "", 0), ("phone_alt", "total ", "### ### ###", "", 0), ("phone_alt", "in ", "#### #### ###", "", 0),
     ("phone_alt", "+# ", "(###) ###-####", "", 0), ("phone_alt", "x", "#######", "y", 0), ("phone_alt", "and ", "###########", " a", 0),
-    ("card_alt", "card ", "####.####.####.####", "", None), ("card_alt", "visa ", "####/####/####/####", "", None), ("card_alt", "credit ", "####_####_####_####", "", None),
-    ("card_alt", "account ", "#############", "", 0), ("card_alt", "id ", "################", "", 0), ("card_alt", "order ", "####-####-####-####", "", 0),
-    ("card_alt", "no ", "##.##.####.##.##.####", "", 0), ("card_alt", "the ", "##############", " a", 0), ("card_alt", "ref ", "####.####.####.####", "", 0),
     ("ip_alt", "host ", "~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~", "", 1), ("ip_alt", "ip ", "~~~~:~~~::~~~~", "", 1), ("ip_alt", "from ", "~~~~:~~~~:~~~~:~~~~::~~~~", " to", 1),
     ("ip_alt", "at ", "##:##:##", "", 0), ("ip_alt", "time ", "#:##:##", "", 0), ("ip_alt", "id ", "~~:~~:~~:~~:~~:~~", "", 0), ("ip_alt", "ratio ", "#:#:#", "", 0),
     ("ip_alt", "ip:", "~~~~:~~~::~", ".", 1), ("ip_alt", "ip ", "~~~~::~", "", 1), ("ip_alt", "host ", "~~~~:~~~::~~~~:~~~:~~~~", "", 1), ("ip_alt", "from ", "~~~~::~~~:~~~~:~~~~:~~~~", " to", 1), ("ip_alt", "server ", "::~~~~:~~~~", "", 1),
     ("ip_alt", "address ", "::~", "", 1), ("ip_alt", "on ", "~~~~:~~~~:~~~~::", " and", 1), ("ip_alt", "and ", "~~~~::~~~~", " or", 1), ("ip_alt", "the ", "~~~~:~~~::~~~~", ".", 1),
     ("ip_alt", "std", "::", "@@@@@", 0), ("ip_alt", "type ", "::", " is", 0), ("ip_alt", "list[", "::#", "]", 0), ("ip_alt", "of ", "##:##:##", " the", 0), ("ip_alt", "and ", "~~:~~:~~:~~:~~:~~", " or", 0),
+    ("phone_alt", "mobile: ", "0# ## ## ## ##", "", 1), ("phone_alt", "tel ", "## ## ## ## ##", ",", 1), ("phone_alt", "call ", "###.###.####", "", 1), ("phone_alt", "phone: ", "(0##) #### ###", "", 1),
+    ("phone_alt", "fax: ", "### ### ####", ".", 1), ("phone_alt", "or ", "(###) ### ####", ",", 1), ("phone_alt", "page ", "###-####", "", 0), ("phone_alt", "date: ", "####/##/##", "", 0),
+    ("phone_alt", "invoice ", "######-####", "", 0), ("phone_alt", "was ", "#######", " in", 0), ("phone_alt", "of ", "## ### ###", " to", 0), ("phone_alt", "total: ", "#.###.###", "", 0),
     ("email_alt", "mail ", "@@@@@ (at) @@@@@@ (dot) com", "", 1), ("email_alt", "contact ", "@@@@.@@@@ [at] @@@@@@@.org", "", 1), ("email_alt", "or ", "@@@@@@ at @@@@@ dot net", " x", 1),
+    ("email_alt", "write to ", "@@@@ [at] @@@@@@ [dot] de", ".", 1), ("email_alt", "e-mail: ", "@@@@@## {at} @@@@ {dot} fr", "", 1), ("email_alt", "and ", "@@@@@ (AT) @@@@@@@ (DOT) com", ",", 1),
+    ("email_alt", "contact: ", "@@@ at @@@@@ dot @@@@ dot edu", "", 1), ("email_alt", "mail me, ", "@@@@@ at @@@@@@@.com", "", 1), ("email_alt", "mail: ", "@@@@_@@@ at @@@@@.net", " or", 1),
     ("email_alt", "he is ", "@@@@@ at @@@@.@@@@@", " and", 0), ("email_alt", "look ", "@@@ at @@@.@@@@", "", 0), ("email_alt", "meet ", "@@@@ at @@@@@.@@", "", 0),
+    ("email_alt", "was ", "@@@@ at ####.##", " to", 0), ("email_alt", "they ", "@@@@@@ at @@@.@@@", " for", 0), ("email_alt", "open ", "@@@@@@@ at ##.##", "", 0), ("email_alt", "it ", "@@ at @@@@@@.@@@@@@@", "", 0),
+    ("card_alt", "card ", "####.####.####.####", "", None), ("card_alt", "visa ", "####/####/####/####", "", None), ("card_alt", "credit ", "####_####_####_####", "", None), ("card_alt", "card: ", "####.######.#####", ".", None),
+    ("card_alt", "pay with ", "####.####.####.####", " now", None), ("card_alt", "by ", "####/####/####/####", ",", None), ("card_alt", "and ", "####_####_####_####", "", None), ("card_alt", "credit card ", "####/######/#####", ",", None),
+    ("card_alt", "account ", "#############", "", 0), ("card_alt", "iban ", "##############", "", 0), ("card_alt", "order ", "####-####-####-####", "", 0), ("card_alt", "ref ", "####.####.####.####", "", 0),
+    ("card_alt", "the ", "##############", " a", 0), ("card_alt", "in ", "#############", ",", 0), ("card_alt", "isbn ", "###.#.##.######.#", "", 0), ("card_alt", "no ", "##.##.####.##.##.####", "", 0),
+    ("card_alt", "page ", "#############", "", 0), ("card_alt", "id ", "################", "", 0), ("card_alt", "total ", "###.###.###.###.###", "", 0), ("card_alt", "of ", "###.###.###.###.###", " to", 0),
+    ("card_alt", "in ", "###.###.###.###.###", ",", 0), ("card_alt", "was ", "##.###.###.###.###", "", 0), ("card_alt", "and ", "###.###.###.###.###.###", "", 0), ("card_alt", "as ", "#.###.###.###.###", " of", 0),
 )
-#: Rows written from each template.
-WRITTEN = 96
+#: Rows written from each template, and parts that the templates are dealt into for calibration.
+WRITTEN, FOLDS = 256, 5
 
 
 def _written(spark: SparkSession, rows: int = WRITTEN) -> DataFrame:
-    """(generator, text, label, half): template rows with their signs filled in by hash."""
+    """(kind, text, y, fold): template rows with their signs filled in by hash."""
     t = spark.createDataFrame([(i, g, a, s, b, -1 if y is None else y) for i, (g, a, s, b, y) in enumerate(TEMPLATES)], "i int, kind string, a string, s string, b string, y int")
     t = t.crossJoin(spark.range(rows).withColumnRenamed("id", "n"))  # fixed sizes on both sides
     drawn = lambda k: F.pmod(F.xxhash64("i", "n", k), F.lit(1 << 20)).cast("int")
@@ -170,7 +226,13 @@ def _written(spark: SparkSession, rows: int = WRITTEN) -> DataFrame:
         F.when(c == "#", F.substr(F.lit("0123456789"), drawn(k) % 10 + 1, F.lit(1))).when(c == "~", F.substr(F.lit("0123456789abcdef"), drawn(k) % 16 + 1, F.lit(1)))
         .when(c == "@", F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), drawn(k) % 26 + 1, F.lit(1))).otherwise(c)
     ))
-    return t.select("kind", F.concat_ws("", filled).alias("text"), "y", (F.col("n") % 2).alias("half"))
+    # Templates of one kind and label go to the folds in turn; no template is in two.
+    turn = dict[tuple, int]()
+    folds = []
+    for g, *_, y in TEMPLATES:
+        turn[g, y] = turn.get((g, y), -1) + 1
+        folds.append(turn[g, y] % FOLDS)
+    return t.select("kind", F.concat_ws("", filled).alias("text"), "y", F.element_at(F.array(*map(F.lit, folds)), F.col("i") + 1).alias("fold"))
 
 
 def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> list:
@@ -214,8 +276,10 @@ def _tree_column(tree, f: Column) -> Column:
 
 
 class SpanModel:
-    def __init__(self, trees: list, thresholds: dict[str, float]):
-        self.trees, self.thresholds = trees, thresholds
+    """``recall``: by kind, the share of true spans of templates that the trees did not see that reaches the threshold."""
+
+    def __init__(self, trees: list, thresholds: dict[str, float], recall: dict[str, float]):
+        self.trees, self.thresholds, self.recall = trees, thresholds, recall
 
     def score(self, f: Column) -> Column:
         total = F.lit(0.0)
@@ -226,55 +290,58 @@ class SpanModel:
 
 def _candidates(text: Column, kind: str) -> Column:
     """The generator's spans; texts that cannot hold one are passed over by tests that each of its matches meets."""
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)")
     likely = {
         "email_alt": lambda: text.rlike(r"[A-Za-z0-9._%+-]" + _AT + r"[A-Za-z0-9-]++" + _DOT + r"[A-Za-z0-9-]"),
         "ip_alt": lambda: F.contains(text, F.lit("::")) | (F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
         "card_alt": lambda: text.rlike(r"[0-9](?:[\x20./_-]?[0-9]){12}"),
         "phone_alt": lambda: text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
     }
-    return F.when(likely[kind](), found(text, GENERATORS[kind])).otherwise(none)
+    return F.when(likely[kind](), found(text, GENERATORS[kind])).otherwise(_none())
 
 
 def fit(spark: SparkSession, rows: int = WRITTEN, right: float = 0.98) -> SpanModel:
-    """Trees on one half of the template rows, thresholds on the other.
+    """Trees on all template rows; thresholds by trees that did not see the template they score.
 
-    At most len(TEMPLATES) * rows feature rows come to the driver, whatever the corpus holds.
+    For each kind the threshold is the lowest score from which on the held templates' spans are right
+    to the share ``right``. At most len(TEMPLATES) * rows feature rows come to the driver, whatever
+    the corpus holds.
     """
     written = _written(spark, rows)
     spans = None
     for k, kind in enumerate(GENERATORS):
         one = written.where(F.col("kind") == kind)
-        one = one.select(F.explode(_candidates(F.col("text"), kind)).alias("span"), "text", "y", "half").select(features(F.col("text"), F.col("span"), k).alias("f"), "y", "half")
+        one = one.select(F.explode(_candidates(F.col("text"), kind)).alias("span"), "y", "fold").select(features(F.col("span"), k).alias("f"), "y", "fold")
         spans = one if spans is None else spans.unionByName(one)
     y = F.when(F.col("y") < 0, F.col("f.luhn")).otherwise(F.col("y"))
-    cells = spans.groupBy("f", "half").agg(F.sum(y).alias("yes"), F.count("*").alias("n")).collect()
-    cells = sorted((tuple(c["f"]), c["half"], c["yes"], c["n"]) for c in cells)
-
-    def half(which: int):
-        x = np.array([c[0] for c in cells if c[1] == which for _ in (0, 1)], dtype=np.int64)
-        label = np.array([v for c in cells if c[1] == which for v in (1.0, 0.0)])
-        weight = np.array([v for c in cells if c[1] == which for v in (c[2], c[3] - c[2])], dtype=float)
-        return x[weight > 0], label[weight > 0], weight[weight > 0]
-
-    trees = _boost(*half(0))
-    x, label, weight = half(1)
+    cells = spans.groupBy("f", "fold").agg(F.sum(y).alias("yes"), F.count("*").alias("n")).collect()
+    cells = sorted((tuple(c["f"]), c["fold"], c["yes"], c["n"]) for c in cells)
+    x = np.array([c[0] for c in cells for _ in (0, 1)], dtype=np.int64)
+    fold = np.array([c[1] for c in cells for _ in (0, 1)])
+    label = np.array([v for _ in cells for v in (1.0, 0.0)])
+    weight = np.array([v for c in cells for v in (c[2], c[3] - c[2])], dtype=float)
+    x, fold, label, weight = (v[weight > 0] for v in (x, fold, label, weight))
 
     def margin(row, tree):
         while isinstance(tree, tuple):
             tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
         return tree
 
-    z = np.array([sum(margin(row, t) for t in trees) for row in x])
-    thresholds = {}
+    z = np.zeros(len(x))
+    for k in range(FOLDS):
+        seen, held = fold != k, fold == k
+        trees = _boost(x[seen], label[seen], weight[seen])
+        z[held] = [sum(margin(row, t) for t in trees) for row in x[held]]
+    thresholds, recall = {}, {}
     for k, kind in enumerate(GENERATORS):
         thresholds[kind] = math.inf
-        for cut in sorted(set(z[x[:, 0] == k].tolist()), reverse=True):
-            of = (x[:, 0] == k) & (z >= cut)
-            if cut < 0 or (weight[of] * label[of]).sum() < right * weight[of].sum():
-                break
-            thresholds[kind] = cut - 1e-9
-    return SpanModel(trees, thresholds)
+        own = x[:, 0] == k
+        for cut in sorted(set(z[own].tolist()), reverse=True):
+            of = own & (z >= cut)
+            if cut >= 0 and (weight[of] * label[of]).sum() >= right * weight[of].sum():
+                thresholds[kind] = cut - 1e-9
+        true = weight * label * own
+        recall[kind] = float(true[z >= thresholds[kind]].sum() / max(true.sum(), 1e-9))
+    return SpanModel(_boost(x, label, weight), thresholds, recall)
 
 
 def _placed(spans: Column, place: int) -> Column:
@@ -282,36 +349,29 @@ def _placed(spans: Column, place: int) -> Column:
 
 
 def _selected(text: Column, kind: str, generator: int, model: SpanModel) -> Column:
-    """The generator's candidates that overlap no base span and reach its threshold."""
-    free = F.filter(_candidates(text, kind), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    measured = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(text, s, generator).alias("f")))
-    scored = F.transform(measured, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), model.score(s["f"]).alias("score")))
-    return F.filter(scored, lambda s: s["score"] >= model.thresholds[kind])
+    """(start, kind, end) of the generator's candidates that overlap no base span and reach its threshold."""
+    free = _clear_of(_candidates(text, kind), F.col("base"))
+    right = F.filter(free, lambda s: _let(features(s, generator), model.score) >= model.thresholds[kind])
+    return _placed(right, KINDS.index(kind))
 
 
 def _count(spans: Column, place: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == place)).cast("long")
 
 
-def find(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """A row per document: doc_id, base and added, arrays of (start, kind, end), kind by its place in KINDS."""
+def find(docs: DataFrame, model: SpanModel | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: doc_id, base and added, arrays of (start, kind, end), kind by its place in KINDS.
+
+    ``carry``: further columns of ``docs`` to give, under names with two underscores in front.
+    """
     model = model or fit(docs.sparkSession)
     text = F.col("text")
+    carried = [F.col(c).alias(f"__{c}") for c in carry]
     base = base_spans(text)
-    with_base = docs.select("doc_id", text_or_empty().alias("text")).select(
-        "doc_id", "text", F.concat(*[_placed(base[kind], k) for k, kind in enumerate(KINDS[:4])]).alias("base")
-    )
-    proposed = []
-    for k, kind in enumerate(GENERATORS):
-        if model.thresholds[kind] == math.inf:
-            continue
-        proposed.append(_selected(text, kind, k, model))
-    if not proposed:
-        return with_base.select("doc_id", "base", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)").alias("added"))
-    with_all = with_base.select("doc_id", "base", F.concat(*proposed).alias("proposed"))
-    better = lambda o, s: (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["kind"] < s["kind"])))))
-    best = F.filter("proposed", lambda s: ~F.exists(F.col("proposed"), lambda o: better(o, s)))
-    return with_all.select("doc_id", "base", F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("added"))
+    with_base = docs.select("doc_id", text_or_empty().alias("text"), *carried).withColumn("base", F.concat(*[_placed(base[kind], k) for k, kind in enumerate(KINDS[:4])]))
+    proposed = [_selected(text, kind, k, model) for k, kind in enumerate(GENERATORS) if model.thresholds[kind] < math.inf]
+    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
+    return with_base.select("doc_id", "base", F.concat(none, *proposed).alias("added"), *[f"__{c}" for c in carry])
 
 
 def written(spans: Column) -> Column:
@@ -321,20 +381,24 @@ def written(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mask: str = "*", model: SpanModel | None = None) -> DataFrame:
-    """doc_id and text, in which every span is masked, code point by code point.
+    """doc_id and text, in which every span is masked, code point by code point; overlapping spans are masked together."""
+    found_ = find(docs, model, ("text",)).select("doc_id", F.coalesce("__text", F.lit("")).alias("text"), F.array_sort(F.concat("base", "added")).alias("spans"))
 
-    Overlapping spans are masked together: each span starts behind the furthest end so far.
-    """
-    spans = find(docs, model).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "added")).alias("__spans")).dropDuplicates(["__id"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def masked(spans: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+        def pieces(b: Column) -> Column:
+            # What is clear before each span, and the span from where the spans before it end.
+            upto = lambda i: F.when(i > 0, F.get(b["reach"], i - 1)).otherwise(0)
+            clear = lambda s, i: F.array_join(F.slice(b["points"], upto(i) + 1, F.greatest(s["start"] - upto(i), F.lit(0))), "")
+            hidden = lambda s, i: F.repeat(F.lit(mask), F.greatest(s["end"] - F.greatest(s["start"], upto(i)), F.lit(0)))
+            parts = F.transform(spans, lambda s, i: F.concat(clear(s, i), hidden(s, i)))
+            last = F.element_at(b["reach"], -1)
+            return F.concat(F.array_join(parts, ""), F.array_join(F.slice(b["points"], last + 1, F.greatest(F.size(b["points"]) - last, F.lit(0))), ""))
 
-    def step(state: Column, s: Column) -> Column:
-        begin, end = F.greatest(s["start"], state["at"]), F.greatest(s["end"], state["at"])
-        clear = F.substr(F.col("text"), state["at"] + 1, begin - state["at"])
-        return F.struct(end.alias("at"), F.concat(state["out"], clear, F.repeat(F.lit(mask), end - begin)).alias("out"))
+        return _let(F.struct(reach.alias("reach"), F.split("text", "").alias("points")), pieces)
 
-    joined = docs.select("doc_id", text_or_empty().alias("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.select("doc_id", F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1, F.length("text")))).alias("text"))
+    return found_.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(_let(F.col("spans"), masked)).alias("text"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

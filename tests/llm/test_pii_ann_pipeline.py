@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,79 @@ def test_gates_pass_all_that_their_generators_match(spark, docs):
         assert pairs.where("gated != all").count() == 0 and pairs.where("size(all) > 0").count() > 0
 
 
+PIECES = ["12", "345-", "(0)", ". ", "555", "@", " at ", "a.b", "com", " (dot) ", " [AT] ", ":", "::", "fe8", "4111", ".1111", "_", "/", "tel ", "\u00e9", "\U0001f600", "+1", " ", "\n", "x"]
+
+
+def random_texts(n, seed=0):
+    draw = np.random.default_rng(seed)
+    return ["".join(draw.choice(PIECES, draw.integers(0, 60))) for _ in range(n)]
+
+
+def test_candidates_equal_brute_force(spark):
+    """Places, matches and context of each generator's matches, and the gates, on random texts."""
+    texts = random_texts(1500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind, pattern in pii.GENERATORS.items():
+        hits = 0
+        for r in df.select("doc_id", pii._candidates(F.col("text"), kind).alias("c")).collect():
+            t, last, want = texts[r["doc_id"]], 0, []
+            found = list(re.finditer(pattern, t))
+            for k, m in enumerate(found):
+                gap, after = t[last : m.start()], t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)]
+                behind = after[:1] or (found[k + 1][0][:1] if k + 1 < len(found) else "")
+                want.append((m.start(), m.end(), m[0], gap[-pii._LEFT :], t[m.start() - 1 : m.start()] if m.start() else "", behind))
+                last = m.end()
+            assert [tuple(c) for c in r["c"]] == want
+            hits += len(want)
+        assert hits > 20
+
+
+def test_added_spans_equal_brute_force(spark, model):
+    """What is added: candidates that overlap no base span and whose score reaches the threshold."""
+    texts = random_texts(800, 1) + ["tel 212 555 0187, +1 (212) 555-0187 call (212) 555-0188 mail a at b.com"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [] for i in range(len(texts))}
+    for k, kind in enumerate(pii.GENERATORS):
+        one = df.select("doc_id", F.explode(pii._candidates(F.col("text"), kind)).alias("s")).select("doc_id", "s.start", "s.end", model.score(pii.features(F.col("s"), k)).alias("z"))
+        for r in one.collect():
+            clear = not any(r["start"] < e and s < r["end"] for s, _, e in base(texts[r["doc_id"]]))
+            if clear and r["z"] >= model.thresholds[kind]:
+                want[r["doc_id"]].append((r["start"], pii.KINDS.index(kind), r["end"]))
+    got = {r["doc_id"]: sorted(tuple(s) for s in r["added"]) for r in pii.find(df, model).collect()}
+    assert got == {i: sorted(v) for i, v in want.items()} and sum(map(len, want.values())) > 20
+
+
+def test_sweep_equals_all_pairs(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for _ in range(300):
+        spans = [(int(a), int(a + n), "m", "", "", "") for a, n in zip(draw.integers(0, 60, draw.integers(0, 9)), draw.integers(1, 12, 9))]
+        found = [(int(a), 1, int(a + n)) for a, n in zip(draw.integers(0, 60, draw.integers(0, 7)), draw.integers(1, 12, 9))]
+        rows.append((spans, found))
+    df = spark.createDataFrame(rows, f"spans array<{pii._SPAN}>, found array<struct<start:int,kind:int,end:int>>")
+    for r in df.select("*", pii._clear_of(F.col("spans"), F.col("found")).alias("free")).collect():
+        want = [s for s in r["spans"] if not any(b["start"] < s["end"] and s["start"] < b["end"] for b in r["found"])]
+        assert sorted(map(tuple, r["free"])) == sorted(map(tuple, want))
+
+
+def test_many_matches_in_one_text(spark, model):
+    """A text of 50,000 numbers takes seconds: work does not grow with the square of the matches."""
+    text = " ".join(f"call ({100 + i % 900}) 555-{i % 10000:04d} +1 (212) 555-{i % 10000:04d}" for i in range(25_000))
+    began = time.time()
+    (r,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).select(F.size("base").alias("b"), F.size("added").alias("a"), "base", "added").collect()
+    assert time.time() - began < 60
+    want = base(text)
+    assert [tuple(s) for s in sorted(r["base"])] == want and r["a"] >= 25_000 - (r["b"] - 25_000)
+    (masked,) = pii.redacted(spark.createDataFrame([(1, text[:20_000])], "doc_id long, text string"), model=model).collect()
+    assert len(masked["text"]) == 20_000 and not re.search("[0-9]{4}", masked["text"][:-40])
+    assert time.time() - began < 120
+
+
+def test_unseen_templates_are_recalled(spark, model, nothing):
+    assert model.recall["email_alt"] >= 0.9 and model.recall["ip_alt"] >= 0.9 and model.recall["card_alt"] >= 0.8 and model.recall["phone_alt"] >= 0.7
+    assert pii.find(nothing, model).count() == 0 and pii.redacted(nothing, model=model).count() == 0
+
+
 def test_compressed_addresses_are_proposed_and_selected(spark, model):
     whole = ["fe80::1", "2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8:1::", "::ffff:1:2", "1:2:3:4:5:6:7::", "2001:db8:85a3:0:0:8a2e:370:7334"]
     cases = [("ip ", w, " up") for w in whole] + [("host ", "fe80::1", ": up"), ("ip:", "2001:db8::1", ".")]
