@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES, SCORE
+from .groups import per_group
 from .projection import encoded_type, language_code, token_range
 
 #: A frame of the published data is one file, that is one source, language and type.
@@ -23,9 +24,10 @@ def prepared(df: DataFrame, least: int = 4, most: int = 100) -> DataFrame:
 def minmax(df: DataFrame, features: Sequence[str] = FEATURES, group: Sequence[str] = GROUP) -> DataFrame:
     """Each feature scaled to [0, 1] within its group; unchanged where all values are equal.
 
-    The group's extremes are aggregated first and joined, so rows are not shuffled by group.
+    The group's extremes are aggregated first and joined, as a broadcast where groups are few; then
+    rows are not shuffled by group. ``df`` is gone through twice.
     """
-    edges = df.groupBy(*group).agg(*[f(c).alias(f"__{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+    edges = per_group(df.groupBy(*group).agg(*[f(c).alias(f"__{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]))
     keys = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     on = keys[0]
     for k in keys[1:]:

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import SCORE, SEEDS
+from ..sources.shared import Scratch
+from .groups import per_group
 
 
 def draw(key: str, seed: int) -> Column:
@@ -55,18 +57,18 @@ def split(df: DataFrame, strata: Sequence[str], ratio: float = 0.1, least: int =
     return rows.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("__total", "__rank", "__n")
 
 
-def token_bins(df: DataFrame, group: Sequence[str], column: str = "n_tokens") -> DataFrame:
-    """Adds ``bin``: least(greatest(5, n / 10), 10) equally filled bins of each group."""
-    n = df.groupBy(*group).agg(F.count("*").alias("n"))
+def token_bins(df: DataFrame, group: Sequence[str], column: str = "n_tokens", size: str = "n") -> DataFrame:
+    """Adds ``bin``: least(greatest(5, n / 10), 10) equally filled bins of each group; and n as ``size``."""
+    fractions = F.array(*[F.lit(k / d) for d in range(5, 11) for k in range(d + 1)])
+    groups = df.groupBy(*group).agg(F.percentile(F.col(column).cast("double"), fractions).alias("p"), F.count("*").alias("n"))
     bins = F.least(F.greatest(F.lit(5), F.floor(F.col("n") / 10)), F.lit(10)).cast("int")
-    edges = df.join(n, list(group)).groupBy(*group).agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(k / d) for d in range(5, 11) for k in range(d + 1)])).alias("p"), F.first("n").alias("n"))
     start = {d: sum(x + 1 for x in range(5, d)) for d in range(5, 11)}
     picked = F.slice("p", F.element_at(F.create_map(*[F.lit(v) for d in start for v in (d, start[d] + 1)]), bins), bins + 1)
-    edges = edges.select(*group, F.array_distinct(picked).alias("edges"))
+    groups = per_group(groups.select(*group, F.array_distinct(picked).alias("edges"), F.col("n").alias(size)))
     x = F.col(column).cast("double")
     inner = F.filter("edges", lambda e, i: (i > 0) & (e < x))
     top = F.size("edges") - 2
-    return df.join(edges, list(group)).withColumn("bin", F.least(F.size(inner), F.greatest(top, F.lit(0)))).drop("edges")
+    return df.join(groups, list(group)).withColumn("bin", F.least(F.size(inner), F.greatest(top, F.lit(0)))).drop("edges")
 
 
 def quota(table: dict[tuple[str, str], int], default: int, language: str = "language", kind: str = "type") -> Column:
@@ -85,8 +87,7 @@ def token_sample(df: DataFrame, target: int | Column, group: Sequence[str], colu
     target)) rows; what exceeds the target in all is trimmed by a second draw.
     """
     target = F.lit(target) if isinstance(target, int) else target
-    n_group = df.groupBy(*group).agg(F.count("*").alias("__group"))
-    rows = token_bins(df, group, column).join(n_group, list(group))
+    rows = token_bins(df, group, column, "__group")
     rows = drawn(rows, [*group, "bin"], key, seed, "__rank", "__n")
     small = F.col("__group") <= target
     rows = rows.where(small | (F.col("__rank") <= F.greatest(F.lit(1), F.floor(target * 1.0 * F.col("__n") / F.col("__group"))))).drop("__rank", "__n")
@@ -99,15 +100,20 @@ def match_distribution(pool: DataFrame, reference: DataFrame, target: int, colum
 
     The reference's deciles (fewer if it has under 200 rows) are the bins; each bin gives
     greatest(1, floor(share of target)) rows, then the rest is drawn from what is left, or the
-    excess trimmed. A pool smaller than the target stays whole.
+    excess trimmed. A pool smaller than the target stays whole. Both are gone through several times,
+    so they are written once.
     """
-    n_pool, n_ref = pool.count(), reference.count()
-    if n_pool < target:
+    scratch = Scratch(pool.sparkSession, "match")
+    pool, reference = scratch.keep(pool, "pool"), scratch.keep(reference.select(F.col(column).cast("double").alias(column)), "reference")
+    if pool.count() < target:
         return pool
+    fractions = [k / d for d in range(2, 11) for k in range(d + 1)]  # of every number of bins there may be
+    n_ref, points = reference.agg(F.count("*"), F.percentile(column, fractions)).first()
     bins = min(10, n_ref // 20)
     if bins < 2:
         return token_sample(pool.withColumn("__all", F.lit(1)), target, ["__all"], key=key, seed=seed).drop("__all")
-    edges = sorted(set(reference.agg(F.percentile(F.col(column).cast("double"), [k / bins for k in range(bins + 1)])).first()[0]))[1:-1]
+    first = sum(d + 1 for d in range(2, bins))
+    edges = sorted(set(points[first : first + bins + 1]))[1:-1]
     place = sum(((F.col(column) >= e).cast("int") for e in edges), F.lit(0))
     share = reference.groupBy(place.alias("bin")).agg((F.count("*") / F.lit(float(n_ref))).alias("share"))
     rows = drawn(pool.withColumn("bin", place), ["bin"], key, seed, "__rank", "__n").join(F.broadcast(share), "bin", "left")  # at most ten bins

@@ -6,10 +6,15 @@ scaled to unit length. The vocabulary is fitted on the training split and applie
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, ship
+
 #: What the published feature sets were made with.
 MAX_FEATURES, MIN_DF, MAX_DF = 32000, 3, 0.95
 
@@ -21,24 +26,26 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, least: int = 1, most: int = 2) -> Column:
     """All runs of ``least`` to ``most`` words, joined by a space."""
-    parts = []
-    for n in range(least, most + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        parts.append(F.transform(starts, _joined(words, n)))
+    runs, parts = words, []
+    for n in range(1, most + 1):
+        if n > 1:  # each run of n - 1 words that another word follows, and that word
+            left = F.slice(runs, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+            runs = F.zip_with(left, F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= least:
+            parts.append(runs)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _joined(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
-
-
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, tokenizer=tokens) -> DataFrame:
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, tokenizer=tokens, parts: int | None = None) -> DataFrame:
     """(doc_id, term, tf). ``tokenizer`` maps a text column to an array of tokens.
 
-    Texts are dealt out by key before they are taken apart: that moves each text once instead of
-    all its n-grams, and the counts, and later the norms, of a document need no further shuffle.
+    Texts are dealt out by key (into ``parts`` partitions) before they are taken apart: that moves each
+    text once instead of all its n-grams, and the counts, and later the norms, of a document need no
+    further shuffle.
     """
-    words = docs.select(key, text).repartition(key).select(key, tokenizer(F.col(text)).alias("w"))
+    ship(docs.sparkSession)  # a tokenizer may run in Python
+    placed = docs.select(key, text).repartition(key) if parts is None else docs.select(key, text).repartition(parts, key)
+    words = placed.select(key, tokenizer(F.col(text)).alias("w"))
     return words.select(key, F.explode(ngrams(F.col("w"), 1, most)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -144,17 +151,51 @@ class Tfidf:
         self.max_features, self.min_df, self.max_df, self.most, self.tokenizer = max_features, min_df, max_df, most, tokenizer
         self.vocabulary: DataFrame | None = None
 
-    def counts(self, docs: DataFrame) -> DataFrame:
-        return term_counts(docs, most=self.most, tokenizer=self.tokenizer)
+    def counts(self, docs: DataFrame, keep: bool = False) -> DataFrame:
+        """With ``keep``, texts are taken apart once, and their counts written in buckets by document."""
+        if not keep:
+            return term_counts(docs, most=self.most, tokenizer=self.tokenizer)
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Scratch(docs.sparkSession, "tfidf").keep_by(term_counts(docs, most=self.most, tokenizer=self.tokenizer, parts=parts), "counts", "doc_id", parts)
 
-    def fit(self, docs: DataFrame) -> Tfidf:
-        self.vocabulary = fit(self.counts(docs), docs.count(), self.max_features, self.min_df, self.max_df)
+    def fit(self, docs: DataFrame, counts: DataFrame | None = None) -> Tfidf:
+        """``counts``: those of ``docs``, where they are at hand."""
+        self.vocabulary = fit(self.counts(docs) if counts is None else counts, docs.count(), self.max_features, self.min_df, self.max_df)
         return self
 
-    def transform(self, docs: DataFrame) -> DataFrame:
+    def transform(self, docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         if self.vocabulary is None:
             raise ValueError("fit first")
-        return transform(self.counts(docs), self.vocabulary)
+        return transform(self.counts(docs) if counts is None else counts, self.vocabulary)
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
-        return self.fit(docs).transform(docs)
+        counts = self.counts(docs, keep=True)
+        return self.fit(docs, counts).transform(docs, counts)
+
+
+def subwords(path: str):
+    """A tokenizer of ``Tfidf`` from a vocabulary file: the subword strings of each text, as an array.
+
+    ``path``: a .model file of the sentencepiece library, or a .json file of the tokenizers library.
+    Null texts have none. Texts go through Arrow in batches; a worker loads the file once.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series(_load(path)([t or "" for t in texts]), dtype=object)
+
+    return cut
+
+
+@lru_cache(maxsize=2)
+def _load(path: str):
+    """A function from texts to their subword strings."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        pieces = SentencePieceProcessor(model_file=path)
+        return lambda texts: pieces.encode(texts, out_type=str)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda texts: [e.tokens for e in tokenizer.encode_batch(texts, add_special_tokens=False)]

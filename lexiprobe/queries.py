@@ -53,12 +53,12 @@ def _train(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id % 10 < 7")
 
 
-def _features(spark: SparkSession, sf: str):
-    """(documents, counts, vocabulary) fitted on seven tenths of the documents."""
+def _features(spark: SparkSession, sf: str, keep: bool = True):
+    """(documents, counts, vocabulary) fitted on seven tenths of the documents; counts used once needn't be kept."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
-    counts = tfidf.term_counts(docs)
-    vocabulary = tfidf.fit(_train(counts), _train(docs).count(), MAX_FEATURES, MIN_DF)
-    return docs, counts, vocabulary
+    model = tfidf.Tfidf(MAX_FEATURES, MIN_DF)
+    counts = model.counts(docs, keep)
+    return docs, counts, model.fit(_train(docs), _train(counts)).vocabulary
 
 
 _TERMS = f"""
@@ -88,7 +88,7 @@ def tfidf_top_terms_by_lang(spark, sf):
 
 @query("tfidf_vocab", f"WITH {_TERMS} SELECT term, term_id, df, round_even(idf, 6) AS idf FROM vocab")
 def tfidf_vocab(spark, sf):
-    return r6(_features(spark, sf)[2], "idf")
+    return r6(_features(spark, sf, keep=False)[2], "idf")
 
 
 @query("tfidf_weights", f"WITH {_TERMS} SELECT doc_id, count(*) AS terms, round_even(sum(tfidf), 6) AS l1, round_even(max(tfidf), 6) AS largest FROM vectors GROUP BY doc_id")
@@ -97,6 +97,16 @@ def tfidf_weights(spark, sf):
     return r6(tfidf.transform(counts, vocabulary).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tfidf").alias("l1"), F.max("tfidf").alias("largest")), "l1", "largest")
 
 
+@query("tfidf_subword_terms")
+def tfidf_subword_terms(spark, sf):
+    """The vocabulary over subwords and pairs of them, as the published feature sets have it."""
+    import public_tokenizers
+
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = tfidf.Tfidf(MAX_FEATURES, MIN_DF, tokenizer=tfidf.subwords(public_tokenizers.path("piece_bpe_32k.model")))
+    return r6(model.fit(_train(docs)).vocabulary, "idf")
+
+
 @query("tfidf_doc_stats", f"""WITH {_TERMS}, per AS (SELECT d.doc_id, count(v.term) AS nnz FROM documents d LEFT JOIN vectors v USING (doc_id) GROUP BY d.doc_id), k AS (SELECT count(*) AS k FROM vocab)
 SELECT count(*) AS n_samples, CAST(sum(nnz) AS BIGINT) AS nnz, round_even(avg(nnz), 9) AS mean_nnz, min(nnz) AS min_nnz, max(nnz) AS max_nnz, quantile_cont(nnz, 0.5) AS median_nnz, any_value(k) AS n_features,
 round_even(1 - sum(nnz) / (count(*) * any_value(k)), 9) AS sparsity, round_even(sum(nnz) / (count(*) * any_value(k)), 9) AS density FROM per, k""")
@@ -111,7 +121,7 @@ def tfidf_doc_stats(spark, sf):
 
 @query("tfidf_df_top20", f"WITH {_TERMS} SELECT term, df FROM vocab ORDER BY df DESC, term LIMIT 20")
 def tfidf_df_top20(spark, sf):
-    return tfidf.top_by_document_frequency(_features(spark, sf)[2])
+    return tfidf.top_by_document_frequency(_features(spark, sf, keep=False)[2])
 
 
 @query("tfidf_top_of_documents", f"""WITH {_TERMS}, f AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3),
@@ -137,23 +147,23 @@ def tfidf_split_stats(spark, sf):
 
 @query("vocab_lengths", f"WITH {_TERMS} SELECT count(*) AS terms, round_even(avg(length(term)), 6) AS avg_length, min(length(term)) AS min_length, max(length(term)) AS max_length FROM vocab")
 def vocab_lengths(spark, sf):
-    return r6(tfidf.vocabulary_lengths(_features(spark, sf)[2]), "avg_length")
+    return r6(tfidf.vocabulary_lengths(_features(spark, sf, keep=False)[2]), "avg_length")
 
 
 @query("vocab_first_char", f"WITH {_TERMS} SELECT substr(term, 1, 1) AS first, count(*) AS terms FROM vocab GROUP BY 1 ORDER BY terms DESC, first LIMIT 10")
 def vocab_first_char(spark, sf):
-    return tfidf.first_characters(_features(spark, sf)[2])
+    return tfidf.first_characters(_features(spark, sf, keep=False)[2])
 
 
 @query("vocab_length_hist", f"""WITH {_TERMS}, o AS (SELECT length(term) AS length, term, row_number() OVER (PARTITION BY length(term) ORDER BY term) AS pos FROM vocab)
 SELECT length, count(*) AS terms, string_agg(CASE WHEN pos <= 3 THEN term END, '|' ORDER BY term) AS samples FROM o GROUP BY length ORDER BY length LIMIT 15""")
 def vocab_length_hist(spark, sf):
-    return tfidf.length_histogram(_features(spark, sf)[2])
+    return tfidf.length_histogram(_features(spark, sf, keep=False)[2])
 
 
 @query("vocab_ngram_orders", f"WITH {_TERMS} SELECT len(string_split(term, ' ')) AS words, count(*) AS terms FROM vocab GROUP BY 1")
 def vocab_ngram_orders(spark, sf):
-    return tfidf.ngram_orders(_features(spark, sf)[2])
+    return tfidf.ngram_orders(_features(spark, sf, keep=False)[2])
 
 
 _PREFIXES = ["th", "un", "re", "zzz"]
@@ -161,7 +171,7 @@ _PREFIXES = ["th", "un", "re", "zzz"]
 
 @query("vocab_prefixes", f"WITH {_TERMS}, p AS (SELECT unnest({_list(_PREFIXES)}) AS prefix) SELECT prefix, count(term) AS terms FROM p LEFT JOIN vocab ON starts_with(term, prefix) GROUP BY prefix")
 def vocab_prefixes(spark, sf):
-    return tfidf.prefix_counts(_features(spark, sf)[2], _PREFIXES)
+    return tfidf.prefix_counts(_features(spark, sf, keep=False)[2], _PREFIXES)
 
 
 _MARKERS = ["the", "of", "no such term"]
@@ -169,7 +179,7 @@ _MARKERS = ["the", "of", "no such term"]
 
 @query("vocab_markers", f"WITH {_TERMS}, m AS (SELECT unnest({_list(_MARKERS)}) AS term) SELECT term, term_id, df FROM m LEFT JOIN vocab USING (term)")
 def vocab_markers(spark, sf):
-    return tfidf.marker_lookup(_features(spark, sf)[2], _MARKERS)
+    return tfidf.marker_lookup(_features(spark, sf, keep=False)[2], _MARKERS)
 
 
 # --- Complexity rows: F1-F9, N1-N6, P1-P6, J4-J8 ------------------------------------------------
@@ -207,17 +217,22 @@ _SCORED = f"scored AS (SELECT *, {_SUM} AS {SCORE} FROM scaled), rounded AS (SEL
 _PIPE = f"{_RAW}, {_KEPT}, {_SCALED}, {_SCORED}"
 
 
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """``raw_rows`` written once: what follows goes through them several times, and their texts need not be taken apart again."""
+    return Scratch(spark, "measured").keep(raw_rows(spark, sf), "rows")
+
+
 def _kept(spark, sf):
-    return projection.token_range(raw_rows(spark, sf), LEAST, MOST)
+    return projection.token_range(measured(spark, sf), LEAST, MOST)
 
 
 def _rounded(spark, sf):
-    return datasets.scored_rows(raw_rows(spark, sf), LEAST, MOST)
+    return datasets.scored_rows(measured(spark, sf), LEAST, MOST)
 
 
 @query("token_filter", f"WITH {_RAW}, {_KEPT} SELECT source, language, type, count(*) AS n, min(n_tokens) AS least, max(n_tokens) AS most FROM kept GROUP BY ALL")
 def token_filter(spark, sf):
-    return _kept(spark, sf).groupBy("source", "language", "type").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
+    return projection.token_range(raw_rows(spark, sf), LEAST, MOST).groupBy("source", "language", "type").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
 
 
 @query("minmax_by_group", f"WITH {_RAW}, {_KEPT}, {_SCALED} SELECT doc_id, " + ", ".join(f"round_even({f}, 6) AS {f}" for f in FEATURES) + " FROM scaled")

@@ -45,6 +45,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def keep_by(self, df: DataFrame, table: str, key: str, parts: int) -> DataFrame:
+        """Like ``keep``, in ``parts`` buckets by ``key``: what then goes by that key needs no exchange.
+
+        ``df`` should be hash partitioned by it into as many parts, else each task writes to many buckets.
+        """
+        name = f"kept_{uuid.uuid4().hex}"
+        df.write.bucketBy(parts, key).sortBy(key).format("parquet").option("path", f"{self.path}/{table}").saveAsTable(name)
+        kept = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files are not the catalog's own
+        return kept
+
     def drop(self, *tables: str) -> None:
         jvm = self.spark._jvm
         for table in tables:

@@ -2,9 +2,12 @@ import math
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexiprobe.operators import checks, grid, metrics, models, normalize, projection, results, sampling, tfidf
 from lexiprobe.schemas import FEATURES, SCORE, dataset_configs
@@ -32,6 +35,31 @@ def test_tfidf_by_hand(spark):
         tfidf.Tfidf().transform(df)
 
 
+@pytest.mark.parametrize("file", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tfidf_over_subwords(spark, file):
+    """Subword strings and their pairs, counted by the vocabulary's own library."""
+    path = public_tokenizers.path(file)
+    docs = [(0, "Is Lima the capital of Peru?"), (1, "Mik\u00e4 on Perun p\u00e4\u00e4kaupunki?"), (2, None), (3, ""), (4, "\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\uff1f Lima Lima")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = sentencepiece.SentencePieceProcessor(model_file=path).encode_as_pieces if file.endswith(".model") else lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).tokens
+    want = Counter()
+    for i, t in docs:
+        w = list(cut(t or ""))
+        want.update((i, x) for x in w + [f"{x} {y}" for x, y in zip(w, w[1:])])
+    model = tfidf.Tfidf(min_df=1, max_df=1.0, tokenizer=tfidf.subwords(path))
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in model.counts(df).collect()} == want
+    assert {(r["doc_id"], r["term"]) for r in model.fit_transform(df).collect()} == set(want)
+
+
+def test_ngrams_of_any_order(spark):
+    texts = ["", "a", "a b", "a b c d e"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tfidf.tokens(F.col("t")).alias("w"))
+    for least, most in ((1, 1), (1, 2), (2, 2), (2, 3), (1, 4)):
+        for r in df.select("t", tfidf.ngrams(F.col("w"), least, most).alias("g")).collect():
+            w = r["t"].split()
+            assert r["g"] == [" ".join(w[k : k + n]) for n in range(least, most + 1) for k in range(len(w) - n + 1)]
+
+
 def test_ridge_is_the_closed_form(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(60, 5)), rng.normal(size=60)

@@ -5,15 +5,36 @@ import re
 import pytest
 
 from lexiprobe import queries as q
+from lexiprobe.operators import groups
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_terms_of_a_document_stay_where_its_text_was_sent(spark, sf):
+@pytest.fixture
+def large(spark):
+    """Plans as for tables of which Spark broadcasts nothing by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_counts_of_a_document_stay_where_they_were_written(spark, sf, large):
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", plan(q.tfidf_weights(spark, sf)))
-    assert sorted(exchanges) == ["doc_id", "doc_id", "term"]  # texts to fit, texts to transform, terms
+    assert exchanges == ["term"]  # terms to fit; the texts moved once before
+
+
+@pytest.mark.parametrize("name", ["minmax_by_group", "complexity_score", "ablation_scores"])
+def test_rows_are_not_moved_for_what_their_group_has(spark, sf, large, name):
+    got = plan(q.QUERIES[name](spark, sf))
+    assert "SortMergeJoin" not in got and "ShuffledHashJoin" not in got and "Exchange hashpartitioning" not in got
+
+
+def test_many_groups_are_not_broadcast(spark, large):
+    table = spark.range(50)
+    assert "broadcast" in plan(table.join(groups.per_group(table), "id")).lower()
+    assert "broadcast" not in plan(table.join(groups.per_group(table, 49), "id")).lower()
 
 
 @pytest.mark.parametrize("name", ["tfidf_weights", "qa_process", "minmax_by_group", "classification_metrics", "main_vs_control", "experiment_grid", "best_per_language_task"])
