@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import Scratch, read, shared_dir, ship
+from ..sources import shared
+from ..sources.shared import Scratch, read, shared_dir
 
 __all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "claim", "fold", "read", "rows_kept", "shared_dir", "ship", "text_or_empty"]
 
@@ -17,6 +18,21 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows with whole texts that go to a Python worker at a time, where the session has not said otherwise.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, and keeps batches of whole texts small on both sides.
+
+    The session's default of 10,000 rows a batch is for narrow rows; another number is left as it is.
+    """
+    shared.ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

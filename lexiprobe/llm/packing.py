@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Scratch, read
+from .common import Scratch, read, ship
 from .tokens import batches, encoder
 
 #: Partitions whose leftovers are merged in one task.
@@ -136,6 +136,7 @@ def pack(
         out.take([w[1] for w in packer.open])
         return out.batch().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
+    ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     placed = scratch.keep(docs.select("doc_id", "text").mapInArrow(partition, _SCHEMA), "placed")
     groups = placed.where("left_of is not null").selectExpr("*", f"left_of div {MERGED} as merged")

@@ -25,10 +25,10 @@ def _module(name: str):
 
 def queries() -> dict:
     out = {query: getattr(_module(module), query) for query, module, _ in _QUERIES}
-    return out | {"pipeline": importlib.import_module("corpus_pipeline").run}
+    return out | {"pipeline": _module("pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {query: getattr(_module(module), sql) for query, module, sql in _QUERIES if sql}
-    pipeline = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    pipeline = _module("pipeline").ORACLE_SQL
     return out | ({"pipeline": pipeline} if pipeline else {})

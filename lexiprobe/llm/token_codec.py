@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, ship
 from .tokens import batches, encoder
 
 STEPS, LANES = 512, 4096
@@ -332,6 +332,7 @@ def runs(rows: Iterator[pa.RecordBatch], encode, end_id: int, most: int = STEPS
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
     """Writes the token ids of ``docs`` to ``path`` in ascending doc_id order."""
+    ship(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ _STOP = re.compile(r"[.,](?<![^\W_].)", re.DOTALL)
 #: Words of letters that are normal forms and have lower cases of one letter each.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: Pieces (and ids in them) remembered at most; it bounds memory and changes no result.
-_MOST, _MOST_IDS = 1_200_000, 12_000_000
+_MOST, _MOST_IDS = 400_000, 4_000_000
 #: Characters of the longest piece that is remembered.
 _LONG = 48
 _open: dict[str, "Encoder"] = {}
@@ -88,7 +88,7 @@ class Encoder:
 
     def _stripped(self, path: str) -> None:
         """The same model behind white space alone, if the file's other steps are those that words need not take."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -97,8 +97,7 @@ class Encoder:
         self.words = None
         if parts["model"]["type"] == "BPE" and steps in ([], ["NFC", "Replace", "Lowercase"]) and "ByteLevel" in json.dumps(splits):
             self.lower = bool(steps)
-            self.words = Tokenizer.from_file(path)
-            self.words.normalizer = normalizers.Sequence([])
+            self.words = Tokenizer(self.tokenizer.model)  # shared, not loaded again
             self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _forget(self) -> None:
@@ -218,7 +217,7 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
-def batches(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Slices (from, to) of about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = size = 0
