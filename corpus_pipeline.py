@@ -1,59 +1,7 @@
-"""A corpus pipeline of five stages: toxicity, exact copies, near copies, mixing, packing.
-
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``. ``run`` applies them to the table of a folder.
-"""
+"""The corpus pipeline of five stages; it lives in ``lexiprobe.llm.pipeline``."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from lexiprobe.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from lexiprobe.llm.common import Scratch, read
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; it learns from the folder's labels."""
-    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of smallest doc_id stays."""
-    return exact_dedup.keep_distinct(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles (similarity 0.8 or more) one document stays."""
-    return near_dedup.keep_first(docs, width=5)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources meet their target weights."""
-    return mixing.repeated(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of the packed sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: Trained scores, sketches and token ids have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
+from lexiprobe.llm.pipeline import ORACLE_SQL, STAGES, drop_copies, drop_near_copies, drop_toxic, mix_sources, pack_sequences, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next one's input."""
-    docs = read(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "drop_copies", "drop_near_copies", "drop_toxic", "mix_sources", "pack_sequences", "run"]
