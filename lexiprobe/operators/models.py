@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.feature import Interaction, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import ship
 from . import metrics
 from .grid import parameters
+from .probes import mlp, probes  # noqa: F401 (among the models)
 
 #: Spark's trees end at this depth; "no limit" means that.
 DEEPEST = 30
@@ -64,35 +64,45 @@ class PenalisedLogistic:
     negated together with its label: the loss is the same, and the column is not constant.
     """
 
-    def __init__(self, c: float = 1.0, max_iter: int = 1000):
-        self.c, self.max_iter = c, max_iter
+    def __init__(self, c: float = 1.0, max_iter: int = 1000, model: LogisticRegressionModel | None = None):
+        self.c, self.max_iter, self.model = c, max_iter, model
+
+    @staticmethod
+    def _with_one(rows: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=["features", "__one"], outputCol="__with_one").transform(rows.withColumn("__one", F.lit(1.0)))
 
     def fit(self, rows: DataFrame) -> PenalisedLogistic:
-        """``rows``: features (vector), label (0 / 1), doc_id (its parity chooses the rows to negate)."""
+        """``rows``: features (vector), label (0 / 1), doc_id (its hash chooses the rows to negate)."""
         n = rows.count()
-
-        @F.udf(VectorUDT())
-        def turned(v, negate):
-            sign = -1.0 if negate else 1.0
-            a = v.toArray()
-            return Vectors.dense(np.append(a, 1.0) * sign) if not hasattr(v, "indices") else Vectors.sparse(len(a) + 1, [*map(int, v.indices), len(a)], [*(v.values * sign), sign])
-
         odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-        data = rows.select(turned("features", odd).alias("features"), F.when(odd, 1.0 - F.col("label")).otherwise(F.col("label")).cast("double").alias("label"))
-        model = LogisticRegression(regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=self.max_iter, tol=1e-10).fit(data)
-        w = model.coefficients.toArray()
-        self.coefficients, self.intercept = w[:-1], float(w[-1])
+        signed = self._with_one(rows).withColumn("__sign", F.when(odd, -1.0).otherwise(1.0)).withColumn("__label", F.when(odd, 1.0 - F.col("label")).otherwise(F.col("label")).cast("double"))
+        data = Interaction(inputCols=["__sign", "__with_one"], outputCol="__signed").transform(signed).select("__signed", "__label")
+        learner = LogisticRegression(
+            featuresCol="__signed", labelCol="__label", regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=self.max_iter, tol=1e-8
+        )
+        self.model = learner.fit(data)
         return self
 
+    @property
+    def coefficients(self) -> np.ndarray:
+        return self.model.coefficients.toArray()[:-1]
+
+    @property
+    def intercept(self) -> float:
+        return float(self.model.coefficients.toArray()[-1])
+
     def transform(self, rows: DataFrame) -> DataFrame:
-        w, b = self.coefficients, self.intercept
+        """Adds probability (of label 1) and prediction."""
+        model = self.model.copy().setFeaturesCol("__with_one").setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("")
+        out = model.transform(self._with_one(rows)).withColumn("probability", vector_to_array("__p")[1])
+        return out.withColumn("prediction", (F.col("probability") > 0.5).cast("double")).drop("__one", "__with_one", "__p")
 
-        @F.udf("double")
-        def margin(v):
-            return float(v.dot(w) + b)
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
 
-        p = 1.0 / (1.0 + F.exp(-margin("features")))
-        return rows.withColumn("probability", p).withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+    @classmethod
+    def load(cls, path: str) -> PenalisedLogistic:
+        return cls(model=LogisticRegressionModel.load(path))
 
 
 def ridge(rows: DataFrame, alpha: float = 1.0):
@@ -116,7 +126,7 @@ def estimator(model: str, task_type: str, params: dict | None = None, seed: int
     p = parameters(model, task_type) | (params or {})
     classify = task_type == "classification"
     if model == "dummy":
-        return lambda rows: _Dummy(rows, classify)
+        return lambda rows: Dummy.fit(rows, classify)
     if model == "logistic":
         return lambda rows: PenalisedLogistic(p["C"], p["max_iter"]).fit(rows)
     if model == "ridge":
@@ -125,15 +135,44 @@ def estimator(model: str, task_type: str, params: dict | None = None, seed: int
         kind = RandomForestClassifier if classify else RandomForestRegressor
         return lambda rows: kind(numTrees=p["n_estimators"], maxDepth=min(DEEPEST, p.get("max_depth") or DEEPEST), seed=seed).fit(rows)
     kind = GBTClassifier if classify else GBTRegressor
-    return lambda rows: kind(maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], subsamplingRate=p["subsample"], seed=seed).fit(rows)
+    return lambda rows: kind(
+        maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample_bytree"]), seed=seed
+    ).fit(rows)
+
+
+def unhonoured(model: str, task_type: str, params: dict | None = None) -> dict:
+    """The parameters that this engine's models don't have, as asked for: result documents record them.
+
+    Boosted trees here have no leaf penalty, and sample columns by node instead of by tree.
+    """
+    asked = parameters(model, task_type) | (params or {})
+    known = {
+        "dummy": {"strategy"}, "logistic": {"C", "max_iter", "penalty"}, "ridge": {"alpha"}, "random_forest": {"n_estimators", "max_depth"},
+        "xgboost": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree"},
+    }
+    return {k: v for k, v in asked.items() if k not in known[model]}
 
 
-class _Dummy:
-    def __init__(self, train: DataFrame, classify: bool):
-        self.train, self.classify = train.select("label"), classify
+class Dummy:
+    """The most frequent training label, or the mean one; its state is that one number."""
+
+    def __init__(self, prediction: DataFrame):
+        self.prediction = prediction
+
+    @classmethod
+    def fit(cls, train: DataFrame, classify: bool) -> Dummy:
+        one = train.sparkSession.range(1).select()
+        return cls((dummy_classifier if classify else dummy_regressor)(train.select("label"), one))
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        return (dummy_classifier if self.classify else dummy_regressor)(self.train, rows)
+        return rows.crossJoin(F.broadcast(self.prediction))  # one row
+
+    def save(self, path: str) -> None:
+        self.prediction.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dummy:
+        return cls(spark.read.parquet(path))
 
 
 def importances(model) -> np.ndarray | None:
@@ -156,7 +195,7 @@ def experiment(model: str, task_type: str, parts: dict[str, DataFrame], params:
     began = time.perf_counter()
     fitted = estimator(model, task_type, params)(parts["train"])
     took = time.perf_counter() - began
-    out = {"status": "completed", "error": None, "model_type": type(fitted).__name__, "task_type": task_type, "train_time": took, "config": config or {}}
+    out = {"status": "completed", "error": None, "model_type": type(fitted).__name__, "task_type": task_type, "train_time": took, "config": (config or {}) | ({"unhonoured": left} if (left := unhonoured(model, task_type, params)) else {})}
     primary = "accuracy" if task_type == "classification" else "mse"
     for name, rows in parts.items():
         m = evaluate(fitted, rows, task_type)
@@ -191,124 +230,6 @@ def pooled(hidden: DataFrame, how: str = "mean", layer: int | None = None, layer
     return rows.select("doc_id", "layer", F.transform(total, lambda x: x / n).alias("embedding"))
 
 
-def mlp(x: np.ndarray, y: np.ndarray, classes: int, hidden: Sequence[int] = (64,), epochs: int = 60, lr: float = 3e-3, batch: int = 32, activation: str = "relu", dropout: float = 0.0, patience: int = 10, accumulate: int = 1, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """A small network trained with AdamW, a cosine rate, gradient accumulation, early stopping on a
-    tenth of the rows and the best state restored. ``classes`` 0: regression on standardised labels.
-
-    Returns a function from rows to class probabilities or values.
-    """
-    acts = {
-        "relu": (lambda z: np.maximum(z, 0), lambda z: (z > 0).astype(float)), "tanh": (np.tanh, lambda z: 1 - np.tanh(z) ** 2), "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z: (s := 1 / (1 + np.exp(-z))) * (1 - s)),
-        "leaky_relu": (lambda z: np.where(z > 0, z, 0.01 * z), lambda z: np.where(z > 0, 1.0, 0.01)), "silu": (lambda z: z / (1 + np.exp(-z)), lambda z: (s := 1 / (1 + np.exp(-z))) * (1 + z * (1 - s))),
-        "softplus": (lambda z: np.logaddexp(0, z), lambda z: 1 / (1 + np.exp(-z))),
-    }
-    act, slope = acts[activation]
-    draw = np.random.default_rng(seed)
-    mean, std = x.mean(0), np.maximum(x.std(0), 1e-8)
-    shift, scale = (0.0, 1.0) if classes else (float(y.mean()), float(max(y.std(), 1e-8)))
-    x = (x - mean) / std
-    goal = np.eye(classes)[y.astype(int)] if classes else ((y - shift) / scale)[:, None]
-    order = draw.permutation(len(x))
-    held, train = order[: max(1, len(x) // 10)], order[max(1, len(x) // 10) :]
-    if not len(train):
-        train = held
-    sizes = [x.shape[1], *hidden, goal.shape[1]]
-    w = [draw.normal(0, math.sqrt(2 / (a + b)), (a, b)) for a, b in zip(sizes, sizes[1:])]
-    b = [np.zeros(k) for k in sizes[1:]]
-
-    def forward(rows, drop=False):
-        zs, hs = [], [rows]
-        for k in range(len(w)):
-            z = hs[-1] @ w[k] + b[k]
-            zs.append(z)
-            h = act(z) if k < len(w) - 1 else z
-            if drop and dropout and k < len(w) - 1:
-                h = h * (draw.random(h.shape) >= dropout) / (1 - dropout)
-            hs.append(h)
-        out = hs[-1]
-        if classes:
-            e = np.exp(out - out.max(1, keepdims=True))
-            out = e / e.sum(1, keepdims=True)
-        return out, zs, hs
-
-    def loss(rows):
-        p = forward(x[rows])[0]
-        return float(-np.log(np.maximum((p * goal[rows]).sum(1), 1e-12)).mean()) if classes else float(((p - goal[rows]) ** 2).mean())
-
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (*w, *b)]
-    best, kept, waited, step = math.inf, None, 0, 0
-    for epoch in range(epochs):
-        rate = lr * 0.5 * (1 + math.cos(math.pi * epoch / epochs))
-        sums, seen = [np.zeros_like(p) for p in (*w, *b)], 0
-        for at in range(0, len(train), batch):
-            rows = train[at : at + batch]
-            p, zs, hs = forward(x[rows], drop=True)
-            d = (p - goal[rows]) / len(rows)
-            for k in range(len(w) - 1, -1, -1):
-                sums[k] += hs[k].T @ d
-                sums[len(w) + k] += d.sum(0)
-                if k:
-                    d = (d @ w[k].T) * slope(zs[k - 1])
-            seen += 1
-            if seen % accumulate and at + batch < len(train):
-                continue
-            step += 1
-            for i, p_i in enumerate((*w, *b)):
-                g = sums[i] / accumulate
-                m, v = state[i]
-                m[...] = 0.9 * m + 0.1 * g
-                v[...] = 0.999 * v + 0.001 * g * g
-                p_i -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + 0.01 * p_i * (i < len(w)))
-                sums[i][...] = 0
-        draw.shuffle(train)
-        now = loss(held)
-        if now < best - 1e-6:
-            best, kept, waited = now, [p_i.copy() for p_i in (*w, *b)], 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    if kept is not None:
-        w, b = kept[: len(w)], kept[len(w) :]
-    return lambda rows: forward((rows - mean) / std)[0] if classes else forward((rows - mean) / std)[0][:, 0] * scale + shift
-
-
-def probes(rows: DataFrame, by: Sequence[str], classes: int, kind: str = "mlp", train: str = "train", most_rows: int = 20_000, **how) -> DataFrame:
-    """One probe per group (a language, a layer): (by, doc_id, label, prediction, error).
-
-    ``rows``: by, doc_id, split, label, embedding. A group is one probe and fits on at most
-    ``most_rows`` training rows, the first by hashed id; all rows of other splits are predicted.
-    Failures stay in their group and are reported in ``error``.
-    """
-    ship(rows.sparkSession)
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    groups = rows.withColumn("__h", hashed)
-    names = list(by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf[pdf["split"] != train]
-        out = test[[*names, "doc_id", "label"]].copy()
-        out["label"] = out["label"].astype(float)
-        try:
-            fit = pdf[pdf["split"] == train].sort_values(["__h", "doc_id"]).head(most_rows)
-            if not len(fit):
-                raise ValueError("no training rows")
-            x, y = np.stack(fit["embedding"].to_numpy()).astype(float), fit["label"].to_numpy(float)
-            f = mlp(x, y, classes, hidden=() if kind == "linear" else how.get("hidden", (64,)), **{k: v for k, v in how.items() if k != "hidden"})
-            p = f(np.stack(test["embedding"].to_numpy()).astype(float)) if len(test) else np.zeros((0, max(classes, 1)))
-            out["prediction"] = p.argmax(1).astype(float) if classes else p.reshape(-1)
-            out["error"] = None
-        except Exception as e:  # the group's failure is its result
-            out = pdf[[*names, "doc_id", "label"]].head(1).copy()
-            out["label"] = out["label"].astype(float)
-            out["prediction"], out["error"] = math.nan, f"{type(e).__name__}: {e}"
-        return out
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), f"doc_id {kinds['doc_id']}", "label double", "prediction double", "error string"])
-    return groups.groupBy(*names).applyInPandas(run, schema)
-
-
 def transfer(rows: DataFrame, source: str, target: str, model: str, task_type: str, column: str = "language") -> dict[str, float]:
     """Fits on one language's rows and evaluates on another's."""
     fitted = estimator(model, task_type)(rows.where(F.col(column) == source))

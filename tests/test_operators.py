@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiprobe.operators import checks, grid, metrics, models, normalize, projection, results, sampling, tfidf
+from lexiprobe.operators import checks, grid, metrics, models, normalize, probes, projection, results, sampling, tfidf
 from lexiprobe.schemas import FEATURES, SCORE, dataset_configs
 
 
@@ -187,6 +187,79 @@ def test_probes_report_failures(spark):
     assert "no training rows" in got[0]["error"] and got[1]["error"] is None
 
 
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"activation": a} for a in ("relu", "gelu", "tanh", "sigmoid", "silu", "swish", "leaky_relu", "softplus", "no such name")
+    ]
+    + [{"normalization": n, "hidden": (5, 4)} for n in ("layer", "batch")] + [{"bias": False}, {"hidden": ()}, {"hidden": (), "rank": 2}, {"hidden": (), "weight_norm": True}]
+    + [{"init": i} for i in ("normal", "small", "kaiming", "orthogonal", "other")],
+)
+def test_gradients_equal_differences(options):
+    """Every layer's gradient against the difference quotient of the loss."""
+    draw = np.random.default_rng(0)
+    x, goal = draw.normal(size=(7, 6)), np.eye(3)[draw.integers(0, 3, 7)]
+    probe = probes.Probe(probes.layers(6, 3, **({"hidden": (5,)} | options), draw=draw), 0, 1, 3, 0, 1)
+    loss = lambda: -np.log((probe.forward(x, draw) * goal).sum(1)).mean()
+    probe.backward((probe.forward(x, draw) - goal) / len(x))
+    grads = [[g.copy() for g in layer.grads] for layer in probe.stack]
+    for layer, own in zip(probe.stack, grads):
+        for p, g in zip(layer.params, own, strict=True):
+            for _ in range(5):
+                at = tuple(draw.integers(0, n) for n in p.shape)
+                p[at] += 1e-5
+                up = loss()
+                p[at] -= 2e-5
+                down = loss()
+                p[at] += 1e-5
+                assert g[at] == pytest.approx((up - down) / 2e-5, abs=2e-5)
+
+
+def test_initial_weights():
+    draw = np.random.default_rng(1)
+    for how, spread in (("normal", 0.02), ("small", 0.01), ("xavier", (2 / 500) ** 0.5), ("kaiming", (2 / 300) ** 0.5)):
+        assert probes.initial(how, 300, 200, draw).std() == pytest.approx(spread, rel=0.05)
+    for shape in ((30, 20), (20, 30)):
+        w = probes.initial("orthogonal", *shape, draw)
+        assert np.allclose(w.T @ w if shape[0] > shape[1] else w @ w.T, np.eye(20))
+
+
+def test_probes_predict_where_rows_are(spark):
+    """Groups of different vectors; only training rows are gathered, and at most the wanted number."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for layer in ("a", None):
+        for i in range(300):
+            v = rng.normal(size=4)
+            rows.append((layer, i, "train" if i % 3 else "test", float(v[0] > 0), v.tolist()))
+    df = spark.createDataFrame(rows, "layer string, doc_id long, split string, label double, embedding array<double>")
+    for options in ({"kind": "linear"}, {"hidden": (16,), "activation": "gelu", "normalization": "layer", "dropout": 0.1}, {"most_rows": 50}):
+        got = probes.probes(df, ("layer",), 2, epochs=40, lr=0.02, **options).collect()
+        assert sorted((r["layer"] or "", r["doc_id"]) for r in got) == sorted((r[0] or "", r[1]) for r in rows if r[2] == "test")
+        assert np.mean([r["label"] == r["prediction"] for r in got]) > 0.85 and not any(r["error"] for r in got)
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, Vectors.dense(a), float(a[0] > 0)) for i, a in enumerate(x)], ["doc_id", "features", "label"])
+    model = models.PenalisedLogistic().fit(df)
+    model.save(f"{tmp_path}/logistic")
+    again = models.PenalisedLogistic.load(f"{tmp_path}/logistic")
+    shown = lambda m: [tuple(r) for r in m.transform(df).select("doc_id", "probability", "prediction").orderBy("doc_id").collect()]
+    assert shown(model) == shown(again) and np.allclose(model.coefficients, again.coefficients)
+    assert shown(model)[0][1] == pytest.approx(1 / (1 + math.exp(-(x[0] @ model.coefficients + model.intercept))))
+    for kind in (True, False):
+        dummy = models.Dummy.fit(df, kind)
+        dummy.save(f"{tmp_path}/dummy")
+        assert models.Dummy.load(spark, f"{tmp_path}/dummy").transform(df).first()["prediction"] == dummy.transform(df).first()["prediction"]
+
+
+def test_what_a_model_lacks_is_recorded():
+    assert models.unhonoured("xgboost", "regression") == {"reg_lambda": 1}
+    assert models.unhonoured("ridge", "regression", {"solver": "svd"}) == {"solver": "svd"} and not models.unhonoured("logistic", "classification")
+
+
 def test_mlp_learns():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 2))
