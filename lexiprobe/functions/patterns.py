@@ -10,7 +10,6 @@ from __future__ import annotations
 # --- rules for the question corpus ("qa") ---
 QA_EN_WH = r"\b(what*|who*|where*|when*|why*|how*|which*)\b"
 QA_EN_STARTER = r"(is|are|do|does|did|have|has|can|could|will|would|should|may|might)"
-EN_EMBEDDED = r"\b(know|tell|confirm|explain|understand|think|show|mean|see)\b"
 FI_WH = r"\b(mik(?:ä|si)|montako|mit(?:ä|en)|miss(?:ä|tä)|mihin|mill(?:oin|ä)|kuk(?:a|aan)|ket(?:ä|kä)|ken(?:en|eltä)|kumpi|kuinka|montako)\b"
 FI_POLAR = r"\b\w+(?:ko|kö)\b"
 KO_WH = r"(무엇|뭐|뭣|무슨|누구|누가|어디|어느|언제|왜|어째서|어떻게|어떤|몇|얼마)"

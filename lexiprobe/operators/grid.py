@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schemas import FEATURES, LANGUAGES, MODELS, SEEDS
 from .projection import compatible
 
-#: Default parameters by model and task type.
+#: Default parameters by model and task type, as the published runs have them.
 PARAMETERS = {
     "dummy": {"classification": {"strategy": "most_frequent"}, "regression": {"strategy": "mean"}},
     "logistic": {"classification": {"C": 1.0, "max_iter": 1000, "penalty": "l2"}},
@@ -22,6 +22,28 @@ PARAMETERS = {
 }
 
 
+#: Recommended networks of probes and their training, as the published runs have them.
+PROBE_NETWORKS = {
+    "classification": {"probe_hidden_size": 128, "dropout": 0.3, "activation": "gelu", "normalization": "layer", "probe_depth": 1, "weight_init": "xavier"},
+    "regression": {"probe_hidden_size": 96, "dropout": 0.1, "activation": "silu", "normalization": "layer", "probe_depth": 1, "weight_init": "small", "output_standardization": True},
+}
+PROBE_TRAINING = {
+    "classification": {"batch_size": 16, "weight_decay": 0.01, "num_epochs": 15, "lr": 1e-4, "patience": 3, "gradient_accumulation_steps": 2},
+    "regression": {"batch_size": 16, "weight_decay": 0.01, "num_epochs": 15, "lr": 5e-5, "patience": 4, "gradient_accumulation_steps": 2},
+}
+
+
+def probe_options(task: str) -> dict:
+    """The recommended options of ``probes.probes`` for a task: question_type classifies, all others are values."""
+    kind = "classification" if task == "question_type" else "regression"
+    net, run = PROBE_NETWORKS[kind], PROBE_TRAINING[kind]
+    return {
+        "classes": 2 if kind == "classification" else 0, "hidden": (net["probe_hidden_size"],) * net["probe_depth"], "dropout": net["dropout"], "activation": net["activation"],
+        "normalization": net["normalization"], "init": net["weight_init"], "batch": run["batch_size"], "decay": run["weight_decay"], "epochs": run["num_epochs"], "lr": run["lr"],
+        "patience": run["patience"], "accumulate": run["gradient_accumulation_steps"],
+    }
+
+
 def parameters(model: str, task_type: str) -> dict:
     """A copy of the defaults; a model without that task type gives its first entry."""
     if model not in PARAMETERS:

@@ -134,6 +134,23 @@ def results_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return text.withColumn("value", F.col("value").try_cast("double")).where("value IS NOT NULL").select(*RESULT_LONG.names)
 
 
+def collected_results(spark: SparkSession, path: str) -> DataFrame:
+    """Long results of all runs below ``path``: its tfidf_results.csv files, or else its results.json files.
+
+    The folders .../<task>/<model>/<language>/... name what a JSON file is about; the task is
+    question_type or complexity. Files elsewhere, and metrics that are null or no numbers, are left out.
+    """
+    tree = spark.read.option("recursiveFileLookup", "true")
+    tables = tree.option("pathGlobFilter", "tfidf_results.csv").text(path)
+    if not tables.isEmpty():
+        return results_csv(spark, [r["f"] for r in tables.select(F.col("_metadata.file_path").alias("f")).distinct().collect()])  # a row a run
+    files = tree.schema("test_metrics MAP<STRING, STRING>").option("multiLine", "true").option("pathGlobFilter", "results.json").json(path)
+    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"/(question_type|complexity)/([^/]+)/([^/]+)/(?:.*/)?results\.json$", k)
+    rows = files.select(F.lit("tfidf").alias("experiment_type"), part(3).alias("language"), part(1).alias("task"), part(2).alias("model"), F.explode("test_metrics").alias("metric", "value"))
+    rows = rows.withColumn("value", F.col("value").try_cast("double"))
+    return rows.where("task != '' AND metric != 'primary_metric' AND value IS NOT NULL").select(*RESULT_LONG.names)
+
+
 def probe_tracker(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Probe results (``schemas.TRACKER``), each path once; textual metrics are dropped."""
     rows = spark.read.option("header", "true").schema(TRACKER).csv(sorted(set(paths)))

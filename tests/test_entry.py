@@ -1,5 +1,5 @@
-import importlib
-import sys
+import ast
+from pathlib import Path
 
 import __spark_entry__ as entry
 
@@ -19,5 +19,12 @@ def test_base_queries_do_not_need_the_training_data_part(monkeypatch):
 
 
 def test_nothing_else_imports_that_part():
-    for name in [m for m in sys.modules if m.startswith("lexiprobe.") and ".llm" not in m]:
-        assert "llm" not in (getattr(importlib.import_module(name), "__file__", "") or "")
+    root = Path(entry.__file__).parent / "lexiprobe"
+    files = [f for f in root.rglob("*.py") if "llm" not in f.relative_to(root).parts]
+    assert len(files) > 20
+    for f in files:
+        for node in ast.walk(ast.parse(f.read_text(encoding="utf-8"))):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import | ast.ImportFrom) else []
+            module = getattr(node, "module", None) or ""
+            assert not any("llm" in part.split(".") for part in (module, *names)), f
+            assert not (isinstance(node, ast.Constant) and node.value in ("lexiprobe.llm", "corpus_pipeline")), f

@@ -1,9 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiprobe.operators import results
+from lexiprobe.operators import grid, probes, results
 from lexiprobe.plans import datasets, experiments, labelling
 from lexiprobe.queries import documents, raw_rows
 from lexiprobe.schemas import RESULT, dataset_configs
@@ -112,3 +113,26 @@ def test_treebank_sentences_end_at_blank_lines_of_every_kind(spark, tmp_path):
         for name in ("crlf", "spaces", "several", "wide", "old"):
             of = sorted((r for r in rows if r["file"].endswith(f"{name}.conllu")), key=lambda r: r["sent_ix"])
             assert [(r["text"], r["lines"]) for r in of] == want, (name, size)
+
+
+def test_results_are_collected_from_a_tree(spark, tmp_path):
+    for at, metrics in (("runs/question_type/dummy/en", {"accuracy": 0.5, "f1": None, "primary_metric": "accuracy"}), ("runs/complexity/ridge/fi/seed1", {"mse": 0.25, "r2": "no"}), ("runs/other/x/en", {"mse": 1.0})):
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "results.json").write_text(json.dumps({"test_metrics": metrics}))
+    (tmp_path / "runs/complexity/bare/ar").mkdir(parents=True)
+    (tmp_path / "runs/complexity/bare/ar/results.json").write_text("{}")
+    got = sorted(map(tuple, readers.collected_results(spark, str(tmp_path)).collect()))
+    assert got == [("tfidf", "en", "question_type", "dummy", "accuracy", 0.5), ("tfidf", "fi", "complexity", "ridge", "mse", 0.25)]
+    (tmp_path / "deep/er").mkdir(parents=True)
+    (tmp_path / "deep/er/tfidf_results.csv").write_text("experiment_type,language,task,model,metric,value\ntfidf,ko,complexity,ridge,mse,0.75\n")
+    assert [tuple(r) for r in readers.collected_results(spark, str(tmp_path)).collect()] == [("tfidf", "ko", "complexity", "ridge", "mse", 0.75)]
+
+
+def test_recommended_probes_train(spark):
+    rng = np.random.default_rng(0)
+    rows = [("en", i, "test" if i % 5 == 0 else "train", float(i % 2), (rng.normal(size=8) + 3 * (i % 2) * np.array([1, -1] * 4)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "language string, doc_id long, split string, label double, embedding array<double>")
+    for task in ("question_type", "complexity"):
+        got = probes.probes(df, ("language",), **grid.probe_options(task) | {"lr": 5e-3}).collect()
+        assert len(got) == 80 and not any(r["error"] for r in got)
+        assert np.mean([(r["prediction"] > 0.5) == (r["label"] > 0.5) for r in got]) > 0.9
