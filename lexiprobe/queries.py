@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,28 +276,30 @@ def stratified_split(spark, sf):
     return sampling.split(_rounded(spark, sf), _GROUP).select("doc_id", "split")
 
 
-@query("token_bin_sample", f"""WITH {_PIPE}, g AS (SELECT language, type, list(original_n_tokens ORDER BY original_n_tokens) AS v, count(*) AS n, CAST(least(greatest(5, floor(count(*) / 10)), 10) AS INTEGER) AS b FROM rounded GROUP BY ALL),
+def _token_sample_sql(target: str) -> str:
+    """The rows of a token sample; ``target`` may name the group's language and type."""
+    return f"""WITH {_PIPE}, g AS (SELECT language, type, list(original_n_tokens ORDER BY original_n_tokens) AS v, count(*) AS n, CAST(least(greatest(5, floor(count(*) / 10)), 10) AS INTEGER) AS b FROM rounded GROUP BY ALL),
 k AS (SELECT language, type, v, n, b, unnest(range(0, b + 1)) AS i FROM g),
 e AS (SELECT language, type, (n - 1) * (i / CAST(b AS DOUBLE)) AS pos, v, n FROM k),
 e2 AS (SELECT DISTINCT language, type, v[CAST(floor(pos) AS INTEGER) + 1] + (v[CAST(least(floor(pos) + 2, n) AS INTEGER)] - v[CAST(floor(pos) AS INTEGER) + 1]) * (pos - floor(pos)) AS edge FROM e),
 e3 AS (SELECT language, type, list(edge ORDER BY edge) AS edges FROM e2 GROUP BY ALL),
 binned AS (SELECT r.*, least(len(list_filter(edges[2:], lambda x: x < original_n_tokens)), greatest(len(edges) - 2, 0)) AS bin FROM rounded r JOIN e3 USING (language, type)),
 o AS (SELECT *, count(*) OVER (PARTITION BY language, type) AS n, count(*) OVER (PARTITION BY language, type, bin) AS nb, row_number() OVER (PARTITION BY language, type, bin ORDER BY {_DRAW(69)}, doc_id) AS pos FROM binned),
-p AS (SELECT * FROM o WHERE n <= 60 OR pos <= greatest(1, floor(60.0 * nb / n))),
+p AS (SELECT * FROM o WHERE n <= {target} OR pos <= greatest(1, floor({target} * 1.0 * nb / n))),
 z AS (SELECT *, row_number() OVER (PARTITION BY language, type ORDER BY {_DRAW(70)}, doc_id) AS again FROM p)
-SELECT doc_id, language, type FROM z WHERE n <= 60 OR again <= 60""")
+SELECT doc_id, language, type FROM z WHERE n <= {target} OR again <= {target}"""
+
+
+@query("token_bin_sample", _token_sample_sql("60"))
 def token_bin_sample(spark, sf):
     return sampling.token_sample(_rounded(spark, sf), 60, _GROUP, "original_n_tokens").select("doc_id", "language", "type")
 
 
-@query("quota_sample", f"WITH {_PIPE}, g AS (SELECT language, type, count(*) AS n, CASE WHEN language = 'en' AND type = 'polar' THEN 30 ELSE 500 END AS quota FROM rounded GROUP BY language, type) SELECT language, type, CASE WHEN n <= quota THEN n END AS whole, n > quota AS cut FROM g")
+@query("quota_sample", _token_sample_sql("CASE WHEN language = 'en' AND type = 'polar' THEN 30 ELSE 40 END"))
 def quota_sample(spark, sf):
-    """Groups below their quota stay whole; of the others at most the quota is kept."""
-    rows = _rounded(spark, sf)
-    wanted = sampling.quota({("en", "polar"): 30}, 500)
-    sampled = sampling.token_sample(rows, wanted, _GROUP, "original_n_tokens").groupBy(*_GROUP).agg(F.count("*").alias("k"))
-    both = rows.groupBy(*_GROUP).agg(F.count("*").alias("n")).join(sampled, list(_GROUP)).withColumn("quota", wanted)
-    return both.select(*_GROUP, F.when(F.col("n") <= F.col("quota"), F.col("k")).alias("whole"), ((F.col("n") > F.col("quota")) & (F.col("k") <= F.col("quota"))).alias("cut"))
+    """Groups below their quota stay whole; of the others the quota is drawn by token bins."""
+    wanted = sampling.quota({("en", "polar"): 30}, 40)
+    return sampling.token_sample(_rounded(spark, sf), wanted, _GROUP, "original_n_tokens").select("doc_id", "language", "type")
 
 
 @query("complexity_match_sample", f"""WITH {_PIPE}, ref AS (SELECT * FROM rounded WHERE source = 'tydi'), pool AS (SELECT * FROM rounded WHERE source = 'ud'),
@@ -1058,5 +1061,121 @@ def transfer_metrics(spark, sf):
     return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in got.items()), "metric string, value double")
 
 
+# --- Sinks, checks and models whose results SQL repeats: S4, S12, S13, S22, S25, S26, F3, V1, V3, V6, V14, M4, M8-M12, M21 ---
+
+
+@query("cached_rows", "SELECT doc_id, n_chars FROM documents")
+def cached_rows(spark, sf):
+    """A cache answers later calls from its first one."""
+    path = f"{Scratch(spark, 'cached').path}/rows"
+    rows = read(spark, sf, "documents").select("doc_id", "n_chars")
+    readers.cache_table(rows, path)
+    return readers.cache_table(rows.where("false"), path)
+
+
+@query("class_text_files", f"WITH {_ASKED} SELECT language, final_class, count(*) AS n, CAST(sum(length(trim(text))) AS BIGINT) AS chars FROM e JOIN s USING (sid) WHERE dropped IS NULL AND final_class IS NOT NULL GROUP BY ALL".replace("e JOIN s USING (sid)", "e JOIN (SELECT sid, text FROM s) s USING (sid)"))
+def class_text_files(spark, sf):
+    """Questions written a line each by language and class, and read again."""
+    path = f"{Scratch(spark, 'class-text').path}/text"
+    readers.write_class_text(labelling.label_corpus(asked(spark, sf))["classified"], path)
+    rows = spark.read.schema("value STRING, language STRING, final_class STRING").text(path)
+    return rows.groupBy("language", "final_class").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("treebank_files", f"WITH {_SENTENCES}, b AS (SELECT language, CASE WHEN NOT question THEN 'other' WHEN rejected THEN 'filtered' ELSE coalesce(ud, 'unclassified') END AS bucket FROM s) SELECT language, bucket, 2 * count(*) AS sentences FROM b GROUP BY ALL")
+def treebank_files(spark, sf):
+    """Sentences appended twice to treebank files by language and bucket, and read again."""
+    path = f"{Scratch(spark, 'treebank').path}/files"
+    routed = labelling.route_sentences(sentences(spark)).withColumn("lines", F.array(F.concat(F.lit("# text = "), "text"), F.lit("1\tw")))
+    for _ in range(2):
+        readers.write_conllu(routed, path)
+    part = lambda name: F.regexp_extract("file", rf"/{name}=([^/]+)/", 1).alias(name)
+    return readers.conllu(spark, path, "*.txt").groupBy(part("language"), part("bucket")).agg(F.count("*").alias("sentences"))
+
+
+@query("synthetic_splits", "SELECT unnest(['train', 'validation', 'test']) AS split, unnest([140, 30, 30]) AS documents, true AS all_have_terms, true AS sparse")
+def synthetic_splits(spark, sf):
+    rows = readers.synthetic_features(spark, 200, 300)
+    return rows.groupBy("split").agg(F.countDistinct("doc_id").cast("int").alias("documents"), (F.min("tfidf") > 0).alias("all_have_terms"), (F.count("*") / (F.countDistinct("doc_id") * 300) < 0.15).alias("sparse"))
+
+
+@query("feature_store_checks", f"""WITH {_TERMS}, x AS (SELECT {_SPLIT} AS split, term_id, doc_id FROM vectors), k AS (SELECT count(*) AS k FROM vocab), p AS (SELECT split, 1 - count(*) / (count(DISTINCT doc_id) * any_value(k)) AS sparsity FROM x, k GROUP BY split)
+SELECT 'missing split' AS "check", 'validation' AS value UNION ALL SELECT DISTINCT 'foreign term', split || ':' || CAST(term_id AS VARCHAR) FROM x WHERE split <> 'validation' AND term_id >= 500 AND term_id % 97 = 0
+UNION ALL SELECT 'sparsity', split FROM p WHERE split <> 'validation' AND NOT sparsity BETWEEN 0 AND 0.5""")
+def feature_store_checks(spark, sf):
+    """A store that lacks a split and some terms of its vocabulary; sparsity above one half is to be found too."""
+    path = f"{Scratch(spark, 'store').path}/store"
+    _, counts, vocabulary = _features(spark, sf)
+    vocabulary = Scratch(spark, "vocabulary").keep(vocabulary, "vocabulary")
+    readers.write_features(tfidf.transform(counts, vocabulary).withColumn("split", F.expr(_SPLIT)).where("split != 'validation'").select("split", "doc_id", "term_id", "tfidf"), vocabulary, path)
+    vectors, known = readers.features(spark, path), readers.vocabulary(spark, path)
+    gone = checks.missing_splits(vectors).select(F.lit("missing split").alias("check"), F.col("split").alias("value"))
+    foreign = checks.foreign_terms(vectors, known.where("NOT (term_id >= 500 AND term_id % 97 = 0)")).select(F.lit("foreign term").alias("check"), F.concat_ws(":", "split", "term_id").alias("value"))
+    dense = checks.sparsity(vectors, known.count(), 0.0, 0.5).select(F.lit("sparsity").alias("check"), F.col("split").alias("value"))
+    return gone.unionByName(foreign).unionByName(dense)
+
+
+@query("rows_required", "SELECT lang AS language, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY lang UNION ALL SELECT 'no rows: Klingon', 0")
+def rows_required(spark, sf):
+    """Rows of a language, and the error where a language has none."""
+    docs = read(spark, sf, "documents").select(F.col("lang").alias("language"))
+    found = projection.require_rows(projection.in_languages(docs, ["EN"]), "English").groupBy("language").agg(F.count("*").alias("n"))
+    try:
+        projection.require_rows(projection.in_languages(docs, ["tlh"]), "Klingon")
+    except ValueError as e:
+        return found.unionByName(spark.createDataFrame([(str(e), 0)], "language string, n long"))
+    return found
+
+
+@query("unequal_lengths", "SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS a, CAST(doc_id % 4 + 1 AS INTEGER) AS b FROM documents WHERE doc_id % 5 <> doc_id % 4")
+def unequal_lengths(spark, sf):
+    upto = lambda n: F.sequence(F.lit(1), (F.col("doc_id") % n + 1).cast("int"))
+    return checks.unequal_lengths(read(spark, sf, "documents").select("doc_id", upto(5).alias("a"), upto(4).alias("b")), ["a", "b"])
+
+
+@query("incompatible_models", f"SELECT task_type, model_type FROM (SELECT unnest(['classification', 'regression']) AS task_type), (SELECT unnest({_list(MODELS)}) AS model_type) WHERE (model_type = 'logistic' AND task_type <> 'classification') OR (model_type = 'ridge' AND task_type <> 'regression')")
+def incompatible_models(spark, sf):
+    kinds = spark.range(1).select(F.explode(F.array(F.lit("classification"), F.lit("regression"))).alias("task_type"))
+    return checks.incompatible(kinds.select("task_type", F.explode(F.array(*map(F.lit, MODELS))).alias("model_type")))
+
+
+@query("dataset_integrity", f"WITH d AS (SELECT {_SPLIT} AS split, lang FROM documents) SELECT 'columns' AS part, true AS ok UNION ALL SELECT 'splits', count(DISTINCT split) = 3 FROM d UNION ALL SELECT 'languages', count(DISTINCT lang) FILTER (lang IN ('en', 'fr', 'fi')) = 3 FROM d")
+def dataset_integrity(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.expr(_SPLIT).alias("split"))
+    return spark.createDataFrame(list(checks.dataset_integrity(docs, ["doc_id", "split"], ["en", "fr", "fi"]).items()), "part string, ok boolean")
+
+
+_DUMMY = f"""v AS (SELECT label, CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 8 THEN 'validation' ELSE 'test' END AS part FROM embeddings), m AS (SELECT avg(label) AS p FROM v WHERE part = 'train'),
+z AS (SELECT part, avg((label - p) * (label - p)) AS mse, avg((label - p) * (label - p)) / var_pop(label) AS q FROM v, m GROUP BY part)"""
+
+
+@query("experiment_metrics", f"WITH {_DUMMY} SELECT part, 'mse' AS metric, round_even(mse, 6) AS value FROM z UNION ALL SELECT part, 'r2', round_even(1 - q, 6) FROM z UNION ALL SELECT part, 'primary_value', round_even(mse, 6) FROM z")
+def experiment_metrics(spark, sf):
+    """A whole dummy experiment: fitted, evaluated on each part, and its result document taken apart."""
+    rows = probe_rows(spark, sf).withColumn("label", F.col("class").cast("double"))
+    parts = {p: rows.where(F.col("split") == p) for p in ("train", "validation", "test")}
+    got = models.experiment("dummy", "regression", parts)
+    found = [(p, m, round(got[f"{p}_metrics"][m], 6)) for p in parts for m in ("mse", "r2", "primary_value")]
+    return spark.createDataFrame(found, "part string, metric string, value double")
+
+
+@query("ridge_line", f"""WITH t AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / 1000 AS x, CAST(quality AS DOUBLE) AS y, {_SPLIT} AS split FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT avg(x) AS mx, avg(y) AS my FROM t WHERE split = 'train'), w AS (SELECT sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1.0) AS w FROM t, m WHERE split = 'train')
+SELECT doc_id, round_even(my + w * (x - mx), 4) AS prediction FROM t, m, w WHERE split <> 'train'""")
+def ridge_line(spark, sf):
+    """Ridge regression on one feature, whose solution SQL can write down."""
+    rows = labelled(spark, sf).select("doc_id", "split", F.col("quality").cast("double").alias("label"), array_to_vector(F.array(F.col("n_chars").cast("double") / 1000)).alias("features"))
+    out = models.estimator("ridge", "regression")(rows.where("split = 'train'")).transform(rows.where("split != 'train'"))
+    return r6(out.select("doc_id", "prediction"), "prediction", digits=4)
+
+
+@query("probe_failures", f"WITH e AS (SELECT vec_id AS doc_id, CAST(vec_id % 3 AS INTEGER) AS layer FROM embeddings), f AS (SELECT layer, CASE WHEN layer = 2 THEN 'test' ELSE {_SPLIT} END AS split FROM e) SELECT layer, CASE WHEN layer = 2 THEN 0 ELSE count(*) FILTER (split <> 'train') END AS predicted, CASE WHEN layer = 2 THEN 'ValueError: no training rows' END AS error FROM f GROUP BY layer")
+def probe_failures(spark, sf):
+    """A group without training rows reports it, and the others are predicted."""
+    rows = probe_rows(spark, sf).select((F.col("doc_id") % 3).cast("int").alias("layer"), "doc_id", "split", "label", "embedding")
+    got = models.probes(rows.withColumn("split", F.when(F.col("layer") == 2, "test").otherwise(F.col("split"))), ("layer",), classes=2, hidden=(8,), epochs=2)
+    return got.groupBy("layer").agg(F.count("prediction").alias("predicted"), F.max("error").alias("error"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf_top_terms_by_lang(spark, sf)

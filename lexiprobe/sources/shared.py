@@ -39,6 +39,7 @@ class Scratch:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lexiprobe/{name}-{uuid.uuid4().hex}"
+        _written.append(self.path)
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         at = f"{self.path}/{table}"
@@ -57,10 +58,26 @@ class Scratch:
         return kept
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.path}/{table}")
+
+
+#: Folders of this process's runs that may still hold tables.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that runs of this process left below the shared folder.
+
+    Results are read from such tables when they are used, so this is for when all are used or written.
+    """
+    while _written:
+        _delete(spark, _written.pop())
 
 
 _shipped: dict[str, str] = {}

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from lexiprobe.operators import grid, probes, results
 from lexiprobe.plans import datasets, experiments, labelling
 from lexiprobe.queries import documents, raw_rows
 from lexiprobe.schemas import RESULT, dataset_configs
-from lexiprobe.sources import readers
+from lexiprobe.sources import readers, shared
 from lexiprobe.streaming.results import append_standardized
 
 
@@ -136,3 +137,14 @@ def test_recommended_probes_train(spark):
         got = probes.probes(df, ("language",), **grid.probe_options(task) | {"lr": 5e-3}).collect()
         assert len(got) == 80 and not any(r["error"] for r in got)
         assert np.mean([(r["prediction"] > 0.5) == (r["label"] > 0.5) for r in got]) > 0.9
+
+
+def test_tables_of_all_runs_can_be_cleared(spark):
+    before, shared._written[:] = list(shared._written), []
+    one = shared.Scratch(spark, "clear-test")
+    kept = one.keep_by(spark.range(50).selectExpr("id AS k", "id * 2 AS v"), "rows", "k", 4)
+    assert kept.selectExpr("sum(v)").first()[0] == 2450 and Path(one.path.removeprefix("file:")).exists()
+    shared.clear(spark)
+    assert not Path(one.path.removeprefix("file:")).exists() and not shared._written
+    shared._written[:] = before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kept_")]
