@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, ship
+from .common import Scratch, read
 from .tokens import batches, encoder
 
 STEPS, LANES = 512, 4096
@@ -47,6 +47,8 @@ _U, _I = np.uint64, np.int32
 #: The range is kept above this; below it, the upper half of the state is put out.
 _LEAST = _U(1 << 32)
 _ORDER2_BITS = 17
+#: Pieces of text whose ids a worker remembers: nothing else is large here.
+PIECES = 1_200_000
 _HEAD = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, largest id, bytes of alphabet, bytes of words, crc of ids, crc of the rest
 
 
@@ -308,7 +310,7 @@ def runs(rows: Iterator[pa.RecordBatch], encode, end_id: int, most: int = STEPS
     size = 0
     for batch in rows:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for a, b in batches(texts):
+        for a, b in batches(texts, 8_000_000):
             flat, sizes = encode(texts.slice(a, b - a), end_id)
             ends = np.cumsum(sizes)
             at = 0  # the first document of this slice that isn't held yet
@@ -332,12 +334,11 @@ def runs(rows: Iterator[pa.RecordBatch], encode, end_id: int, most: int = STEPS
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> None:
     """Writes the token ids of ``docs`` to ``path`` in ascending doc_id order."""
-    ship(docs.sparkSession)
     schema = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId(), 0
-        for frame, (keys, sizes, flat) in enumerate(runs(rows, encoder(tokenizer).encode, end_id)):
+        for frame, (keys, sizes, flat) in enumerate(runs(rows, encoder(tokenizer, PIECES).encode, end_id)):
             row = (part, frame, first, len(flat), encode_frame(keys, sizes, flat))
             yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema)], schema=schema)
             first += len(flat)

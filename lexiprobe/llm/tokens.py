@@ -35,8 +35,8 @@ _RARE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u1680\u2000-\u200a\
 _STOP = re.compile(r"[.,](?<![^\W_].)", re.DOTALL)
 #: Words of letters that are normal forms and have lower cases of one letter each.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
-#: Pieces (and ids in them) remembered at most; it bounds memory and changes no result.
-_MOST, _MOST_IDS = 400_000, 4_000_000
+#: Pieces remembered at most, where the caller doesn't say, and ids in them for each; it bounds memory and changes no result.
+_MOST, _IDS = 400_000, 10
 #: Characters of the longest piece that is remembered.
 _LONG = 48
 _open: dict[str, "Encoder"] = {}
@@ -49,6 +49,43 @@ def _plain(text: str) -> bool:
     return not (_RARE.search(text) or _STOP.search(text))
 
 
+def _suspicious() -> np.ndarray:
+    """By two bytes in a row, as one number: whether a text with them needs the closer look of ``_plain``."""
+    out = np.zeros((256, 256), dtype=bool)
+    white, stops = list(b" \n"), list(b".,")
+    out[np.ix_(white, white)] = True
+    out[:, stops] = True
+    out[np.ix_(list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), stops)] = False
+    for c in map(chr, (*range(32), 0x85, 0xA0, 0x130, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)):
+        if c != "\n":
+            raw = c.encode()
+            if len(raw) == 1:
+                out[:, raw[0]] = True
+            else:
+                out[raw[0], raw[1]] = True
+    return out.reshape(-1)
+
+
+_SUSPICIOUS = _suspicious()
+
+
+def _odd(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Places of the texts that may not be cut; all others are told apart by their bytes alone."""
+    if not len(data):
+        return []
+    pairs = data[:-1].astype(np.uint16)
+    pairs <<= 8
+    pairs |= data[1:]
+    at = np.flatnonzero(_SUSPICIOUS[pairs]) + 1
+    # A stop behind a Latin-1 letter of two bytes is as good as one behind a plain letter.
+    stop = (data[at] == 46) | (data[at] == 44)
+    latin = stop & (at > 1) & (data[at - 2] == 0xC3) & (data[at - 1] >= 128) & (data[at - 1] != 0x97) & (data[at - 1] != 0xB7)
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]  # bytes without one before them in their text
+    first = first[(data[first] < 32) | (data[first] == 46) | (data[first] == 44)]
+    suspects = np.unique(np.searchsorted(offsets, np.concatenate([at[~latin], first]), "right") - 1)
+    return [i for i, t in zip(suspects.tolist(), texts.take(pa.array(suspects)).to_pylist()) if not _plain(t)]
+
+
 def _byte_alphabet() -> np.ndarray:
     """The code point that stands for each byte in byte-level vocabularies; a line break, the separator here, becomes a space.
 
@@ -68,7 +105,8 @@ _BREAK = "\u010a"  # a line break in that alphabet
 class Encoder:
     """Turns arrays of texts into ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = most or _MOST
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +159,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); null counts as empty, ``end_id`` closes each text."""
-        if len(self.at) > _MOST or self.used > _MOST_IDS:
+        if len(self.at) > self.most or self.used > _IDS * self.most:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         n = len(texts)
@@ -131,7 +169,7 @@ class Encoder:
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole else np.zeros(0, np.uint8)
         offsets -= offsets[0]
-        pieces, bounds = self._cut(data, offsets, [not _plain(t) for t in texts.to_pylist()])
+        pieces, bounds = self._cut(data, offsets, _odd(texts, data, offsets))
         coded = pieces.dictionary_encode()
         place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         if end_id is not None:
@@ -146,11 +184,11 @@ class Encoder:
         return self.ids[at], np.diff(ends[bounds])
 
     @staticmethod
-    def _cut(data: np.ndarray, offsets: np.ndarray, odd: list[bool]) -> tuple[pa.Array, np.ndarray]:
+    def _cut(data: np.ndarray, offsets: np.ndarray, odd: list[int]) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts, and the place of each text's first piece (and of the end)."""
         cut = _CUTS[data]
         cut[1:] |= data[:-1] == 10
-        for i in np.flatnonzero(odd):
+        for i in odd:
             cut[offsets[i] : offsets[i + 1]] = False
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         at = np.flatnonzero(cut)
@@ -209,11 +247,12 @@ class Encoder:
         return np.delete(ids, at), np.diff(np.append(at, len(ids))) - 1
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int | None = None) -> Encoder:
     """The worker's encoder of that file; a worker keeps it until another operator's task comes."""
     claim(__name__, _open.clear)
     if path not in _open:
         _open[path] = Encoder(path)
+    _open[path].most = most or _MOST
     return _open[path]
 
 
