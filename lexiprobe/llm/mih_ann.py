@@ -37,8 +37,11 @@ from .common import Scratch, bounded_sample, read
 
 #: Rows the codes are learned from, at most.
 SAMPLE = 4000
-#: Rows and queries of a block, about.
-BLOCK, QUERIES = 16384, 2048
+#: Rows and queries of a block, about: a vector is copied once for each block of queries, a query once
+#: for each block of rows, so both are as large as a task can hold. Tables that a few tasks could hold
+#: are cut finer, into SPREAD blocks or blocks of FINE rows.
+BLOCK, QUERIES = 1 << 17, 1 << 15
+FINE, SPREAD = 1 << 14, 64
 BITS, PART = 64, 8
 _POP = np.array([bin(v).count("1") for v in range(256)], dtype=np.uint8)
 #: The values of a substring by their number of bits: probing distance s flips these.
@@ -148,7 +151,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def block_rows(n: int) -> int:
+    """Rows of a block for a table of n."""
+    return min(BLOCK, max(FINE, -(-n // SPREAD)))
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE, block: int | None = None, queries: int = QUERIES) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -159,13 +167,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMP
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("v") == sizes["d"])
     n, n_queries = sizes["count"], rows.where(F.col("vec_id") % every == 0).count()
+    blocks, parts = -(-n // (block or block_rows(n))), max(1, -(-n_queries // queries))
     drawn = bounded_sample(rows, "vec_id", sample, seed=2).orderBy("vec_id").select("v").collect()
     model = Codes(np.array([r["v"] for r in drawn]), BITS)
     # Of equal vectors the k + 1 of smallest id, in two steps, so that no group meets in one task.
-    salted = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(-(-n // block))).alias("block"))
+    salted = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
     few = salted.withColumn("at", F.row_number().over(W.partitionBy("same", "v", "salt").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     few = few.withColumn("at", F.row_number().over(W.partitionBy("same", "v").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    blocks, parts = -(-n // block), max(1, -(-n_queries // queries))
     asked = rows.where(F.col("vec_id") % every == 0)
     part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts))
     # Each block of rows meets each block of queries: one stated query set against all rows.
