@@ -5,7 +5,7 @@ Everything that touches documents is DataFrame functions; nothing is exploded or
 1. Base spans: e-mail addresses, IPv4 addresses, card numbers that pass the Luhn test and phone
    numbers in international form. They always stay.
 2. High-recall generators propose further, overlapping spans: e-mail addresses in words, national
-   phone numbers, cards in other spellings, IPv6 addresses.
+   phone numbers, cards in other spellings, IPv6 addresses, and keys and access tokens.
 3. Gradient-boosted trees over format and context features score each candidate. They are fitted on
    candidates that templates write (a fixed number of rows, made and measured by the same column
    functions). Thresholds come from whole templates that the trees did not see: for each generator
@@ -44,7 +44,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Kinds in the order they are listed.
-KINDS = ("email", "ip", "card", "phone", "email_alt", "ip_alt", "card_alt", "phone_alt")
+KINDS = ("email", "ip", "card", "phone", "email_alt", "ip_alt", "card_alt", "phone_alt", "secret")
 
 _AT = r"(?:\x20?[(\[{]\x20?(?:at|AT)\x20?[)\]}]\x20?|\x20(?:at|AT)\x20)"
 _DOT = r"(?:\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20|\.)"
@@ -57,6 +57,8 @@ GENERATORS = {
     "ip_alt": r"(?<![0-9A-Fa-f])(?<![0-9A-Fa-f:]:)(?!(?:[0-9A-Fa-f]*+:){9})(?:(?:" + _HEX + r":){2,7}" + _HEX + r"|" + _HEXES + r"?::" + _HEXES + r"?)(?![0-9A-Fa-f]|::|:[0-9A-Fa-f])",
     "card_alt": r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){12,18}(?![0-9])",
     "phone_alt": r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])",
+    # Runs as long as a key or access token, with a digit early on.
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,63}[0-9])[A-Za-z0-9_/+-]{20,200}+={0,2}+(?![A-Za-z0-9_/+=-])",
 }
 
 
@@ -159,8 +161,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 #: Words before a span that hint at its kind, one pattern a feature.
-CUES = {"phone": r"(?:tel|phone|fax|call|mobile|cell)[^a-z]*$", "card": r"(?:card|visa|credit|iban|account)[^a-z]*$", "host": r"(?:ip|host|ipv6|address|server)[^a-z]*$", "mail": r"(?:mail|contact|write to)[^a-z]*$", "other": r"(?:order|no|id|isbn|version|date|invoice|ref|total|page)[^a-z]*$"}
-FEATURES = ("generator", "digits", "letters", "signs", "groups", "longest", "shortest", "luhn", "bracket", "spelled", "domain", "before", "after", *CUES)
+CUES = {"phone": r"(?:tel|phone|fax|call|mobile|cell)[^a-z]*$", "card": r"(?:card|visa|credit|iban|account)[^a-z]*$", "host": r"(?:ip|host|ipv6|address|server)[^a-z]*$", "mail": r"(?:mail|contact|write to)[^a-z]*$", "secret": r"(?:token|key|secret|password|passwd|bearer|auth)[^a-z]*$", "digest": r"(?:commit|sha|hash|digest|md5|uuid|etag)[^a-z]*$", "other": r"(?:order|no|id|isbn|version|date|invoice|ref|total|page)[^a-z]*$"}
+FEATURES = ("generator", "digits", "letters", "signs", "groups", "longest", "shortest", "turns", "luhn", "bracket", "spelled", "domain", "before", "after", *CUES)
 
 
 def _char_class(c: Column) -> Column:
@@ -175,7 +177,7 @@ def features(span: Column, generator: int) -> Column:
     left = F.lower(span["left"])
     value = {
         "generator": F.lit(generator), "digits": F.length(digits), "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "signs": F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
-        "groups": F.size(groups), "longest": F.array_max(groups), "shortest": F.array_min(groups), "luhn": (_between(F.length(digits), 13, 19) & luhn(digits)).cast("int"),
+        "groups": F.size(groups), "longest": F.array_max(groups), "shortest": F.array_min(groups), "turns": F.regexp_count(m, F.lit("[A-Za-z][0-9]")), "luhn": (_between(F.length(digits), 13, 19) & luhn(digits)).cast("int"),
         "bracket": m.rlike(r"[(\[{]").cast("int"), "spelled": m.rlike("(?i)[^a-z]dot[^a-z]").cast("int"), "domain": m.rlike("(?i)[^a-z](?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$").cast("int"),
         "before": _char_class(span["before"]), "after": _char_class(span["after"]),
     } | {name: left.rlike(cue).cast("int") for name, cue in CUES.items()}
@@ -212,6 +214,13 @@ TEMPLATES = (
     ("card_alt", "the ", "##############", " a", 0), ("card_alt", "in ", "#############", ",", 0), ("card_alt", "isbn ", "###.#.##.######.#", "", 0), ("card_alt", "no ", "##.##.####.##.##.####", "", 0),
     ("card_alt", "page ", "#############", "", 0), ("card_alt", "id ", "################", "", 0), ("card_alt", "total ", "###.###.###.###.###", "", 0), ("card_alt", "of ", "###.###.###.###.###", " to", 0),
     ("card_alt", "in ", "###.###.###.###.###", ",", 0), ("card_alt", "was ", "##.###.###.###.###", "", 0), ("card_alt", "and ", "###.###.###.###.###.###", "", 0), ("card_alt", "as ", "#.###.###.###.###", " of", 0),
+    ("secret", 'token = "', "~" * 40, '"', 1), ("secret", "api_key: ", "~" * 32, "", 1), ("secret", "secret=", "@#@@#@@@#@@#@#@@#@#@@@#@", "", 1), ("secret", "password: ", "@@#@@_#@@@#@-#@@@@#@#@@", ",", 1),
+    ("secret", "bearer ", "@@@#@@#@@@@#@#@@@@#@@@#@@#@@@@@#@#@@", "", 1), ("secret", 'and "', "~" * 40, '"', 1), ("secret", "with key ", "sk-@#@@@#@@#@@@@@#@#@@@#@", ".", 1), ("secret", 'Token = "', "~" * 40, '"!!', 1),
+    ("secret", "of ", "~" * 32, " to", 1), ("secret", "token ", "gh@_@@#@@@#@@#@@@@@#@#@@@#@@#", "", 1), ("secret", "auth ", "~" * 48, "", 1), ("secret", 'or "', "~" * 32, '",', 1),
+    ("secret", "commit ", "~" * 40, " by", 0), ("secret", "sha256 ", "~" * 64, "", 0), ("secret", "md5: ", "~" * 32, "", 0), ("secret", "see ", "@@@@@@-@@@@@@@-@@@@@-####", " for", 0),
+    ("secret", "uuid ", "~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~", "", 0), ("secret", "file ", "@@@@@_@@@@@@@_@@@@_##", "", 0), ("secret", "hash ", "~" * 40, "", 0), ("secret", "on ", "@@@@@-##-##-####-@@@@@@", "", 0),
+    ("secret", "the ", "@" * 23 + "#", " of", 0), ("secret", "digest=", "~" * 64, "", 0), ("secret", "id ", "#" * 22, "", 0), ("secret", "in ", "@@@@-@@@@@-@@@@@@@-@@@@-#", ".", 0),
+    ("secret", "and ", "#" * 24, " or", 0), ("secret", "at ", "@@@@@/@@@@@@/@@@@@@@@/##", ",", 0), ("secret", "to ", "@" * 21 + "##", "", 0), ("secret", "commit: ", "~" * 40, ".", 0),
 )
 #: Rows written from each template, and parts that the templates are dealt into for calibration.
 WRITTEN, FOLDS = 256, 5
@@ -235,7 +244,7 @@ def _written(spark: SparkSession, rows: int = WRITTEN) -> DataFrame:
     return t.select("kind", F.concat_ws("", filled).alias("text"), "y", F.element_at(F.array(*map(F.lit, folds)), F.col("i") + 1).alias("fold"))
 
 
-def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> list:
+def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> list:
     """Second-order boosting of the logistic loss on integer features; a tree is nested tuples."""
     edges = [np.unique(x[:, f])[:-1] for f in range(x.shape[1])]
     margin, trees = np.zeros(len(y)), []
@@ -269,10 +278,13 @@ def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 24, depth:
     return trees
 
 
-def _tree_column(tree, f: Column) -> Column:
+def _tree_column(tree, f: Column, generator: int) -> Column:
+    """A tree's value; splits on the generator, which is known, need no condition."""
     if not isinstance(tree, tuple):
         return F.lit(tree)
-    return F.when(f[FEATURES[tree[0]]] <= tree[1], _tree_column(tree[2], f)).otherwise(_tree_column(tree[3], f))
+    if FEATURES[tree[0]] == "generator":
+        return _tree_column(tree[2] if generator <= tree[1] else tree[3], f, generator)
+    return F.when(f[FEATURES[tree[0]]] <= tree[1], _tree_column(tree[2], f, generator)).otherwise(_tree_column(tree[3], f, generator))
 
 
 class SpanModel:
@@ -281,10 +293,10 @@ class SpanModel:
     def __init__(self, trees: list, thresholds: dict[str, float], recall: dict[str, float]):
         self.trees, self.thresholds, self.recall = trees, thresholds, recall
 
-    def score(self, f: Column) -> Column:
+    def score(self, f: Column, generator: int) -> Column:
         total = F.lit(0.0)
         for tree in self.trees:
-            total = total + _tree_column(tree, f)
+            total = total + _tree_column(tree, f, generator)
         return total
 
 
@@ -295,6 +307,7 @@ def _candidates(text: Column, kind: str) -> Column:
         "ip_alt": lambda: F.contains(text, F.lit("::")) | (F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
         "card_alt": lambda: text.rlike(r"[0-9](?:[\x20./_-]?[0-9]){12}"),
         "phone_alt": lambda: text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
+        "secret": lambda: text.rlike(r"[A-Za-z0-9_/+-]{20}"),
     }
     return F.when(likely[kind](), found(text, GENERATORS[kind])).otherwise(_none())
 
@@ -351,7 +364,7 @@ def _placed(spans: Column, place: int) -> Column:
 def _selected(text: Column, kind: str, generator: int, model: SpanModel) -> Column:
     """(start, kind, end) of the generator's candidates that overlap no base span and reach its threshold."""
     free = _clear_of(_candidates(text, kind), F.col("base"))
-    right = F.filter(free, lambda s: _let(features(s, generator), model.score) >= model.thresholds[kind])
+    right = F.filter(free, lambda s: _let(features(s, generator), lambda f: model.score(f, generator)) >= model.thresholds[kind])
     return _placed(right, KINDS.index(kind))
 
 
@@ -404,4 +417,4 @@ def redacted(docs: DataFrame, mask: str = "*", model: SpanModel | None = None) -
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find(read(spark, sf_dir, "documents"))
     counts = [_count(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    return spans.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))

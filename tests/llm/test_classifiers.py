@@ -128,3 +128,61 @@ def test_toxicity_without_telling_ngrams():
     for share, want in ((0.1, 0.1), (0.9, 0.49)):
         model = toxicity.fit(["same words here"] * 8, np.array([0, 1] * 4), share)
         assert model.score("same words here") == pytest.approx(want) and model.score("") == pytest.approx(want)
+
+
+def test_languages_equal_a_naive_loop(docs):
+    """Vectors n-gram by n-gram, prototypes and cosines, on a few documents."""
+    texts = [r["text"][:150] for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(12).collect()] + ["", "!!", "a", "Über straße 42 ñandú", "x  y\n\nz"]
+
+    def naive(text):
+        letters = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        kept = [c for k, c in enumerate(letters) if c or not k or letters[k - 1]]
+        total = np.zeros(language_id.DIMENSIONS)
+        for k in range(len(kept) - 2):
+            total += np.prod([np.roll(language_id._vector(kept[k + j]), j).astype(float) for j in range(3)], axis=0)
+        return total / n if (n := np.linalg.norm(total)) else total
+
+    want = np.stack([naive(t) for t in texts])
+    assert np.allclose(language_id.bundles(texts), want, atol=1e-5)
+    protos = language_id.learn(docs)
+    table = np.stack([v / np.linalg.norm(v) for v in protos.values()])
+    frame = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.predict(frame, protos).collect():
+        cosines = table @ want[r["doc_id"]]
+        if not any(map(str.isalpha, texts[r["doc_id"]])):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == list(protos)[int(cosines.argmax())] and r["score"] == pytest.approx(max(0.0, cosines.max()), abs=1e-4)
+
+
+def test_line_features_equal_a_naive_loop(docs):
+    """Every feature of every line, the neighbours' beside them, and the weighted mean over a text's lines."""
+    texts = [r["text"][:600] for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(15).collect()] + ["", "\n\n", "aa aa\tbb | CC! 12 é\x0bx\n \n***", "x" * 300]
+    lines, length, x = quality_crf.line_features(texts)
+    rows = [(i, line) for i, t in enumerate(texts) for line in t.encode().split(b"\n")]
+    assert lines.tolist() == [sum(i == k for i, _ in rows) for k in range(len(texts))] and length.tolist() == [len(line) for _, line in rows]
+    for got, (_, line) in zip(x, rows, strict=True):
+        counts = np.bincount([quality_crf._CLASS[b] for b in line], minlength=len(quality_crf.CLASSES)).astype(float)
+        words = line.split()
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        more = [np.log1p(len(line)) / 8, again / max(len(words) - 1, 1), len(line) / max(len(words), 1) / 20, float(not line), counts[1] / max(counts[0] + counts[1], 1), counts[4] / max(len(words), 1)]
+        assert np.allclose(got, [*(counts / max(len(line), 1)), *more])
+    wide, width = quality_crf.with_neighbours(lines, x), x.shape[1]
+    for k, (i, _) in enumerate(rows):
+        before = x[k - 1] if k and rows[k - 1][0] == i else np.zeros(width)
+        after = x[k + 1] if k + 1 < len(rows) and rows[k + 1][0] == i else np.zeros(width)
+        assert np.allclose(wide[k], [*x[k], *before, *after, 1])
+    field = quality_crf.fit(texts, np.arange(len(texts)) % 2)
+    good = quality_crf.marginals(lines, field.potentials(lines, x), field.edge)[0]
+    for i, z in enumerate(field.evidence(lines, length, x)):
+        own = [k for k, r in enumerate(rows) if r[0] == i]
+        mean = sum(good[k] * max(length[k], 1) for k in own) / sum(max(length[k], 1) for k in own)
+        mean = min(max(mean, 1e-4), 1 - 1e-4)
+        assert z == pytest.approx(np.log(mean / (1 - mean)))
+
+
+def test_texts_of_very_many_lines():
+    texts = ["a line of words.\n" * 60_000, "\n" * 50_000, "one"]
+    field = quality_crf.fit(["good words here.\nmore of them.", "!!! ||| ***\n### $$$"] * 10, np.array([1, 0] * 10))
+    scores = field.scores(texts)
+    assert len(scores) == 3 and np.isfinite(scores).all() and scores[0] > 0.5
