@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1169,6 +1169,18 @@ def ridge_line(spark, sf):
     return r6(out.select("doc_id", "prediction"), "prediction", digits=4)
 
 
+@query("logistic_optimum", "SELECT CAST(unnest(range(0, 65)) AS INTEGER) AS component, true AS optimal")
+def logistic_optimum(spark, sf):
+    """The fitted logistic regression is the minimum of its objective: every component of the gradient vanishes."""
+    rows = probe_rows(spark, sf).where("split = 'train'")
+    model = models.estimator("logistic", "classification")(rows)
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate([*model.coefficients, model.intercept])], "component int, w double")  # a row a feature
+    wrong = F.col("probability") - F.col("label")
+    parts = model.transform(rows).select(F.posexplode(F.transform(F.concat(vector_to_array("features"), F.array(F.lit(1.0))), lambda x: x * wrong)).alias("component", "g"))
+    sums = parts.groupBy("component").agg(F.sum("g").alias("g"), F.sum(F.abs("g")).alias("size"))
+    return sums.join(F.broadcast(weights), "component").select("component", (F.abs(F.col("g") + F.col("w")) <= 1e-3 * F.col("size")).alias("optimal"))
+
+
 @query("probe_failures", f"WITH e AS (SELECT vec_id AS doc_id, CAST(vec_id % 3 AS INTEGER) AS layer FROM embeddings), f AS (SELECT layer, CASE WHEN layer = 2 THEN 'test' ELSE {_SPLIT} END AS split FROM e) SELECT layer, CASE WHEN layer = 2 THEN 0 ELSE count(*) FILTER (split <> 'train') END AS predicted, CASE WHEN layer = 2 THEN 'ValueError: no training rows' END AS error FROM f GROUP BY layer")
 def probe_failures(spark, sf):
     """A group without training rows reports it, and the others are predicted."""
