@@ -265,3 +265,11 @@ def test_a_source_of_few_long_documents_meets_its_target(spark):
     df = spark.createDataFrame([(i, "w " * n, "s0") for i, n in enumerate((100_000, 100_001, 100_002))] + [(9, "x " * 400_000, "s1")], "doc_id long, text string, source string")
     for size, taken, target, *_ in check_mix(df).values():
         assert 0 <= target - taken < 100_000
+
+
+def test_a_document_of_several_blocks(monkeypatch):
+    monkeypatch.setattr(token_codec, "LANES", 1)
+    draw = np.random.default_rng(6)
+    flat, sizes = draw.integers(0, 900, 3000).astype(np.uint32), np.array([2500, 0, 500])
+    keys, back, ids = token_codec.decode_frame(token_codec.encode_frame([4, None, 6], sizes, flat))
+    assert keys == [4, None, 6] and (back == sizes).all() and (ids == flat).all()
