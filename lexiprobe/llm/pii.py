@@ -223,7 +223,7 @@ TEMPLATES = (
     ("secret", "and ", "#" * 24, " or", 0), ("secret", "at ", "@@@@@/@@@@@@/@@@@@@@@/##", ",", 0), ("secret", "to ", "@" * 21 + "##", "", 0), ("secret", "commit: ", "~" * 40, ".", 0),
 )
 #: Rows written from each template, and parts that the templates are dealt into for calibration.
-WRITTEN, FOLDS = 256, 5
+WRITTEN, FOLDS = 128, 5
 
 
 def _written(spark: SparkSession, rows: int = WRITTEN) -> DataFrame:
@@ -246,45 +246,48 @@ def _written(spark: SparkSession, rows: int = WRITTEN) -> DataFrame:
 
 def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> list:
     """Second-order boosting of the logistic loss on integer features; a tree is nested tuples."""
-    edges = [np.unique(x[:, f])[:-1] for f in range(x.shape[1])]
+    values = [np.unique(x[:, f]) for f in range(x.shape[1])]
+    code = np.stack([np.searchsorted(v, x[:, f]) for f, v in enumerate(values)])
     margin, trees = np.zeros(len(y)), []
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        gain = lambda a, b: a * a / (b + penalty)
+        total_g, total_h = g[rows].sum(), h[rows].sum()
         best = (1e-6, None, None)
-        if left:
-            for f, cuts in enumerate(edges):
-                for cut in cuts:
-                    low = x[rows, f] <= cut
-                    gl, hl = g[rows][low].sum(), h[rows][low].sum()
-                    gr, hr = g[rows].sum() - gl, h[rows].sum() - hl
-                    if hl > 1 and hr > 1 and (v := gain(gl, hl) + gain(gr, hr) - gain(gl + gr, hl + hr)) > best[0]:
-                        best = (v, f, int(cut))
+        for f in range(len(values)) if left else ():
+            # Sums over the rows up to each value but the last.
+            low_g, low_h = (np.cumsum(np.bincount(code[f, rows], s[rows], len(values[f])))[:-1] for s in (g, h))
+            high_g, high_h = total_g - low_g, total_h - low_h
+            gain = np.where((low_h > 1) & (high_h > 1), low_g**2 / (low_h + penalty) + high_g**2 / (high_h + penalty) - total_g**2 / (total_h + penalty), 0.0)
+            if len(gain) and gain.max() > best[0] + 1e-12:
+                best = (float(gain.max()), f, int(values[f][gain.argmax()]))
         if best[1] is None:
-            return float(-rate * g[rows].sum() / (h[rows].sum() + penalty))
+            return float(-rate * total_g / (total_h + penalty))
         low = x[rows, best[1]] <= best[2]
         return (best[1], best[2], grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1))
 
-    def at(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
-
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         tree = grow(np.arange(len(y)), w * (p - y), w * p * (1 - p), depth)
         trees.append(tree)
-        margin += np.array([at(tree, row) for row in x])
+        margin += _leaves(tree, x)
     return trees
 
 
-def _tree_column(tree, f: Column, generator: int) -> Column:
-    """A tree's value; splits on the generator, which is known, need no condition."""
+def _leaves(tree, x: np.ndarray) -> np.ndarray:
+    """A tree's value for each row."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], _leaves(tree[2], x), _leaves(tree[3], x))
+
+
+def _tree_sql(tree, at: str, generator: int) -> str:
+    """A tree's value over the struct ``at``; splits on the generator, which is known, need no condition."""
     if not isinstance(tree, tuple):
-        return F.lit(tree)
+        return f"{tree!r}D"
+    low, high = (_tree_sql(t, at, generator) for t in tree[2:])
     if FEATURES[tree[0]] == "generator":
-        return _tree_column(tree[2] if generator <= tree[1] else tree[3], f, generator)
-    return F.when(f[FEATURES[tree[0]]] <= tree[1], _tree_column(tree[2], f, generator)).otherwise(_tree_column(tree[3], f, generator))
+        return low if generator <= tree[1] else high
+    return f"IF({at}.{FEATURES[tree[0]]} <= {tree[1]}, {low}, {high})"
 
 
 class SpanModel:
@@ -293,21 +296,19 @@ class SpanModel:
     def __init__(self, trees: list, thresholds: dict[str, float], recall: dict[str, float]):
         self.trees, self.thresholds, self.recall = trees, thresholds, recall
 
-    def score(self, f: Column, generator: int) -> Column:
-        total = F.lit(0.0)
-        for tree in self.trees:
-            total = total + _tree_column(tree, f, generator)
-        return total
+    def score(self, at: str, generator: int) -> str:
+        """SQL of the score of a struct of features; as text, since thousands of columns are slow to make one by one."""
+        return " + ".join(_tree_sql(tree, at, generator) for tree in self.trees)
 
 
 def _candidates(text: Column, kind: str) -> Column:
     """The generator's spans; texts that cannot hold one are passed over by tests that each of its matches meets."""
     likely = {
-        "email_alt": lambda: text.rlike(r"[A-Za-z0-9._%+-]" + _AT + r"[A-Za-z0-9-]++" + _DOT + r"[A-Za-z0-9-]"),
+        "email_alt": lambda: text.rlike(_AT + r"[A-Za-z0-9-]++" + _DOT + r"[A-Za-z0-9-]"),
         "ip_alt": lambda: F.contains(text, F.lit("::")) | (F.contains(text, F.lit(":")) & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")),
         "card_alt": lambda: text.rlike(r"[0-9](?:[\x20./_-]?[0-9]){12}"),
         "phone_alt": lambda: text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
-        "secret": lambda: text.rlike(r"[A-Za-z0-9_/+-]{20}"),
+        "secret": lambda: text.rlike("[0-9]") & text.rlike(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20}"),
     }
     return F.when(likely[kind](), found(text, GENERATORS[kind])).otherwise(_none())
 
@@ -334,16 +335,11 @@ def fit(spark: SparkSession, rows: int = WRITTEN, right: float = 0.98) -> SpanMo
     weight = np.array([v for c in cells for v in (c[2], c[3] - c[2])], dtype=float)
     x, fold, label, weight = (v[weight > 0] for v in (x, fold, label, weight))
 
-    def margin(row, tree):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
-
     z = np.zeros(len(x))
     for k in range(FOLDS):
         seen, held = fold != k, fold == k
         trees = _boost(x[seen], label[seen], weight[seen])
-        z[held] = [sum(margin(row, t) for t in trees) for row in x[held]]
+        z[held] = sum(_leaves(t, x[held]) for t in trees)
     thresholds, recall = {}, {}
     for k, kind in enumerate(GENERATORS):
         thresholds[kind] = math.inf
@@ -361,11 +357,16 @@ def _placed(spans: Column, place: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("kind"), s["end"].alias("end")))
 
 
-def _selected(text: Column, kind: str, generator: int, model: SpanModel) -> Column:
-    """(start, kind, end) of the generator's candidates that overlap no base span and reach its threshold."""
-    free = _clear_of(_candidates(text, kind), F.col("base"))
-    right = F.filter(free, lambda s: _let(features(s, generator), lambda f: model.score(f, generator)) >= model.thresholds[kind])
-    return _placed(right, KINDS.index(kind))
+def _measured(text: Column, kind: str, generator: int) -> Column:
+    """(start, kind, end, f) of the generator's candidates that overlap no base span."""
+    place = F.lit(KINDS.index(kind)).alias("kind")
+    return F.transform(_clear_of(_candidates(text, kind), F.col("base")), lambda s: F.struct(s["start"].alias("start"), place, s["end"].alias("end"), features(s, generator).alias("f")))
+
+
+def _selected(measured: str, kind: str, generator: int, model: SpanModel) -> Column:
+    """(start, kind, end) of those that reach their threshold."""
+    right = f"filter({measured}, m -> {model.score('m.f', generator)} >= {model.thresholds[kind]!r}D)"
+    return F.transform(F.expr(right), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
 
 
 def _count(spans: Column, place: int) -> Column:
@@ -375,16 +376,18 @@ def _count(spans: Column, place: int) -> Column:
 def find(docs: DataFrame, model: SpanModel | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, base and added, arrays of (start, kind, end), kind by its place in KINDS.
 
-    ``carry``: further columns of ``docs`` to give, under names with two underscores in front.
+    ``carry``: further columns of ``docs`` to give, under names with ``__of_`` in front.
     """
     model = model or fit(docs.sparkSession)
     text = F.col("text")
-    carried = [F.col(c).alias(f"__{c}") for c in carry]
+    carried = [F.col(c).alias(f"__of_{c}") for c in carry]
     base = base_spans(text)
     with_base = docs.select("doc_id", text_or_empty().alias("text"), *carried).withColumn("base", F.concat(*[_placed(base[kind], k) for k, kind in enumerate(KINDS[:4])]))
-    proposed = [_selected(text, kind, k, model) for k, kind in enumerate(GENERATORS) if model.thresholds[kind] < math.inf]
+    used = [(k, kind) for k, kind in enumerate(GENERATORS) if model.thresholds[kind] < math.inf]
+    with_base = with_base.withColumns({f"__{kind}": _measured(text, kind, k) for k, kind in used})
+    proposed = [_selected(f"__{kind}", kind, k, model) for k, kind in used]
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
-    return with_base.select("doc_id", "base", F.concat(none, *proposed).alias("added"), *[f"__{c}" for c in carry])
+    return with_base.select("doc_id", "base", F.concat(none, *proposed).alias("added"), *[f"__of_{c}" for c in carry])
 
 
 def written(spans: Column) -> Column:
@@ -395,7 +398,7 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mask: str = "*", model: SpanModel | None = None) -> DataFrame:
     """doc_id and text, in which every span is masked, code point by code point; overlapping spans are masked together."""
-    found_ = find(docs, model, ("text",)).select("doc_id", F.coalesce("__text", F.lit("")).alias("text"), F.array_sort(F.concat("base", "added")).alias("spans"))
+    found_ = find(docs, model, ("text",)).select("doc_id", F.coalesce("__of_text", F.lit("")).alias("text"), F.array_sort(F.concat("base", "added")).alias("spans"))
 
     def masked(spans: Column) -> Column:
         reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
