@@ -190,12 +190,13 @@ LEAST, MOST = 4, 2000
 
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A row per document in the shape of the raw complexity files, with doc_id and source."""
-    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", tfidf.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    # Texts with words; a condition on the words themselves would have them taken apart twice.
+    d = read(spark, sf, "documents").where(F.col("text").rlike(r"[^ \t\n\r]")).select("doc_id", "text", "lang", tfidf.tokens(F.col("text")).alias("w"))
     n = F.size("w").cast("double")
     count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
     return d.select(
-        "doc_id", (F.length(F.regexp_replace("text", r"[ \t\n\r]", "")) / n).alias("avg_links_len"), F.array_max(F.transform(F.split("text", "\n"), F.length)).cast("double").alias("avg_max_depth"),
-        (count(",") / (1.0 + count("."))).alias("avg_subordinate_chain_len"), (F.size(F.array_distinct("w")) / n).alias("avg_verb_edges"), (F.size(F.filter("w", lambda x: F.length(x) > 3)) / n).alias("lexical_density"), n.alias("n_tokens"),
+        "doc_id", (F.length(F.translate("text", " \t\n\r", "")) / n).alias("avg_links_len"), F.array_max(F.transform(F.split("text", "\n"), F.length)).cast("double").alias("avg_max_depth"),
+        (count(",") / (1.0 + count("."))).alias("avg_subordinate_chain_len"), (F.size(F.array_distinct("w")) / n).alias("avg_verb_edges"), (F.regexp_count("text", F.lit(r"[^ \t\n\r]{4,}")) / n).alias("lexical_density"), n.alias("n_tokens"),
         F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, "polar").otherwise("content").alias("type"), F.when(F.col("doc_id") % 4 == 0, "ud").otherwise("tydi").alias("source"),
     )
 
