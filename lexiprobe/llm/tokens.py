@@ -36,7 +36,7 @@ _STOP = re.compile(r"[.,](?<![^\W_].)", re.DOTALL)
 #: Words of letters that are normal forms and have lower cases of one letter each.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: Pieces remembered at most, where the caller doesn't say, and ids in them for each; it bounds memory and changes no result.
-_MOST, _IDS = 400_000, 10
+_MOST, _IDS = 250_000, 10
 #: Characters of the longest piece that is remembered.
 _LONG = 48
 _open: dict[str, "Encoder"] = {}
@@ -256,7 +256,7 @@ def encoder(path: str, most: int | None = None) -> Encoder:
     return _open[path]
 
 
-def batches(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: pa.Array, most: int = 3_400_000) -> Iterator[tuple[int, int]]:
     """Slices (from, to) of about ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at = size = 0

@@ -106,10 +106,9 @@ def log_count_ratios(present: list[np.ndarray], y: np.ndarray, alpha: float = 1.
     Cells that say little either way (below ``least``), or that too few texts hold to tell from
     chance (a share ``rare`` of all, and two), have none: it keeps long texts clean.
     """
-    rows = np.repeat(np.arange(len(present)), [len(p) for p in present])
-    cells = np.concatenate(present) if present else np.zeros(0, np.int64)
-    p = alpha + np.bincount(cells, weights=y[rows], minlength=CELLS)
-    q = alpha + np.bincount(cells, weights=1 - y[rows], minlength=CELLS)
+    p, q = np.full(CELLS, alpha), np.full(CELLS, alpha)
+    for cells, kind in zip(present, y):  # a text's cells are distinct
+        (p if kind == 1 else q)[cells] += 1
     ratio = np.log(p / (y.sum() + 2 * alpha)) - np.log(q / ((1 - y).sum() + 2 * alpha))
     ratio[(np.abs(ratio) < least) | (p + q - 2 * alpha < max(2, rare * len(present)))] = 0.0
     return ratio
@@ -118,10 +117,9 @@ def log_count_ratios(present: list[np.ndarray], y: np.ndarray, alpha: float = 1.
 def fit_linear(present: list[np.ndarray], y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> NbLinear:
     """Ridge-penalised logistic regression on the scaled n-grams of each text, its row divided by the root of their number."""
     ratio = log_count_ratios(present, y)
-    rows = np.repeat(np.arange(len(present)), [len(p) for p in present])
-    cells = np.concatenate(present)
-    keep = ratio[cells] != 0
-    rows, cells = rows[keep], cells[keep]
+    there = [c[ratio[c] != 0] for c in present]  # far fewer than all n-grams
+    rows = np.repeat(np.arange(len(present)), [len(c) for c in there])
+    cells = np.concatenate(there)
     used, at = np.unique(cells, return_inverse=True)
     r = ratio[used]
     norm = np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(present))))[rows]
@@ -148,7 +146,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float = 0.5) -> NbLinear:
     equal weight; their real shares then shift it. If no n-gram tells the classes apart, the score is
     that share, and below one half.
     """
-    present = [np.unique(np.concatenate(ngram_cells(t))) for t in texts]
+    present = [np.unique(np.concatenate(ngram_cells(t))).astype(np.int32) for t in texts]
     y = toxic.astype(np.float64)
     model = fit_linear(present, y)
     half = np.zeros(len(texts), dtype=np.int64)
