@@ -16,6 +16,7 @@ _QUERIES = (
     ("op8_pii", "pii", None),
     ("op9_token_ids", "token_codec", None),
     ("op10_mixing", "mixing", None),
+    ("op11_centroids", "elkan_kmeans", "OP11_SQL"),
 )
 
 
