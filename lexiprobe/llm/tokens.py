@@ -105,12 +105,14 @@ _BREAK = "\u010a"  # a line break in that alphabet
 class Encoder:
     """Turns arrays of texts into ids."""
 
-    def __init__(self, path: str, most: int | None = None):
+    def __init__(self, path: str, most: int | None = None, plain: bool = False):
+        """``plain``: strings of special tokens are ordinary text."""
         self.most = most or _MOST
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self._borders()
         self._stripped(path)
         self._forget()
@@ -169,7 +171,7 @@ class Encoder:
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole else np.zeros(0, np.uint8)
         offsets -= offsets[0]
-        pieces, bounds = self._cut(data, offsets, _odd(texts, data, offsets))
+        pieces, bounds = self._cut(data, offsets, self._odd(texts, data, offsets))
         coded = pieces.dictionary_encode()
         place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         if end_id is not None:
@@ -183,6 +185,9 @@ class Encoder:
         at += np.arange(len(at))
         return self.ids[at], np.diff(ends[bounds])
 
+    def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        return _odd(texts, data, offsets)
+
     @staticmethod
     def _cut(data: np.ndarray, offsets: np.ndarray, odd: list[int]) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts, and the place of each text's first piece (and of the end)."""
