@@ -78,7 +78,7 @@ class PieceEncoder(Encoder):
         self.most, self.words, self.begins = most, None, True
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.whole = any("▁" in n.lstrip("▁") for n in names)
+        self.whole = "▁" not in names or any("▁" in n.lstrip("▁") for n in names)
         self._forget()
 
     def _odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[int]:
@@ -97,6 +97,7 @@ class PieceEncoder(Encoder):
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.model.encode([t[1:] for t in texts], num_threads=1)
+        got = [ids if t != " " else [self.model.piece_to_id("▁")] for t, ids in zip(texts, got)]  # that library adds no space to nothing
         return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array(list(map(len, got)), dtype=np.int64)
 
     def spelled(self) -> list[bytes]:
