@@ -17,6 +17,7 @@ _QUERIES = (
     ("op9_token_ids", "token_codec", None),
     ("op10_mixing", "mixing", None),
     ("op11_centroids", "elkan_kmeans", "OP11_SQL"),
+    ("op12_jaccard_join", "partition_join", None),
     ("op13_alignment", "token_alignment", None),
 )
 
