@@ -17,10 +17,10 @@ Defined results
 ---------------
 * Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
   vectors whose length is not the most frequent one. Rows with a null vec_id take no part.
-* Ties in distance fall to the smaller vec_id. Of equal vectors only the k + 1 of smallest id can be
-  among anyone's k nearest, so only those are searched; the result is that of searching all. A
-  repeated row (same id) is its own duplicate: an id is listed once for each of its rows, never for
-  a query of that id.
+* Ties in distance fall to the smaller vec_id. Of equal vectors only those of the k + 1 smallest ids
+  can be among anyone's k nearest, and of equal rows only k, so only those are searched; the result is
+  that of searching all. An id is listed once for each of its rows, never for a query of that id. An
+  id of several vectors asks with the smallest of them, component by component.
 * With fewer candidates than k a query has all of them. An empty table gives an empty result. Only
   ``vec_id`` and ``embedding`` are read, so further columns may have any name.
 """
@@ -166,15 +166,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMP
     if sizes is None:
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("v") == sizes["d"])
-    n, n_queries = sizes["count"], rows.where(F.col("vec_id") % every == 0).count()
+    n, n_queries = sizes["count"], rows.where(F.col("vec_id") % every == 0).select("vec_id").distinct().count()
     blocks, parts = -(-n // (block or block_rows(n))), max(1, -(-n_queries // queries))
     drawn = bounded_sample(rows, "vec_id", sample, seed=2).orderBy("vec_id").select("v").collect()
     model = Codes(np.array([r["v"] for r in drawn]), BITS)
-    # Of equal vectors the k + 1 of smallest id, in two steps, so that no group meets in one task.
-    salted = rows.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
+    # Of equal vectors those of the k + 1 smallest ids, in two steps, so that no group meets in one task.
+    distinct = rows.groupBy("vec_id", "same", "v").agg(F.count("*").alias("copies"))
+    salted = distinct.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
     few = salted.withColumn("at", F.row_number().over(W.partitionBy("same", "v", "salt").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     few = few.withColumn("at", F.row_number().over(W.partitionBy("same", "v").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    asked = rows.where(F.col("vec_id") % every == 0)
+    few = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("int"))))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts))
     # Each block of rows meets each block of queries: one stated query set against all rows.
     left = few.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(False).alias("asks"))
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMP
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         stored = pdf[~pdf["asks"]].sort_values("vec_id")
-        asking = pdf[pdf["asks"]].drop_duplicates("vec_id").sort_values("vec_id")
+        asking = pdf[pdf["asks"]].sort_values("vec_id")
         out = []
         if len(stored) and len(asking):
             index = BlockIndex(sent.value, stored["vec_id"].to_numpy(), np.stack(stored["v"].to_numpy()))

@@ -28,8 +28,8 @@ from .common import WORD, Scratch, read
 
 #: The dynamic program runs over a remaining budget of at most so many words (times the lengths' common divisor).
 DP_WORDS = 1 << 24
-#: Sources of at most so many documents are fitted by trying all sets.
-ENUMERATED = 16
+#: Sources of at most so many documents are fitted over all sets: the sums of either half meet in the middle.
+ENUMERATED = 40
 #: Parts by hash into which the documents of one length are counted, so that no length is one task.
 HASH_PARTS = 256
 
@@ -68,7 +68,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     last one of DP_WORDS. So the sum is the largest one not above the budget for budgets up to DP_WORDS
     (times the lengths' common divisor), and for sources of up to ENUMERATED documents. Beyond that
     it is the largest that differs from the proportional choice within DP_WORDS words; subset sums of
-    any size have no bounded method. Memory: five bytes a word of the gap.
+    any size have no bounded method. Memory: five bytes a word of the gap. Documents without words
+    are taken by whole passes alone.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -77,7 +78,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return _enumerated(lengths, counts, budget)
     unit = int(np.gcd.reduce(lengths[lengths > 0]))
     size, budget = lengths // unit, budget // unit
-    take = (counts * budget) // max(total // unit, 1)
+    take = np.where(lengths > 0, (counts * budget) // max(total // unit, 1), 0)
     left = budget - int((take * size).sum())
     longest, shortest = np.argsort(-size, kind="stable"), np.argsort(size, kind="stable")
     for window in (1 << 16, 1 << 20, DP_WORDS):
@@ -101,13 +102,22 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 
 def _enumerated(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The best set of a few documents, out of all."""
+    """The best set of a few documents, out of all: for each set of the first half, the best of the second."""
     which = np.repeat(np.arange(len(lengths)), np.where(lengths > 0, counts, 0))
-    sums = np.zeros(1, dtype=np.int64)
-    for k in which:
-        sums = np.concatenate([sums, sums + lengths[k]])  # bit i of a place: whether document i is in
-    best = int(np.where(sums <= budget, sums, -1).argmax())
-    return np.bincount(which[[i for i in range(len(which)) if best >> i & 1]], minlength=len(lengths)).astype(counts.dtype)
+    half = len(which) // 2
+
+    def sums(documents: np.ndarray) -> np.ndarray:
+        out = np.zeros(1, dtype=np.int64)
+        for k in documents:
+            out = np.concatenate([out, out + lengths[k]])  # bit i of a place: whether document i is in
+        return out
+
+    one, other = sums(which[:half]), sums(which[half:])
+    order = np.argsort(other, kind="stable")
+    at = np.searchsorted(other[order], budget - one, "right") - 1
+    best = int(np.where(at >= 0, one + other[order[np.maximum(at, 0)]], -1).argmax())
+    bits = best | int(order[at[best]]) << half
+    return np.bincount(which[[i for i in range(len(which)) if bits >> i & 1]], minlength=len(lengths)).astype(counts.dtype)
 
 
 def _reached(size: np.ndarray, free: np.ndarray, gap: int) -> tuple[np.ndarray, int]:

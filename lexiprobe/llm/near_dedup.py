@@ -13,10 +13,9 @@ register values name the buckets in which documents meet.
    rule it out; all other pairs are verified on the full sets. Verified links give components.
 3. What shares a bucket but no component is then compared in blocks of bounded rows and bytes, by its
    sketches and, where those find a pair likely, by the full sets. Only verified links leave a block,
-   so a bucket is never expanded into pairs. A bucket of more than 2 ** 24 pairs is divided first:
-   nodes of it are compared if they share a second band, which a pair of similarity 0.8 fails to do
-   in one case of a million. A row is copied to each block of the other kind, so in what is left of
-   a bucket of n rows both time and rows grow with n * n, the rows divided by 1024.
+   so a bucket is never expanded into pairs, and every pair of a bucket is compared however large it
+   is. A row's name is copied to each block of the other kind, so in a bucket of n rows, m of which
+   are in other components than its leader, time grows with n * m and rows with n * m / 1024.
 
 Defined results
 ---------------
@@ -41,8 +40,8 @@ from .common import WORD, Scratch, claim, read, rows_kept, text_or_empty
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Rows and shingles of a block, about; pairs of a bucket beyond which it is divided by further bands.
-_ROWS, _SHINGLES, _PAIRS = 1024, 1 << 22, 1 << 24
+#: Rows and shingles of a block, about.
+_ROWS, _SHINGLES = 1024, 1 << 22
 #: Elements hashed at a time; they stay in a core's cache over all registers.
 _CHUNK = 1 << 15
 
@@ -203,7 +202,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int,
 def _opened(at: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """What meets in buckets of several labels: its rows, and a row a bucket with the numbers of its blocks.
 
-    ``at``: bucket, inner, node, label, n_shingles. In each pair of differing labels one is not the
+    ``at``: bucket, node, label, n_shingles. In each pair of differing labels one is not the
     leader's, so it is enough that those rows ("asking") meet all rows of their bucket. Aggregates
     are written before they are joined: both sides of a join are then plain exchanges, and adaptive
     execution can split a bucket that holds a large part of all rows.
@@ -215,11 +214,11 @@ def _opened(at: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, Data
     asks = F.col("asks").cast("long")
     blocks = lambda n, words: F.greatest(F.ceil(n / _ROWS), F.ceil(words / _SHINGLES)).cast("long")
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"), F.sum(asks).alias("asking"), F.sum(asks * F.col("n_shingles")).alias("asking_words"))
-    return rows, scratch.keep(sums.select("bucket", (F.col("n") * F.col("asking")).alias("pairs"), blocks(F.col("asking"), F.col("asking_words")).alias("n_i"), blocks(F.col("n"), F.col("words")).alias("n_j")), f"{name}-sums")
+    return rows, scratch.keep(sums.select("bucket", blocks(F.col("asking"), F.col("asking_words")).alias("n_i"), blocks(F.col("n"), F.col("words")).alias("n_j")), f"{name}-sums")
 
 
 def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
-    """(bucket, inner, i, j, asks, node, label): asking rows are dealt into blocks i, all rows into blocks j.
+    """(bucket, i, j, asks, node, label): asking rows are dealt into blocks i, all rows into blocks j.
 
     A task compares one block of each kind at a time: by the numbers in ``sums`` some _ROWS rows and
     _SHINGLES shingles of each. So every row is there once for each block of the other kind.
@@ -227,24 +226,14 @@ def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
     at = rows.join(sums, "bucket")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c))
-    asking = at.where("asks").select("bucket", "inner", own("n_i", 1).alias("i"), upto("n_j").alias("j"), F.lit(True).alias("asks"), "node", "label")
-    asked = at.select("bucket", "inner", upto("n_i").alias("i"), own("n_j", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
+    asking = at.where("asks").select("bucket", own("n_i", 1).alias("i"), upto("n_j").alias("j"), F.lit(True).alias("asks"), "node", "label")
+    asked = at.select("bucket", upto("n_i").alias("i"), own("n_j", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
     return asking.unionByName(asked)
 
 
-def _meetings(at: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The blocks of all buckets; large buckets are divided by the nodes' further bands first.
-
-    Links share many bands, so in a bucket of more than _PAIRS pairs it is enough to compare nodes
-    that share a second one ("inner" buckets). Those that are still large are compared in blocks.
-    """
-    rows, sums = _opened(at.withColumn("inner", F.lit(False)), scratch, "meet")
-    large = sums.where(F.col("pairs") > _PAIRS)
-    if large.isEmpty():
-        return _blocks(rows, sums)
-    within = rows.join(large.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node").select("bucket", "node", "label", "n_shingles", F.explode("bands").alias("band"))
-    within = within.where("band != bucket").select(F.xxhash64("bucket", "band").alias("bucket"), F.lit(True).alias("inner"), "node", "label", "n_shingles")
-    return _blocks(rows, sums.where(F.col("pairs") <= _PAIRS)).unionByName(_blocks(*_opened(scratch.keep(within, "within"), scratch, "inner")))
+def _meetings(at: DataFrame, scratch: Scratch) -> DataFrame:
+    """The blocks of all buckets."""
+    return _blocks(*_opened(at, scratch, "meet"))
 
 
 def _grouped(rows: DataFrame, handle, schema: str) -> DataFrame:
@@ -278,7 +267,7 @@ class _Block:
 
     def __init__(self, group: pa.Table, sketch: SetSketch, rows: int, percent: int, least: float):
         self.sketch, self.rows, self.percent, self.least = sketch, rows, percent, least
-        self.bucket, self.inner = group.column("bucket")[0].as_py(), group.column("inner")[0].as_py()
+        self.bucket = group.column("bucket")[0].as_py()
         self.asking = int(group.column("asks").to_numpy().sum())
         self.ids = group.column("node").to_pylist()
         self.label = np.unique(np.array(group.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
@@ -286,10 +275,7 @@ class _Block:
         self.regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
 
     def likely(self, x: int) -> np.ndarray:
-        """Places of the likely partners of another label that share no earlier bucket with row x.
-
-        In an inner bucket of a large one, those that share an earlier bucket are there as well.
-        """
+        """Places of the likely partners of another label that share no earlier bucket with row x."""
         k, regs, size = self.asking, self.regs, self.size
         y = k + np.flatnonzero((self.label[k:] != self.label[x]) & _fits(size[k:], size[x], self.percent))
         if len(y):
@@ -298,7 +284,7 @@ class _Block:
             same = regs[y] == regs[x]
             near = same.sum(1) >= (self.least - 0.15) * self.sketch.m
             y, same = y[near], same[near]
-        if len(y) and not self.inner:
+        if len(y):
             band = same.reshape(len(y), -1, self.rows).all(2).argmax(1)
             y = y[np.isin(band, [b for b in set(band.tolist()) if _bucket(regs[x], b, self.rows) == self.bucket])]
         if len(y):
@@ -325,10 +311,10 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
         kept = group.filter(pa.array(stay))
         return pa.RecordBatch.from_arrays([pa.array(kept.column(c).to_pylist(), t) for c, t in kinds.items()], names=list(kinds))
 
-    kinds = {"bucket": pa.int64(), "inner": pa.bool_(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
-    columns = ("bucket", "i", "j", "asks", "inner", "node", "label", "n_shingles", "registers")
-    blocks = with_registers(_meetings(met, nodes, scratch)).select(*columns)
-    left = scratch.keep(_grouped(blocks, sift, "bucket long, inner boolean, i long, j long, asks boolean, node binary, label binary"), "sifted")
+    kinds = {"bucket": pa.int64(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
+    columns = ("bucket", "i", "j", "asks", "node", "label", "n_shingles", "registers")
+    blocks = with_registers(_meetings(met, scratch)).select(*columns)
+    left = scratch.keep(_grouped(blocks, sift, "bucket long, i long, j long, asks boolean, node binary, label binary"), "sifted")
 
     def verify(group: pa.Table) -> pa.RecordBatch:
         block = _Block(group, sketch, rows, percent, least)
@@ -406,7 +392,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
     entries = some.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = scratch.keep(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
     met = scratch.keep(entries.join(shared, "bucket").distinct(), "met")
-    nodes = scratch.keep(some.select("node", "n_shingles", "registers", "bands").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    nodes = scratch.keep(some.select("node", "n_shingles", "registers").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
     # Full sets of the documents that meet others, from their whole texts.
     one = first.join(nodes.select("node"), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
     sets = scratch.keep(_sets(docs, one, width), "sets")
@@ -420,7 +406,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
     # What still shares a bucket but no component.
     at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label")), "at")
     more = scratch.keep(_apart(at, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
-    scratch.drop("at", "leaders", "sifted", "within", *(f"{a}-{b}" for a in ("meet", "inner") for b in ("open", "rows", "sums")))
+    scratch.drop("at", "leaders", "sifted", "meet-open", "meet-rows", "meet-sums")
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "more-labels")
     scratch.drop("likely", "met", "nodes", "sets")
@@ -449,6 +435,7 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
     # A row whose text is not the node's (an id with several texts) is left out in ``run``.
     schema = "node binary, shingles array<long>"
     by_id = docs.select("doc_id", "text").join(one.where("doc_id IS NOT NULL"), "doc_id").select("node", "text").mapInArrow(run, schema)
+    by_id = by_id.dropDuplicates(["node"])  # a repeated row gives its set again
     nameless = one.where("doc_id IS NULL").select("node")
     if nameless.isEmpty():
         return by_id

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, read, ship
 from .tokens import batches, encoder
@@ -127,7 +128,7 @@ def pack(
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packer, out = Packer(length, windows * MERGED, 1), _Rows(0, with_ids)
         out.next = -(int(key[0]) + 1) * STEP  # below 0: no other sequence has these
-        pieces = sorted(zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["start"], pdf["ids"], pdf["doc_tokens"], pdf["sequence_id"], pdf["offset"]), key=lambda p: (-len(p[2]), p[4], p[5]))
+        pieces = sorted(zip(pdf["doc_id"], pdf["start"], pdf["ids"], pdf["doc_tokens"], pdf["sequence_id"], pdf["offset"]), key=lambda p: (-len(p[2]), p[4], p[5]))
         total = sum(len(p[2]) // 4 for p in pieces)
         packer.windows = -(-total // length)  # as few as hold them all
         for doc_id, start, ids, whole, _, _ in pieces:
@@ -139,7 +140,8 @@ def pack(
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     placed = scratch.keep(docs.select("doc_id", "text").mapInArrow(partition, _SCHEMA), "placed")
-    groups = placed.where("left_of is not null").selectExpr("*", f"left_of div {MERGED} as merged")
+    # Ids go as text: a column of longs and nulls would reach pandas as floats, which hold 53 bits.
+    groups = placed.where("left_of is not null").selectExpr("*", f"left_of div {MERGED} as merged").withColumn("doc_id", F.col("doc_id").cast("string"))
     merged = groups.groupBy("merged").applyInPandas(merge, _SCHEMA)
     return placed.where("left_of is null").unionByName(merged).drop("left_of")
 

@@ -108,10 +108,10 @@ def test_registers_merge_and_estimate():
         assert abs(est - len(part) / len(u)) < 0.15
 
 
-@pytest.mark.parametrize("pairs, rows_, words", [(1 << 24, 1024, 1 << 22), (100, 1024, 1 << 22), (100, 7, 1 << 22), (1 << 24, 1024, 400)])
-def test_blocks_find_links_that_leaders_miss(spark, monkeypatch, pairs, rows_, words):
+@pytest.mark.parametrize("rows_, words", [(1024, 1 << 22), (7, 1 << 22), (1024, 400)])
+def test_blocks_find_links_that_leaders_miss(spark, monkeypatch, rows_, words):
     """Many near copies of different degree around one text: components as by brute force, however buckets are divided."""
-    for name, value in (("_PAIRS", pairs), ("_ROWS", rows_), ("_SHINGLES", words)):
+    for name, value in (("_ROWS", rows_), ("_SHINGLES", words)):
         monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(150)]
@@ -137,3 +137,15 @@ def test_rows_without_ids_link_others(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, width=2).collect()), key=key)
     assert got == sorted(brute(rows, 2), key=key)
     assert {c for k, _, c in got if k in (5, 7)} == {5}
+
+
+def test_repeated_rows_are_one_set(spark, monkeypatch):
+    """Hundreds of rows of two near copies: one set each, and one verified pair."""
+    seen = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, sets, percent: seen.append((pairs.count(), sets.count(), verified(pairs, sets, percent).count())) or verified(pairs, sets, percent))
+    a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(101))
+    df = spark.createDataFrame([(1, a), (2, b)] * 300, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, width=2).select("doc_id", "component_id").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
+    assert seen == [(1, 2, 1)]

@@ -92,6 +92,14 @@ def test_packing_messy_rows(messy, nothing):
     assert sum(p["length"] for p in packing.pack(messy, BYTES).collect()) == total
 
 
+def test_packing_keeps_large_ids(spark):
+    """Ids beyond 53 bits beside null ones, in the leftovers that are merged."""
+    ids = [(1 << 53) + 1, None, (1 << 53) + 3, -(1 << 62) - 1, 7]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").repartition(4)
+    got = packing.pack(df, BYTES, with_ids=False).select("doc_id").collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted(ids, key=str)
+
+
 def test_blocks_round_trip():
     draw = np.random.default_rng(0)
     for n in (1, 2, 511, 512, 513, 5000, 70_000):
@@ -261,6 +269,21 @@ def test_fit_lengths_of_long_documents_is_best(monkeypatch, enumerated):
         assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == max(sums)
 
 
+def test_two_dozen_long_documents_miss_almost_nothing():
+    draw = np.random.default_rng(4)
+    for n in (17, 24, 40):
+        lengths = np.unique(draw.integers(2_000_000, 60_000_000, n))
+        counts = np.ones(len(lengths), dtype=np.int64)
+        budget = int(lengths.sum() * 0.4)
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take <= 1).all() and 0 <= budget - (take * lengths).sum() < (5000 if n == 17 else 100)
+
+
+def test_documents_without_words_are_taken_by_whole_passes():
+    take = mixing.fit_lengths(np.array([0, 10]), np.array([100, 100]), 500)
+    assert take.tolist() == [0, 50]
+
+
 def test_a_source_of_few_long_documents_meets_its_target(spark):
     df = spark.createDataFrame([(i, "w " * n, "s0") for i, n in enumerate((100_000, 100_001, 100_002))] + [(9, "x " * 400_000, "s1")], "doc_id long, text string, source string")
     for size, taken, target, *_ in check_mix(df).values():

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import time
 
@@ -194,6 +195,19 @@ def test_search_of_odd_vectors(spark):
     assert mih_ann.search(df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_search_with_repeated_ids_and_vectors(spark, seed):
+    """Few vectors, many rows of one id, ids of several vectors: as a full search over all rows finds."""
+    draw = np.random.default_rng(seed)
+    points = [(1.0, 0.0), (0.6, 0.8), (0.0, 1.0), (-1.0, 0.5)]
+    rows = [(100, [1.0, 0.0])] * 11 + [(101, [1.0, 0.0]), (102, [0.5, 0.5]), (103, [1.0, 0.7])] + [(int(i), list(points[int(p)])) for i, p in zip(draw.integers(95, 106, 60), draw.integers(0, 4, 60))]
+    got = mih_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    asked = min(v for i, v in rows if i == 100)
+    near = sorted((math.dist(asked, v), i) for i, v in rows if i != 100)[:10]
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(100, i) for _, i in near]
+    assert np.allclose([r["score"] for r in got], [d for d, _ in near])
+
+
 def test_code_distances_are_complete():
     """Every code within the radius that a probing distance covers is found."""
     rng = np.random.default_rng(0)
