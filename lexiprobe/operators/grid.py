@@ -57,15 +57,20 @@ def _crossed(df: DataFrame, name: str, values) -> DataFrame:
     return df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
 
 
-def experiment_grid(spark: SparkSession) -> DataFrame:
-    """All experiments: languages x tasks x compatible models x (main and three controls), 672 rows.
+def _languages(spark: SparkSession, languages: DataFrame | None) -> DataFrame:
+    """(language): the given ones, or the published seven."""
+    return languages.select("language") if languages is not None else _crossed(spark.range(0, 1, 1, 1), "language", LANGUAGES).select("language")
+
+
+def experiment_grid(spark: SparkSession, languages: DataFrame | None = None) -> DataFrame:
+    """All experiments: languages x tasks x compatible models x (main and three controls), 96 rows a language.
 
     Columns: language, task, task_type, model_type, control_index (null: main), submetric, kind,
     dataset_config, experiment_id. Every factor is a short list.
     """
     tasks = [("question_type", "classification", None), ("complexity", "regression", None), *(("single_submetric", "regression", f) for f in FEATURES)]
     task = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.lit(k).alias("task_type"), F.lit(m).cast("string").alias("submetric")) for t, k, m in tasks]))
-    grid = _crossed(spark.range(0, 1, 1, 1), "language", LANGUAGES).select("language", task.alias("t")).select("language", "t.*")
+    grid = _languages(spark, languages).select("language", task.alias("t")).select("language", "t.*")
     grid = _crossed(_crossed(grid, "model_type", MODELS), "control_index", [None, *SEEDS])
     grid = grid.where(compatible(F.col("model_type"), F.col("task_type")))
     control, sub = F.col("control_index").isNotNull(), F.col("submetric").isNotNull()
@@ -96,16 +101,15 @@ def grid_sizes(grid: DataFrame) -> DataFrame:
     return grid.groupBy("kind", "task_type").agg(F.count("*").alias("experiments"))
 
 
-def layer_grid(spark: SparkSession, layers: int = 12) -> DataFrame:
-    """Probes: languages x labels x (main and three controls) x layers; 2688 rows."""
-    grid = _crossed(spark.range(0, 1, 1, 1), "language", LANGUAGES).select("language")
-    grid = _crossed(_crossed(grid, "label", ("question_type", "complexity", *FEATURES)), "control_index", [0, *SEEDS])
+def layer_grid(spark: SparkSession, layers: int = 12, languages: DataFrame | None = None) -> DataFrame:
+    """Probes: languages x labels x (main and three controls) x layers; 2688 rows for seven languages."""
+    grid = _crossed(_crossed(_languages(spark, languages), "label", ("question_type", "complexity", *FEATURES)), "control_index", [0, *SEEDS])
     return _crossed(grid, "layer", range(1, layers + 1))
 
 
-def finetune_grid(spark: SparkSession) -> DataFrame:
-    """Fine-tuning runs: as ``layer_grid`` without layers; 224 rows."""
-    return layer_grid(spark, 1).drop("layer")
+def finetune_grid(spark: SparkSession, languages: DataFrame | None = None) -> DataFrame:
+    """Fine-tuning runs: as ``layer_grid`` without layers; 224 rows for seven languages."""
+    return layer_grid(spark, 1, languages).drop("layer")
 
 
 def remaining(grid: DataFrame, done: DataFrame, failed: DataFrame | None = None, tries: int = 2) -> DataFrame:

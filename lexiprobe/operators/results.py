@@ -154,17 +154,19 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     return kept.crossJoin(F.broadcast(edge)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def best_per(df: DataFrame, by: Sequence[str], value: str, smallest: bool, ties: Sequence[str]) -> DataFrame:
+def best_per(df: DataFrame, by: Sequence[str], value: str, smallest: bool, ties: Sequence[str | Column]) -> DataFrame:
     """The row of best value of each group; ties fall to the first by ``ties``."""
     order = F.col(value).asc() if smallest else F.col(value).desc()
     return df.where(F.col(value).isNotNull()).withColumn("__at", F.row_number().over(W.partitionBy(*by).orderBy(order, *ties))).where("__at = 1").drop("__at")
 
 
 def best_per_task(long: DataFrame, by: Sequence[str] = ("task",)) -> DataFrame:
-    """Best accuracy of classification and best mse of regression: (task, metric, value, model, language)."""
+    """Best accuracy of classification and best mse of regression: (task, metric, value, model, language).
+
+    Ties fall to the first by language, model and layer, and to main experiments before controls."""
     fits = ((F.col("task") == "question_type") & (F.col("metric") == "accuracy")) | ((F.col("task") != "question_type") & (F.col("metric") == "mse"))
     merit = F.when(F.col("metric") == "mse", -F.col("value")).otherwise(F.col("value"))
-    return best_per(long.where(fits).withColumn("__m", merit), by, "__m", False, [c for c in ("language", "model", "layer") if c in long.columns]).drop("__m")
+    return best_per(long.where(fits).withColumn("__m", merit), by, "__m", False, [*(c for c in ("language", "model", "layer") if c in long.columns), *(F.desc(c) for c in ("experiment_type",) if c in long.columns)]).drop("__m")
 
 
 def features_vs_probes(features: DataFrame, probes: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Queries over the standard tables, and the SQL that gives the same rows.
 
-The tables hold no questions and no experiment results. So texts stand in for questions where volume
-counts, hand-labelled sentences where labels count, and the experiment grid with numbers drawn from
-MD5 for results; SQL repeats each of these. Syntactic features are inputs of the published pipeline;
-here simple text measures take their places.
+The tables hold no questions and no experiments. So texts stand in for questions where volume counts,
+hand-labelled sentences dealt to the documents where labels count; experiments are baselines of one
+binned measure that are fitted on the documents' rows, and SQL fits them again. Syntactic features
+are inputs of the published pipeline; here simple text measures take their places.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import annotations as ann
 from .functions import questions as q
 from .operators import checks, grid, metrics, models, normalize, projection, results, sampling, tfidf
-from .plans import datasets, labelling
+from .plans import datasets, grouped, labelling
 from .schemas import FEATURES, LANGUAGES, MODELS, RESULT, SCORE, dataset_configs
 from .sentences import SENTENCES
-from .sources import readers
+from .sources import readers, shared
 from .sources.shared import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,8 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.bround(c, digits) for c in columns})
+    """The columns rounded half to even, without negative zeros."""
+    return df.withColumns({c: F.bround(c, digits) + F.lit(0.0) if df.schema[c].dataType.simpleString() == "double" else F.bround(c, digits) for c in columns})
 
 
 def _list(values) -> str:
@@ -366,24 +368,30 @@ def conllu_sentences(spark, sf):
     return readers.conllu(spark, path, "*.txt").select(of.alias("doc_id"), "text", F.size("lines").alias("lines"))
 
 
-@query("mock_dataset", "SELECT i AS doc_id, 'text ' || CAST(i AS VARCHAR) AS text, CAST(i % 2 AS INTEGER) AS question_type, round_even(0.1 + (i % 10) * 0.1, 6) AS complexity_score, round_even(greatest(0.0, least(1.0, 0.1 + (i % 10) * 0.1 - 0.1)), 6) AS avg_links_len FROM (SELECT unnest(range(0, 100)) AS i)")
+@query("mock_dataset", "SELECT doc_id, 'text ' || CAST(doc_id AS VARCHAR) AS text, CAST(doc_id % 2 AS INTEGER) AS question_type, round_even(0.1 + (doc_id % 10) * 0.1, 6) AS complexity_score, round_even(greatest(0.0, least(1.0, 0.1 + (doc_id % 10) * 0.1 - 0.1)), 6) AS avg_links_len FROM documents")
 def mock_dataset(spark, sf):
-    return r6(readers.mock_dataset(spark).select("doc_id", "text", "question_type", "complexity_score", "avg_links_len"), "complexity_score", "avg_links_len")
+    """Labels made up for the documents' ids."""
+    out = readers.mock_dataset(spark, ids=read(spark, sf, "documents").select("doc_id"))
+    return r6(out.select("doc_id", "text", "question_type", "complexity_score", "avg_links_len"), "complexity_score", "avg_links_len")
 
 
-@query("missing_partitions", f"SELECT config, split FROM (SELECT unnest({_list(dataset_configs())}) AS config), (SELECT unnest(['train', 'validation', 'test']) AS split) WHERE NOT (config = 'base' AND split <> 'test')")
+def _dataset(spark, sf) -> str:
+    """The labelled documents as a dataset of the base configuration, by split, without a test part."""
+    path = f"{Scratch(spark, 'dataset').path}/rows"
+    rows = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("question_type")).withColumn("config", F.lit("base")).withColumn("split", F.expr(_SPLIT))
+    readers.write_dataset(rows.where("split != 'test'"), path)
+    return path
+
+
+@query("missing_partitions", f"SELECT config, split FROM (SELECT unnest({_list(dataset_configs())}) AS config), (SELECT unnest(['train', 'validation', 'test']) AS split) WHERE NOT (config = 'base' AND split IN (SELECT {_SPLIT} FROM labels WHERE {_SPLIT} <> 'test'))")
 def missing_partitions(spark, sf):
     """A dataset with two partitions, and which of the 75 it lacks."""
-    path = f"{Scratch(spark, 'dataset').path}/rows"
-    readers.write_dataset(readers.mock_dataset(spark).withColumn("config", F.lit("base")).withColumn("split", F.when(F.col("doc_id") < 70, "train").otherwise("validation")), path)
-    return readers.missing_partitions(spark, path)
+    return readers.missing_partitions(spark, _dataset(spark, sf))
 
 
-@query("dataset_one_partition", "SELECT i AS doc_id, CAST(i % 2 AS INTEGER) AS question_type FROM (SELECT unnest(range(70, 100)) AS i)")
+@query("dataset_one_partition", f"SELECT doc_id, CAST(quality AS INTEGER) AS question_type FROM labels WHERE {_SPLIT} = 'validation'")
 def dataset_one_partition(spark, sf):
-    path = f"{Scratch(spark, 'dataset').path}/rows"
-    readers.write_dataset(readers.mock_dataset(spark).withColumn("config", F.lit("base")).withColumn("split", F.when(F.col("doc_id") < 70, "train").otherwise("validation")), path)
-    return readers.dataset(spark, path, "base", "dev").select("doc_id", "question_type")
+    return readers.dataset(spark, _dataset(spark, sf), "base", "dev").select("doc_id", F.col("question_type").cast("int").alias("question_type"))
 
 
 @query("finalized_rows", f"WITH {_PIPE} SELECT doc_id, language, round_even(n_tokens, 3) AS n_tokens FROM rounded WHERE source = 'ud' UNION ALL SELECT doc_id, language, round_even(n_tokens, 3) FROM rounded WHERE source = 'tydi'")
@@ -397,6 +405,12 @@ def finalized_rows(spark, sf):
 # --- Questions: C1-C23, A1-A5 -------------------------------------------------------------------
 
 
+def dealt_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, language, text): the sentences with known labels in turn, one a document."""
+    ids = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % len(SENTENCES)).cast("int").alias("sid"))
+    return ids.join(F.broadcast(sentences(spark)), "sid")
+
+
 def sentences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, s[0], s[1]) for i, s in enumerate(SENTENCES)], "sid int, language string, text string").coalesce(1)
 
@@ -408,26 +422,29 @@ def _sql_value(v) -> str:
 _SENTENCES = "s(sid, language, text, qa, ud, question, rejected, wh) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_sql_value, s))})" for i, s in enumerate(SENTENCES)) + ")"
 
 
-@query("qa_classify", f"WITH {_SENTENCES} SELECT sid, CAST(qa AS VARCHAR) AS qa FROM s")
+_DEALT_SENTENCES = f"{_SENTENCES}, said AS (SELECT d.doc_id, s.* FROM documents d JOIN s ON d.doc_id % {len(SENTENCES)} = s.sid)"
+
+
+@query("qa_classify", f"WITH {_DEALT_SENTENCES} SELECT doc_id, CAST(qa AS VARCHAR) AS qa FROM said")
 def qa_classify(spark, sf):
-    return sentences(spark).select("sid", q.qa_class(F.col("text"), F.col("language")).alias("qa"))
+    return dealt_sentences(spark, sf).select("doc_id", q.qa_class(F.col("text"), F.col("language")).alias("qa"))
 
 
-@query("ud_classify", f"WITH {_SENTENCES} SELECT sid, CAST(ud AS VARCHAR) AS ud FROM s")
+@query("ud_classify", f"WITH {_DEALT_SENTENCES} SELECT doc_id, CAST(ud AS VARCHAR) AS ud FROM said")
 def ud_classify(spark, sf):
-    return sentences(spark).select("sid", q.ud_class(F.col("text"), F.col("language")).alias("ud"))
+    return dealt_sentences(spark, sf).select("doc_id", q.ud_class(F.col("text"), F.col("language")).alias("ud"))
 
 
-@query("question_filters", f"WITH {_SENTENCES} SELECT sid, question, rejected FROM s")
+@query("question_filters", f"WITH {_DEALT_SENTENCES} SELECT doc_id, question, rejected FROM said")
 def question_filters(spark, sf):
-    return sentences(spark).select("sid", q.is_question(F.col("text")).alias("question"), q.is_filtered(F.col("text")).alias("rejected"))
+    return dealt_sentences(spark, sf).select("doc_id", q.is_question(F.col("text")).alias("question"), q.is_filtered(F.col("text")).alias("rejected"))
 
 
-@query("ud_bucket_counts", f"""WITH {_SENTENCES}, b AS (SELECT language AS file, CASE WHEN NOT question THEN 'other' WHEN rejected THEN 'filtered' ELSE coalesce(ud, 'unclassified') END AS bucket FROM s)
+@query("ud_bucket_counts", f"""WITH {_DEALT_SENTENCES}, b AS (SELECT language AS file, CASE WHEN NOT question THEN 'other' WHEN rejected THEN 'filtered' ELSE coalesce(ud, 'unclassified') END AS bucket FROM said)
 SELECT file, count(*) AS sentences, count(*) FILTER (bucket <> 'other') AS questions, count(*) FILTER (bucket = 'filtered') AS filtered, count(*) FILTER (bucket = 'polar') AS polar, count(*) FILTER (bucket = 'content') AS content,
 count(*) FILTER (bucket = 'unclassified') AS unclassified FROM b GROUP BY ROLLUP (file)""")
 def ud_bucket_counts(spark, sf):
-    return labelling.bucket_counts(labelling.route_sentences(sentences(spark).withColumn("file", F.col("language"))))
+    return labelling.bucket_counts(labelling.route_sentences(dealt_sentences(spark, sf).withColumn("file", F.col("language"))))
 
 
 _TURN_LANGUAGES = ("en", "fi", "ko", "ja", "ru", "ar", "id")
@@ -613,90 +630,140 @@ g1 AS (SELECT *, CASE WHEN control_index IS NOT NULL AND submetric IS NOT NULL T
 grid AS (SELECT *, substr(md5('{{"config": "' || dataset_config || '", "experiment_type": "' || experiment_type || '", "language": "' || language || '", "model_type": "' || model_type || '", "task": "' || label || '", "task_type": "' || task_type || '"}}'), 1, 12) AS experiment_id FROM g1)"""
 
 
-@query("experiment_grid", f"WITH {_GRID} SELECT language, task, task_type, submetric, model_type, CAST(control_index AS INTEGER) AS control_index, kind, dataset_config, experiment_id FROM grid")
-def experiment_grid(spark, sf):
-    return grid.experiment_grid(spark)
-
-
-@query("grid_sizes", f"WITH {_GRID} SELECT kind, task_type, count(*) AS experiments FROM grid GROUP BY ALL")
-def grid_sizes(spark, sf):
-    return grid.grid_sizes(grid.experiment_grid(spark))
-
-
-@query("layer_grid_sizes", "SELECT 'probes' AS grid, CAST(7 * 8 * 4 * 12 AS BIGINT) AS n UNION ALL SELECT 'finetune', CAST(7 * 8 * 4 AS BIGINT)")
-def layer_grid_sizes(spark, sf):
-    count = lambda df, name: df.agg(F.lit(name).alias("grid"), F.count("*").alias("n"))
-    return count(grid.layer_grid(spark), "probes").unionByName(count(grid.finetune_grid(spark), "finetune"))
-
-
-def drawn(name: str, key: str = "experiment_id") -> Column:
-    """A number in [0, 1) that MD5 draws from a key."""
-    return F.bround(F.conv(F.substring(F.md5(F.concat(F.col(key), F.lit(f":{name}"))), 1, 6), 16, 10).cast("double") / 16777216.0, 6)
-
-
-def _drawn(name: str) -> str:
-    return f"round_even(CAST(('0x' || substr(md5(experiment_id || ':{name}'), 1, 6)) AS BIGINT) / 16777216.0, 6)"
-
-
-_ERRORS = ("CUDA out of Memory", "timeout after 60 s", "bad shape (3, 4)", "ImportError: no module", "something else")
+_SPOKEN = _GRID.replace(f"lang AS (SELECT unnest({_list(LANGUAGES)}) AS language)", "lang AS (SELECT DISTINCT lang AS language FROM documents WHERE lang IS NOT NULL)")
 
 
-def documents(spark: SparkSession) -> DataFrame:
-    """Result documents of the whole grid: one experiment in twenty failed."""
-    g = grid.experiment_grid(spark).withColumn("task", F.coalesce("submetric", "task")).drop("submetric")
-    classify = F.col("task_type") == "classification"
-    failed = drawn("fails") < 0.05
-    names = ("primary_metric", "primary_value", "accuracy", "precision", "recall", "f1", "mse", "r2")
+def _spoken(spark, sf):
+    return read(spark, sf, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("language")).distinct()
 
-    def part(p: str) -> Column:
-        v = {"primary_metric": F.when(classify, "accuracy").otherwise("mse"), "primary_value": F.when(classify, drawn(f"{p}_accuracy")).otherwise(drawn(f"{p}_mse"))}
-        v |= {m: F.when(classify, drawn(f"{p}_{m}")) for m in ("accuracy", "precision", "recall", "f1")} | {m: F.when(~classify, drawn(f"{p}_{m}")) for m in ("mse", "r2")}
-        return F.when(~failed, F.struct(*[v[n].alias(n) for n in names])).alias(f"{p}_metrics")
 
-    config = F.struct(
-        F.concat_ws("_", "model_type", "task", "language", "dataset_config").alias("experiment_name"), "language", "task", "model_type", "task_type", F.col("dataset_config").alias("config"), F.lit(None).cast("string").alias("dataset_config"),
-        F.when(F.col("control_index").isNull(), "main").otherwise("control").alias("experiment_type"), F.lit("features").alias("features_dir"), F.lit("batch").alias("batch_name"),
-    ).alias("config")
-    which = F.floor(drawn("error") * len(_ERRORS)).cast("int") + 1
-    second = F.floor(drawn("time") * 5000).cast("int")
-    shapes = F.struct(*[F.array((F.floor(drawn(f"{p}_rows") * 1000) + 1).cast("long"), F.lit(9199).cast("long")).alias(p) for p in ("train", "val", "test")]).alias("data_shapes")
-    return g.select(
-        "experiment_id", F.date_format(F.timestamp_seconds(F.lit(1_755_000_000) + second), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.when(failed, "failed").otherwise("completed").alias("status"),
-        F.when(failed, F.element_at(F.array(*map(F.lit, _ERRORS)), which)).alias("error"), F.lit(None).cast("string").alias("language"), F.lit("").alias("task"), F.lit(None).cast("string").alias("model"), "model_type",
-        F.lit(None).cast("string").alias("model_class"), F.col("task_type"), drawn("train_time").alias("train_time"), config, part("train"), part("val"), part("test"), shapes,
-        *[F.lit(None).cast("struct<samples:bigint>").alias(f"{p}_info") for p in ("train", "val", "test")],
-    )
-
-
-def scanned(spark: SparkSession) -> DataFrame:
-    """The documents written as JSON and read by the result scan."""
-    path = Scratch(spark, "results").path
-    readers.write_results(documents(spark), path)
-    return spark.read.schema(RESULT).json(path)
+@query("experiment_grid", f"WITH {_SPOKEN} SELECT language, task, task_type, submetric, model_type, CAST(control_index AS INTEGER) AS control_index, kind, dataset_config, experiment_id FROM grid")
+def experiment_grid(spark, sf):
+    """The grid over the languages that the documents are in."""
+    return grid.experiment_grid(spark, _spoken(spark, sf))
 
 
-def standard(spark: SparkSession) -> DataFrame:
-    return results.standardized(documents(spark))
+@query("grid_sizes", f"WITH {_SPOKEN} SELECT kind, task_type, count(*) AS experiments FROM grid GROUP BY ALL")
+def grid_sizes(spark, sf):
+    return grid.grid_sizes(grid.experiment_grid(spark, _spoken(spark, sf)))
 
 
-def completed(spark: SparkSession) -> DataFrame:
-    return standard(spark).where("status = 'completed'")
+@query("layer_grid_sizes", "WITH k AS (SELECT count(DISTINCT lang) AS k FROM documents) SELECT 'probes' AS grid, k * 8 * 4 * 12 AS n FROM k UNION ALL SELECT 'finetune', k * 8 * 4 FROM k")
+def layer_grid_sizes(spark, sf):
+    count = lambda df, name: df.agg(F.lit(name).alias("grid"), F.count("*").alias("n"))
+    spoken = _spoken(spark, sf)
+    return count(grid.layer_grid(spark, languages=spoken), "probes").unionByName(count(grid.finetune_grid(spark, spoken), "finetune"))
+
+
+#: Languages that rows are dealt to in turn by doc_id; the grid's last language has none, so its experiments fail.
+_DEALT = LANGUAGES[:-1]
+
+
+def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the experiments: doc_id, language, split, x (a bin of 125 tokens) and the label of every task."""
+    rows = _rounded(spark, sf).drop("language", "question_type").join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("question_type")), "doc_id", "left")
+    language = F.element_at(F.array(*map(F.lit, _DEALT)), (F.col("doc_id") % len(_DEALT) + 1).cast("int"))
+    x = F.least(F.floor(F.col("original_n_tokens") / 125).cast("int"), F.lit(grouped.BINS - 1))
+    return rows.select("doc_id", language.alias("language"), F.expr(_SPLIT).alias("split"), x.alias("x"), F.coalesce("question_type", F.lit(0)).alias("question_type"), SCORE, *FEATURES)
+
+
+#: Where a session's batches are, by tables.
+_batches: dict[tuple[str, str], str] = {}
+
+
+def _batch(spark: SparkSession, sf: str) -> str:
+    """The folder of the grid's batch over the given tables; it runs once a session, reports read what it wrote."""
+    key = spark.sparkContext.applicationId, sf
+    if not shared.holds(_batches.get(key)):
+        scratch = Scratch(spark, "batch")
+        stats = scratch.keep(grouped.statistics(scratch.keep(grid_rows(spark, sf), "rows")), "statistics")
+        readers.write_results(grouped.documents(spark, stats), f"{scratch.path}/results")
+        _batches[key] = scratch.path
+    return _batches[key]
+
+
+def statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{_batch(spark, sf)}/statistics")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Result documents of the whole grid over the given tables."""
+    return readers.stored_results(spark, f"{_batch(spark, sf)}/results")
+
+
+def standard(spark: SparkSession, sf: str) -> DataFrame:
+    return results.standardized(documents(spark, sf))
+
+
+def completed(spark: SparkSession, sf: str) -> DataFrame:
+    return standard(spark, sf).where("status = 'completed'")
+
+
+_TASKS = ("question_type", "complexity", *FEATURES)
+_LABEL_SQL = ", ".join(f"{{'task': '{t}', 'y': CAST({SCORE if t == 'complexity' else t} AS DOUBLE)}}" for t in _TASKS)
+_ALL_LABELS = ["question_type", SCORE, *FEATURES]
+
+
+def _newton_sql() -> str:
+    """The Newton steps of the logistic cells, a step a table."""
+    clip = lambda v: f"greatest(-{grouped.STRIDE}, least({grouped.STRIDE}, {v}))"
+    steps = ["w0 AS (SELECT DISTINCT language, task, control_index, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b FROM bins WHERE task = 'question_type')"]
+    for k in range(grouped.STEPS):
+        steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT language, task, control_index, w - {clip('(bb * gw - wb * gb) / (ww * bb - wb * wb)')} AS w, b - {clip('(ww * gb - wb * gw) / (ww * bb - wb * wb)')} AS b FROM (
+  SELECT language, task, control_index, any_value(w) AS w, any_value(b) AS b, any_value(w) + sum(g * z) AS gw, any_value(b) + sum(g) AS gb, 1 + sum(h * z * z) AS ww, sum(h * z) AS wb, 1 + sum(h) AS bb FROM (
+    SELECT *, n * p - sy AS g, n * p * (1 - p) AS h FROM (SELECT t.*, w, b, t.x / 8.0 AS z, 1 / (1 + exp(-(w * t.x / 8.0 + b))) AS p FROM bins t JOIN w{k} USING (language, task, control_index))) GROUP BY ALL))""")
+    return ",\n".join(steps)
+
+
+_CELLS = "language, task, control_index"
+_WEIGHTED = "(ones * {0}1 + (samples - ones) * {0}0) / samples"
+_STATS = f"""{_PIPE}, based AS (SELECT doc_id, ({_list(_DEALT)})[CAST(doc_id % {len(_DEALT)} AS INTEGER) + 1] AS language, {_SPLIT} AS split, least(CAST(floor(original_n_tokens / 125) AS INTEGER), {grouped.BINS - 1}) AS x, coalesce(quality, 0) AS question_type, {SCORE}, {', '.join(FEATURES)}
+  FROM rounded LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id)),
+sh AS (SELECT *, row_number() OVER (PARTITION BY language, seed ORDER BY doc_id) AS pos, row_number() OVER (PARTITION BY language, seed ORDER BY md5(CAST(doc_id AS VARCHAR) || ':' || CAST(seed AS VARCHAR)), doc_id) AS drawn FROM (SELECT *, unnest([1, 2, 3]) AS seed FROM based WHERE split = 'train')),
+every AS (SELECT language, split, x, 0 AS control_index, {', '.join(_ALL_LABELS)} FROM based UNION ALL SELECT a.language, a.split, a.x, a.seed, {', '.join('b.' + c for c in _ALL_LABELS)} FROM sh a JOIN sh b ON a.language = b.language AND a.seed = b.seed AND a.pos = b.drawn),
+long AS (SELECT language, split, x, control_index, unnest([{_LABEL_SQL}]) AS u FROM every),
+stats AS MATERIALIZED (SELECT language, u.task AS task, control_index, CASE split WHEN 'validation' THEN 'val' ELSE split END AS part, x, count(*) AS n, sum(u.y) AS sy, sum(u.y * u.y) AS syy FROM long GROUP BY ALL),
+bins AS (SELECT {_CELLS}, x, n, sy FROM stats WHERE part = 'train')"""
+_FITS = f"""{_STATS}, cell AS (SELECT {_CELLS}, sum(n) AS n, sum(sy) AS sy, sum(x * n) / CAST(sum(n) AS DOUBLE) AS xm FROM bins GROUP BY ALL),
+line AS (SELECT {_CELLS}, sum((x - xm) * bins.sy) / (sum(bins.n * (x - xm) * (x - xm)) + {grouped.ALPHA}) AS w FROM bins JOIN cell USING ({_CELLS}) GROUP BY ALL),
+{_newton_sql()},
+side AS (SELECT *, sum(g) OVER c AS gl, sum(h) OVER c AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM (SELECT *, n * 0.5 - sy AS g, n * CASE WHEN task = 'question_type' THEN 0.25 ELSE 1.0 END AS h FROM bins)
+  WINDOW c AS (PARTITION BY {_CELLS} ORDER BY x), a AS (PARTITION BY {_CELLS})),
+cut AS (SELECT {_CELLS}, x AS first, gl, hl, gt - gl AS gr, ht - hl AS hr, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM side),
+best AS (SELECT {_CELLS}, first, -{grouped.ETA} * gl / (hl + 1) AS lo, -{grouped.ETA} * gr / (hr + 1) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY {_CELLS} ORDER BY round_even(gain, 9) DESC, first) AS k FROM cut WHERE hl >= 1 AND hr >= 1 AND gain > 1e-9) WHERE k = 1),
+root AS (SELECT {_CELLS}, -{grouped.ETA} * any_value(gt) / (any_value(ht) + 1) AS leaf FROM side GROUP BY ALL),
+par AS (SELECT {_CELLS}, task = 'question_type' AS classify, sy / n AS ym, xm, line.w AS ridge, lg.w AS lw, lg.b AS lb, first, coalesce(lo, leaf) AS lo, coalesce(hi, leaf) AS hi
+  FROM cell JOIN line USING ({_CELLS}) LEFT JOIN w{grouped.STEPS} lg USING ({_CELLS}) JOIN root USING ({_CELLS}) LEFT JOIN best USING ({_CELLS})),
+margin AS (SELECT p.*, m.model_type, s.part, s.x, s.n, s.sy, s.syy, CASE m.model_type WHEN 'dummy' THEN CASE WHEN classify THEN ym - 0.5 ELSE ym END WHEN 'ridge' THEN ym - ridge * xm + ridge * x WHEN 'logistic' THEN lw * x / 8 + lb
+    ELSE CASE WHEN classify THEN 0 ELSE 0.5 END + CASE WHEN x <= coalesce(first, 0) THEN lo ELSE hi END END AS z
+  FROM par p JOIN (SELECT unnest({_list(MODELS)}) AS model_type) m ON NOT (m.model_type = 'logistic' AND NOT classify) AND NOT (m.model_type = 'ridge' AND classify)
+  JOIN stats s ON s.language = p.language AND s.task = p.task AND (s.part <> 'train' OR s.control_index = p.control_index)),
+pred AS (SELECT *, CASE WHEN classify THEN CASE WHEN z > 1e-12 THEN 1.0 ELSE 0.0 END ELSE z END AS p FROM margin),
+sums AS (SELECT {_CELLS}, model_type, part, any_value(classify) AS classify, CAST(sum(n) AS DOUBLE) AS samples, sum(sy) AS ones, sum(syy) AS squares, sum(syy - 2 * p * sy + n * p * p) AS sse, sum(CASE WHEN p = 1 THEN n ELSE 0 END) AS said, sum(CASE WHEN p = 1 THEN sy ELSE 0 END) AS hit FROM pred GROUP BY ALL),
+rate AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p1, CASE WHEN ones > 0 THEN hit / ones ELSE 0 END AS r1, CASE WHEN samples - said > 0 THEN hit0 / (samples - said) ELSE 0 END AS p0, CASE WHEN samples - ones > 0 THEN hit0 / (samples - ones) ELSE 0 END AS r0, squares - ones * ones / samples AS spread
+  FROM (SELECT *, samples - ones - (said - hit) AS hit0 FROM sums)),
+f1s AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END AS f1, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0 END AS f0 FROM rate),
+met AS MATERIALIZED (SELECT {_CELLS}, model_type, part, CAST(samples AS BIGINT) AS samples, round_even(CASE WHEN classify THEN (hit + hit0) / samples END, 12) AS accuracy, round_even(CASE WHEN classify THEN {_WEIGHTED.format('p')} END, 12) AS precision, round_even(CASE WHEN classify THEN {_WEIGHTED.format('r')} END, 12) AS recall,
+  round_even(CASE WHEN classify THEN {_WEIGHTED.format('f')} END, 12) AS f1, round_even(CASE WHEN NOT classify THEN sse / samples END, 12) AS mse, round_even(CASE WHEN NOT classify THEN CASE WHEN spread > 1e-9 THEN 1 - sse / spread ELSE 0 END END, 12) AS r2 FROM f1s),
+one AS (SELECT {_CELLS}, CAST(min(sy) AS DOUBLE) AS sy, count(*) AS k FROM (SELECT {_CELLS}, sum(sy) AS sy, sum(n) AS n FROM bins WHERE task = 'question_type' GROUP BY ALL HAVING sum(sy) = 0 OR sum(sy) = sum(n)) GROUP BY ALL)"""
+_WIDE = ", ".join(f"max({c}) FILTER (part = '{p}') AS {p}_{c}" for p in results.PARTS for c in ("samples", *results.METRICS))
+_SHOWN = ", ".join(f"CASE WHEN error IS NULL THEN {p}_{m} END AS {p}_{m}" for p in results.PARTS for m in results.METRICS)
+_STD = f"""{_GRID}, {_FITS}, wide AS (SELECT {_CELLS}, model_type, {_WIDE} FROM met GROUP BY ALL),
+told AS (SELECT grid.*, wide.* EXCLUDE ({_CELLS}, model_type), CASE WHEN train_samples IS NULL THEN 'ValueError: no training rows for language ' || grid.language WHEN grid.model_type = 'logistic' AND one.k IS NOT NULL THEN 'ValueError: training labels of bad shape: one class only' END AS error
+  FROM grid LEFT JOIN wide ON wide.language = grid.language AND wide.task = grid.label AND wide.control_index = coalesce(grid.control_index, 0) AND wide.model_type = grid.model_type
+  LEFT JOIN one ON one.language = grid.language AND one.task = grid.label AND one.control_index = coalesce(grid.control_index, 0)),
+std AS MATERIALIZED (SELECT experiment_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error, language, label AS task, model_type, task_type, dataset_config, experiment_type, CAST(control_index AS INTEGER) AS control_seed,
+  CASE WHEN error IS NULL THEN train_samples / 1e3 ELSE 0 END AS train_time, CASE WHEN error IS NULL THEN coalesce(test_samples, 0) END AS test_samples, coalesce(train_samples, 0) + coalesce(val_samples, 0) + coalesce(test_samples, 0) AS second, {_SHOWN} FROM told),
+done AS (SELECT * FROM std WHERE status = 'completed')"""
 
 
-_C, _R = ("accuracy", "precision", "recall", "f1"), ("mse", "r2")
-_NUMBERS = ", ".join(
-    [f"CASE WHEN NOT failed AND task_type = 'classification' THEN {_drawn(f'{p}_{m}')} END AS {p}_{m}" for p in results.PARTS for m in _C] + [f"CASE WHEN NOT failed AND task_type = 'regression' THEN {_drawn(f'{p}_{m}')} END AS {p}_{m}" for p in results.PARTS for m in _R]
-)
-_STD = f"""{_GRID}, g2 AS (SELECT *, {_drawn('fails')} < 0.05 AS failed FROM grid),
-std AS (SELECT experiment_id, CASE WHEN failed THEN 'failed' ELSE 'completed' END AS status, CASE WHEN failed THEN ({_list(_ERRORS)})[CAST(floor({_drawn('error')} * {len(_ERRORS)}) AS INTEGER) + 1] END AS error, language, label AS task, model_type, task_type, dataset_config,
-  experiment_type, CAST(control_index AS INTEGER) AS control_seed, {_drawn('train_time')} AS train_time, CAST(floor({_drawn('test_rows')} * 1000) + 1 AS BIGINT) AS test_samples, floor({_drawn('time')} * 5000) AS second, {_NUMBERS} FROM g2),
-done AS (SELECT * FROM std WHERE status = 'completed')"""
+_SCANNED = ("test_accuracy", "test_f1", "test_mse", "test_r2", "train_mse", "val_precision")
 
 
-@query("result_json_scan", f"WITH {_STD} SELECT experiment_id, status, error, language, task, model_type, task_type, dataset_config, experiment_type, control_seed, train_time, test_samples, test_accuracy, test_f1, test_mse, test_r2, train_mse, val_precision FROM std")
+@query("result_json_scan", f"WITH {_STD} SELECT experiment_id, status, error, language, task, model_type, task_type, dataset_config, experiment_type, control_seed, train_time, test_samples, {', '.join(f'round_even({c}, 6) AS {c}' for c in _SCANNED)} FROM std")
 def result_json_scan(spark, sf):
     names = "experiment_id status error language task model_type task_type dataset_config experiment_type control_seed train_time test_samples test_accuracy test_f1 test_mse test_r2 train_mse val_precision"
-    return results.standardized(scanned(spark)).select(*names.split())
+    return r6(results.standardized(readers.result_json(spark, f"{_batch(spark, sf)}/results")).select(*names.split()), *_SCANNED)
 
 
 _K = "task, model_type, language, task_type"
@@ -709,18 +776,18 @@ _CMP_COLUMNS = [f"test_{m}_{s}" for m in ("accuracy", "f1", "mse", "r2") for s i
 
 @query("control_average", f"WITH {_STD}, {_AVG} SELECT {_K}, " + ", ".join(f"round_even({m}, 6) AS test_{m}" for m in ("accuracy", "f1", "mse", "r2")) + " FROM ca")
 def control_average(spark, sf):
-    out = results.control_average(completed(spark), ("test",), ("accuracy", "f1", "mse", "r2"))
+    out = results.control_average(completed(spark, sf), ("test",), ("accuracy", "f1", "mse", "r2"))
     return r6(out, *[f"test_{m}" for m in ("accuracy", "f1", "mse", "r2")])
 
 
-@query("main_vs_control", f"WITH {_CMP} SELECT {_K}, " + ", ".join(f"round_even({c}, 6) AS {c}" for c in _CMP_COLUMNS) + " FROM cmp")
+@query("main_vs_control", f"WITH {_CMP} SELECT {_K}, " + ", ".join(f"round_even({c}, 6) + 0.0 AS {c}" for c in _CMP_COLUMNS) + " FROM cmp")
 def main_vs_control(spark, sf):
-    return r6(results.main_vs_control(completed(spark)), *_CMP_COLUMNS)
+    return r6(results.main_vs_control(completed(spark, sf)), *_CMP_COLUMNS)
 
 
-@query("selectivity", f"WITH {_CMP} SELECT {_K}, round_even(test_mse_main, 6) AS main, round_even(test_mse_control, 6) AS control, round_even(test_mse_improvement, 6) AS delta, round_even(test_mse_improvement / nullif(test_mse_control, 0), 6) AS selectivity FROM cmp WHERE test_mse_improvement IS NOT NULL")
+@query("selectivity", f"WITH {_CMP} SELECT {_K}, round_even(test_mse_main, 6) AS main, round_even(test_mse_control, 6) AS control, round_even(test_mse_improvement, 6) + 0.0 AS delta, round_even(test_mse_improvement / nullif(test_mse_control, 0), 6) + 0.0 AS selectivity FROM cmp WHERE test_mse_improvement IS NOT NULL")
 def selectivity(spark, sf):
-    return r6(results.selectivity(results.main_vs_control(completed(spark)), "mse"), "main", "control", "delta", "selectivity")
+    return r6(results.selectivity(results.main_vs_control(completed(spark, sf)), "mse"), "main", "control", "delta", "selectivity")
 
 
 def _summary_sql(by: str) -> str:
@@ -732,199 +799,230 @@ _MEANS = [f"test_{m}_{s}" for m in ("accuracy", "f1", "mse", "r2") for s in ("me
 
 @query("by_task_language", _summary_sql("task, language, experiment_type"))
 def by_task_language(spark, sf):
-    return r6(results.by_task_language(completed(spark)), *_MEANS)
+    return r6(results.by_task_language(completed(spark, sf)), *_MEANS)
 
 
 @query("by_model_type", _summary_sql("model_type, task_type, experiment_type"))
 def by_model_type(spark, sf):
-    return r6(results.by_model_type(completed(spark)), *_MEANS)
+    return r6(results.by_model_type(completed(spark, sf)), *_MEANS)
 
 
 @query("model_means", f"WITH {_STD} SELECT model_type, task, experiment_type, " + ", ".join(f"round_even(avg(test_{m}), 6) AS {m}" for m in ("accuracy", "f1", "mse", "r2")) + ", round_even(avg(train_time), 6) AS train_time FROM done GROUP BY model_type, task, experiment_type")
 def model_means(spark, sf):
-    return r6(results.model_means(completed(spark)), "accuracy", "f1", "mse", "r2", "train_time")
+    return r6(results.model_means(completed(spark, sf)), "accuracy", "f1", "mse", "r2", "train_time")
 
 
 @query("improvement_summary", f"WITH {_CMP}, u AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, test_{m}_improvement AS v FROM cmp" for m in ("accuracy", "f1", "mse", "r2")) + """)
-SELECT metric, round_even(max(v), 6) AS best, round_even(min(v), 6) AS worst, round_even(avg(v), 6) AS mean, round_even(stddev_samp(v), 6) AS std, count(*) FILTER (v > 0) AS positive, count(*) FILTER (v < 0) AS negative, count(v) AS n FROM u WHERE v IS NOT NULL GROUP BY metric""")
+SELECT metric, round_even(max(v), 6) + 0.0 AS best, round_even(min(v), 6) + 0.0 AS worst, round_even(avg(v), 6) + 0.0 AS mean, round_even(stddev_samp(v), 6) AS std, count(*) FILTER (v > 0) AS positive, count(*) FILTER (v < 0) AS negative, count(v) AS n FROM u WHERE v IS NOT NULL GROUP BY metric""")
 def improvement_summary(spark, sf):
-    return r6(results.improvement_summary(results.main_vs_control(completed(spark))), "best", "worst", "mean", "std")
+    return r6(results.improvement_summary(results.main_vs_control(completed(spark, sf))), "best", "worst", "mean", "std")
 
 
-@query("task_summary", f"WITH {_STD} SELECT task, count(*) AS n, " + ", ".join(f"round_even(avg(test_{m}), 6) AS {m}_mean, round_even(stddev_samp(test_{m}), 6) AS {m}_std, {f}(test_{m}) AS {m}_best" for m, f in (("accuracy", "max"), ("mse", "min"))) + " FROM done GROUP BY task")
+@query("task_summary", f"WITH {_STD} SELECT task, count(*) AS n, " + ", ".join(f"round_even(avg(test_{m}), 6) AS {m}_mean, round_even(stddev_samp(test_{m}), 6) AS {m}_std, round_even({f}(test_{m}), 6) AS {m}_best" for m, f in (("accuracy", "max"), ("mse", "min"))) + " FROM done GROUP BY task")
 def task_summary(spark, sf):
-    return r6(results.task_summary(completed(spark)), "accuracy_mean", "accuracy_std", "mse_mean", "mse_std")
+    return r6(results.task_summary(completed(spark, sf)), "accuracy_mean", "accuracy_std", "accuracy_best", "mse_mean", "mse_std", "mse_best")
 
 
 _BEST = f"""{_STD}, u AS (SELECT language, task, model_type AS model, experiment_type, CASE WHEN task = 'question_type' THEN 'accuracy' ELSE 'mse' END AS metric, CASE WHEN task = 'question_type' THEN test_accuracy ELSE test_mse END AS value FROM done)"""
 
 
-@query("best_per_task", f"WITH {_BEST}, o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model) AS pos FROM u WHERE value IS NOT NULL) SELECT experiment_type, language, task, model, metric, value FROM o WHERE pos = 1")
+@query("best_per_task", f"WITH {_BEST}, o AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model, experiment_type DESC) AS pos FROM u WHERE value IS NOT NULL) SELECT experiment_type, language, task, model, metric, round_even(value, 6) AS value FROM o WHERE pos = 1")
 def best_per_task(spark, sf):
-    return results.best_per_task(results.long_form(completed(spark)))
+    return r6(results.best_per_task(results.long_form(completed(spark, sf))), "value")
 
 
-@query("best_per_language_task", f"WITH {_BEST}, o AS (SELECT *, row_number() OVER (PARTITION BY language, task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model) AS pos FROM u WHERE value IS NOT NULL) SELECT experiment_type, language, task, model, metric, value FROM o WHERE pos = 1")
+@query("best_per_language_task", f"WITH {_BEST}, o AS (SELECT *, row_number() OVER (PARTITION BY language, task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model, experiment_type DESC) AS pos FROM u WHERE value IS NOT NULL) SELECT experiment_type, language, task, model, metric, round_even(value, 6) AS value FROM o WHERE pos = 1")
 def best_per_language_task(spark, sf):
-    return results.best_per_task(results.long_form(completed(spark)), ("language", "task"))
+    return r6(results.best_per_task(results.long_form(completed(spark, sf)), ("language", "task")), "value")
 
 
-def _probes(spark):
-    """Layer probes with drawn accuracies and errors."""
-    key = F.concat_ws("/", "language", F.col("label"), F.col("control_index").cast("string"), F.col("layer").cast("string"))
-    metric = F.when(F.col("label") == "question_type", "accuracy").otherwise("mse")
-    return grid.layer_grid(spark).where("control_index = 0").withColumn("experiment_id", key).select("language", F.col("label").alias("task"), "layer", metric.alias("metric"), drawn("probe").alias("value"))
+_HIDDEN_TASKS = ("question_type", "complexity", *FEATURES)
 
 
-_PROBES = f"""pr AS (SELECT language, task, layer, CASE WHEN task = 'question_type' THEN 'accuracy' ELSE 'mse' END AS metric, {_drawn('probe')} AS value FROM (
-  SELECT language, task, layer, language || '/' || task || '/0/' || CAST(layer AS VARCHAR) AS experiment_id FROM (SELECT unnest({_list(LANGUAGES)}) AS language), (SELECT unnest({_list(('question_type', 'complexity', *FEATURES))}) AS task), (SELECT unnest(range(1, 13)) AS layer)))"""
+def _probes(spark, sf):
+    """Layer probes on the embeddings: component 1 to 12 stands for a layer, its sign is the probe's input;
+    the vector's label or a further component is the task's label, predicted by the inputs' group."""
+    e = F.col("embedding")
+    labels = [F.pmod(F.coalesce("label", F.lit(0)), F.lit(2)).cast("double"), *[F.get(e, F.lit(12 + k)).cast("double") for k in range(1, len(_HIDDEN_TASKS))]]
+    pairs = F.array(*[F.struct(F.lit(t).alias("task"), y.alias("y")) for t, y in zip(_HIDDEN_TASKS, labels)])
+    language = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("vec_id") % len(LANGUAGES) + 1).cast("int"))
+    rows = read(spark, sf, "embeddings").where(F.size("embedding") >= 20).select(language.alias("language"), F.posexplode(F.slice("embedding", 1, 12)).alias("at", "x"), pairs.alias("pairs"))
+    rows = rows.select("language", (F.col("at") + 1).alias("layer"), (F.col("x") > 0).alias("x"), F.explode("pairs").alias("p"))
+    groups = rows.groupBy("language", F.col("p.task").alias("task"), "layer", "x").agg(F.count("*").alias("n"), F.sum("p.y").alias("sy"), F.sum(F.col("p.y") * F.col("p.y")).alias("syy"))
+    classify = F.col("task") == "question_type"
+    got = F.when(classify, F.greatest(F.col("sy"), F.col("n") - F.col("sy"))).otherwise(F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    sums = groups.groupBy("language", "task", "layer").agg(F.bround(F.sum(got) / F.sum("n"), 6).alias("value"))
+    return sums.select("language", "task", "layer", F.when(classify, "accuracy").otherwise("mse").alias("metric"), "value")
 
 
-@query("features_vs_probes", f"""WITH {_BEST}, {_PROBES}, o AS (SELECT *, row_number() OVER (PARTITION BY language, task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model) AS pos FROM u WHERE value IS NOT NULL),
+_HIDDEN_SQL = ", ".join(f"{{'task': '{t}', 'y': {'CAST(coalesce(label, 0) % 2 AS DOUBLE)' if k == 0 else f'CAST(embedding[{13 + k}] AS DOUBLE)'}}}" for k, t in enumerate(_HIDDEN_TASKS))
+_PROBES = f"""hr AS (SELECT ({_list(LANGUAGES)})[CAST(vec_id % {len(LANGUAGES)} AS INTEGER) + 1] AS language, embedding, unnest([{_HIDDEN_SQL}]) AS p FROM embeddings WHERE len(embedding) >= 20),
+hg AS (SELECT language, p.task AS task, layer, embedding[layer] > 0 AS x, count(*) AS n, sum(p.y) AS sy, sum(p.y * p.y) AS syy FROM hr, (SELECT unnest(range(1, 13)) AS layer) GROUP BY ALL),
+pr AS (SELECT language, task, layer, CASE WHEN task = 'question_type' THEN 'accuracy' ELSE 'mse' END AS metric, round_even(sum(CASE WHEN task = 'question_type' THEN greatest(sy, n - sy) ELSE syy - sy * sy / n END) / sum(n), 6) AS value FROM hg GROUP BY language, task, layer)"""
+
+
+@query("features_vs_probes", f"""WITH {_BEST}, {_PROBES}, o AS (SELECT *, row_number() OVER (PARTITION BY language, task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, model, experiment_type DESC) AS pos FROM u WHERE value IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY language, task ORDER BY CASE WHEN metric = 'mse' THEN -value ELSE value END DESC, language, layer) AS pos FROM pr)
-SELECT o.language, o.task, o.metric, o.value AS features_value, o.model AS features_model, p.value AS probe_value, CAST(p.layer AS INTEGER) AS probe_layer FROM o JOIN p USING (language, task) WHERE o.pos = 1 AND p.pos = 1""")
+SELECT o.language, o.task, o.metric, round_even(o.value, 6) AS features_value, o.model AS features_model, p.value AS probe_value, CAST(p.layer AS INTEGER) AS probe_layer FROM o JOIN p USING (language, task) WHERE o.pos = 1 AND p.pos = 1""")
 def features_vs_probes(spark, sf):
-    return results.features_vs_probes(results.long_form(completed(spark)), _probes(spark))
+    return r6(results.features_vs_probes(results.long_form(completed(spark, sf)), _probes(spark, sf)), "features_value")
 
 
 @query("layers_six_to_ten", f"WITH {_PROBES} SELECT CASE language WHEN 'ar' THEN 'Arabic' WHEN 'en' THEN 'English' WHEN 'fi' THEN 'Finnish' WHEN 'id' THEN 'Indonesian' WHEN 'ja' THEN 'Japanese' WHEN 'ko' THEN 'Korean' ELSE 'Russian' END AS language, task, round_even(avg(value), 6) AS mean FROM pr WHERE layer BETWEEN 6 AND 10 GROUP BY ALL")
 def layers_six_to_ten(spark, sf):
-    rows = _probes(spark).withColumn("name", F.concat(F.lit("layer_"), F.col("layer").cast("string")))
+    rows = _probes(spark, sf).withColumn("name", F.concat(F.lit("layer_"), F.col("layer").cast("string")))
     return r6(rows.where(projection.layer_of(F.col("name")).between(6, 10)).groupBy(projection.display_name(F.col("language")).alias("language"), "task").agg(F.avg("value").alias("mean")), "mean")
 
 
 @query("control_names", f"WITH {_STD} SELECT regexp_extract(dataset_config, 'control_(.+)_seed', 1) AS label, count(*) AS n FROM std WHERE dataset_config LIKE 'control%' GROUP BY ALL")
 def control_names(spark, sf):
     label = projection.control_of(F.col("dataset_config"))
-    return standard(spark).where(projection.contains(F.col("dataset_config"), "control_")).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    return standard(spark, sf).where(projection.contains(F.col("dataset_config"), "control_")).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("improvement_pivot", f"WITH {_CMP} SELECT task, model_type, " + ", ".join(f"round_even(avg(test_mse_improvement) FILTER (language = '{x}'), 6) AS {x}" for x in LANGUAGES) + " FROM cmp GROUP BY task, model_type")
+@query("improvement_pivot", f"WITH {_CMP} SELECT task, model_type, " + ", ".join(f"round_even(avg(test_mse_improvement) FILTER (language = '{x}'), 6) + 0.0 AS {x}" for x in LANGUAGES) + " FROM cmp GROUP BY task, model_type")
 def improvement_pivot(spark, sf):
-    return r6(results.pivoted(results.main_vs_control(completed(spark)), ("task", "model_type"), "language", LANGUAGES, "test_mse_improvement"), *LANGUAGES)
+    return r6(results.pivoted(results.main_vs_control(completed(spark, sf)), ("task", "model_type"), "language", LANGUAGES, "test_mse_improvement"), *LANGUAGES)
 
 
 @query("layer_pivot", f"WITH {_PROBES} SELECT CAST(layer AS INTEGER) AS layer, " + ", ".join(f"max(value) FILTER (language = '{x}') AS {x}" for x in LANGUAGES) + " FROM pr WHERE task = 'question_type' GROUP BY layer")
 def layer_pivot(spark, sf):
-    return results.unique_pivot(_probes(spark).where("task = 'question_type'"), ("layer",), "language", LANGUAGES, "value")
+    return results.unique_pivot(_probes(spark, sf).where("task = 'question_type'"), ("layer",), "language", LANGUAGES, "value")
 
 
 @query("result_frequencies", f"WITH {_STD} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS n FROM std GROUP BY {c}" for c in ("status", "task", "model_type", "language")))
 def result_frequencies(spark, sf):
-    return results.frequencies(standard(spark))
+    return results.frequencies(standard(spark, sf))
 
 
 @query("error_categories", f"WITH {_STD} SELECT CASE WHEN lower(error) LIKE '%memory%' THEN 'memory' WHEN lower(error) LIKE '%timeout%' THEN 'timeout' WHEN lower(error) LIKE '%shape%' THEN 'shape' WHEN lower(error) LIKE '%import%' THEN 'import' ELSE 'other' END AS category, count(*) AS n FROM std WHERE error IS NOT NULL GROUP BY ALL")
 def error_categories(spark, sf):
-    return standard(spark).where("error IS NOT NULL").groupBy(results.error_category(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
+    return standard(spark, sf).where("error IS NOT NULL").groupBy(results.error_category(F.col("error")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("primary_metrics", f"WITH {_STD} SELECT experiment_id, CASE WHEN task_type = 'classification' THEN test_accuracy ELSE test_mse END AS value FROM done")
+@query("primary_metrics", f"WITH {_STD} SELECT experiment_id, round_even(CASE WHEN task_type = 'classification' THEN test_accuracy ELSE test_mse END, 6) AS value FROM done")
 def primary_metrics(spark, sf):
-    return completed(spark).select("experiment_id", projection.primary_metric(F.col("task_type"), F.col("test_accuracy"), F.col("test_mse")).alias("value"))
+    return r6(completed(spark, sf).select("experiment_id", projection.primary_metric(F.col("task_type"), F.col("test_accuracy"), F.col("test_mse")).alias("value")), "value")
 
 
 @query("success_rate", f"WITH {_STD} SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, round_even(count(*) FILTER (status = 'completed') / CAST(greatest(1, count(*)) AS DOUBLE), 6) AS success_rate FROM std")
 def success_rate(spark, sf):
-    return r6(results.success(standard(spark)), "success_rate")
+    return r6(results.success(standard(spark, sf)), "success_rate")
 
 
 @query("duration_hours", f"WITH {_STD} SELECT round_even((max(second) - min(second)) / 3600.0, 6) AS duration_hours FROM std")
 def duration_hours(spark, sf):
-    return r6(results.duration_hours(standard(spark)), "duration_hours")
+    return r6(results.duration_hours(standard(spark, sf)), "duration_hours")
 
 
-@query("box_plot_numbers", f"""WITH {_STD} SELECT language, experiment_type, min(test_mse) AS low, round_even(quantile_cont(test_mse, 0.25), 6) AS q1, round_even(quantile_cont(test_mse, 0.5), 6) AS median, round_even(quantile_cont(test_mse, 0.75), 6) AS q3, max(test_mse) AS high, count(test_mse) AS n
+@query("box_plot_numbers", f"""WITH {_STD} SELECT language, experiment_type, round_even(min(test_mse), 6) AS low, round_even(quantile_cont(test_mse, 0.25), 6) AS q1, round_even(quantile_cont(test_mse, 0.5), 6) AS median, round_even(quantile_cont(test_mse, 0.75), 6) AS q3, round_even(max(test_mse), 6) AS high, count(test_mse) AS n
 FROM done WHERE test_mse IS NOT NULL GROUP BY language, experiment_type""")
 def box_plot_numbers(spark, sf):
-    return r6(results.five_numbers(completed(spark), ("language", "experiment_type"), "test_mse"), "q1", "median", "q3")
+    return r6(results.five_numbers(completed(spark, sf), ("language", "experiment_type"), "test_mse"), "low", "q1", "median", "q3", "high")
 
 
 @query("train_time_histogram", f"WITH {_STD}, e AS (SELECT min(train_time) AS lo, max(train_time) AS hi FROM done) SELECT CAST(least(floor((train_time - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS n FROM done, e GROUP BY ALL")
 def train_time_histogram(spark, sf):
-    return results.histogram(completed(spark), "train_time", 30)
+    return results.histogram(completed(spark, sf), "train_time", 30)
 
 
 @query("result_inventory", f"""WITH {_BEST}, l AS ({' UNION ALL '.join(f"SELECT language, model_type AS model, task, '{m}' AS metric FROM done WHERE test_{m} IS NOT NULL" for m in results.METRICS)})
 SELECT count(*) AS total, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT model, ',' ORDER BY model) AS models, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM l""")
 def result_inventory(spark, sf):
-    return results.inventory(results.long_form(completed(spark)))
+    return results.inventory(results.long_form(completed(spark, sf)))
 
 
 @query("probe_tracker_csv", f"WITH {_PROBES} SELECT language, task, count(*) AS n, round_even(sum(value), 6) AS total FROM pr GROUP BY ALL")
 def probe_tracker_csv(spark, sf):
     """Probe results through the tracker file; its textual rows are dropped on reading."""
     path = f"{Scratch(spark, 'tracker').path}/probe_results.csv"
-    rows = _probes(spark).select(F.lit("probe").alias("experiment_type"), "language", "task", F.lit(None).cast("string").alias("submetric"), F.lit("0").alias("control_index"), F.col("layer").alias("layer_index"), "metric", F.col("value").cast("string").alias("value"))
+    rows = _probes(spark, sf).select(F.lit("probe").alias("experiment_type"), "language", "task", F.lit(None).cast("string").alias("submetric"), F.lit("0").alias("control_index"), F.col("layer").alias("layer_index"), "metric", F.col("value").cast("string").alias("value"))
     readers.append_tracker(rows.unionByName(rows.withColumn("metric", F.lit("primary_metric")).withColumn("value", F.lit("mse"))), path)
     return r6(readers.probe_tracker(spark, [path, path]).groupBy("language", "task").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
 
 
-def _importance_docs(spark):
-    key = F.concat_ws("/", "task", "language", "model_type")
-    value = lambda k: drawn(f"f{k}") - 0.5
-    g = grid.experiment_grid(spark).where("control_index IS NULL").withColumn("task", F.coalesce("submetric", "task")).withColumn("experiment_id", key)
-    return g.select("task", "task_type", "language", "model_type", F.array(*[value(k) for k in range(16)]).alias("feature_importance"))
+def _importance_docs(spark, sf):
+    """Coefficients of the bins of the measure: each cell's ridge on them, four times as much on the logit scale, squared as a gain."""
+    stats = statistics(spark, sf).where("part = 'train' AND control_index = 0")
+    mean = F.sum("sy").over(W.partitionBy("language", "task")) / F.sum("n").over(W.partitionBy("language", "task"))
+    c = stats.select("language", "task", "x", F.bround((F.col("sy") - mean * F.col("n")) / (F.col("n") + 1), 9).alias("c"))
+    each = c.groupBy("language", "task").agg(*[F.coalesce(F.max(F.when(F.col("x") == k, F.col("c"))), F.lit(0.0)).alias(f"c{k}") for k in range(grouped.BINS)])
+    g = grid.experiment_grid(spark).where("control_index IS NULL").withColumn("task", F.coalesce("submetric", "task")).join(each, ["language", "task"])
+    value = lambda k: F.when(F.col("model_type") == "ridge", F.col(f"c{k}")).when(F.col("model_type") == "logistic", F.col(f"c{k}") * 4).otherwise(F.bround(F.col(f"c{k}") * F.col(f"c{k}"), 9))
+    return g.select("task", "task_type", "language", "model_type", F.array(*[value(k) for k in range(grouped.BINS)]).alias("feature_importance"))
 
 
-_IMP = f"""{_GRID}, d AS (SELECT label AS task, task_type, language, model_type, label || '/' || language || '/' || model_type AS experiment_id FROM grid WHERE control_index IS NULL AND model_type <> 'dummy'),
-i AS ({' UNION ALL '.join(f"SELECT task, task_type, language, model_type, {k} AS ix, {_drawn(f'f{k}')} - 0.5 AS importance FROM d" for k in range(16))}),
+_IMP = f"""{_GRID}, {_STATS}, mn AS (SELECT language, task, sum(sy) / sum(n) AS m FROM bins WHERE control_index = 0 GROUP BY ALL), cf AS (SELECT language, task, x, round_even((sy - m * n) / (n + 1), 9) AS c FROM bins JOIN mn USING (language, task) WHERE control_index = 0),
+d AS (SELECT label AS task, task_type, grid.language, model_type FROM grid JOIN mn ON mn.language = grid.language AND mn.task = grid.label WHERE control_index IS NULL AND model_type <> 'dummy'),
+i AS (SELECT d.*, ix, CASE model_type WHEN 'ridge' THEN coalesce(c, 0) WHEN 'logistic' THEN coalesce(c, 0) * 4 ELSE round_even(coalesce(c, 0) * coalesce(c, 0), 9) END AS importance FROM d, (SELECT unnest(range(0, {grouped.BINS})) AS ix) LEFT JOIN cf ON cf.language = d.language AND cf.task = d.task AND cf.x = ix),
 o AS (SELECT *, row_number() OVER (PARTITION BY task, task_type, language, model_type ORDER BY abs(importance) DESC, ix) AS rank FROM i), top AS (SELECT *, CASE WHEN ix < 12 THEN 'term' || CAST(ix AS VARCHAR) ELSE 'feature_' || CAST(ix AS VARCHAR) END AS feature_name FROM o WHERE rank <= 10)"""
 
 
-def _top_importances(spark):
+def _top_importances(spark, sf):
     names = spark.range(12).select(F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"), F.col("id").cast("int").alias("term_id"))
-    return results.top_importances(_importance_docs(spark), names)
+    return results.top_importances(_importance_docs(spark, sf), names)
 
 
 @query("importance_top10", f"WITH {_IMP} SELECT CAST(rank AS INTEGER) AS rank, task, task_type, language, model_type, feature_name, round_even(importance, 6) AS importance, round_even(abs(importance), 6) AS abs_importance FROM top")
 def importance_top10(spark, sf):
-    return r6(_top_importances(spark), "importance", "abs_importance")
+    return r6(_top_importances(spark, sf), "importance", "abs_importance")
 
 
 @query("importance_summary", f"""WITH {_IMP}, s AS (SELECT task_type, feature_name, round_even(avg(abs(importance)), 4) AS avg_abs_importance, round_even(stddev_samp(abs(importance)), 4) AS std_abs_importance, count(*) AS frequency, round_even(avg(importance), 4) AS avg_importance FROM top GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY avg_abs_importance DESC, feature_name) AS rank FROM s) SELECT task_type, feature_name, avg_abs_importance, std_abs_importance, frequency, avg_importance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
 def importance_summary(spark, sf):
-    return results.importance_summary(_top_importances(spark))
+    return results.importance_summary(_top_importances(spark, sf))
 
 
 @query("importance_inventory", f"WITH {_IMP} SELECT count(*) FILTER (task_type = 'classification') AS classification_rows, count(*) FILTER (task_type = 'regression') AS regression_rows, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT model_type, ',' ORDER BY model_type) AS model_types FROM top")
 def importance_inventory(spark, sf):
-    return results.importance_inventory(_top_importances(spark))
+    return results.importance_inventory(_top_importances(spark, sf))
 
 
 @query("top50_importances", f"WITH {_IMP} SELECT task, language, model_type, ix, round_even(importance, 6) AS importance FROM i ORDER BY abs(importance) DESC, task, language, model_type, ix LIMIT 50")
 def top50_importances(spark, sf):
-    rows = _importance_docs(spark).where("model_type != 'dummy'").select("task", "language", "model_type", F.posexplode("feature_importance").alias("ix", "importance"))
+    rows = _importance_docs(spark, sf).where("model_type != 'dummy'").select("task", "language", "model_type", F.posexplode("feature_importance").alias("ix", "importance"))
     return r6(rows.orderBy(F.desc(F.abs("importance")), "task", "language", "model_type", "ix").limit(50), "importance")
 
 
-def _history(spark):
-    """Twelve epochs of each main experiment with drawn losses and class counts."""
-    runs = grid.experiment_grid(spark).where("control_index IS NULL").select(F.col("experiment_id").alias("run"))
-    rows = runs.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("epoch")).withColumn("experiment_id", F.concat_ws("/", "run", F.col("epoch").cast("string")))
-    return rows.select("run", "epoch", drawn("loss").alias("val_loss"), F.when(drawn("classes") < 0.6, 1).otherwise(2).alias("classes"))
+#: How far the prediction of a constant has come to the training mean, by epoch: it overshoots and swings back.
+_SWING = [round(1 - (-0.6) ** e, 9) for e in range(1, 13)]
+
+
+def _history(spark, sf):
+    """Twelve epochs of a constant learned for each main experiment: validation loss, and on how many sides of it bins lie."""
+    stats = statistics(spark, sf).where("control_index = 0")
+    mean = stats.where("part = 'train'").groupBy("language", "task").agg((F.sum("sy") / F.sum("n")).alias("m"))
+    swing = F.posexplode(F.array(*map(F.lit, _SWING))).alias("e", "f")
+    rows = stats.where("part = 'val'").join(mean, ["language", "task"]).select("*", swing).withColumn("p", F.col("m") * F.col("f"))
+    loss = F.sum(F.col("syy") - 2 * F.col("p") * F.col("sy") + F.col("n") * F.col("p") * F.col("p")) / F.sum("n")
+    each = rows.groupBy("language", "task", (F.col("e") + 1).alias("epoch")).agg(F.bround(loss, 9).alias("val_loss"), F.count_distinct(F.col("sy") > F.col("p") * F.col("n") + 1e-9).cast("int").alias("classes"))
+    runs = grid.experiment_grid(spark).where("control_index IS NULL").select(F.col("experiment_id").alias("run"), "language", F.coalesce("submetric", "task").alias("task"))
+    return runs.join(each, ["language", "task"]).select("run", "epoch", "val_loss", "classes")
 
 
-_HIST = f"""{_GRID}, h AS (SELECT run, epoch, {_drawn('loss')} AS val_loss, CASE WHEN {_drawn('classes')} < 0.6 THEN 1 ELSE 2 END AS classes FROM (SELECT g.experiment_id AS run, CAST(epoch AS INTEGER) AS epoch, g.experiment_id || '/' || CAST(epoch AS VARCHAR) AS experiment_id FROM grid g, (SELECT unnest(range(1, 13)) AS epoch) WHERE control_index IS NULL))"""
+_HIST = f"""{_GRID}, {_STATS}, tm AS (SELECT language, task, sum(sy) / sum(n) AS m FROM bins WHERE control_index = 0 GROUP BY ALL),
+ep AS (SELECT language, task, epoch, round_even(sum(syy - 2 * p * sy + n * p * p) / sum(n), 9) AS val_loss, CAST(count(DISTINCT sy > p * n + 1e-9) AS INTEGER) AS classes FROM (
+  SELECT s.*, e.epoch, m * CAST(({_list(_SWING)})[e.epoch] AS DOUBLE) AS p FROM stats s JOIN tm USING (language, task), (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS epoch) e WHERE control_index = 0 AND part = 'val') GROUP BY language, task, epoch),
+h AS (SELECT g.experiment_id AS run, epoch, val_loss, classes FROM grid g JOIN ep ON ep.language = g.language AND ep.task = g.label WHERE g.control_index IS NULL)"""
 
 
 @query("patience_trace", f"""WITH {_HIST}, a AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(val_loss) OVER (PARTITION BY run ORDER BY epoch) AS best_loss FROM h),
 b AS (SELECT *, before IS NULL OR val_loss < before AS improved FROM a), c AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch FROM b)
 SELECT run, epoch, best_loss, improved, best_epoch, epoch - best_epoch AS waited, max(CASE WHEN epoch - best_epoch >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) = 1 AS stopped FROM c""")
 def patience_trace(spark, sf):
-    return results.patience_trace(_history(spark), ("run",)).select("run", "epoch", "best_loss", "improved", "best_epoch", "waited", "stopped")
+    return results.patience_trace(_history(spark, sf), ("run",)).select("run", "epoch", "best_loss", "improved", "best_epoch", "waited", "stopped")
 
 
 @query("one_class_runs", f"""WITH {_HIST}, a AS (SELECT *, sum(CASE WHEN classes > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch) AS island FROM h)
 SELECT run, count(*) AS epochs, min(epoch) AS from_epoch FROM a WHERE classes <= 1 GROUP BY run, island HAVING count(*) >= 3""")
 def one_class_runs(spark, sf):
-    return results.one_class_runs(_history(spark), ("run",))
+    return results.one_class_runs(_history(spark, sf), ("run",))
 
 
 @query("remaining_experiments", f"WITH {_STD} SELECT experiment_id FROM std WHERE status <> 'completed'")
 def remaining_experiments(spark, sf):
-    return grid.remaining(grid.experiment_grid(spark), completed(spark)).select("experiment_id")
+    return grid.remaining(grid.experiment_grid(spark), completed(spark, sf)).select("experiment_id")
 
 
 # --- Checks: V1-V14 -------------------------------------------------------------------------------
@@ -932,7 +1030,7 @@ def remaining_experiments(spark, sf):
 
 @query("metric_range_checks", f"WITH {_STD} SELECT language, task, model_type AS model, 'r2' AS metric, 'r2 above 1' AS \"check\" FROM done WHERE test_r2 * 3 > 1")
 def metric_range_checks(spark, sf):
-    long = results.long_form(completed(spark)).withColumn("value", F.when(F.col("metric") == "r2", F.col("value") * 3).otherwise(F.col("value")))
+    long = results.long_form(completed(spark, sf)).withColumn("value", F.when(F.col("metric") == "r2", F.col("value") * 3).otherwise(F.col("value")))
     return checks.metric_ranges(long)
 
 
@@ -948,7 +1046,7 @@ def unmatched_rows(spark, sf):
 
 @query("coverage_antijoin", f"WITH {_STD}, w(dimension, value) AS (SELECT 'language', unnest({_list(LANGUAGES)}) UNION ALL SELECT 'task', unnest({_list(('question_type', 'complexity', 'absent'))})) SELECT dimension, value FROM w WHERE NOT ((dimension = 'language' AND value IN (SELECT language FROM done)) OR (dimension = 'task' AND value IN (SELECT task FROM done)))")
 def coverage_antijoin(spark, sf):
-    done = completed(spark)
+    done = completed(spark, sf)
     return checks.coverage(done, "language", LANGUAGES).unionByName(checks.coverage(done, "task", ("question_type", "complexity", "absent")))
 
 
@@ -956,12 +1054,12 @@ def coverage_antijoin(spark, sf):
     f"SELECT '{k}' AS task_type, '{m}' AS model_type, '{x}' AS metric, {'min' if lower else 'max'}(test_{x}) AS value, {'min' if lower else 'max'}(test_{x}) {'>=' if lower else '<='} {b} AS ok FROM m WHERE task_type = '{k}' AND model_type = '{m}'" for k, m, x, lower, b in checks.BASELINES
 ))
 def baseline_checks(spark, sf):
-    return checks.baselines(completed(spark))
+    return checks.baselines(completed(spark, sf))
 
 
 @query("missing_metric_values", f"WITH {_STD} " + " UNION ALL ".join(f"SELECT 'test_{m}' AS \"column\", count(*) FILTER (test_{m} IS NULL) AS missing FROM std HAVING count(*) FILTER (test_{m} IS NULL) > 0" for m in ("accuracy", "mse")))
 def missing_metric_values(spark, sf):
-    return checks.missing_values(standard(spark), ["test_accuracy", "test_mse"])
+    return checks.missing_values(standard(spark, sf), ["test_accuracy", "test_mse"])
 
 
 @query("probability_sums", "SELECT event_id AS doc_id, round_even(value + (1 - value) + CASE WHEN event_id % 50 = 0 THEN 0.5 ELSE 0 END, 6) AS total FROM events WHERE event_id % 50 = 0")
@@ -1083,21 +1181,24 @@ def class_text_files(spark, sf):
     return rows.groupBy("language", "final_class").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
-@query("treebank_files", f"WITH {_SENTENCES}, b AS (SELECT language, CASE WHEN NOT question THEN 'other' WHEN rejected THEN 'filtered' ELSE coalesce(ud, 'unclassified') END AS bucket FROM s) SELECT language, bucket, 2 * count(*) AS sentences FROM b GROUP BY ALL")
+@query("treebank_files", f"WITH {_DEALT_SENTENCES}, b AS (SELECT language, CASE WHEN NOT question THEN 'other' WHEN rejected THEN 'filtered' ELSE coalesce(ud, 'unclassified') END AS bucket FROM said) SELECT language, bucket, 2 * count(*) AS sentences FROM b GROUP BY ALL")
 def treebank_files(spark, sf):
     """Sentences appended twice to treebank files by language and bucket, and read again."""
     path = f"{Scratch(spark, 'treebank').path}/files"
-    routed = labelling.route_sentences(sentences(spark)).withColumn("lines", F.array(F.concat(F.lit("# text = "), "text"), F.lit("1\tw")))
+    routed = labelling.route_sentences(dealt_sentences(spark, sf)).withColumn("lines", F.array(F.concat(F.lit("# text = "), "text"), F.lit("1\tw")))
     for _ in range(2):
         readers.write_conllu(routed, path)
     part = lambda name: F.regexp_extract("file", rf"/{name}=([^/]+)/", 1).alias(name)
     return readers.conllu(spark, path, "*.txt").groupBy(part("language"), part("bucket")).agg(F.count("*").alias("sentences"))
 
 
-@query("synthetic_splits", "SELECT unnest(['train', 'validation', 'test']) AS split, unnest([140, 30, 30]) AS documents, true AS all_have_terms, true AS sparse")
+@query("synthetic_splits", """WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT CASE WHEN doc_id < CAST(floor(n * 0.7) AS BIGINT) THEN 'train' WHEN doc_id < CAST(floor(n * 0.7) AS BIGINT) + CAST(floor(n * 0.15) AS BIGINT) THEN 'validation' ELSE 'test' END AS split FROM documents, n)
+SELECT split, count(*) AS documents, true AS all_have_terms, true AS sparse FROM d GROUP BY split""")
 def synthetic_splits(spark, sf):
-    rows = readers.synthetic_features(spark, 200, 300)
-    return rows.groupBy("split").agg(F.countDistinct("doc_id").cast("int").alias("documents"), (F.min("tfidf") > 0).alias("all_have_terms"), (F.count("*") / (F.countDistinct("doc_id") * 300) < 0.15).alias("sparse"))
+    """Made-up features for the documents' ids."""
+    ids = read(spark, sf, "documents").select("doc_id")
+    rows = readers.synthetic_features(spark, ids.count(), 300, ids=ids)
+    return rows.groupBy("split").agg(F.countDistinct("doc_id").alias("documents"), (F.min("tfidf") > 0).alias("all_have_terms"), (F.count("*") / (F.countDistinct("doc_id") * 300) < 0.15).alias("sparse"))
 
 
 @query("feature_store_checks", f"""WITH {_TERMS}, x AS (SELECT {_SPLIT} AS split, term_id, doc_id FROM vectors), k AS (SELECT count(*) AS k FROM vocab), p AS (SELECT split, 1 - count(*) / (count(DISTINCT doc_id) * any_value(k)) AS sparsity FROM x, k GROUP BY split)
@@ -1134,10 +1235,11 @@ def unequal_lengths(spark, sf):
     return checks.unequal_lengths(read(spark, sf, "documents").select("doc_id", upto(5).alias("a"), upto(4).alias("b")), ["a", "b"])
 
 
-@query("incompatible_models", f"SELECT task_type, model_type FROM (SELECT unnest(['classification', 'regression']) AS task_type), (SELECT unnest({_list(MODELS)}) AS model_type) WHERE (model_type = 'logistic' AND task_type <> 'classification') OR (model_type = 'ridge' AND task_type <> 'regression')")
+@query("incompatible_models", f"SELECT language, task_type, model_type FROM (SELECT DISTINCT lang AS language FROM documents WHERE lang IS NOT NULL), (SELECT unnest(['classification', 'regression']) AS task_type), (SELECT unnest({_list(MODELS)}) AS model_type) WHERE (model_type = 'logistic' AND task_type <> 'classification') OR (model_type = 'ridge' AND task_type <> 'regression')")
 def incompatible_models(spark, sf):
-    kinds = spark.range(1).select(F.explode(F.array(F.lit("classification"), F.lit("regression"))).alias("task_type"))
-    return checks.incompatible(kinds.select("task_type", F.explode(F.array(*map(F.lit, MODELS))).alias("model_type")))
+    """Of all models and task types, for each language of the documents, those that don't go together."""
+    kinds = _spoken(spark, sf).select("language", F.explode(F.array(F.lit("classification"), F.lit("regression"))).alias("task_type"))
+    return checks.incompatible(kinds.select("language", "task_type", F.explode(F.array(*map(F.lit, MODELS))).alias("model_type")))
 
 
 @query("dataset_integrity", f"WITH d AS (SELECT {_SPLIT} AS split, lang FROM documents) SELECT 'columns' AS part, true AS ok UNION ALL SELECT 'splits', count(DISTINCT split) = 3 FROM d UNION ALL SELECT 'languages', count(DISTINCT lang) FILTER (lang IN ('en', 'fr', 'fi')) = 3 FROM d")

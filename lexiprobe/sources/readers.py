@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,14 +119,30 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_json(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents, one JSON object a file or line; what can't be parsed is left out."""
-    rows = spark.read.schema(extended(RESULT, _corrupt=T.StringType())).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
-    return rows.where("experiment_id IS NOT NULL").drop("_corrupt")
+    """Result documents, one JSON object a line or a file; what can't be parsed is left out.
+
+    A file with a document on any of its lines is read by lines, any other one as a single document.
+    """
+    files = spark.read.schema(extended(RESULT, _corrupt=T.StringType())).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    at = F.col("_metadata.file_path").alias("__file")
+    good = lambda df: df.select(*RESULT.names, at).where("experiment_id IS NOT NULL")
+    lines, whole = good(files.json(path)), good(files.option("multiLine", "true").json(path))
+    return lines.unionByName(whole.join(lines.select("__file").distinct(), "__file", "left_anti")).drop("__file")
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Appends result documents as JSON lines."""
-    results.write.mode("append").json(path)
+    """Commits result documents as one further batch below ``path``; its documents replace those of equal ids."""
+    results.write.mode("error").json(f"{path}/batch={time.time_ns():020d}")
+
+
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a store: of each id the one committed last. A store without batches has none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], RESULT)
+    rows = spark.read.schema(extended(RESULT, batch=T.StringType())).option("basePath", path).json(path).where("experiment_id IS NOT NULL")
+    last = rows.groupBy("experiment_id").agg(F.max_by(F.struct(*RESULT.names), F.struct("batch", "timestamp")).alias("d"))
+    return last.select("d.*")
 
 
 def results_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -181,20 +198,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def synthetic_features(spark: SparkSession, n: int = 100, vocabulary_size: int = 200, sparsity: float = 0.9, seed: int = 42) -> DataFrame:
+def synthetic_features(spark: SparkSession, n: int = 100, vocabulary_size: int = 200, sparsity: float = 0.9, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
     """(split, doc_id, term_id, tfidf): 70 / 15 / 15 per cent of the documents, log-normal weights,
-    at least one term a document; the same for equal arguments."""
+    at least one term a document; the same for equal arguments. The documents are 0 to n - 1, or those
+    of ``ids`` (doc_id), which are then taken to run to about n."""
     u = lambda k: (F.pmod(F.xxhash64("doc_id", "term_id", F.lit(seed + k)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cells = spark.range(n).withColumnRenamed("id", "doc_id").crossJoin(spark.range(vocabulary_size).select(F.col("id").cast("int").alias("term_id")))  # sizes are arguments
+    documents = spark.range(n).withColumnRenamed("id", "doc_id") if ids is None else ids.select("doc_id")
+    cells = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(vocabulary_size - 1))).alias("term_id"))
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
     own = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(vocabulary_size)) == F.col("term_id")
     split = F.when(F.col("doc_id") < int(n * 0.7), "train").when(F.col("doc_id") < int(n * 0.7) + int(n * 0.15), "validation").otherwise("test")
     return cells.where((u(0) >= sparsity) | own).select(split.alias("split"), "doc_id", "term_id", F.exp(normal - 1).alias("tfidf"))
 
 
-def mock_dataset(spark: SparkSession, n: int = 100) -> DataFrame:
-    """Deterministic labels: question_type i % 2, score 0.1 + (i % 10) / 10, submetrics around it in [0, 1]."""
+def mock_dataset(spark: SparkSession, n: int = 100, ids: DataFrame | None = None) -> DataFrame:
+    """Deterministic labels of ``ids`` (doc_id) or of 0 to n - 1: question_type i % 2, score 0.1 + (i % 10) / 10,
+    submetrics around it in [0, 1]."""
     i = F.col("id")
     score = 0.1 + (i % 10) * 0.1
     sub = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + (k - 2) * 0.05)).alias(f) for k, f in enumerate(FEATURES)]
-    return spark.range(n).select(i.alias("doc_id"), F.concat(F.lit("text "), i.cast("string")).alias("text"), F.lit("en").alias("language"), (i % 2).cast("int").alias("question_type"), score.alias("complexity_score"), *sub)
+    rows = spark.range(n) if ids is None else ids.select(F.col("doc_id").alias("id"))
+    return rows.select(i.alias("doc_id"), F.concat(F.lit("text "), i.cast("string")).alias("text"), F.lit("en").alias("language"), (i % 2).cast("int").alias("question_type"), score.alias("complexity_score"), *sub)

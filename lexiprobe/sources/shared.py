@@ -71,6 +71,11 @@ def _delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def holds(path: str | None) -> bool:
+    """Whether a run's folder was written by this process and not cleared."""
+    return path in _written
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that runs of this process left below the shared folder.
 

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 from pathlib import Path
 
 import numpy as np
@@ -6,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiprobe.operators import grid, probes, results
-from lexiprobe.plans import datasets, experiments, labelling
+from lexiprobe.plans import datasets, experiments, grouped, labelling
 from lexiprobe.queries import documents, raw_rows
-from lexiprobe.schemas import RESULT, dataset_configs
+from lexiprobe.schemas import FEATURES, RESULT, SCORE, dataset_configs
 from lexiprobe.sources import readers, shared
 from lexiprobe.streaming.results import append_standardized
 
@@ -87,8 +89,8 @@ def test_batch_runs_cells_and_isolates_failures(spark, sf):
     assert out[1]["test_metrics"]["mse"] >= 0
 
 
-def test_summaries_and_stream_agree(spark, tmp_path):
-    docs = documents(spark)
+def test_summaries_and_stream_agree(spark, sf, tmp_path):
+    docs = documents(spark, sf)
     tables = experiments.summaries(docs)
     assert tables["all_results"].count() == 672 and tables["by_model_type"].count() == 12
     docs.coalesce(2).write.json(str(tmp_path / "in"))
@@ -148,3 +150,50 @@ def test_tables_of_all_runs_can_be_cleared(spark):
     assert not Path(one.path.removeprefix("file:")).exists() and not shared._written
     shared._written[:] = before
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("kept_")]
+
+
+def test_results_are_stored_by_id(spark, tmp_path):
+    """A rerun replaces its documents; files of one document and of lines are both read."""
+    rows = lambda docs: spark.createDataFrame([{"experiment_id": i, "status": s, "train_time": t} for i, s, t in docs], "experiment_id string, status string, train_time double")
+    full = lambda df: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in RESULT.fields])
+    store = str(tmp_path / "store")
+    assert readers.stored_results(spark, store).count() == 0
+    readers.write_results(full(rows([("a", "failed", 1.0), ("b", "completed", 2.0)])), store)
+    readers.write_results(full(rows([("a", "completed", 3.0), ("c", "completed", 4.0)])), store)
+    got = {r["experiment_id"]: (r["status"], r["train_time"]) for r in readers.stored_results(spark, store).collect()}
+    assert got == {"a": ("completed", 3.0), "b": ("completed", 2.0), "c": ("completed", 4.0)}
+    (tmp_path / "store" / "one.json").write_text('{\n  "experiment_id": "d",\n  "status": "completed"\n}')
+    assert sorted(r["experiment_id"] for r in readers.result_json(spark, store).collect()) == ["a", "a", "b", "c", "d"]
+
+
+def test_grouped_cells_equal_fits_row_by_row(spark):
+    """The batch of all cells gives what a loop over rows gives, for dummies, ridge, stump and logistic regression."""
+    draw = random.Random(3)
+    rows = [(i, ("ar", "en")[i % 2], ("train", "train", "validation", "test")[i // 2 % 4], draw.randrange(16), draw.randrange(2), *[round(draw.random(), 3) for _ in range(7)]) for i in range(240)]
+    names = ["doc_id", "language", "split", "x", "question_type", SCORE, *FEATURES]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n in ('language', 'split') else 'int' if n in ('x', 'question_type') else 'long' if n == 'doc_id' else 'double'}" for n in names))
+    stats = grouped.statistics(df)
+    got = {(r["config"]["language"], r["config"]["task"], r["config"]["model_type"]): r for r in grouped.documents(spark, stats).collect() if r["config"]["experiment_type"] == "main"}
+    assert got["ru", "complexity", "ridge"]["status"] == "failed"
+    for language in ("ar", "en"):
+        part = lambda s: [(r[3], r[4], r[5]) for r in rows if r[1] == language and r[2] == s]
+        train, test = part("train"), part("test")
+        n, mean = len(train), sum(t[2] for t in train) / len(train)
+        xm = sum(t[0] for t in train) / n
+        w = sum((t[0] - xm) * (t[2] - mean) for t in train) / (sum((t[0] - xm) ** 2 for t in train) + 1)
+        mse = sum((y - (mean + w * (x - xm))) ** 2 for x, _, y in test) / len(test)
+        assert math.isclose(got[language, "complexity", "ridge"]["test_metrics"]["mse"], mse, rel_tol=1e-9)
+        most = int(sum(t[1] for t in train) * 2 > n)
+        assert math.isclose(got[language, "question_type", "dummy"]["test_metrics"]["accuracy"], sum(c == most for _, c, _ in test) / len(test))
+        a = b = 0.0  # plain gradient descent on the penalised loss
+        for _ in range(20000):
+            p = [1 / (1 + math.exp(-(a * x / 8 + b))) for x, _, _ in train]
+            a, b = a - 0.01 * (a + sum((q - c) * x / 8 for q, (x, c, _) in zip(p, train))), b - 0.01 * (b + sum(q - c for q, (_, c, _) in zip(p, train)))
+        acc = sum((a * x / 8 + b > 0) == c for x, c, _ in test) / len(test)
+        assert math.isclose(got[language, "question_type", "logistic"]["test_metrics"]["accuracy"], acc)
+        best = max((sum(g for x, g in h if x <= t) ** 2 / (sum(x <= t for x, _ in h) + 1) + sum(g for x, g in h if x > t) ** 2 / (sum(x > t for x, _ in h) + 1), -t) for h in [[(x, 0.5 - y) for x, _, y in train]] for t in sorted({x for x, _ in h})[:-1])
+        t = -best[1]
+        leaf = lambda keep: -0.1 * sum(0.5 - y for x, _, y in train if keep(x)) / (sum(keep(x) for x, _, _ in train) + 1)
+        low, high = leaf(lambda x: x <= t), leaf(lambda x: x > t)
+        mse = sum((y - 0.5 - (low if x <= t else high)) ** 2 for x, _, y in test) / len(test)
+        assert math.isclose(got[language, "complexity", "xgboost"]["test_metrics"]["mse"], mse, rel_tol=1e-9)
