@@ -9,14 +9,16 @@ in at least one within its allowance, so looking up those segments finds all of
 1. Documents with equal sets are one node. Each node has a signature for every segment, in its own
    band's partition and in that of the band below. There are about 1.3 segments for each difference
    allowed, so a set too many of whose signatures stand alone has no partner: all but near copies go.
-2. The segment subsets of what is left are indexed in their own band. A set looks up its H + 1
-   segments of shortest lists. Where these are longer than the set, one-deletion neighbourhoods are
-   indexed too in the bands concerned, and segments are allocated to allowance 0 or 1, or left out, by
-   the cost of a unit of allowance.
-3. Who meets in a list is verified on full sets: with the list's first node, then, where a list still
-   holds several components, with all others: pair by pair in lists where that is a bounded multiple
-   of their rows, else with some 64 nodes of the list a round, until all rounds are through or the list
-   is one component. A list is never expanded into its pairs at once. Components name the classes.
+2. A few of each remaining set's signatures, chosen by hash, name lists in which it meets the first
+   node; verified links give components. Most near copies are joined here.
+3. The segment subsets are indexed in each set's own band. Only lists of several components matter; a
+   set looks up its H + 1 segments of fewest nodes of other components, if any. Where these are more
+   than its size, one-deletion neighbourhoods are indexed too in the bands concerned, and segments
+   are allocated to allowance 0 or 1, or left out, by the cost of a unit of allowance.
+4. Who meets in a list is verified on full sets: with the list's first node, then, where several
+   components are left, with all others. Short lists give their pairs, a bounded multiple of their
+   rows. Long ones that share nodes are compared as one group where that is less work, in blocks of
+   bounded rows and elements; of a block's pairs only links leave it. Components name the classes.
 
 Defined results
 ---------------
@@ -41,10 +43,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, claim, read
 from .components import components
-from .near_dedup import _M1, _M2, _fits, _name, _sets, _verified, _words, shingles
+from .near_dedup import _M1, _M2, _fits, _grouped, _name, _only, _sets, _verified, _words, shingles
 
-#: Segments for each difference allowed; index nodes of a list that are compared in one round.
-SLACK, ROUND = 1.3, 64
+#: Segments for each difference allowed; signatures by which a set first meets others; pairs a row of lists that give their pairs.
+SLACK, PICKS, SHORT = 1.3, 3, 4
+#: Rows and elements of a block, about.
+ROWS, ELEMENTS = 1024, 1 << 20
 #: Neighbourhoods are considered where the lists looked up hold more than so many times the set's size.
 DEAR = 1.0
 #: Nodes whose texts are found by a broadcast of their ids, at most.
@@ -172,7 +176,7 @@ def _sketched(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _survivors(sketched: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct nodes that share enough signatures with others to have partners."""
+    """(node, id): the nodes that share enough signatures with others to have partners, each with a number of its own."""
     some = sketched.where("node IS NOT NULL")
     # Rows that need none survive as they are; a signature is shared if two nodes have it.
     entries = some.select("row", F.xxhash64("node").alias("h"), "own", F.posexplode("signatures").alias("at", "signature"))
@@ -181,12 +185,13 @@ def _survivors(sketched: DataFrame, scratch: Scratch) -> DataFrame:
     hits = entries.join(shared, "signature", "left_semi").groupBy("row").agg(F.count_if(F.col("at") < F.col("own")).alias("hits_own"), F.count_if(F.col("at") >= F.col("own")).alias("hits_below"))
     enough = lambda own, below: (own >= F.col("needs")[0]) | (below >= F.col("needs")[1])
     small = some.select("row", "node", "needs")
-    rows = small.join(hits, "row").where(enough(F.col("hits_own"), F.col("hits_below"))).select("node")
-    return scratch.keep(rows.unionByName(small.where(enough(F.lit(0), F.lit(0))).select("node")).distinct(), "survivors")
+    rows = small.join(hits, "row").where(enough(F.col("hits_own"), F.col("hits_below"))).select("node", "row")
+    rows = rows.unionByName(small.where(enough(F.lit(0), F.lit(0))).select("node", "row"))
+    return scratch.keep(rows.groupBy("node").agg(F.min("row").alias("id")), "survivors")
 
 
 def _subsets(sets: DataFrame, bands: Bands) -> DataFrame:
-    """(node, n, band, part, most, segment, signature) of each set: part 0 is its own band's, part 1 the lower one's."""
+    """(node, n, band, part, most, many, segment, signature) of each set: part 0 is its own band's, part 1 the lower one's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _words.clear)
@@ -194,10 +199,27 @@ def _subsets(sets: DataFrame, bands: Bands) -> DataFrame:
             for nodes, some, n, band, part, most in _parts(batch, bands):
                 own = Segments(bands, some, band)
                 of = own.owner
-                columns = [nodes.take(pa.array(of)), pa.array(n[of]), pa.array(band[of], pa.int32()), pa.array(np.full(len(of), part), pa.int32()), pa.array(most[of]), pa.array(own.number), pa.array(own.subsets())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "band", "part", "most", "segment", "signature"])
+                columns = [nodes.take(pa.array(of)), pa.array(n[of]), pa.array(band[of], pa.int32()), pa.array(np.full(len(of), part), pa.int32()), pa.array(most[of]), pa.array(own.many[of]), pa.array(own.number), pa.array(own.subsets())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "band", "part", "most", "many", "segment", "signature"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node binary, n long, band int, part int, most long, segment long, signature long")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, band int, part int, most long, many long, segment long, signature long")
+
+
+def _picks(sets: DataFrame, bands: Bands, picks: int) -> DataFrame:
+    """(bucket, node, n): each set's signatures of smallest hash, by ``picks`` hash functions, in both partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__, _words.clear)
+        for batch in batches:
+            for nodes, some, n, band, _, _ in _parts(batch, bands):
+                own = Segments(bands, some, band)
+                signature = own.subsets().view(np.uint64)
+                for k in range(picks):
+                    h = np.where(own.size > 0, _mixed(signature + np.uint64(k + 1)), np.uint64(0xFFFFFFFFFFFFFFFF))
+                    least = np.minimum.reduceat(h, own.start[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), nodes, pa.array(n)], names=["bucket", "node", "n"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "bucket long, node long, n long").distinct()
 
 
 def _parts(batch: pa.RecordBatch, bands: Bands) -> Iterator[tuple]:
@@ -231,7 +253,7 @@ def _neighbours(sets: DataFrame, bands: Bands, wanted: DataFrame | None, which:
                     columns = [nodes.take(pa.array(of)), pa.array(n[of]), pa.array(np.full(len(of), part), pa.int32()), pa.array(own.number[own.at]), pa.array(own.deletions())]
                     yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "part", "segment", "signature"])
 
-    return rows.mapInArrow(run, "node binary, n long, part int, segment long, signature long")
+    return rows.mapInArrow(run, "node long, n long, part int, segment long, signature long")
 
 
 def allocation(equal: np.ndarray, near: np.ndarray, need: int) -> np.ndarray:
@@ -246,20 +268,20 @@ def allocation(equal: np.ndarray, near: np.ndarray, need: int) -> np.ndarray:
 
 
 def _allocated(rows: DataFrame) -> DataFrame:
-    """(node, part, segment, allowance) of the segments to look up; ``rows``: node, part, most, segment, equal, near."""
+    """(node, part, segment, allowance) of the segments to look up; ``rows``: node, part, need (units still to be used), segment, equal, near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__, _words.clear)
         for batch in batches:
             out = []
-            for node, part, most, of in zip(*(c.to_pylist() for c in batch.columns)):
-                v = allocation(np.array([s["equal"] for s in of], float), np.array([s["near"] for s in of], float), most + 1)
+            for node, part, need, of in zip(*(c.to_pylist() for c in batch.columns)):
+                v = allocation(np.array([s["equal"] for s in of], float), np.array([s["near"] for s in of], float), need)
                 out += [(node, part, s["segment"], int(a)) for s, a in zip(of, v.tolist()) if a >= 0]
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((),) * 4, kinds)], names=["node", "part", "segment", "allowance"])
 
-    sets = rows.groupBy("node", "part", "most").agg(F.sort_array(F.collect_list(F.struct("segment", "equal", "near"))).alias("of"))
-    return sets.mapInArrow(run, "node binary, part int, segment long, allowance int")
+    sets = rows.groupBy("node", "part", "need").agg(F.sort_array(F.collect_list(F.struct("segment", "equal", "near"))).alias("of"))
+    return sets.mapInArrow(run, "node long, part int, segment long, allowance int")
 
 
 def _other(signature: str | Column) -> Column:
@@ -267,18 +289,26 @@ def _other(signature: str | Column) -> Column:
     return F.xxhash64(signature, F.lit("deleted"))
 
 
-def _met(sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
-    """(bucket, node, n, asks): who looks up a list, and who is in it."""
-    subsets = scratch.keep(_subsets(sets, bands), "subsets")
-    index = subsets.where("part = 0")
-    lengths = scratch.keep(index.groupBy("signature").agg(F.count("*").alias("length")), "lengths")
-    asking = subsets.where("most > 0").join(lengths, "signature", "left").withColumn("equal", F.coalesce("length", F.lit(0)) - F.when(F.col("part") == 0, 1).otherwise(0)).drop("length")
+def _met(sets: DataFrame, labels: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(bucket, node, n, asks): who looks up a list, and who is in it; ``labels``: node, label of those that have links."""
+    subsets = _subsets(sets, bands).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    subsets = scratch.keep(subsets, "subsets")
+    held = F.col("part") == 0
+    # Lists of several components; nobody else's segment costs anything.
+    lists = subsets.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(held).alias("length")).where("low < high AND length > 0")
+    lists = scratch.keep(lists.select("signature", "length"), "lists")
+    rows = scratch.keep(subsets.join(lists, "signature"), "rows")
+    scratch.drop("subsets")
+    same = scratch.keep(rows.where(held).groupBy("signature", "label").agg(F.count("*").alias("same")), "same")
+    asking = rows.where("most > 0").join(same, ["signature", "label"], "left").withColumn("equal", F.col("length") - F.coalesce("same", F.lit(0))).where("equal > 0").drop("length", "same")
     one = W.partitionBy("node", "part")
-    ranked = asking.withColumn("rank", F.row_number().over(one.orderBy("equal", "segment"))).withColumn("cost", F.sum(F.when(F.col("rank") <= F.col("most") + 1, F.col("equal")).otherwise(0)).over(one))
+    # Segments that cost nothing come first: what is left of the H + 1 must be looked up.
+    ranked = asking.withColumn("need", F.col("most") + 1 - (F.col("many") - F.count("*").over(one))).where("need > 0")
+    ranked = ranked.withColumn("rank", F.row_number().over(one.orderBy("equal", "segment"))).withColumn("cost", F.sum(F.when(F.col("rank") <= F.col("need"), F.col("equal")).otherwise(0)).over(one))
     ranked = scratch.keep(ranked.withColumn("dear", F.col("cost") > F.col("n") * DEAR), "ranked")
     asked = lambda rows, bucket: rows.select(bucket.alias("bucket"), "node", "n", F.lit(True).alias("asks"))
-    held = lambda rows, bucket: rows.select(bucket.alias("bucket"), "node", "n", F.lit(False).alias("asks"))
-    met = held(index, F.col("signature")).unionByName(asked(ranked.where("NOT dear AND rank <= most + 1 AND equal > 0"), F.col("signature")))
+    listed = lambda rows, bucket: rows.select(bucket.alias("bucket"), "node", "n", F.lit(False).alias("asks"))
+    met = listed(rows.where(held), F.col("signature")).unionByName(asked(ranked.where("NOT dear AND rank <= need"), F.col("signature")))
     dear = ranked.where("dear")
     which = [r["band"] for r in dear.select("band").distinct().collect()]  # bands are few: sizes grow by a fixed rate
     if not which:
@@ -286,15 +316,35 @@ def _met(sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
     deleted = scratch.keep(_neighbours(sets, bands, None, which), "deleted")
     lookups = scratch.keep(_neighbours(sets, bands, dear.select("node", "part").distinct(), []), "lookups")
     in_lists = scratch.keep(deleted.groupBy("signature").agg(F.count("*").alias("length")), "deleted-lengths")
-    near = lookups.join(lengths, "signature").groupBy("node", "part", "segment").agg(F.sum("length").alias("by_lookup"))
+    near = lookups.join(lists, "signature").groupBy("node", "part", "segment").agg(F.sum("length").alias("by_lookup"))
     keys = ["node", "part", "segment"]
     costs = dear.join(near, keys, "left").join(in_lists, "signature", "left")
-    costs = costs.select(*keys, "most", "equal", (F.col("equal") + F.coalesce("by_lookup", F.lit(0)) + F.coalesce("length", F.lit(0))).alias("near"))
+    costs = costs.select(*keys, "need", "equal", (F.col("equal") + F.coalesce("by_lookup", F.lit(0)) + F.coalesce("length", F.lit(0))).alias("near"))
     chosen = scratch.keep(_allocated(costs), "chosen")
     near = chosen.where("allowance = 1").select(*keys)
     own = dear.join(chosen.select(*keys), keys)
     met = met.unionByName(asked(own, F.col("signature"))).unionByName(asked(lookups.join(near, keys), F.col("signature")))
-    return met.unionByName(asked(dear.join(near, keys), _other("signature"))).unionByName(held(deleted, _other("signature")))
+    # A neighbour's list may be of one component, which is not the asking node's.
+    by_lookup = subset_lists(sets, bands).join(lookups.join(near, keys).select("signature").distinct(), "signature", "left_semi")
+    return met.unionByName(listed(by_lookup, F.col("signature"))).unionByName(asked(dear.join(near, keys), _other("signature"))).unionByName(listed(deleted, _other("signature")))
+
+
+def subset_lists(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(signature, node, n) of the index of segment subsets."""
+    return _subsets(sets, bands).where("part = 0").select("signature", "node", "n")
+
+
+def _first_pairs(at: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Distinct pairs (a, b) of each row and the first row of its bucket of the other side; without sides, of any."""
+    one = lambda side: F.min(F.when(F.col("asks") == side, F.struct("node", "n", "label")))
+    lead = scratch.keep(at.groupBy("bucket").agg(one(True).alias("asking"), one(False).alias("held")).where("asking IS NOT NULL AND held IS NOT NULL"), f"{name}-lead")
+    first = at.join(lead, "bucket").withColumn("with", F.when(F.col("asks"), F.col("held")).otherwise(F.col("asking")))
+    first = first.where(F.col("label") != F.col("with.label")).select("node", "n", F.col("with.node").alias("other"), F.col("with.n").alias("n_other"))
+    return first.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "n", "n_other").distinct()
+
+
+def _sized(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(_fits(F.col("n"), F.col("n_other"), percent)).select("a", "b")
 
 
 def _pairs(asking: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -304,46 +354,101 @@ def _pairs(asking: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def _linked(at: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """(node, label) of all nodes that have links; ``at``: bucket, node, n, asks."""
-    one = lambda side: F.min(F.when(F.col("asks") == side, F.struct("node", "n")))
-    lead = at.groupBy("bucket").agg(one(True).alias("asking"), one(False).alias("held"), F.min("node").alias("low"), F.max("node").alias("high")).where("asking IS NOT NULL AND held IS NOT NULL AND low < high")
-    lead = scratch.keep(lead.select("bucket", "asking", "held"), "lead")
-    at = scratch.keep(at.join(lead.select("bucket"), "bucket").distinct(), "at")
-    # Everyone with the first of the other side.
-    first = at.join(lead, "bucket").withColumn("with", F.when(F.col("asks"), F.col("held")).otherwise(F.col("asking")))
-    first = first.where((F.col("node") != F.col("with.node")) & _fits(F.col("n"), F.col("with.n"), percent)).select(F.least("node", "with.node").alias("a"), F.greatest("node", "with.node").alias("b")).distinct()
-    links = scratch.keep(_verified(scratch.keep(first, "with-first"), sets, percent), "links-first")
-    labels = components(links, scratch, "labels-first")
-    named = lambda labels: at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _linked(sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """(node, label) of all nodes that have links."""
+    percent = bands.percent
+    # Most near copies share a picked signature with the first node that has it.
+    picked = scratch.keep(_picks(sets, bands, PICKS), "picked")
+    lead = scratch.keep(picked.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead")), "picked-lead")
+    pairs = picked.join(lead, "bucket").where("node != lead.node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("n_other")).distinct()
+    links = scratch.keep(_verified(scratch.keep(_sized(pairs, percent), "picked-pairs"), sets, percent), "links-picked")
+    labels = components(links, scratch, "labels-picked")
+    scratch.drop("picked", "picked-lead")
+    at = scratch.keep(_met(sets, labels, bands, scratch).distinct(), "at")
 
     def still_open(labels: DataFrame, name: str) -> DataFrame:
-        """Rows of buckets with several labels, with the numbers of asking and held rows."""
-        rows = scratch.keep(named(labels), f"named-{name}")
-        many = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("asks").alias("p"), F.count_if(~F.col("asks")).alias("i")).where("low < high")
-        return scratch.keep(rows.join(scratch.keep(many.select("bucket", "p", "i"), f"many-{name}"), "bucket"), f"open-{name}")
+        """Rows of buckets where asking rows meet other components, with the numbers of both sides."""
+        rows = scratch.keep(at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"named-{name}")
+        ends = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("asks").alias("p"), F.count_if(~F.col("asks")).alias("i")).where("low < high AND p > 0 AND i > 0")
+        out = scratch.keep(rows.join(scratch.keep(ends.select("bucket", "p", "i"), f"many-{name}"), "bucket"), f"open-{name}")
+        scratch.drop(f"named-{name}")
+        return out
 
     rows = still_open(labels, "first")
-    sides = lambda rows: (rows.where("asks"), rows.where("NOT asks"))
-    few = F.col("p") * F.col("i") <= ROUND * (F.col("p") + F.col("i"))
-    more = scratch.keep(_verified(scratch.keep(_pairs(*sides(rows.where(few)), percent), "few"), sets, percent), "links-few")
+    more = scratch.keep(_verified(scratch.keep(_sized(_first_pairs(rows, scratch, "first"), percent), "with-first"), sets, percent), "links-first")
     if not more.isEmpty():
         links = links.unionByName(more)
-        labels = components(links, scratch, "labels-few")
-    large, turn = rows.where(~few), 0
-    while not large.isEmpty():
-        # A round's share of the held rows, by hash; lists of several labels go on while rounds are left.
-        rounds = F.ceil(F.col("i") / ROUND)
-        large = still_open(labels, f"round-{turn}").drop("p", "i").join(large.select("bucket", "p", "i").distinct(), "bucket").where(rounds > turn)
-        asking, held = sides(large)
-        share = held.where(F.pmod(F.xxhash64("node"), rounds) == turn)
-        more = scratch.keep(_verified(scratch.keep(_pairs(asking, share, percent), f"few-{turn}"), sets, percent), f"links-{turn}")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, scratch, f"labels-{turn}")
-        large = scratch.keep(large, f"large-{turn}")
-        turn += 1
-    return labels
+        labels = components(links, scratch, "labels-first")
+        rows = still_open(labels, "then")
+    few = F.col("p") * F.col("i") <= SHORT * (F.col("p") + F.col("i"))
+    short = scratch.keep(_verified(scratch.keep(_pairs(rows.where(few & F.col("asks")), rows.where(few & ~F.col("asks")), percent), "few"), sets, percent), "links-few")
+    links = links.unionByName(short)
+    long = rows.where(~few)
+    if not long.isEmpty():
+        links = links.unionByName(scratch.keep(_in_blocks(_groups(long, scratch), sets, percent, scratch), "links-blocks"))
+    return components(links, scratch, "labels")
+
+
+def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of long lists; lists that share nodes are one bucket where that leaves fewer pairs to compare."""
+    # A list and its nodes: lists get names below those of nodes, which are not negative.
+    edges = rows.select((-F.pmod(F.col("bucket"), F.lit(1 << 61)) - 1).alias("a"), F.col("node").alias("b")).distinct()
+    group = components(scratch.keep(edges, "group-edges"), scratch, "groups").withColumnRenamed("label", "group")
+    merged = scratch.keep(rows.join(group, "node").select("bucket", "group", "node", "n", "label", "asks"), "grouped")
+    sides = lambda df: df.agg(F.count_if("asks").alias("p"), F.count_if(~F.col("asks")).alias("i"))
+    alone = sides(merged.groupBy("group", "bucket")).groupBy("group").agg(F.sum(F.col("p") * F.col("i")).alias("alone"))
+    whole = sides(merged.select("group", "node", "asks").distinct().groupBy("group"))
+    together = scratch.keep(alone.join(whole, "group").select("group", (F.col("p") * F.col("i") < F.col("alone")).alias("together")), "together")
+    return scratch.keep(merged.join(together, "group").select(F.when(F.col("together"), F.col("group")).otherwise(F.col("bucket")).alias("bucket"), "node", "n", "label", "asks").distinct(), "long")
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between asking and held rows of a bucket, of differing labels, compared in blocks."""
+    asks = F.col("asks").cast("long")
+    blocks = lambda side: F.greatest(F.ceil(F.sum(side) / ROWS), F.ceil(F.sum(side * F.col("n")) / ELEMENTS), F.lit(1)).cast("long")
+    sums = scratch.keep(rows.groupBy("bucket").agg(blocks(asks).alias("n_i"), blocks(1 - asks).alias("n_j")), "sums")
+    at = rows.join(sums, "bucket")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    asking = at.where("asks").select("bucket", own("n_i").alias("i"), upto("n_j").alias("j"), "asks", "node", "label")
+    held = at.where("NOT asks").select("bucket", upto("n_i").alias("i"), own("n_j").alias("j"), "asks", "node", "label")
+    placed = scratch.keep(asking.unionByName(held), "placed")
+    full = placed.join(_only(sets, placed.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node").select("bucket", "i", "j", "asks", "node", "label", "shingles")
+
+    def verify(group: pa.Table) -> pa.RecordBatch:
+        asks = group.column("asks").to_numpy()
+        ids, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        some = [np.asarray(s, dtype=np.int64) for s in group.column("shingles").to_numpy()]
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b = [], []
+        if len(x) and len(y):
+            link = linked_pairs([some[k] for k in x], [some[k] for k in y], percent) & (label[x][:, None] != label[y][None, :])
+            p, q = np.nonzero(link)
+            a, b = np.minimum(ids[x[p]], ids[y[q]]), np.maximum(ids[x[p]], ids[y[q]])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _grouped(full, verify, "a long, b long").distinct()
+
+
+def linked_pairs(xs: list[np.ndarray], ys: list[np.ndarray], percent: int, width: int = 2048) -> np.ndarray:
+    """Which x and y are as similar as asked: products of membership matrices, some elements at a time."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (ex, ox), (ey, oy) = flat(xs), flat(ys)
+    both = np.intersect1d(ex, ey)
+    px, py = (np.searchsorted(both, e) for e in (ex, ey))
+    common = np.zeros((len(xs), len(ys)), np.float32)  # exact: counts stay below 2 ** 24 in a block
+    sizes = [np.array([len(s) for s in sets]) for sets in (xs, ys)]
+    for at in range(0, len(both), width):
+        parts = []
+        for e, p, o, n in ((ex, px, ox, len(xs)), (ey, py, oy, len(ys))):
+            in_ = (p >= at) & (p < min(at + width, len(both)))
+            in_[in_] = both[p[in_]] == e[in_]
+            m = np.zeros((n, width), np.float32)
+            m[o[in_], p[in_] - at] = 1.0
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    common = common.astype(np.int64)
+    return common * 100 >= (sizes[0][:, None] + sizes[1][None, :] - common) * percent
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, slack: float = SLACK) -> DataFrame:
@@ -368,8 +473,9 @@ def _classes(docs: DataFrame, width: int, bands: Bands, scratch: Scratch) -> Dat
     survivors = _survivors(sketched, scratch)
     one = first.join(survivors, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
     one = F.broadcast(one) if survivors.count() <= _FEW else one
-    sets = scratch.keep(_sets(docs, one, width), "sets")
-    found = _linked(_met(sets, bands, scratch), sets, bands.percent, scratch)
+    sets = scratch.keep(_sets(docs, one, width).join(survivors, "node").select(F.col("id").alias("node"), "shingles"), "sets")
+    found = _linked(sets, bands, scratch).select(F.col("node").alias("id"), "label").join(survivors, "id").select("node", "label")
+    found = found.withColumn("label", F.unhex(F.hex("label")))  # beside names of nodes that have no links
     named = first.join(found, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_node = scratch.keep(named.select("node", "label").join(ids, "label").select("node", "component_id"), "by-node")

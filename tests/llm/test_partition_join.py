@@ -47,7 +47,9 @@ def near_copies(seed, bases, copies, words=(3, 80)):
 def test_groups_of_near_copies(spark, monkeypatch, dear):
     """Many sizes, shared passages; also with lists that are compared in rounds, and neighbourhoods for all."""
     if dear:
-        monkeypatch.setattr(pj, "ROUND", 2)
+        monkeypatch.setattr(pj, "SHORT", 0)
+        monkeypatch.setattr(pj, "PICKS", 1)
+        monkeypatch.setattr(pj, "ROWS", 5)
         monkeypatch.setattr(pj, "DEAR", 0.0)
     rows = near_copies(dear, 40, 25)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
