@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schemas import FEATURES, SCORE
 from .groups import per_group
 from .projection import encoded_type, language_code, token_range
+from .sampling import drawn
 
 #: A frame of the published data is one file, that is one source, language and type.
 GROUP = ("source", "language", "type")
@@ -70,12 +71,20 @@ def ablations(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return rows.withColumn(SCORE, F.bround("__a.score", 3)).drop("__a")
 
 
+def shuffled(df: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
+    """Adds ``position``, from 1: each row's place in a reproducible random order of all.
+
+    Rows are cut into pieces by their draw and counted, so no task sorts them all.
+    """
+    return drawn(df, (), key, seed, "position", "__n").drop("__n")
+
+
 def combined(frames: Sequence[DataFrame], seed: int | None = None) -> DataFrame:
-    """All rows of the frames by column name; a seed gives them a reproducible order."""
+    """All rows of the frames by column name; a seed gives them a reproducible order (rows that differ only in which columns are null differ)."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out if seed is None else out.orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in out.columns], F.lit(seed))))
+    return out if seed is None else out.orderBy(F.md5(F.concat(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}), F.lit(f":{seed}"))))
 
 
 def finalized(df: DataFrame, drop_original_tokens: bool = True) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..schemas import SCORE, SEEDS
 from ..sources.shared import Scratch
-from .groups import per_group
+from .groups import matched, per_group
+from .quantiles import quantiles
 
 
 def draw(key: str, seed: int) -> Column:
-    """The order of random draws; the same in any engine that has MD5."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    """The order of random draws; the same in any engine that has MD5. A null key draws like an empty one."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], part: Column, rank: str, size: str) -> DataFrame:
@@ -31,9 +32,11 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], p
     w = W.partitionBy("__g")
     before = F.coalesce(F.sum("__k").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("__g", "__part", before.alias("__before"), F.sum("__k").over(w).alias(size))
-    placed = rows.join(cells, ["__g", "__part"])
+    # A row whose key is null has no part, which is a part of its own.
+    cells = cells.withColumnsRenamed({"__g": "__of", "__part": "__of_part"})
+    placed = rows.join(cells, (F.col("__g") == F.col("__of")) & F.col("__part").eqNullSafe(F.col("__of_part")))
     inside = F.row_number().over(W.partitionBy("__g", "__part").orderBy(*order))
-    return placed.withColumn(rank, F.col("__before") + inside).drop("__g", "__part", "__before")
+    return placed.withColumn(rank, F.col("__before") + inside).drop("__g", "__part", "__of", "__of_part", "__before")
 
 
 def drawn(df: DataFrame, group: Sequence[str], key: str, seed: int, rank: str, size: str) -> DataFrame:
@@ -59,16 +62,18 @@ def split(df: DataFrame, strata: Sequence[str], ratio: float = 0.1, least: int =
 
 def token_bins(df: DataFrame, group: Sequence[str], column: str = "n_tokens", size: str = "n") -> DataFrame:
     """Adds ``bin``: least(greatest(5, n / 10), 10) equally filled bins of each group; and n as ``size``."""
-    fractions = F.array(*[F.lit(k / d) for d in range(5, 11) for k in range(d + 1)])
-    groups = df.groupBy(*group).agg(F.percentile(F.col(column).cast("double"), fractions).alias("p"), F.count("*").alias("n"))
+    fractions = [k / d for d in range(5, 11) for k in range(d + 1)]
+    points = quantiles(df, column, fractions, group).drop("n")
+    groups = matched(df.groupBy(*group).agg(F.count("*").alias("n")), points, group, "left") if group else points.crossJoin(df.agg(F.count("*").alias("n")))
     bins = F.least(F.greatest(F.lit(5), F.floor(F.col("n") / 10)), F.lit(10)).cast("int")
     start = {d: sum(x + 1 for x in range(5, d)) for d in range(5, 11)}
     picked = F.slice("p", F.element_at(F.create_map(*[F.lit(v) for d in start for v in (d, start[d] + 1)]), bins), bins + 1)
-    groups = per_group(groups.select(*group, F.array_distinct(picked).alias("edges"), F.col("n").alias(size)))
+    # A group without values is one bin.
+    groups = per_group(groups.select(*group, F.coalesce(F.array_distinct(picked), F.array().cast("array<double>")).alias("edges"), F.col("n").alias(size)))
     x = F.col(column).cast("double")
     inner = F.filter("edges", lambda e, i: (i > 0) & (e < x))
     top = F.size("edges") - 2
-    return df.join(groups, list(group)).withColumn("bin", F.least(F.size(inner), F.greatest(top, F.lit(0)))).drop("edges")
+    return matched(df, groups, group).withColumn("bin", F.coalesce(F.least(F.size(inner), F.greatest(top, F.lit(0))), F.lit(0))).drop("edges")
 
 
 def quota(table: dict[tuple[str, str], int], default: int, language: str = "language", kind: str = "type") -> Column:
@@ -107,13 +112,12 @@ def match_distribution(pool: DataFrame, reference: DataFrame, target: int, colum
     pool, reference = scratch.keep(pool, "pool"), scratch.keep(reference.select(F.col(column).cast("double").alias(column)), "reference")
     if pool.count() < target:
         return pool
-    fractions = [k / d for d in range(2, 11) for k in range(d + 1)]  # of every number of bins there may be
-    n_ref, points = reference.agg(F.count("*"), F.percentile(column, fractions)).first()
+    n_ref = reference.count()
     bins = min(10, n_ref // 20)
     if bins < 2:
         return token_sample(pool.withColumn("__all", F.lit(1)), target, ["__all"], key=key, seed=seed).drop("__all")
-    first = sum(d + 1 for d in range(2, bins))
-    edges = sorted(set(points[first : first + bins + 1]))[1:-1]
+    found = quantiles(reference, column, [k / bins for k in range(bins + 1)]).first()
+    edges = sorted(set(found["p"]))[1:-1] if found else []
     place = sum(((F.col(column) >= e).cast("int") for e in edges), F.lit(0))
     share = reference.groupBy(place.alias("bin")).agg((F.count("*") / F.lit(float(n_ref))).alias("share"))
     rows = drawn(pool.withColumn("bin", place), ["bin"], key, seed, "__rank", "__n").join(F.broadcast(share), "bin", "left")  # at most ten bins

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import annotations as ann
 from .functions import questions as q
-from .operators import checks, grid, metrics, models, normalize, projection, results, sampling, tfidf
+from .operators import boosting, checks, grid, linear, metrics, models, normalize, projection, results, sampling, tfidf
 from .plans import datasets, grouped, labelling
 from .schemas import FEATURES, LANGUAGES, MODELS, RESULT, SCORE, dataset_configs
 from .sentences import SENTENCES
@@ -747,13 +747,13 @@ met AS MATERIALIZED (SELECT {_CELLS}, model_type, part, CAST(samples AS BIGINT)
   round_even(CASE WHEN classify THEN {_WEIGHTED.format('f')} END, 12) AS f1, round_even(CASE WHEN NOT classify THEN sse / samples END, 12) AS mse, round_even(CASE WHEN NOT classify THEN CASE WHEN spread > 1e-9 THEN 1 - sse / spread ELSE 0 END END, 12) AS r2 FROM f1s),
 one AS (SELECT {_CELLS}, CAST(min(sy) AS DOUBLE) AS sy, count(*) AS k FROM (SELECT {_CELLS}, sum(sy) AS sy, sum(n) AS n FROM bins WHERE task = 'question_type' GROUP BY ALL HAVING sum(sy) = 0 OR sum(sy) = sum(n)) GROUP BY ALL)"""
 _WIDE = ", ".join(f"max({c}) FILTER (part = '{p}') AS {p}_{c}" for p in results.PARTS for c in ("samples", *results.METRICS))
-_SHOWN = ", ".join(f"CASE WHEN error IS NULL THEN {p}_{m} END AS {p}_{m}" for p in results.PARTS for m in results.METRICS)
+_KEPT_METRICS = ", ".join(f"CASE WHEN error IS NULL THEN {p}_{m} END AS {p}_{m}" for p in results.PARTS for m in results.METRICS)
 _STD = f"""{_GRID}, {_FITS}, wide AS (SELECT {_CELLS}, model_type, {_WIDE} FROM met GROUP BY ALL),
 told AS (SELECT grid.*, wide.* EXCLUDE ({_CELLS}, model_type), CASE WHEN train_samples IS NULL THEN 'ValueError: no training rows for language ' || grid.language WHEN grid.model_type = 'logistic' AND one.k IS NOT NULL THEN 'ValueError: training labels of bad shape: one class only' END AS error
   FROM grid LEFT JOIN wide ON wide.language = grid.language AND wide.task = grid.label AND wide.control_index = coalesce(grid.control_index, 0) AND wide.model_type = grid.model_type
   LEFT JOIN one ON one.language = grid.language AND one.task = grid.label AND one.control_index = coalesce(grid.control_index, 0)),
 std AS MATERIALIZED (SELECT experiment_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error, language, label AS task, model_type, task_type, dataset_config, experiment_type, CAST(control_index AS INTEGER) AS control_seed,
-  CASE WHEN error IS NULL THEN train_samples / 1e3 ELSE 0 END AS train_time, CASE WHEN error IS NULL THEN coalesce(test_samples, 0) END AS test_samples, coalesce(train_samples, 0) + coalesce(val_samples, 0) + coalesce(test_samples, 0) AS second, {_SHOWN} FROM told),
+  CASE WHEN error IS NULL THEN train_samples / 1e3 ELSE 0 END AS train_time, CASE WHEN error IS NULL THEN coalesce(test_samples, 0) END AS test_samples, coalesce(train_samples, 0) + coalesce(val_samples, 0) + coalesce(test_samples, 0) AS second, {_KEPT_METRICS} FROM told),
 done AS (SELECT * FROM std WHERE status = 'completed')"""
 
 
@@ -1137,7 +1137,7 @@ def ridge_probe(spark, sf):
 
 @query("gbt_probe")
 def gbt_probe(spark, sf):
-    return _fitted(spark, sf, "xgboost", "classification", F.col("label"))
+    return _fitted(spark, sf, "xgboost", "classification", F.col("label"), n_estimators=5, max_depth=3)
 
 
 @query("forest_probe")
@@ -1145,6 +1145,122 @@ def forest_probe(spark, sf):
     return _fitted(spark, sf, "random_forest", "regression", F.col("class"))
 
 
+# --- Models whose fits SQL repeats: M1, M2, M3, M4, M6, M10, M22, N6 ---
+
+_CLASS_DRAWN = ("most_frequent", "prior", "stratified", "uniform", "constant")
+_U = "CAST(('0x' || substr(md5(CAST(l.doc_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("dummy_class_strategies", f"""WITH {_LABELLED}, t AS (SELECT lang, quality AS label, count(*) AS n FROM l WHERE split = 'train' AND quality IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY label) AS upto, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY label) - 1 AS at, count(*) OVER (PARTITION BY lang) AS k, row_number() OVER (PARTITION BY lang ORDER BY n DESC, label) AS pos FROM t),
+u AS (SELECT l.doc_id, l.lang, {_U} AS u FROM l WHERE split <> 'train')
+SELECT doc_id, 'most_frequent' AS strategy, label AS prediction FROM u LEFT JOIN r ON r.lang IS NOT DISTINCT FROM u.lang AND pos = 1 UNION ALL SELECT doc_id, 'prior', label FROM u LEFT JOIN r ON r.lang IS NOT DISTINCT FROM u.lang AND pos = 1
+UNION ALL SELECT doc_id, 'stratified', min(label) FROM u LEFT JOIN r ON r.lang IS NOT DISTINCT FROM u.lang AND upto > u.u * total GROUP BY doc_id UNION ALL SELECT doc_id, 'uniform', max(label) FROM u LEFT JOIN r ON r.lang IS NOT DISTINCT FROM u.lang AND r.at = least(floor(u.u * r.k), r.k - 1) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'constant', 1 FROM u""")
+def dummy_class_strategies(spark, sf):
+    """What each strategy of the dummy classifier predicts for the rows held out, by language."""
+    rows = labelled(spark, sf).withColumn("label", F.col("quality"))
+    train, test = rows.where("split = 'train'"), rows.where("split != 'train'").select("doc_id", "lang")
+    out = [models.dummy_classifier(train, test, by=("lang",), strategy=s, constant=1, key="doc_id").select("doc_id", F.lit(s).alias("strategy"), F.col("prediction").cast("int").alias("prediction")) for s in _CLASS_DRAWN]
+    return normalize.combined(out)
+
+
+@query("dummy_value_strategies", f"""WITH {_LABELLED}, t AS (SELECT lang, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.9) AS q FROM l WHERE split = 'train' GROUP BY lang)
+SELECT lang, 'mean' AS strategy, round_even(mean, 6) AS prediction FROM t UNION ALL SELECT lang, 'median', round_even(median, 6) FROM t UNION ALL SELECT lang, 'quantile', round_even(q, 6) FROM t UNION ALL SELECT lang, 'constant', 7.0 FROM t""")
+def dummy_value_strategies(spark, sf):
+    """What each strategy of the dummy regressor predicts, by language."""
+    rows = labelled(spark, sf).withColumn("label", F.col("n_chars").cast("double"))
+    train = rows.where("split = 'train'")
+    test = train.select("lang").distinct()
+    out = [models.dummy_regressor(train, test, by=("lang",), strategy=s, constant=7.0, quantile=0.9).select("lang", F.lit(s).alias("strategy"), F.col("prediction").cast("double").alias("prediction")) for s in models.VALUE_STRATEGIES]
+    return r6(normalize.combined(out), "prediction")
+
+
+#: Two features of a document: its length in steps of 500 characters, and its line breaks, which two thirds of the documents have.
+_LENGTH, _BREAKS = "least(CAST(floor(n_chars / 500) AS INTEGER), 40)", "least(len(string_split(text, chr(10))) - 1, 30)"
+
+
+def measured_entries(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(entries, rows): doc_id, feature, value of two measures; doc_id, lang, split, quality, size of labelled documents."""
+    docs = read(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").join(read(spark, sf, "labels"), "doc_id")
+    breaks = F.least(F.size(F.split("text", "\n")) - 1, F.lit(30))
+    rows = docs.select("doc_id", "lang", F.expr(_SPLIT).alias("split"), "quality", (F.length("text") / 1000.0).alias("size"), F.least(F.floor(F.col("n_chars") / 500).cast("int"), F.lit(40)).alias("a"), F.when(F.col("doc_id") % 3 > 0, breaks).alias("b"))
+    rows = Scratch(spark, "entries").keep(rows, "rows")
+    pairs = F.explode(F.array(F.struct(F.lit(0).alias("feature"), F.col("a").cast("double").alias("value")), F.struct(F.lit(1).alias("feature"), F.col("b").cast("double").alias("value")))).alias("e")
+    return rows.select("doc_id", pairs).select("doc_id", "e.feature", "e.value").where("value IS NOT NULL"), rows.drop("a", "b")
+
+
+_ENTRIES = f"""d AS (SELECT doc_id, lang, {_SPLIT} AS split, quality, length(text) / 1000.0 AS size, {_LENGTH} AS a, CASE WHEN doc_id % 3 > 0 THEN {_BREAKS} END AS b FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND lang IS NOT NULL),
+e AS (SELECT doc_id, lang, split, quality, 0 AS feature, a AS value FROM d UNION ALL SELECT doc_id, lang, split, quality, 1, b FROM d WHERE b IS NOT NULL)"""
+
+
+@query("boosted_stump", f"""WITH {_ENTRIES}, m AS (SELECT lang, avg(quality) AS p, count(*) AS n FROM d WHERE split = 'train' GROUP BY lang), t AS (SELECT e.*, p - quality AS g, p * (1 - p) AS h FROM e JOIN m USING (lang) WHERE split = 'train'),
+w AS (SELECT lang, sum(p - quality) AS tg, sum(p * (1 - p)) AS th FROM d JOIN m USING (lang) WHERE split = 'train' GROUP BY lang), f AS (SELECT lang, feature, sum(g) AS fg, sum(h) AS fh, count(*) AS fn FROM t GROUP BY ALL),
+v AS (SELECT lang, feature, value, sum(sum(g)) OVER x AS ug, sum(sum(h)) OVER x AS uh, sum(count(*)) OVER x AS un FROM t GROUP BY lang, feature, value WINDOW x AS (PARTITION BY lang, feature ORDER BY value)),
+c AS (SELECT v.lang, v.feature, v.value, ml, tg, th, m.n, ug + CASE WHEN ml THEN tg - fg ELSE 0 END AS gl, uh + CASE WHEN ml THEN th - fh ELSE 0 END AS hl, un + CASE WHEN ml THEN m.n - fn ELSE 0 END AS nl FROM v JOIN f USING (lang, feature) JOIN w USING (lang) JOIN m USING (lang), (SELECT unnest([false, true]) AS ml)),
+k AS (SELECT *, gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) AS gain FROM c WHERE nl > 0 AND nl < n AND hl >= 1 AND th - hl >= 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round_even(gain, 7) DESC, feature, value, ml) AS pos FROM k WHERE gain / 2 > 1e-9)
+SELECT lang, feature, CAST(value AS DOUBLE) AS cut, ml AS missing_left, round_even(-0.1 * gl / (hl + 1), 6) AS left_leaf, round_even(-0.1 * (tg - gl) / (th - hl + 1), 6) AS right_leaf FROM b WHERE pos = 1""")
+def boosted_stump(spark, sf):
+    """One boosted round of depth 1 for every language at once: its split, and where missing values go."""
+    entries, rows = measured_entries(spark, sf)
+    train = rows.where("split = 'train'").withColumn("label", F.col("quality"))
+    model = boosting.fit(entries, train, True, boosting.Parameters(rounds=1, depth=1), cell="lang")
+    tree = model.trees.select(F.col("cell").alias("lang"), F.get("trees", F.lit(0)).alias("t")).where(F.get("t.feature", F.lit(1)) >= 0)
+    at = lambda c, i: F.get(f"t.{c}", F.lit(i))
+    return r6(tree.select("lang", at("feature", 1).alias("feature"), at("cut", 1).alias("cut"), at("missing_left", 1).alias("missing_left"), at("value", 2).alias("left_leaf"), at("value", 3).alias("right_leaf")), "left_leaf", "right_leaf")
+
+
+@query("boosting_curves")
+def boosting_curves(spark, sf):
+    """Log loss of every language's trees after each round, on both parts, in one pass."""
+    entries, rows = measured_entries(spark, sf)
+    rows = rows.withColumn("label", F.col("quality"))
+    model = boosting.fit(entries, rows.where("split = 'train'"), True, boosting.Parameters(rounds=4, depth=2, subsample=0.8), cell="lang")
+    return r6(model.curve(rows, entries, cell="lang", by=("lang", "split")), "loss")
+
+
+_LINES = f"""{_ENTRIES}, z AS (SELECT doc_id, lang, split, CAST(a AS DOUBLE) AS a, CAST(coalesce(b, 0) AS DOUBLE) AS b, unnest([{{'label': 'quality', 'y': CAST(quality AS DOUBLE)}}, {{'label': 'size', 'y': CAST(size AS DOUBLE)}}]) AS u FROM d),
+y AS (SELECT doc_id, lang, split, a, b, u.label AS label, u.y AS y FROM z), c AS (SELECT *, a - avg(a) OVER g AS ca, b - avg(b) OVER g AS cb, y - avg(y) OVER g AS cy, avg(a) OVER g AS ma, avg(b) OVER g AS mb, avg(y) OVER g AS my FROM y WHERE split = 'train' WINDOW g AS (PARTITION BY lang, label)),
+s AS (SELECT lang, label, sum(ca * ca) + 1 AS aa, sum(ca * cb) AS ab, sum(cb * cb) + 1 AS bb, sum(ca * cy) AS ay, sum(cb * cy) AS byy, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my FROM c GROUP BY ALL),
+w AS (SELECT lang, label, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS w0, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS w1, ma, mb, my FROM s), l AS (SELECT lang, label, w0, w1, my - w0 * ma - w1 * mb AS b0 FROM w)"""
+
+
+def _ridge_cells(spark, sf):
+    entries, rows = measured_entries(spark, sf)
+    data = linear.Rows(entries, rows.where("split = 'train'"), ["quality", "size"], "lang", features=2)
+    return entries, rows, linear.ridge(data)
+
+
+@query("ridge_cells", f"""WITH {_LINES} SELECT lang AS "group", label, 0 AS feature, round_even(w0, 6) AS weight FROM l UNION ALL SELECT lang, label, 1, round_even(w1, 6) FROM l UNION ALL SELECT lang, label, -1, round_even(b0, 6) FROM l""")
+def ridge_cells(spark, sf):
+    """Ridge regressions of all languages and two labels together, by conjugate gradients."""
+    return r6(_ridge_cells(spark, sf)[2].table(spark), "weight")
+
+
+@query("transfer_matrix", f"""WITH {_LINES} SELECT l.lang AS train_language, y.lang AS test_language, y.label, round_even(avg((y.y - w0 * a - w1 * b - b0) * (y.y - w0 * a - w1 * b - b0)), 6) AS mse, count(*) AS n FROM y JOIN l USING (label) WHERE split = 'test' GROUP BY l.lang, y.lang, y.label""")
+def transfer_matrix(spark, sf):
+    """Every language's models on every language's test rows, in one pass."""
+    entries, rows, weights = _ridge_cells(spark, sf)
+    test = rows.where("split = 'test'")
+    long = test.select("doc_id", F.col("lang").alias("language"), F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y")) for c in ("quality", "size")])).alias("u")).select("doc_id", "language", "u.label", "u.y")
+    return r6(models.transfer_matrix(weights, test, entries, long), "mse")
+
+
+@query("sparse_logistic", "SELECT DISTINCT lang AS \"group\", true AS optimal FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND lang IS NOT NULL")
+def sparse_logistic(spark, sf):
+    """Logistic regressions with absolute penalty, all languages together: whether each meets the optimality conditions."""
+    entries, rows = measured_entries(spark, sf)
+    got = linear.logistic(linear.Rows(entries, rows, ["quality"], "lang", features=2), c=0.1, penalty="l1")
+    return spark.createDataFrame([(g, bool(s.max() < 1e-3)) for g, s in zip(got.groups, got.gradient)], "group string, optimal boolean")
+
+
+@query("shuffled_order", f"WITH {_PIPE} SELECT doc_id, row_number() OVER (ORDER BY {_DRAW(69)}, doc_id) AS position FROM rounded")
+def shuffled_order(spark, sf):
+    """All rows in a reproducible random order, as a column."""
+    return normalize.shuffled(_rounded(spark, sf).select("doc_id"), 69)
+
+
 @query("mlp_probes")
 def mlp_probes(spark, sf):
     """One probe for each residue of the id, trained side by side."""
