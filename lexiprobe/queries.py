@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import annotations as ann
 from .functions import questions as q
 from .operators import boosting, checks, grid, linear, metrics, models, normalize, projection, results, sampling, tfidf
-from .plans import datasets, grouped, labelling
+from .plans import datasets, experiments, grouped, labelling
 from .schemas import FEATURES, LANGUAGES, MODELS, RESULT, SCORE, dataset_configs
 from .sentences import SENTENCES
 from .sources import readers, shared
@@ -355,6 +355,22 @@ def complexity_csv_load(spark, sf):
     return readers.complexity_csv(spark, f"{path}/all.csv").groupBy("language", "type").agg(F.count("*").alias("n"), F.bround(F.sum("n_tokens"), 3).alias("tokens"))
 
 
+@query("csv_load_report", f"""WITH {_RAW}, k AS (SELECT language, type, doc_id % 10 AS k FROM raw)
+SELECT language, type, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM k WHERE k < 8 GROUP BY language, type UNION ALL SELECT NULL, NULL, 'n_tokens is no number', count(*) FROM k WHERE k = 7
+UNION ALL SELECT NULL, NULL, 'name without language and type', count(*) FROM k WHERE k = 8 UNION ALL SELECT NULL, NULL, 'no n_tokens', count(*) FROM k WHERE k = 9""")
+def csv_load_report(spark, sf):
+    """Rows loaded by language and type, and rows refused by reason: one in ten has no number, one lies in files without
+    languages, one in files without the column."""
+    path = Scratch(spark, "csv").path
+    rows = raw_rows(spark, sf).withColumn("k", F.col("doc_id") % 10).withColumn("n_tokens", F.when(F.col("k") == 7, "many").otherwise(F.col("n_tokens").cast("string")))
+    readers.write_csv(rows.where("k < 8").select("n_tokens", "language", "type"), f"{path}/all")
+    readers.write_csv(rows.where("k = 8").select("n_tokens"), f"{path}/nameless")
+    readers.write_csv(rows.where("k = 9").select("lexical_density"), f"{path}/countless")
+    report = readers.load_report(spark, path)
+    loaded = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return report.groupBy(loaded("language"), loaded("type"), "reason").agg(F.sum("n").alias("n"))
+
+
 @query("conllu_sentences", r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n\r]+')) AS text FROM documents)
 SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '[ \t]+'), lambda x: x <> '')) + 2 AS lines FROM l WHERE len(list_filter(regexp_split_to_array(text, '[ \t]+'), lambda x: x <> '')) > 0""")
 def conllu_sentences(spark, sf):
@@ -1176,6 +1192,22 @@ def dummy_value_strategies(spark, sf):
     return r6(normalize.combined(out), "prediction")
 
 
+@query("stored_batch", f"""WITH l AS (SELECT doc_id, lang, {_SPLIT} AS split, CAST(quality AS INTEGER) AS q, length(text) / 1000.0 AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND lang IS NOT NULL),
+m AS (SELECT lang, avg(y) AS mean, CASE WHEN sum(q) * 2 > count(*) THEN 1 ELSE 0 END AS most FROM l WHERE split = 'train' GROUP BY lang), t AS (SELECT l.*, mean, most FROM l JOIN m USING (lang) WHERE split = 'test')
+SELECT lang AS language, 'question_type' AS task, round_even(avg(CASE WHEN q = most THEN 1.0 ELSE 0.0 END), 6) AS value, count(*) AS batches FROM t GROUP BY lang UNION ALL SELECT lang, 'n_tokens', round_even(avg((y - mean) * (y - mean)), 6), count(*) FROM t GROUP BY lang""".replace("count(*) AS batches", "1 AS batches").replace("6), count(*) FROM t GROUP BY lang", "6), 1 FROM t GROUP BY lang"))
+def stored_batch(spark, sf):
+    """Dummy experiments of every language, fitted and stored one by one, in two goes of which the second takes up what is left."""
+    docs = read(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").alias("language"), F.expr(_SPLIT).alias("split"), F.lit("base").alias("config"), (F.length("text") / 1000.0).alias("n_tokens"))
+    data = Scratch(spark, "dataset").keep(docs.join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("question_type")), "doc_id"), "rows")
+    languages = [r["language"] for r in data.select("language").distinct().orderBy("language").collect()]  # a row a language
+    cells = [{"language": x, "task": t, "model_type": "dummy", "config": "base"} for x in languages for t in ("question_type", "n_tokens")]
+    store = f"{Scratch(spark, 'store').path}/results"
+    for some in (cells[: len(cells) // 2], cells):
+        experiments.run_batch(data, some, max_features=200, store=store)
+    rows = results.standardized(readers.result_json(spark, store))
+    return r6(rows.groupBy("language", "task").agg(F.avg(F.coalesce("test_accuracy", "test_mse")).alias("value"), F.count("*").cast("int").alias("batches")), "value")
+
+
 #: Two features of a document: its length in steps of 500 characters, and its line breaks, which two thirds of the documents have.
 _LENGTH, _BREAKS = "least(CAST(floor(n_chars / 500) AS INTEGER), 40)", "least(len(string_split(text, chr(10))) - 1, 30)"
 

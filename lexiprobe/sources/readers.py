@@ -219,3 +219,29 @@ def mock_dataset(spark: SparkSession, n: int = 100, ids: DataFrame | None = None
     sub = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + (k - 2) * 0.05)).alias(f) for k, f in enumerate(FEATURES)]
     rows = spark.range(n) if ids is None else ids.select(F.col("doc_id").alias("id"))
     return rows.select(i.alias("doc_id"), F.concat(F.lit("text "), i.cast("string")).alias("text"), F.lit("en").alias("language"), (i % 2).cast("int").alias("question_type"), score.alias("complexity_score"), *sub)
+
+
+def complexity_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line, reason): what ``complexity_csv`` leaves out or can't read, so that its rows and these are all lines.
+
+    Reasons of whole files (a row for each of their lines): ``no n_tokens``, ``name without language and
+    type``. Of rows, which are loaded with a null in place: ``n_tokens is no number``. Headers are no lines.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), name.alias("source_file"), "value", F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.min("at").alias("first"))  # a row a file
+    columns = F.transform(F.split("header", ","), lambda c: F.trim(c))
+    place = F.array_position(columns, "n_tokens")
+    rows = lines.join(heads, "file").where("at > first").select("source_file", F.col("value").alias("line"), columns.alias("columns"), place.alias("place"))
+    named = F.array_contains("columns", "language") & F.array_contains("columns", "type")
+    value = F.trim(F.get(F.split("line", ","), (F.col("place") - 1).cast("int")))
+    reason = F.when(F.col("place") == 0, "no n_tokens").when(~named & (F.size(F.split("source_file", "_")) < 2), "name without language and type").when((F.coalesce(value, F.lit("")) != "") & value.try_cast("double").isNull(), "n_tokens is no number")
+    return rows.select("source_file", "line", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """(language, type, reason, n): rows loaded (reason is null) and refused, by language and type or, of refused ones, by file name."""
+    loaded = complexity_csv(spark, path).groupBy("language", "type").agg(F.count("*").alias("n")).select("language", "type", F.lit(None).cast("string").alias("reason"), "n")
+    stem = F.split("source_file", "_")
+    refused = complexity_rejects(spark, path).groupBy(F.get(stem, F.lit(0)).alias("language"), F.get(stem, F.lit(1)).alias("type"), "reason").agg(F.count("*").alias("n"))
+    return loaded.unionByName(refused)

@@ -89,6 +89,42 @@ def test_batch_runs_cells_and_isolates_failures(spark, sf):
     assert out[1]["test_metrics"]["mse"] >= 0
 
 
+def test_refused_rows_are_reported(spark, tmp_path):
+    (tmp_path / "en_polar.csv").write_text("n_tokens,lexical_density\n5,0.5\nsix,0.1\n\n,0.2\n")
+    (tmp_path / "noname.csv").write_text("n_tokens\n5\n7\n")
+    (tmp_path / "fi_polar.csv").write_text("lexical_density\n0.5\n")
+    got = sorted(((r["language"], r["type"], r["reason"], r["n"]) for r in readers.load_report(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([("en", "polar", None, 3), ("en", "polar", "n_tokens is no number", 1), ("noname", None, "name without language and type", 2), ("fi", "polar", "no n_tokens", 1)], key=repr)
+
+
+def test_a_killed_batch_goes_on_where_it_ended(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'")
+    split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 8, "validation").otherwise("test")
+    data = docs.select("doc_id", "text", F.lit("en").alias("language"), split.alias("split"), F.lit("base").alias("config"), (F.col("doc_id") % 2).cast("int").alias("question_type"), (F.length("text") / 1000.0).alias("n_tokens"))
+    cells = [{"language": "en", "task": t, "model_type": "dummy", "config": "base"} for t in ("question_type", "n_tokens")] + [{"language": "xx", "task": "n_tokens", "model_type": "ridge", "config": "base"}]
+    store, ran, whole = str(tmp_path / "store"), [], experiments.run_cell
+
+    def killed(dataset, vectors, size, cell):
+        ran.append(cell["task"])
+        if len(ran) >= 2:
+            raise KeyboardInterrupt
+        return whole(dataset, vectors, size, cell)
+
+    monkeypatch.setattr(experiments, "run_cell", killed)
+    with pytest.raises(KeyboardInterrupt):
+        experiments.run_batch(data, cells, max_features=50, store=store, side_by_side=1)
+    first = readers.stored_results(spark, store).collect()
+    assert len(first) == 1 and first[0]["status"] == "completed"
+    monkeypatch.setattr(experiments, "run_cell", lambda *a: ran.append(a[3]["task"]) or whole(*a))
+    ran.clear()
+    for _ in range(2):  # failed cells are tried again, completed ones are not
+        out = experiments.run_batch(data, cells, max_features=50, store=store)
+        assert [d["status"] for d in out] == ["completed", "completed", "failed"]
+    assert sorted(ran) == ["n_tokens", "n_tokens", "n_tokens"]
+    stored = readers.stored_results(spark, store).collect()
+    assert len(stored) == 3 and first[0] in stored
+
+
 def test_summaries_and_stream_agree(spark, sf, tmp_path):
     docs = documents(spark, sf)
     tables = experiments.summaries(docs)
