@@ -14,8 +14,9 @@ register values name the buckets in which documents meet.
 3. What shares a bucket but no component is then compared in blocks of bounded rows and bytes, by its
    sketches and, where those find a pair likely, by the full sets. Only verified links leave a block,
    so a bucket is never expanded into pairs, and every pair of a bucket is compared however large it
-   is. A row's name is copied to each block of the other kind, so in a bucket of n rows, m of which
-   are in other components than its leader, time grows with n * m and rows with n * m / 1024.
+   is. Buckets that share nodes (a group of near copies has many in common) are compared as one where
+   that leaves fewer pairs. In a bucket of n rows, m of which are in other components than its leader,
+   time grows with n * m and rows with n * m / 1024.
 
 Defined results
 ---------------
@@ -202,7 +203,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int,
 def _opened(at: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """What meets in buckets of several labels: its rows, and a row a bucket with the numbers of its blocks.
 
-    ``at``: bucket, node, label, n_shingles. In each pair of differing labels one is not the
+    ``at``: bucket, inner, node, label, n_shingles. In each pair of differing labels one is not the
     leader's, so it is enough that those rows ("asking") meet all rows of their bucket. Aggregates
     are written before they are joined: both sides of a join are then plain exchanges, and adaptive
     execution can split a bucket that holds a large part of all rows.
@@ -218,7 +219,7 @@ def _opened(at: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, Data
 
 
 def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
-    """(bucket, i, j, asks, node, label): asking rows are dealt into blocks i, all rows into blocks j.
+    """(bucket, inner, i, j, asks, node, label): asking rows are dealt into blocks i, all rows into blocks j.
 
     A task compares one block of each kind at a time: by the numbers in ``sums`` some _ROWS rows and
     _SHINGLES shingles of each. So every row is there once for each block of the other kind.
@@ -226,14 +227,23 @@ def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
     at = rows.join(sums, "bucket")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c))
-    asking = at.where("asks").select("bucket", own("n_i", 1).alias("i"), upto("n_j").alias("j"), F.lit(True).alias("asks"), "node", "label")
-    asked = at.select("bucket", upto("n_i").alias("i"), own("n_j", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
+    asking = at.where("asks").select("bucket", "inner", own("n_i", 1).alias("i"), upto("n_j").alias("j"), F.lit(True).alias("asks"), "node", "label")
+    asked = at.select("bucket", "inner", upto("n_i").alias("i"), own("n_j", 2).alias("j"), F.lit(False).alias("asks"), "node", "label")
     return asking.unionByName(asked)
 
 
 def _meetings(at: DataFrame, scratch: Scratch) -> DataFrame:
-    """The blocks of all buckets."""
-    return _blocks(*_opened(at, scratch, "meet"))
+    """The blocks of all buckets; those that share nodes are one bucket where that leaves fewer pairs ("inner")."""
+    rows, _ = _opened(at.withColumn("inner", F.lit(False)), scratch, "meet")
+    edges = rows.select(F.unhex(F.hex("bucket")).alias("a"), F.col("node").alias("b"))  # buckets have 8 bytes, nodes 16
+    group = components(edges, scratch, "groups").select("node", F.xxhash64("label").alias("group"))
+    named = scratch.keep(rows.join(group, "node").select("bucket", "group", "node", "label", "n_shingles", "asks"), "in-groups")
+    pairs = lambda df: df.agg((F.count("*") * F.count_if("asks")).alias("pairs"))
+    alone = pairs(named.groupBy("group", "bucket")).groupBy("group").agg(F.sum("pairs").alias("alone"))
+    whole = pairs(named.groupBy("group", "node").agg(F.max("asks").alias("asks")).groupBy("group"))
+    one = scratch.keep(alone.join(whole, "group").select("group", (F.col("pairs") < F.col("alone")).alias("inner")), "merged")
+    merged = named.join(one, "group").select(F.when(F.col("inner"), F.col("group")).otherwise(F.col("bucket")).alias("bucket"), "inner", "node", "label", "n_shingles")
+    return _blocks(*_opened(scratch.keep(merged.distinct(), "within"), scratch, "inner"))
 
 
 def _grouped(rows: DataFrame, handle, schema: str) -> DataFrame:
@@ -267,7 +277,7 @@ class _Block:
 
     def __init__(self, group: pa.Table, sketch: SetSketch, rows: int, percent: int, least: float):
         self.sketch, self.rows, self.percent, self.least = sketch, rows, percent, least
-        self.bucket = group.column("bucket")[0].as_py()
+        self.bucket, self.inner = group.column("bucket")[0].as_py(), group.column("inner")[0].as_py()
         self.asking = int(group.column("asks").to_numpy().sum())
         self.ids = group.column("node").to_pylist()
         self.label = np.unique(np.array(group.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
@@ -275,7 +285,10 @@ class _Block:
         self.regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
 
     def likely(self, x: int) -> np.ndarray:
-        """Places of the likely partners of another label that share no earlier bucket with row x."""
+        """Places of the likely partners of another label that share no earlier bucket with row x.
+
+        A bucket of several has those that share an earlier bucket as well.
+        """
         k, regs, size = self.asking, self.regs, self.size
         y = k + np.flatnonzero((self.label[k:] != self.label[x]) & _fits(size[k:], size[x], self.percent))
         if len(y):
@@ -284,7 +297,7 @@ class _Block:
             same = regs[y] == regs[x]
             near = same.sum(1) >= (self.least - 0.15) * self.sketch.m
             y, same = y[near], same[near]
-        if len(y):
+        if len(y) and not self.inner:
             band = same.reshape(len(y), -1, self.rows).all(2).argmax(1)
             y = y[np.isin(band, [b for b in set(band.tolist()) if _bucket(regs[x], b, self.rows) == self.bucket])]
         if len(y):
@@ -311,10 +324,10 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
         kept = group.filter(pa.array(stay))
         return pa.RecordBatch.from_arrays([pa.array(kept.column(c).to_pylist(), t) for c, t in kinds.items()], names=list(kinds))
 
-    kinds = {"bucket": pa.int64(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
-    columns = ("bucket", "i", "j", "asks", "node", "label", "n_shingles", "registers")
+    kinds = {"bucket": pa.int64(), "inner": pa.bool_(), "i": pa.int64(), "j": pa.int64(), "asks": pa.bool_(), "node": pa.binary(), "label": pa.binary()}
+    columns = ("bucket", "i", "j", "asks", "inner", "node", "label", "n_shingles", "registers")
     blocks = with_registers(_meetings(met, scratch)).select(*columns)
-    left = scratch.keep(_grouped(blocks, sift, "bucket long, i long, j long, asks boolean, node binary, label binary"), "sifted")
+    left = scratch.keep(_grouped(blocks, sift, "bucket long, inner boolean, i long, j long, asks boolean, node binary, label binary"), "sifted")
 
     def verify(group: pa.Table) -> pa.RecordBatch:
         block = _Block(group, sketch, rows, percent, least)
@@ -406,7 +419,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
     # What still shares a bucket but no component.
     at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label")), "at")
     more = scratch.keep(_apart(at, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
-    scratch.drop("at", "leaders", "sifted", "meet-open", "meet-rows", "meet-sums")
+    scratch.drop("at", "leaders", "sifted", "within", "in-groups", "merged", *(f"{a}-{b}" for a in ("meet", "inner") for b in ("open", "rows", "sums")))
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch, "more-labels")
     scratch.drop("likely", "met", "nodes", "sets")
