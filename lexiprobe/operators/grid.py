@@ -17,7 +17,7 @@ PARAMETERS = {
     "dummy": {"classification": {"strategy": "most_frequent"}, "regression": {"strategy": "mean"}},
     "logistic": {"classification": {"C": 1.0, "max_iter": 1000, "penalty": "l2"}},
     "ridge": {"regression": {"alpha": 1.0}},
-    "random_forest": {kind: {"n_estimators": 100, "max_depth": 30} for kind in ("classification", "regression")},
+    "random_forest": {kind: {"n_estimators": 100, "max_depth": None} for kind in ("classification", "regression")},
     "xgboost": {kind: {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "reg_lambda": 1} for kind in ("classification", "regression")},
 }
 

@@ -59,3 +59,11 @@ def by_task_type(predictions: DataFrame, task_type: str, group: Sequence[str] =
 
 def thresholded(probability: Column, cut: float = 0.5) -> Column:
     return (probability > cut).cast("int")
+
+
+def mean_loss(predictions: DataFrame, task_type: str, group: Sequence[str] = (), label: str = "label", prediction: str = "prediction", least: float = 1e-7) -> DataFrame:
+    """(group, loss, n): the mean log loss of probabilities (kept ``least`` away from 0 and 1), or the mean squared error; rows without a label or prediction are left out."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    q = F.greatest(F.lit(least), F.least(F.lit(1 - least), p))
+    loss = -(y * F.log(q) + (1 - y) * F.log(1 - q)) if task_type == "classification" else (y - p) * (y - p)
+    return predictions.where(y.isNotNull() & p.isNotNull()).groupBy(*group).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))

@@ -16,16 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import Scratch
-from . import boosting, linear, metrics
+from . import boosting, forest, linear, metrics
 from .grid import parameters
 from .groups import matched, per_group
 from .probes import mlp, probes  # noqa: F401 (among the models)
 from .quantiles import quantiles
 
-#: Spark's forests end at this depth; "no limit" means that.
-DEEPEST = 30
-
-
 def sparse_rows(vectors: DataFrame, labels: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """(doc_id, features, label) from long vectors; a document without terms has the zero vector.
 
@@ -172,6 +168,21 @@ class Boosted:
         return cls(boosting.Model.load(spark, path))
 
 
+class Forest(Boosted):
+    """A forest of any depth over vectors."""
+
+    def __init__(self, model: forest.Model):
+        self.model = model
+
+    @classmethod
+    def fit(cls, rows: DataFrame, classify: bool, parameters: forest.Parameters) -> Forest:
+        return cls(forest.fit(vector_entries(rows), rows.select("doc_id", "label"), classify, parameters))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Forest:
+        return cls(forest.Model.load(spark, path))
+
+
 def ridge(rows: DataFrame, alpha: float = 1.0):
     """Ridge regression with an unpenalised intercept: squared error plus alpha times squared weights.
 
@@ -201,8 +212,10 @@ def estimator(model: str, task_type: str, params: dict | None = None, seed: int
     if model == "ridge":
         return lambda rows: ridge(rows, p["alpha"])
     if model == "random_forest":
-        kind = RandomForestClassifier if classify else RandomForestRegressor
-        return lambda rows: kind(numTrees=p["n_estimators"], maxDepth=min(DEEPEST, p.get("max_depth") or DEEPEST), seed=seed).fit(rows)
+        if p.get("max_depth"):
+            kind = RandomForestClassifier if classify else RandomForestRegressor
+            return lambda rows: kind(numTrees=p["n_estimators"], maxDepth=p["max_depth"], seed=seed).fit(rows)
+        return lambda rows: Forest.fit(rows, classify, forest.Parameters(trees=p["n_estimators"], seed=seed))
     how = boosting.Parameters(
         rounds=p["n_estimators"], depth=p["max_depth"], eta=p["learning_rate"], subsample=p["subsample"], colsample=p["colsample_bytree"], reg_lambda=p["reg_lambda"], gamma=p.get("gamma", 0.0),
         min_child_weight=p.get("min_child_weight", 1.0), bins=p.get("max_bin", 256), seed=seed,

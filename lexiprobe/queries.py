@@ -635,6 +635,14 @@ def thresholded_scores(spark, sf):
     return read(spark, sf, "events").select("event_id", metrics.thresholded(F.col("value")).alias("predicted"))
 
 
+@query("evaluation_loss", f"""WITH {_LABELLED}, p AS (SELECT lang, quality AS y, greatest(1e-7, least(1 - 1e-7, n_chars / 5000.0)) AS q FROM l WHERE quality IS NOT NULL)
+SELECT lang, round_even(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS loss, count(*) AS n FROM p GROUP BY lang""")
+def evaluation_loss(spark, sf):
+    """Mean log loss by language, of the length as a probability of quality."""
+    rows = labelled(spark, sf).select("lang", F.col("quality").alias("label"), (F.col("n_chars") / 5000.0).alias("prediction"))
+    return r6(metrics.mean_loss(rows, "classification", ("lang",)), "loss")
+
+
 # --- Grids, results: J1-J3, J7-J12, R1-R6, A10-A26, W1-W8, S8-S11, S17, S18 ------------------------
 
 _SUBS = ", ".join(f"('single_submetric', 'regression', '{f}')" for f in FEATURES)
@@ -1158,7 +1166,7 @@ def gbt_probe(spark, sf):
 
 @query("forest_probe")
 def forest_probe(spark, sf):
-    return _fitted(spark, sf, "random_forest", "regression", F.col("class"))
+    return _fitted(spark, sf, "random_forest", "regression", F.col("class"), n_estimators=20)
 
 
 # --- Models whose fits SQL repeats: M1, M2, M3, M4, M6, M10, M22, N6 ---
