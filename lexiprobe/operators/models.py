@@ -287,7 +287,8 @@ def experiment(model: str, task_type: str, parts: dict[str, DataFrame], params:
     primary = "accuracy" if task_type == "classification" else "mse"
     for name, rows in parts.items():
         m = evaluate(fitted, rows, task_type)
-        out[f"{name}_metrics"] = {"primary_metric": primary, "primary_value": m[primary]} | m
+        if primary in m:  # a part without rows has no metrics
+            out[f"{name}_metrics"] = {"primary_metric": primary, "primary_value": m[primary]} | m
     if (w := importances(fitted)) is not None:
         top = np.argsort(-np.abs(w), kind="stable")[:10]
         out["feature_importance"] = {"top_indices": top.tolist(), "values": w.tolist()}
