@@ -57,11 +57,10 @@ def _train(docs: DataFrame) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf: str, keep: bool = True):
-    """(documents, counts, vocabulary) fitted on seven tenths of the documents; counts used once needn't be kept."""
+    """(documents, counts of the vocabulary's terms if they are to be kept, vocabulary), fitted on seven tenths of the documents."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
-    model = tfidf.Tfidf(MAX_FEATURES, MIN_DF)
-    counts = model.counts(docs, keep)
-    return docs, counts, model.fit(_train(docs), _train(counts)).vocabulary
+    model = tfidf.Tfidf(MAX_FEATURES, MIN_DF).fit(_train(docs))
+    return docs, model.kept_counts(docs) if keep else None, model.vocabulary
 
 
 _TERMS = f"""
