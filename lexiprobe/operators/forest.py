@@ -15,6 +15,7 @@ the smaller feature and the smaller cut. A prediction is the mean of the trees'
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 _SPLIT = "tree int, node long, feature int, cut double, left long"
 #: Rows that meet one subtree in one task when predicting, about.
 _MEET = 100_000
+#: Values that are sorted at once when a node of a subtree is split, about.
+_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -71,44 +74,54 @@ class Grown:
     """A subtree as arrays: feature (-1: a leaf), cut, left child (the right one follows), value."""
 
     def __init__(self, f: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, w: np.ndarray, share: float, seed: list[int]):
-        self.features = np.unique(np.concatenate([np.zeros(0, np.int64), *f])).astype(np.int64)
-        owner = np.repeat(np.arange(len(y)), [len(x) for x in f])
         flat, values = np.concatenate([np.zeros(0, np.int64), *f]).astype(np.int64), np.concatenate([np.zeros(0), *v])
-        order = np.lexsort((owner, flat))
-        flat, owner, values = flat[order], owner[order], values[order]
-        cut = np.searchsorted(flat, np.append(self.features, np.iinfo(np.int64).max))
-        self.columns = {int(k): (owner[a:b], values[a:b]) for k, a, b in zip(self.features, cut, cut[1:])}
+        self.features, self.column = np.unique(flat, return_inverse=True)
+        self.values, self.n = values, np.array([len(x) for x in f], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        # Rows that hold every feature are a matrix already.
+        self.matrix = values.reshape(len(y), -1) if len(self.features) and (self.n == len(self.features)).all() and (self.column.reshape(len(y), -1) == np.arange(len(self.features))).all() else None
         self.y, self.w, self.share, self.draw = y, w, share, np.random.default_rng(seed)
-        self.at = np.empty(len(y), np.int64)
         self.feature, self.cut, self.left, self.value = [], [], [], []
         self._grow()
 
-    def _column(self, feature: int, rows: np.ndarray) -> np.ndarray:
-        """The feature's values in some rows, whose places ``at`` holds; other rows' places are stale and ruled out."""
-        own, values = self.columns[feature]
-        out = np.zeros(len(rows))
-        place = np.searchsorted(rows, own)
-        place[place == len(rows)] = 0
-        hit = rows[place] == own
-        out[place[hit]] = values[hit]
-        return out
+    def _columns(self, rows: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of features, values by row and feature) in blocks, of those features that the rows hold; only the rows' own entries are gone through."""
+        width = max(1, _CELLS // len(rows))
+        if self.matrix is not None:
+            mine = self.matrix[rows]
+            for at in range(0, len(features), width):
+                yield features[at : at + width], mine if len(features) == mine.shape[1] <= width else mine[:, features[at : at + width]]
+            return
+        n = self.n[rows]
+        entry = np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, column, values = np.repeat(np.arange(len(rows)), n), self.column[entry], self.values[entry]
+        held = np.intersect1d(column, features)
+        order = np.argsort(column, kind="stable")
+        row, column, values = row[order], column[order], values[order]
+        for at in range(0, len(held), width):
+            some = held[at : at + width]
+            lo, hi = np.searchsorted(column, some[0]), np.searchsorted(column, some[-1], "right")
+            place = np.minimum(np.searchsorted(some, column[lo:hi]), len(some) - 1)
+            hit = some[place] == column[lo:hi]
+            out = np.zeros((len(rows), len(some)))
+            out[row[lo:hi][hit], place[hit]] = values[lo:hi][hit]
+            yield some, out
 
     def _best(self, rows: np.ndarray, features: np.ndarray) -> tuple | None:
         y, w = self.y[rows], self.w[rows]
-        total_w, total = w.sum(), (w * y).sum()
+        wy = w * y
+        total_w, total = w.sum(), wy.sum()
         best = None
-        for k in features.tolist():
-            x = self._column(k, rows)
-            order = np.argsort(x, kind="stable")
-            s = x[order]
-            ends = np.flatnonzero(s[1:] > s[:-1])
-            if not len(ends):
-                continue
-            up_w, up = np.cumsum(w[order])[ends], np.cumsum((w * y)[order])[ends]
-            score = up * up / up_w + (total - up) ** 2 / (total_w - up_w)
-            at = int(score.argmax())
-            if best is None or score[at] > best[0] + 1e-12 * abs(best[0]):
-                best = float(score[at]), k, float((s[ends[at]] + s[ends[at] + 1]) / 2), x
+        for some, x in self._columns(rows, features):
+            order = np.argsort(x, axis=0, kind="stable")
+            s = np.take_along_axis(x, order, 0)
+            ends = s[1:] > s[:-1]
+            up_w, up = np.cumsum(w[order], axis=0)[:-1], np.cumsum(wy[order], axis=0)[:-1]
+            score = np.where(ends, up * up / up_w + (total - up) ** 2 / np.where(ends, total_w - up_w, 1.0), -np.inf)
+            at = score.argmax(0)
+            for j, (found, i) in enumerate(zip(score[at, np.arange(len(some))].tolist(), at.tolist())):
+                if found > -np.inf and (best is None or found > best[0] + 1e-12 * abs(best[0])):
+                    best = found, int(self.features[some[j]]), float((s[i, j] + s[i + 1, j]) / 2), x[:, j].copy()
         return best
 
     def _grow(self) -> None:
@@ -117,6 +130,7 @@ class Grown:
                 a.append(v)
             return len(self.feature) - 1
 
+        every = np.arange(len(self.features))
         waiting = [(add(), np.arange(len(self.y)))]
         while waiting:
             node, rows = waiting.pop()
@@ -124,10 +138,10 @@ class Grown:
             self.value[node] = float((w * y).sum() / w.sum())
             if len(rows) < 2 or y.min() == y.max():
                 continue
-            some = self.features[self.draw.random(len(self.features)) < self.share] if self.share < 1 else self.features
+            some = np.flatnonzero(self.draw.random(len(self.features)) < self.share) if self.share < 1 else every
             best = self._best(rows, some)
             if best is None and self.share < 1:
-                best = self._best(rows, self.features)
+                best = self._best(rows, every)
             if best is None:
                 continue
             _, self.feature[node], self.cut[node], x = best

@@ -64,3 +64,26 @@ def test_odd_tables(spark):
     assert shown(none.predict(labels, entries)) == [None] * 3
     with pytest.raises(ValueError, match="0 and 1"):
         forest.fit(entries, labels.withColumn("label", labels["label"] * 3), True)
+
+
+def test_a_node_goes_through_its_own_rows_only(monkeypatch):
+    """Work a node is in proportion to its rows; blocks of any width, and rows as a matrix or not, give the same tree."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, 7)).round(1), rng.integers(0, 5, 400).astype(float)
+    full = [np.arange(7)] * 400, list(x)
+    sparse = [np.flatnonzero(r) for r in x], [r[r != 0] for r in x]
+    seen, columns = [], forest.Grown._columns
+
+    def counted(self, rows, features):
+        for some, block in columns(self, rows, features):
+            seen.append((len(rows), block.shape))
+            yield some, block
+
+    monkeypatch.setattr(forest.Grown, "_columns", counted)
+    trees = []
+    for f, v in (full, sparse):
+        for cells in (1, 1000, 1 << 21):
+            monkeypatch.setattr(forest, "_CELLS", cells)
+            trees.append(forest.Grown(f, v, y, np.ones(400), 1.0, [1]).packed())
+    assert len(set(trees)) == 1
+    assert all(shape[0] == n and shape[1] <= 7 for n, shape in seen)
