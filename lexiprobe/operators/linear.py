@@ -29,6 +29,8 @@ from ..sources.shared import Scratch, ship
 MAX_WEIGHTS = 1 << 23
 #: Step sizes tried together.
 _STEPS = 2.0 ** -np.arange(12)
+#: Relative errors of sums over many rows: of a gradient that cancels out, of a loss.
+_NOISE, _ROUNDING = 1e-11, 1e-14
 
 
 class Rows:
@@ -89,7 +91,8 @@ class Rows:
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         tree = parts.repartition(n).mapInArrow(merge, schema)
         out = np.zeros((len(self.groups), width))
-        for r in tree.toLocalIterator():  # some rows of the matrix's size at a time
+        few = n * out.size <= 1 << 18  # small sums come in one job, else some rows of the matrix's size at a time
+        for r in tree.collect() if few else tree.toLocalIterator():
             out[r["g"]] += np.array(r["s"])
         return out
 
@@ -195,7 +198,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def logistic(rows: Rows, c: float = 1.0, penalty: str = "l2", tol: float = 1e-6, most: int = 100, inner: int = 60) -> Weights:
-    """All cells' logistic regressions of labels 0 and 1; ends when no cell's (pseudo-)gradient is above ``tol`` times its start."""
+    """All cells' logistic regressions of labels 0 and 1; ends when no cell's (pseudo-)gradient is above ``tol`` times its start.
+
+    With "l1" the penalty's slope is 1 whatever the number of rows, so ``tol`` is of that, or as near as sums of so many rows come.
+    """
     if penalty not in ("l1", "l2"):
         raise ValueError(f"unknown penalty {penalty!r}")
     shape, flat, one = rows.zeros().shape, (rows.d + 1) * rows.k, penalty == "l1"
@@ -235,7 +241,7 @@ def logistic(rows: Rows, c: float = 1.0, penalty: str = "l2", tol: float = 1e-6,
         passes += 1
         size = np.abs(g).max(1, initial=0.0)
         start = np.maximum(size, 1e-300) if start is None else start
-        live = size > tol * np.maximum(start, 1.0)
+        live = size > (np.maximum(tol, _NOISE * start) if one else tol * np.maximum(start, 1.0))
         if not live.any():
             break
         free = (w != 0) | (g != 0)
@@ -261,7 +267,8 @@ def logistic(rows: Rows, c: float = 1.0, penalty: str = "l2", tol: float = 1e-6,
         f = losses(tried)
         passes += 1
         fall = np.stack([((t - w) * g).sum(1) for t in tried])
-        good = (f <= f[0] + 1e-4 * fall) & (np.arange(len(tried)) > 0)[:, None, None]
+        # Near the end a step gains less than the losses' rounding errors.
+        good = (f <= f[0] + 1e-4 * fall + (_ROUNDING * np.abs(f[0]) if one else 0.0)) & (np.arange(len(tried)) > 0)[:, None, None]
         first = np.where(good.any(0) & live, good.argmax(0), 0)  # the longest step that is good enough; none: stay
         if not first.any():
             break
