@@ -32,6 +32,12 @@ STEPS, STRIDE = 20, 2.0
 ETA, LAMBDA, ALPHA = 0.1, 1.0, 1.0
 
 
+def _exact_sum(v: Column) -> Column:
+    """The sum, added up in decimals: the same in any order of the rows, which a sum of doubles is not."""
+    plain = F.abs(v) < 1e9  # not NaN, and with room for the sum beside 18 decimal places
+    return F.coalesce(F.sum(F.when(plain, v).cast("decimal(28,18)")).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(F.when(~plain, v)), F.lit(0.0))
+
+
 def statistics(rows: DataFrame, labels: dict[str, str] = LABELS, seeds: Sequence[int] = SEEDS, key: str = "doc_id") -> DataFrame:
     """(language, task, control_index, part, x, n, sy, syy); control_index 0 is the uncontrolled run.
 
@@ -45,7 +51,7 @@ def statistics(rows: DataFrame, labels: dict[str, str] = LABELS, seeds: Sequence
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(f"y.{t}").alias("y")) for t in labels])).alias("p")
     part = F.element_at(F.create_map(*[F.lit(v) for kv in PARTS.items() for v in kv]), F.col("split"))
     long = every.select("language", "control_index", part.alias("part"), "x", pairs).select("language", "control_index", "part", "x", "p.task", F.coalesce("p.y", F.lit(0.0)).alias("y"))
-    return long.groupBy(*_CELL, "part", "x").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    return long.groupBy(*_CELL, "part", "x").agg(F.count("*").alias("n"), _exact_sum(F.col("y")).alias("sy"), _exact_sum(F.col("y") * F.col("y")).alias("syy"))
 
 
 def _total(bins: Column, value) -> Column:
