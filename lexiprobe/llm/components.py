@@ -30,3 +30,25 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if not changed:
             scratch.drop(f"{name}-edges")
             return labels
+
+
+def dense_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``components`` of a graph of far more links than nodes: nodes are one with their smallest neighbour first, which leaves few links."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    low = scratch.keep(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("low")), f"{name}-low")
+    end = lambda c: low.select(F.col("node").alias(c), F.col("low").alias(f"l{c}"))
+    left = links.join(end("a"), "a").join(end("b"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a != b").distinct()
+    top = components(scratch.keep(left, f"{name}-left"), scratch, name).select(F.col("node").alias("low"), "label")
+    return scratch.keep(low.join(top, "low", "left").select("node", F.coalesce("label", "low").alias("label")), f"{name}-all")
+
+
+def extended(labels: DataFrame, more: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` (node, label) of some links, brought up to date with ``more`` links (a, b).
+
+    Only the new links are gone through, between the components that there are.
+    """
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(scratch.keep(ends.where("a != b").distinct(), f"{name}-ends"), scratch, name)
+    old = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return scratch.keep(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), f"{name}-all")

@@ -18,7 +18,8 @@ in at least one within its allowance, so looking up those segments finds all of
 4. Who meets in a list is verified on full sets: with the list's first node, then, where several
    components are left, with all others. Short lists give their pairs, a bounded multiple of their
    rows. Long ones that share nodes are compared as one group where that is less work, in blocks of
-   bounded rows and elements; of a block's pairs only links leave it. Components name the classes.
+   bounded rows and elements; only links that connect components leave a block, fewer than its rows.
+   Components name the classes.
 
 Defined results
 ---------------
@@ -42,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, claim, read
-from .components import components
+from .components import components, dense_components, extended
 from .near_dedup import _M1, _M2, _fits, _grouped, _name, _only, _sets, _verified, _words, shingles
 
 #: Segments for each difference allowed; signatures by which a set first meets others; pairs a row of lists that give their pairs.
@@ -178,11 +179,13 @@ def _sketched(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 def _survivors(sketched: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, id): the nodes that share enough signatures with others to have partners, each with a number of its own."""
     some = sketched.where("node IS NOT NULL")
-    # Rows that need none survive as they are; a signature is shared if two nodes have it.
+    # Rows that need none survive as they are; a signature is shared if two nodes have it. Entries, of which there
+    # are far more than documents, are moved once: who shares a signature is told where its entries meet.
     entries = some.select("row", F.xxhash64("node").alias("h"), "own", F.posexplode("signatures").alias("at", "signature"))
-    shared = entries.groupBy("signature").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("signature")
-    shared = scratch.keep(shared, "shared")
-    hits = entries.join(shared, "signature", "left_semi").groupBy("row").agg(F.count_if(F.col("at") < F.col("own")).alias("hits_own"), F.count_if(F.col("at") >= F.col("own")).alias("hits_below"))
+    placed = entries.select("row", "h", (F.col("at") < F.col("own")).alias("mine"), "signature").repartition("signature")
+    one = W.partitionBy("signature")
+    shared = placed.select("row", "mine", F.min("h").over(one).alias("low"), F.max("h").over(one).alias("high")).where("low < high")
+    hits = shared.groupBy("row").agg(F.count_if("mine").alias("hits_own"), F.count_if(~F.col("mine")).alias("hits_below"))
     enough = lambda own, below: (own >= F.col("needs")[0]) | (below >= F.col("needs")[1])
     small = some.select("row", "node", "needs")
     rows = small.join(hits, "row").where(enough(F.col("hits_own"), F.col("hits_below"))).select("node", "row")
@@ -377,24 +380,25 @@ def _linked(sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
     rows = still_open(labels, "first")
     more = scratch.keep(_verified(scratch.keep(_sized(_first_pairs(rows, scratch, "first"), percent), "with-first"), sets, percent), "links-first")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links, scratch, "labels-first")
+        labels = extended(labels, more, scratch, "labels-first")
         rows = still_open(labels, "then")
     few = F.col("p") * F.col("i") <= SHORT * (F.col("p") + F.col("i"))
     short = scratch.keep(_verified(scratch.keep(_pairs(rows.where(few & F.col("asks")), rows.where(few & ~F.col("asks")), percent), "few"), sets, percent), "links-few")
-    links = links.unionByName(short)
+    links = short
     long = rows.where(~few)
     if not long.isEmpty():
         links = links.unionByName(scratch.keep(_in_blocks(_groups(long, scratch), sets, percent, scratch), "links-blocks"))
-    return components(links, scratch, "labels")
+    return extended(labels, links, scratch, "labels")
 
 
 def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of long lists; lists that share nodes are one bucket where that leaves fewer pairs to compare."""
-    # A list and its nodes: lists get names below those of nodes, which are not negative.
-    edges = rows.select((-F.pmod(F.col("bucket"), F.lit(1 << 61)) - 1).alias("a"), F.col("node").alias("b")).distinct()
-    group = components(scratch.keep(edges, "group-edges"), scratch, "groups").withColumnRenamed("label", "group")
-    merged = scratch.keep(rows.join(group, "node").select("bucket", "group", "node", "n", "label", "asks"), "grouped")
+    # Each node and its list's first one: those of near copies are the same in most of their lists.
+    lead = scratch.keep(rows.groupBy("bucket").agg(F.min("node").alias("a")), "group-lead")
+    edges = rows.join(lead, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    group = dense_components(scratch.keep(edges, "group-edges"), scratch, "groups").withColumnRenamed("label", "group")
+    named = rows.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    merged = scratch.keep(named.select("bucket", "group", "node", "n", "label", "asks"), "grouped")
     sides = lambda df: df.agg(F.count_if("asks").alias("p"), F.count_if(~F.col("asks")).alias("i"))
     alone = sides(merged.groupBy("group", "bucket")).groupBy("group").agg(F.sum(F.col("p") * F.col("i")).alias("alone"))
     whole = sides(merged.select("group", "node", "asks").distinct().groupBy("group"))
@@ -422,14 +426,32 @@ def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
         a, b = [], []
         if len(x) and len(y):
-            link = linked_pairs([some[k] for k in x], [some[k] for k in y], percent) & (label[x][:, None] != label[y][None, :])
-            p, q = np.nonzero(link)
+            number = np.unique(label, return_inverse=True)[1]
+            p, q = spanning(linked_pairs([some[k] for k in x], [some[k] for k in y], percent), number[x], number[y])
             a, b = np.minimum(ids[x[p]], ids[y[q]]), np.maximum(ids[x[p]], ids[y[q]])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return _grouped(full, verify, "a long, b long").distinct()
 
 
+def spanning(link: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (p, q) that connect the same components as all links do: fewer than there are components.
+
+    ``x`` and ``y``: the numbers of the components that the rows and columns of ``link`` are in so far.
+    """
+    part = np.arange(max(x.max(initial=-1), y.max(initial=-1)) + 1)
+    p, q = [], []
+    for i in range(len(x)):
+        at = np.flatnonzero(link[i])
+        other, first = np.unique(part[y[at]], return_index=True)
+        new = other != part[x[i]]
+        if new.any():
+            p += [i] * int(new.sum())
+            q += at[first[new]].tolist()
+            part[np.isin(part, other[new])] = part[x[i]]
+    return np.array(p, dtype=np.int64), np.array(q, dtype=np.int64)
+
+
 def linked_pairs(xs: list[np.ndarray], ys: list[np.ndarray], percent: int, width: int = 2048) -> np.ndarray:
     """Which x and y are as similar as asked: products of membership matrices, some elements at a time."""
     flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
@@ -471,7 +493,7 @@ def _classes(docs: DataFrame, width: int, bands: Bands, scratch: Scratch) -> Dat
     sketched = scratch.keep(_sketched(docs, width, bands), "sketched")
     first = scratch.keep(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
     survivors = _survivors(sketched, scratch)
-    one = first.join(survivors, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
+    one = scratch.keep(first.join(survivors, "node", "left_semi").select("node", F.col("first_id").alias("doc_id")), "one")
     one = F.broadcast(one) if survivors.count() <= _FEW else one
     sets = scratch.keep(_sets(docs, one, width).join(survivors, "node").select(F.col("id").alias("node"), "shingles"), "sets")
     found = _linked(sets, bands, scratch).select(F.col("node").alias("id"), "label").join(survivors, "id").select("node", "label")

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiprobe.llm import partition_join as pj
+from lexiprobe.llm.common import Scratch
 from lexiprobe.llm.near_dedup import shingles
 
 from .test_dedup import brute
@@ -94,3 +96,33 @@ def test_partners_agree_in_a_chosen_segment():
 
 def test_shingles_are_those_of_near_duplicates():
     assert len(shingles("A b\tc d E", 4)) == 2 and len(shingles("a b", 4)) == 1 and not len(shingles(" \n", 4))
+
+
+def test_a_group_of_near_copies_leaves_few_links(spark):
+    """Links of a block grew with the square of the group."""
+    n = 60
+    sets = spark.range(n).select(F.col("id").alias("node"), F.expr("concat(sequence(1L, 100L), array(1000 + id))").alias("shingles"))
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.lit(101).cast("long").alias("n"), F.col("id").alias("label"), F.explode(F.array(F.lit(True), F.lit(False))).alias("asks"))
+    links = [(r["a"], r["b"]) for r in pj._in_blocks(rows, sets, 85, Scratch(spark, "test")).collect()]
+    assert len(links) == n - 1
+    reached = {0}
+    for _ in range(n):
+        reached |= {x for link in links if reached & set(link) for x in link}
+    assert reached == set(range(n))
+
+
+def test_spanning_links_connect_what_all_links_do():
+    draw = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = draw.integers(0, 12, 15), draw.integers(0, 12, 9)
+        link = draw.random((15, 9)) < 0.08
+
+        def classes(pairs):
+            part = list(range(12))
+            for a, b in pairs:
+                part = [part[a] if k == part[b] else k for k in part]
+            return {frozenset(i for i in range(12) if part[i] == k) for k in part}
+
+        p, q = pj.spanning(link, x, y)
+        assert link[p, q].all() and len(p) < 12
+        assert classes(zip(x[p], y[q])) == classes((x[i], y[j]) for i, j in zip(*np.nonzero(link)))
