@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import shared
 from ..sources.shared import Scratch, read, shared_dir
 
-__all__ = ["WHITE", "WORD", "Scratch", "bounded_sample", "claim", "fold", "read", "rows_kept", "shared_dir", "ship", "text_or_empty"]
+__all__ = ["WHITE", "WORD", "Scratch", "among", "bounded_sample", "claim", "fold", "read", "rows_kept", "shared_dir", "ship", "text_or_empty"]
 
 #: ASCII white space, as a Java and DuckDB character class.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -66,6 +66,24 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
     return df.orderBy(h, F.col(key)).limit(most)
 
 
+#: Bits of a table of marks for each wanted key, and at most (as powers of two).
+_MARK_BITS, _MOST_MARK_BITS = 4, 27
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key ``wanted`` (a table of that column, gone through twice) can hold: all that it holds, and a few of the others.
+
+    The wanted keys' hashes are marked in a table of bits, some 16 a key and never more than 2^27, that
+    goes to every task. So an exact join that follows moves little but the wanted rows. Null keys go.
+    """
+    bits = min(_MOST_MARK_BITS, max(10, wanted.count().bit_length() + _MARK_BITS))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    one = F.expr("shiftleft(1L, cast(__h & 63 AS int))")
+    marked = wanted.where(F.col(key).isNotNull()).select(h.alias("__h")).groupBy(F.shiftright("__h", 6).alias("__word")).agg(F.bit_or(one).alias("__marks"))
+    near = rows.where(F.col(key).isNotNull()).withColumn("__h", h).withColumn("__word", F.shiftright("__h", 6)).join(F.broadcast(marked), "__word")
+    return near.where(F.col("__marks").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 #: How to empty what an operator's module keeps in a Python worker between tasks.
 _kept: dict[str, Callable[[], None]] = {}
 

@@ -12,8 +12,8 @@ register values name the buckets in which documents meet.
    likelihood of both sketches puts its similarity far below the threshold, or the sizes of the sets
    rule it out; all other pairs are verified on the full sets. Verified links give components.
 3. What shares a bucket but no component is then compared in blocks of bounded rows and bytes, by its
-   sketches and, where those find a pair likely, by the full sets. Only verified links leave a block,
-   so a bucket is never expanded into pairs, and every pair of a bucket is compared however large it
+   sketches and, where those find a pair likely, by the full sets. Only verified links leave a block
+   (those that connect its components), so a bucket is never expanded into pairs, and every pair of a bucket is compared however large it
    is. Buckets that share nodes (a group of near copies has many in common) are compared as one where
    that leaves fewer pairs. In a bucket of n rows, m of which are in other components than its leader,
    time grows with n * m and rows with n * m / 1024.
@@ -35,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, claim, read, rows_kept, text_or_empty
-from .components import components
+from .common import WORD, Scratch, among, claim, read, rows_kept, text_or_empty
+from .components import components, dense_components, extended
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows and shingles of a block, about.
@@ -235,9 +236,12 @@ def _blocks(rows: DataFrame, sums: DataFrame) -> DataFrame:
 def _meetings(at: DataFrame, scratch: Scratch) -> DataFrame:
     """The blocks of all buckets; those that share nodes are one bucket where that leaves fewer pairs ("inner")."""
     rows, _ = _opened(at.withColumn("inner", F.lit(False)), scratch, "meet")
-    edges = rows.select(F.unhex(F.hex("bucket")).alias("a"), F.col("node").alias("b"))  # buckets have 8 bytes, nodes 16
-    group = components(edges, scratch, "groups").select("node", F.xxhash64("label").alias("group"))
-    named = scratch.keep(rows.join(group, "node").select("bucket", "group", "node", "label", "n_shingles", "asks"), "in-groups")
+    # Each node and its bucket's first one: those of near copies are the same in most of their buckets.
+    first = scratch.keep(rows.groupBy("bucket").agg(F.min("node").alias("a")), "group-lead")
+    edges = rows.join(first, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    group = dense_components(scratch.keep(edges, "group-edges"), scratch, "groups")
+    named = rows.join(group.withColumnRenamed("label", "first"), "node", "left").withColumn("group", F.xxhash64(F.coalesce("first", "node")))
+    named = scratch.keep(named.select("bucket", "group", "node", "label", "n_shingles", "asks"), "in-groups")
     pairs = lambda df: df.agg((F.count("*") * F.count_if("asks")).alias("pairs"))
     alone = pairs(named.groupBy("group", "bucket")).groupBy("group").agg(F.sum("pairs").alias("alone"))
     whole = pairs(named.groupBy("group", "node").agg(F.max("asks").alias("asks")).groupBy("group"))
@@ -309,7 +313,7 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
     """Verified links (a, b) between nodes that share a bucket but no label.
 
     The sketches tell which rows of a block have likely partners at all; only those get their full
-    sets, and are then compared exactly in the same block. A node's first link to a label is enough.
+    sets, and are then compared exactly in the same block. What a block's links have connected is not compared again.
     Pairs never leave a block: of them only time depends, and rows on the number of blocks.
     """
     with_registers = lambda df: df.join(nodes.select("node", "n_shingles", "registers"), "node")
@@ -333,11 +337,13 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
         block = _Block(group, sketch, rows, percent, least)
         shingle = [np.array(s, dtype=np.int64) for s in group.column("shingles").to_numpy()]
         a, b = [], []
+        within = np.arange(block.label.max(initial=-1) + 1)  # the part of each label, by the links so far
         for x in range(block.asking):
-            linked: set[int] = set()
+            mine = block.label[x]
             y = block.likely(x)
             for at in range(0, len(y), 64):
-                part = np.array([z for z in y[at : at + 64] if block.label[z] not in linked], dtype=np.int64)
+                part = y[at : at + 64]
+                part = part[within[block.label[part]] != within[mine]]
                 if not len(part):
                     continue
                 flat = np.concatenate([shingle[z] for z in part])
@@ -347,8 +353,8 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
                 common = hits[ends] - hits[np.concatenate([[0], ends[:-1]])]
                 union = len(shingle[x]) + np.array([len(shingle[z]) for z in part]) - common
                 for z in part[common * 100 >= union * percent]:
-                    if block.label[z] not in linked:
-                        linked.add(int(block.label[z]))
+                    if within[block.label[z]] != within[mine]:
+                        within[within == within[block.label[z]]] = within[mine]
                         a.append(min(block.ids[x], block.ids[z]))
                         b.append(max(block.ids[x], block.ids[z]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -358,10 +364,9 @@ def _apart(met: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch,
     return _grouped(full.select(*columns, "shingles"), verify, "a binary, b binary").distinct()
 
 
-def _only(table: DataFrame, pairs: DataFrame, most: int = 50_000) -> DataFrame:
-    """The rows of ``table`` (by node) that pairs need; few nodes are broadcast, after counting them."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return table.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "node", "left_semi")
+def _only(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` (by node) that pairs need, and a few more."""
+    return among(table, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -401,28 +406,30 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, sketch: SetSketc
     some = all_docs.where("node is not null")
     first = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
 
-    # Buckets of two nodes or more.
-    entries = some.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = scratch.keep(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
-    met = scratch.keep(entries.join(shared, "bucket").distinct(), "met")
-    nodes = scratch.keep(some.select("node", "n_shingles", "registers").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    # Buckets of two nodes or more, and their leaders; entries are moved once.
+    entries = some.select("node", "n_shingles", F.explode("bands").alias("bucket")).repartition("bucket").distinct()
+    order = W.partitionBy("bucket").orderBy("node")
+    entries = entries.select("*", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"), F.first("node").over(order).alias("lead"))
+    met = scratch.keep(entries.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "met")
+    meeting = scratch.keep(met.select("node").distinct(), "meeting")
+    nodes = among(some.select("node", "n_shingles", "registers"), "node", meeting)
+    nodes = scratch.keep(nodes.join(meeting, "node", "left_semi").dropDuplicates(["node"]), "nodes")
     # Full sets of the documents that meet others, from their whole texts.
-    one = first.join(nodes.select("node"), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
+    one = scratch.keep(first.join(nodes.select("node"), "node", "left_semi").select("node", F.col("first_id").alias("doc_id")), "one")
     sets = scratch.keep(_sets(docs, one, width), "sets")
 
     # Each node and its bucket's leader.
-    leaders = scratch.keep(met.groupBy("bucket").agg(F.min("node").alias("lead")), "leaders")
-    pairs = met.join(leaders, "bucket").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = met.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     least = percent / 100 - margin
     links = scratch.keep(_verified(scratch.keep(_likely(pairs, nodes, sketch, percent, least), "likely"), sets, percent), "links")
     found = components(links, scratch, "labels")
     # What still shares a bucket but no component.
     at = scratch.keep(met.join(found, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label")), "at")
     more = scratch.keep(_apart(at, nodes, sets, scratch, sketch, rows, percent, least), "more-links")
-    scratch.drop("at", "leaders", "sifted", "within", "in-groups", "merged", *(f"{a}-{b}" for a in ("meet", "inner") for b in ("open", "rows", "sums")))
+    scratch.drop("at", "group-lead", "group-edges", "groups-low", "groups-left", "sifted", "within", "in-groups", "merged", *(f"{a}-{b}" for a in ("meet", "inner") for b in ("open", "rows", "sums")))
     if not more.isEmpty():
-        found = components(links.unionByName(more), scratch, "more-labels")
-    scratch.drop("likely", "met", "nodes", "sets")
+        found = extended(found, more, scratch, "more-labels")
+    scratch.drop("likely", "met", "meeting", "nodes", "sets")
 
     named = first.join(found, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -447,7 +454,8 @@ def _sets(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
 
     # A row whose text is not the node's (an id with several texts) is left out in ``run``.
     schema = "node binary, shingles array<long>"
-    by_id = docs.select("doc_id", "text").join(one.where("doc_id IS NOT NULL"), "doc_id").select("node", "text").mapInArrow(run, schema)
+    named = one.where("doc_id IS NOT NULL")
+    by_id = among(docs.select("doc_id", "text"), "doc_id", named.select("doc_id")).join(named, "doc_id").select("node", "text").mapInArrow(run, schema)
     by_id = by_id.dropDuplicates(["node"])  # a repeated row gives its set again
     nameless = one.where("doc_id IS NULL").select("node")
     if nameless.isEmpty():

@@ -149,3 +149,13 @@ def test_repeated_rows_are_one_set(spark, monkeypatch):
     got = near_dedup.near_duplicates(df, width=2).select("doc_id", "component_id").distinct().collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
     assert seen == [(1, 2, 1)]
+
+
+def test_few_texts_move_beside_those_wanted(spark):
+    """All texts were exchanged to find those of a few ids."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text").unionByName(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
+    wanted = spark.range(0, 20_000, 40).selectExpr("id AS doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    got = near_dedup.among(docs, "doc_id", wanted)
+    ids = {r["doc_id"] for r in got.collect()}
+    assert got.columns == docs.columns and set(range(0, 20_000, 40)) <= ids and None not in ids and len(ids) < 4000
+    assert near_dedup.among(docs, "doc_id", wanted.where("false")).isEmpty()
