@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, read
+from .common import Scratch, among, claim, read
 from .components import components, dense_components, extended
 from .near_dedup import _M1, _M2, _fits, _grouped, _name, _only, _sets, _verified, _words, shingles
 
@@ -292,6 +292,11 @@ def _other(signature: str | Column) -> Column:
     return F.xxhash64(signature, F.lit("deleted"))
 
 
+def _in_lists(rows: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with the few of their lists that are still of interest; the others' rows stay where they are."""
+    return among(rows, key, lists).join(lists, key)
+
+
 def _met(sets: DataFrame, labels: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
     """(bucket, node, n, asks): who looks up a list, and who is in it; ``labels``: node, label of those that have links."""
     subsets = _subsets(sets, bands).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -300,7 +305,7 @@ def _met(sets: DataFrame, labels: DataFrame, bands: Bands, scratch: Scratch) ->
     # Lists of several components; nobody else's segment costs anything.
     lists = subsets.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(held).alias("length")).where("low < high AND length > 0")
     lists = scratch.keep(lists.select("signature", "length"), "lists")
-    rows = scratch.keep(subsets.join(lists, "signature"), "rows")
+    rows = scratch.keep(_in_lists(subsets, lists, "signature"), "rows")
     scratch.drop("subsets")
     same = scratch.keep(rows.where(held).groupBy("signature", "label").agg(F.count("*").alias("same")), "same")
     asking = rows.where("most > 0").join(same, ["signature", "label"], "left").withColumn("equal", F.col("length") - F.coalesce("same", F.lit(0))).where("equal > 0").drop("length", "same")
@@ -373,7 +378,7 @@ def _linked(sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
         """Rows of buckets where asking rows meet other components, with the numbers of both sides."""
         rows = scratch.keep(at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"named-{name}")
         ends = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("asks").alias("p"), F.count_if(~F.col("asks")).alias("i")).where("low < high AND p > 0 AND i > 0")
-        out = scratch.keep(rows.join(scratch.keep(ends.select("bucket", "p", "i"), f"many-{name}"), "bucket"), f"open-{name}")
+        out = scratch.keep(_in_lists(rows, scratch.keep(ends.select("bucket", "p", "i"), f"many-{name}"), "bucket"), f"open-{name}")
         scratch.drop(f"named-{name}")
         return out
 

@@ -126,3 +126,17 @@ def test_spanning_links_connect_what_all_links_do():
         p, q = pj.spanning(link, x, y)
         assert link[p, q].all() and len(p) < 12
         assert classes(zip(x[p], y[q])) == classes((x[i], y[j]) for i, j in zip(*np.nonzero(link)))
+
+
+def test_rows_of_settled_lists_are_not_moved(spark):
+    rows, lists = spark.range(20_000).selectExpr("id AS signature", "id + 7 AS node"), spark.range(3).selectExpr("id * 1000 AS signature", "id AS length")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more lists than are broadcast
+    try:
+        joined = pj._in_lists(rows, lists, "signature").select("signature", "node", "length")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in joined.collect()} == {(0, 7, 0), (1000, 1007, 1), (2000, 2007, 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Rows of other lists go before the exchange, by marks that every task has.
+    assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(signature") < plan.index("BroadcastHashJoin")
