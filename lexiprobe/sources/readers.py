@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import COMPLEXITY, DATASET, FEATURES, IMPORTANCE, QUESTION, RESULT, RESULT_LONG, TRACKER, VECTORS, VOCABULARY, dataset_configs, extended
+from .shared import ship
 
 SPLIT_ALIASES = {"val": "validation", "dev": "validation"}
 
@@ -56,20 +60,78 @@ def conllu(spark: SparkSession, path: str, glob: str = "*.conllu") -> DataFrame:
     at any of the three line breaks. Its text is in the comment "text" or "sent". ``sent_ix`` orders
     the sentences of a file without being dense.
 
-    Files are split as any text, so a sentence may reach over two blocks: blank lines are counted
-    within a block, and the blocks' sums give each line the number of its sentence in the file.
+    Files are split as any text, so a sentence may reach over several blocks. A task puts together the
+    lines of its blocks' sentences; only pieces at a block's ends are moved, to be joined. Blank lines
+    are counted by block, and the blocks' sums give each sentence its number in the file.
     """
+    ship(spark)
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", F.col("value").rlike(_BLANK).alias("blank"))
-    ends = F.col("blank").cast("long")
-    blocks = lines.groupBy("file", "block").agg(F.sum(ends).alias("n"))  # a row a block
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.col("value").rlike(_BLANK).alias("blank"))
+    blocks = lines.groupBy("file", "block").agg(F.sum(F.col("blank").cast("long")).alias("n"))  # a row a block
     upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     before = blocks.select("file", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    numbered = lines.withColumn("sent", F.sum(ends).over(W.partitionBy("file", "block").orderBy("at"))).where("NOT blank").join(before, ["file", "block"])
-    sentences = numbered.groupBy("file", (F.col("sent") + F.col("before")).alias("sent_ix")).agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"))
-    texts = F.transform("l", lambda x: x["value"])
-    text = F.nullif(F.array_join(F.slice(F.filter(F.transform(texts, lambda v: F.regexp_extract(v, r"(?d)^# (?:text|sent) = (.+)$", 1)), lambda v: v != ""), -1, 1), ""), F.lit(""))
-    return sentences.select("file", "sent_ix", text.alias("text"), texts.alias("lines"))
+    # Blocks are as many as the scan's splits, all of which the driver lists.
+    numbered = lambda edges: lines.mapInArrow(partial(_pieces, edges=edges), "file string, block long, sent long, lines array<string>").join(F.broadcast(before), ["file", "block"]).select("file", "block", (F.col("sent") + F.col("before")).alias("sent_ix"), "lines")
+    joined = numbered(True).groupBy("file", "sent_ix").agg(F.array_sort(F.collect_list(F.struct("block", "lines"))).alias("l"))
+    joined = joined.select("file", "sent_ix", F.flatten(F.transform("l", lambda x: x["lines"])).alias("lines"))
+    sentences = numbered(False).drop("block").unionByName(joined)
+    text = F.nullif(F.array_join(F.slice(F.filter(F.transform("lines", lambda v: F.regexp_extract(v, r"(?d)^# (?:text|sent) = (.+)$", 1)), lambda v: v != ""), -1, 1), ""), F.lit(""))
+    return sentences.select("file", "sent_ix", text.alias("text"), "lines")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+    """(file, block, sent, lines): the runs of lines without blank ones, ``sent`` blank lines after the start of their
+    block. ``edges``: the first and last runs of blocks, which may go on in another block; else all others."""
+    at, sent, held = None, 0, []  # the block, blank lines so far, and lines of its last run so far
+
+    def pieces(sents: np.ndarray, sizes: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+        n = len(sents)
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * n), pa.array([at[1]] * n), pa.array(sents), runs], names=["file", "block", "sent", "lines"])
+
+    def one() -> pa.RecordBatch:
+        values = pa.concat_arrays(held)
+        return pieces(np.array([sent]), np.array([len(values)]), values)
+
+    for batch in batches:
+        file, block, value, blank = batch.columns
+        value = value.cast(pa.string())
+        code, start = file.dictionary_encode(), block.to_numpy()
+        number, blank = code.indices.to_numpy(), blank.to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero((np.diff(number) != 0) | (np.diff(start) != 0)) + 1
+        for low, high in zip([0, *turns.tolist()], [*turns.tolist(), len(start)]):  # rows of one block
+            if low == high:
+                continue
+            name = (code.dictionary[int(number[low])].as_py(), int(start[low]))
+            if name != at:
+                if held and edges:
+                    yield one()
+                at, sent, held = name, 0, []
+            ends = low + np.flatnonzero(blank[low:high])
+            if not len(ends):
+                held.append(value.slice(low, high - low))
+                continue
+            if ends[0] > low:
+                held.append(value.slice(low, ends[0] - low))
+            if held and edges == (sent == 0):
+                yield one()
+            first, size = ends[:-1] + 1, np.diff(ends) - 1  # runs between blank lines
+            some = np.flatnonzero(size)
+            if len(some) and not edges:
+                inside = _inside(first[some] - low, size[some], high - low)
+                yield pieces(sent + 1 + some, size[some], value.slice(low, high - low).filter(pa.array(inside)))
+            sent += len(ends)
+            held = [value.slice(ends[-1] + 1, high - ends[-1] - 1)] if ends[-1] + 1 < high else []
+    if held and edges:
+        yield one()
+
+
+def _inside(first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which of n rows are in the runs."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + size, -1)
+    return np.cumsum(step[:n]) > 0
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

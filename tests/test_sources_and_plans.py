@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,26 @@ def test_treebank_sentences_end_at_blank_lines_of_every_kind(spark, tmp_path):
             assert [(r["text"], r["lines"]) for r in of] == want, (name, size)
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_only_sentences_at_the_ends_of_blocks_are_moved(rows):
+    """Runs of lines by block, whatever the batches: all but the first and last ones of a block stay where they are."""
+    lines = [("f", b, "" if i % 6 in (3, 4) else f"{b}-{i}") for b in (0, 90) for i in range(38)] + [("g", 0, "x"), ("g", 0, "y")]
+    want, at, sent = {}, None, 0
+    for f, b, v in lines:
+        at, sent = (f, b), (sent if (f, b) == at else 0) + (v == "")
+        if v:
+            want.setdefault((f, b, sent), []).append(v)
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    some = [[pa.array(c, k) for c, k in zip(zip(*[(f, b, v, v == "") for f, b, v in lines[i : i + rows]]), kinds)] for i in range(0, len(lines), rows)]
+    got = {}
+    for edges in (True, False):
+        found = [tuple(r.values()) for batch in readers._pieces((pa.RecordBatch.from_arrays(c, names=list("fbve")) for c in some), edges) for r in batch.to_pylist()]
+        assert all(k[:3] not in got for k in found)
+        got |= {k[:3]: k[3] for k in found}
+        assert len(found) == (5 if edges else len(want) - 5)
+    assert got == want
+
+
 def test_results_are_collected_from_a_tree(spark, tmp_path):
     for at, metrics in (("runs/question_type/dummy/en", {"accuracy": 0.5, "f1": None, "primary_metric": "accuracy"}), ("runs/complexity/ridge/fi/seed1", {"mse": 0.25, "r2": "no"}), ("runs/other/x/en", {"mse": 1.0})):
         (tmp_path / at).mkdir(parents=True)
