@@ -176,16 +176,29 @@ def _sketched(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
-def _survivors(sketched: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, id): the nodes that share enough signatures with others to have partners, each with a number of its own."""
+def _entries(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(at, signature) of one document of each node, and of a few others; ``at``: twice its row, and 1 for its own partition.
+
+    Of the signatures 48 bits are enough to tell which are shared by chance: more sets stay, none go.
+    """
+    entries = among(some, "row", nodes.select("row")).select("row", "own", F.posexplode("signatures").alias("place", "signature"))
+    at = F.shiftleft("row", 1).bitwiseOR((F.col("place") < F.col("own")).cast("long"))
+    return entries.select(at.alias("at"), F.col("signature").bitwiseAND((1 << 48) - 1).alias("signature"))
+
+
+def _survivors(sketched: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, id): the nodes that share enough signatures with others to have partners, each with a number of its own.
+
+    ``nodes``: each node and its first row.
+    """
     some = sketched.where("node IS NOT NULL")
-    # Rows that need none survive as they are; a signature is shared if two nodes have it. Entries, of which there
+    # Rows that need none survive as they are; a signature is shared if two rows have it. Entries, of which there
     # are far more than documents, are moved once: who shares a signature is told where its entries meet.
-    entries = some.select("row", F.xxhash64("node").alias("h"), "own", F.posexplode("signatures").alias("at", "signature"))
-    placed = entries.select("row", "h", (F.col("at") < F.col("own")).alias("mine"), "signature").repartition("signature")
     one = W.partitionBy("signature")
-    shared = placed.select("row", "mine", F.min("h").over(one).alias("low"), F.max("h").over(one).alias("high")).where("low < high")
-    hits = shared.groupBy("row").agg(F.count_if("mine").alias("hits_own"), F.count_if(~F.col("mine")).alias("hits_below"))
+    row = F.shiftright("at", 1)
+    shared = _entries(some, nodes).repartition("signature").select("at", F.min(row).over(one).alias("low"), F.max(row).over(one).alias("high")).where("low < high")
+    mine = F.col("at").bitwiseAND(1) == 1
+    hits = shared.groupBy(row.alias("row")).agg(F.count_if(mine).alias("hits_own"), F.count_if(~mine).alias("hits_below"))
     enough = lambda own, below: (own >= F.col("needs")[0]) | (below >= F.col("needs")[1])
     small = some.select("row", "node", "needs")
     rows = small.join(hits, "row").where(enough(F.col("hits_own"), F.col("hits_below"))).select("node", "row")
@@ -321,7 +334,8 @@ def _met(sets: DataFrame, labels: DataFrame, bands: Bands, scratch: Scratch) ->
     which = [r["band"] for r in dear.select("band").distinct().collect()]  # bands are few: sizes grow by a fixed rate
     if not which:
         return met
-    deleted = scratch.keep(_neighbours(sets, bands, None, which), "deleted")
+    # Nobody looks up the others' lists, which are most by far.
+    deleted = scratch.keep(among(_neighbours(sets, bands, None, which), "signature", scratch.keep(dear.select("signature").distinct(), "dear")), "deleted")
     lookups = scratch.keep(_neighbours(sets, bands, dear.select("node", "part").distinct(), []), "lookups")
     in_lists = scratch.keep(deleted.groupBy("signature").agg(F.count("*").alias("length")), "deleted-lengths")
     near = lookups.join(lists, "signature").groupBy("node", "part", "segment").agg(F.sum("length").alias("by_lookup"))
@@ -496,8 +510,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
 
 def _classes(docs: DataFrame, width: int, bands: Bands, scratch: Scratch) -> DataFrame:
     sketched = scratch.keep(_sketched(docs, width, bands), "sketched")
-    first = scratch.keep(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
-    survivors = _survivors(sketched, scratch)
+    first = scratch.keep(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")), "first")
+    survivors = _survivors(sketched, first, scratch)
     one = scratch.keep(first.join(survivors, "node", "left_semi").select("node", F.col("first_id").alias("doc_id")), "one")
     one = F.broadcast(one) if survivors.count() <= _FEW else one
     sets = scratch.keep(_sets(docs, one, width).join(survivors, "node").select(F.col("id").alias("node"), "shingles"), "sets")

@@ -140,3 +140,27 @@ def test_rows_of_settled_lists_are_not_moved(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # Rows of other lists go before the exchange, by marks that every task has.
     assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(signature") < plan.index("BroadcastHashJoin")
+
+
+def test_lists_that_nobody_looks_up_are_not_kept(spark, monkeypatch):
+    """All one-deletion neighbourhoods of a band were kept, and read again and again."""
+    monkeypatch.setattr(pj, "PICKS", 1)
+    monkeypatch.setattr(pj, "DEAR", 0.0)
+    keep, kept = Scratch.keep, {}
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, table: kept.setdefault(table, keep(self, df, table)))
+    rows = near_copies(1, 40, 25)
+    assert rows_of(pj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 2, 85)) == sorted(brute(rows, 2, 85), key=repr)
+    which = [r["band"] for r in kept["ranked"].where("dear").select("band").distinct().collect()]
+    whole = pj._neighbours(kept["sets"], pj.Bands(85), None, which)
+    asked = kept["ranked"].where("dear").select("signature").distinct()
+    assert which and kept["deleted"].count() * 2 < whole.count()
+    assert kept["deleted"].join(asked, "signature", "left_semi").count() == whole.join(asked, "signature", "left_semi").count() > 0
+
+
+def test_copies_give_their_signatures_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(k, text) for k in range(500)] + [(900, text + " more")], "doc_id long, text string")
+    some = Scratch(spark, "test").keep(pj._sketched(df, 4, pj.Bands(85)), "sketched")
+    nodes = some.groupBy("node").agg(F.min("row").alias("row"))
+    assert some.count() == 501 and nodes.count() == 2
+    assert pj._entries(some, nodes).count() * 5 < some.selectExpr("sum(size(signatures)) AS n").first()["n"]
