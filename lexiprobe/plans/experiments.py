@@ -36,7 +36,8 @@ def run_batch(dataset: DataFrame, cells: list[dict], min_df: int = 3, max_featur
         model = tfidf.Tfidf(max_features=max_features, min_df=min_df).fit(base.where("split = 'train'"))
         model.vocabulary = scratch.keep(model.vocabulary, "vocabulary")
         size = model.vocabulary.count()
-        vectors = scratch.keep(model.transform(base).select("doc_id", "term_id", "tfidf"), "vectors")
+        # In buckets by document, as the counts are: no cell moves them.
+        vectors = scratch.keep_by(model.transform(base).select("doc_id", "term_id", "tfidf"), "vectors", "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
         def run(cell: dict) -> dict:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", experiment_id_of(cell))

@@ -90,6 +90,16 @@ def test_batch_runs_cells_and_isolates_failures(spark, sf):
     assert out[1]["test_metrics"]["mse"] >= 0
 
 
+def test_cells_leave_the_features_where_they_are(spark, sf, monkeypatch):
+    """Each cell moved the features of all documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("doc_id", "text", F.lit("en").alias("language"), F.lit("train").alias("split"), F.lit("base").alias("config"))
+    seen = []
+    monkeypatch.setattr(experiments, "run_cell", lambda dataset, vectors, size, cell: seen.append(vectors) or {"experiment_id": experiments.experiment_id_of(cell)})
+    experiments.run_batch(docs, [{"language": "en", "task": "n_tokens", "model_type": "dummy", "config": "base"}], max_features=50)
+    by_document = seen[0].groupBy("doc_id").agg(F.collect_list("term_id").alias("e"))
+    assert not by_document.isEmpty() and "Exchange" not in by_document._jdf.queryExecution().executedPlan().toString()
+
+
 def test_refused_rows_are_reported(spark, tmp_path):
     (tmp_path / "en_polar.csv").write_text("n_tokens,lexical_density\n5,0.5\nsix,0.1\n\n,0.2\n")
     (tmp_path / "noname.csv").write_text("n_tokens\n5\n7\n")
