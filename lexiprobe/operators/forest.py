@@ -5,7 +5,9 @@ Poisson counts drawn by the hash of row and tree. While a node holds more than `
 aggregate a level sums labels by (tree, node, feature, bin) for all such nodes of all trees; absent
 entries are the node's total less what is there. A node of at most ``small`` rows goes, with its rows,
 to one task, which grows the rest of the tree exactly. So no task holds more than that, and depth has
-no limit. Trees are tables: splits of the large nodes, and one row a grown subtree.
+no limit. Trees are tables: splits of the large nodes, and one row a grown subtree. Rows' nodes are a
+few bits each in files but as many rows as all trees draw, so they meet the entries by a merge join only:
+a broadcast, which goes by file size, would bring them all to the driver.
 
 Splits minimise squared error, which for labels 0 and 1 is the Gini impurity. Each node tries a share
 of the features drawn by its own hash, and all of them where none of those divides it. Ties fall to
@@ -70,6 +72,15 @@ def _step(at: DataFrame, splits: DataFrame) -> DataFrame:
     return joined.withColumn("node", down).drop("feature", "cut", "left")
 
 
+def _binned(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """``base`` with its entries' bins as an array; a negative value's is -1 less its bin."""
+    entries = base.select(F.col("row").alias("__r"), F.explode(F.arrays_zip("f", "v")).alias("e")).select("__r", F.col("e.f").alias("feature"), F.col("e.v").alias("v"))
+    under = F.size(F.filter("edges", lambda c: c < F.col("v")))
+    binned = entries.join(per_group(edges), "feature").select("__r", F.struct("feature", F.when(F.col("v") < 0, -1 - under).otherwise(under).alias("b")).alias("e"))
+    sparse = binned.groupBy("__r").agg(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["b"]).alias("b"))
+    return base.join(sparse.hint("merge"), F.col("row") == F.col("__r"), "left").select(*base.columns, F.coalesce("b", F.expr("CAST(array() AS array<int>)")).alias("b"))
+
+
 class Grown:
     """A subtree as arrays: feature (-1: a leaf), cut, left child (the right one follows), value."""
 
@@ -241,22 +252,33 @@ def fit(entries: DataFrame, labels: DataFrame, classify: bool, p: Parameters = P
     base = scratch.keep(_rows(entries, rows, key, F.monotonically_increasing_id().alias("row"), "y"), "base")
     features = base.select(F.explode("f").alias("feature")).distinct().count()
     share = p.share if p.share is not None else min(1.0, features**-0.5 if classify and features else 1.0)
-    trees = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree")).withColumn("node", F.lit(0).cast("long"))
     times = sum(((_chance("row", "tree", F.lit(p.seed)) >= c).cast("int") for c in _POISSON), F.lit(0)) if p.bootstrap else F.lit(1)
-    at = trees.withColumn("w", times.cast("double")).where("w > 0")
+
+    def roots() -> DataFrame:
+        trees = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree")).withColumn("node", F.lit(0).cast("long"))
+        return trees.withColumn("w", times.cast("double")).where("w > 0")
+
+    def with_entries(some: DataFrame) -> DataFrame:
+        return some if "f" in some.columns else some.join(base.drop("y").hint("merge"), "row")
+
+    at = roots()
     levels: list[DataFrame] = []
     next_id = dict.fromkeys(range(p.trees), 1)
     stuck: set[tuple[int, int]] = set()  # nodes that none of their drawn features divides
     edges = None
     while True:
-        sizes = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
-        large = [(r["tree"], r["node"]) for r in sizes.where((F.col("n") > p.small) & (F.col("low") < F.col("high"))).collect()]  # at most rows / small of each tree
-        large = [x for x in large if (*x, True) not in stuck]
+        sizes = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), F.sum("w").alias("W"), F.sum(F.col("w") * F.col("y")).alias("S"))
+        sums = {(r["tree"], r["node"]): (r["W"], r["S"]) for r in sizes.where((F.col("n") > p.small) & (F.col("low") < F.col("high"))).collect()}  # at most rows / small of each tree
+        large = sorted(x for x in sums if (*x, True) not in stuck)  # so that nodes get the same numbers in each run
         if not large:
             break
-        edges = edges if edges is not None else scratch.keep(bin_edges(base.select(F.explode(F.arrays_zip("f", "v")).alias("e")).select(F.col("e.f").alias("feature"), F.col("e.v").alias("value")), p.bins), "edges")
-        wide = spark.createDataFrame([(t, n, (t, n) in stuck) for t, n in large], "tree int, node long, wide boolean")
-        found = {(r["tree"], r["node"]): r for r in _histogram_splits(at.join(per_group(wide), ["tree", "node"]), edges, share, p.seed).collect()}
+        if edges is None:
+            edges = scratch.keep(bin_edges(base.select(F.explode(F.arrays_zip("f", "v")).alias("e")).select(F.col("e.f").alias("feature"), F.col("e.v").alias("value")), p.bins), "edges")
+            base = scratch.keep(_binned(base, edges), "binned")
+            scratch.drop("base")
+            at = roots()
+        total = per_group(spark.createDataFrame([(t, n, *sums[t, n], (t, n) in stuck) for t, n in large], "tree int, node long, W double, S double, wide boolean"))
+        found = {(r["tree"], r["node"]): r for r in _histogram_splits(with_entries(at.join(total.drop("W", "S"), ["tree", "node"])), total.drop("wide"), edges, share, p.seed).collect()}
         splits = []
         for t, n in large:
             if (t, n) in found:
@@ -267,7 +289,7 @@ def fit(entries: DataFrame, labels: DataFrame, classify: bool, p: Parameters = P
         if splits:
             level = scratch.keep(spark.createDataFrame(splits, _SPLIT).coalesce(1), f"level-{len(levels)}")
             levels.append(level)
-            at = scratch.keep(_step(at, level).select("tree", "node", "row", "w"), f"at-{len(levels)}").join(base, "row")
+            at = scratch.keep(_step(with_entries(at), level).select("tree", "node", "row", "y", "w"), f"at-{len(levels)}")
             scratch.drop(f"at-{len(levels) - 1}")
     seed = p.seed
 
@@ -279,28 +301,27 @@ def fit(entries: DataFrame, labels: DataFrame, classify: bool, p: Parameters = P
         got = Grown(pdf["f"].tolist(), pdf["v"].tolist(), pdf["y"].to_numpy(), pdf["w"].to_numpy(), share, [seed, int(tree), int(node)])
         return pd.DataFrame({"tree": [tree], "node": [node], "packed": [got.packed()]})
 
-    dealt = at.select("tree", "node", "row", "y", "w", "f", "v")
+    dealt = with_entries(at).select("tree", "node", "row", "y", "w", "f", "v")
     subtrees = scratch.keep(dealt.groupBy("tree", "node").applyInPandas(grow, "tree int, node long, packed binary"), "subtrees")
     return Model(levels, subtrees, classify, p.trees)
 
 
-def _histogram_splits(at: DataFrame, edges: DataFrame, share: float, seed: int) -> DataFrame:
-    """(tree, node, feature, cut) of the best split of each node, by bins; none where no drawn feature divides it."""
+def _histogram_splits(at: DataFrame, total: DataFrame, edges: DataFrame, share: float, seed: int) -> DataFrame:
+    """(tree, node, feature, cut) of the best split of each node, by bins; none where no drawn feature divides it. ``total``: the nodes' sums of weights and labels."""
     node = ["tree", "node"]
-    total = at.groupBy(*node).agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("y")).alias("S"))
-    drawn = F.col("wide") | (_chance("tree", "node", "e.f", F.lit(seed)) < share)
-    pairs = at.select(*node, "w", "y", "wide", F.explode(F.arrays_zip("f", "v")).alias("e")).where(drawn)
-    binned = pairs.select(*node, "w", "y", F.col("e.f").alias("feature"), F.col("e.v").alias("value")).join(per_group(edges), "feature")
-    bin_of = lambda x: F.size(F.filter("edges", lambda c: c < x))
-    here = binned.select(*node, "feature", F.when(F.col("value") < 0, bin_of(F.col("value"))).otherwise(bin_of(F.col("value"))).alias("bin"), "w", "y", (F.col("value") > 0).alias("positive"))
-    sums = here.groupBy(*node, "feature", "positive", "bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    pairs = at.select(*node, "w", "y", "wide", F.explode(F.arrays_zip("f", "b")).alias("e"))
+    if share < 1:
+        pairs = pairs.where(F.col("wide") | (_chance("tree", "node", "e.f", F.lit(seed)) < share))
+    sums = pairs.groupBy(*node, F.col("e.f").alias("feature"), F.col("e.b").alias("b")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    positive = F.col("b") >= 0
+    sums = sums.select(*node, "feature", positive.alias("positive"), F.when(positive, F.col("b")).otherwise(-1 - F.col("b")).alias("bin"), "w", "s")
     # Zeros lie between the negative and the positive values: a cut after a negative bin, one after the zeros, one after each positive bin.
-    seen = sums.groupBy(*node, "feature").agg(F.sum("w").alias("sw"), F.sum("s").alias("ss")).join(per_group(total), node)
+    seen = sums.groupBy(*node, "feature").agg(F.sum("w").alias("sw"), F.sum("s").alias("ss")).join(total, node)
     zeros = seen.select(*node, "feature", F.lit(None).cast("boolean").alias("positive"), F.lit(-1).alias("bin"), (F.col("W") - F.col("sw")).alias("w"), (F.col("S") - F.col("ss")).alias("s"))
     place = F.when(F.col("positive").isNull(), 0).when(F.col("positive"), 1).otherwise(-1)
     every = sums.unionByName(zeros).withColumn("place", place)
     up = W.partitionBy(*node, "feature").orderBy("place", "bin")  # at most as many rows as bins, and the zeros
-    every = every.select(*node, "feature", "place", "bin", F.sum("w").over(up).alias("uw"), F.sum("s").over(up).alias("us")).join(per_group(total), node)
+    every = every.select(*node, "feature", "place", "bin", F.sum("w").over(up).alias("uw"), F.sum("s").over(up).alias("us")).join(total, node)
     below, above = F.col("uw"), F.col("W") - F.col("uw")
     score = F.col("us") * F.col("us") / below + (F.col("S") - F.col("us")) * (F.col("S") - F.col("us")) / above
     ok = every.where((F.col("uw") > 1e-9) & (F.col("W") - F.col("uw") > 1e-9)).withColumn("score", score)

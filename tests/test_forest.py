@@ -87,3 +87,21 @@ def test_a_node_goes_through_its_own_rows_only(monkeypatch):
             trees.append(forest.Grown(f, v, y, np.ones(400), 1.0, [1]).packed())
     assert len(set(trees)) == 1
     assert all(shape[0] == n and shape[1] <= 7 for n, shape in seen)
+
+
+def test_nodes_of_rows_meet_entries_without_a_broadcast(spark, monkeypatch):
+    """Files of nodes are small for their rows, so joins chosen by file size would bring all rows of all trees to the driver."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)).round(2)
+    entries, labels = frames(spark, x, x[:, 0] - x[:, 1])
+    plans, keep = {}, forest.Scratch.keep
+
+    def kept(self, df, table):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, table)
+
+    monkeypatch.setattr(forest.Scratch, "keep", kept)
+    model = forest.fit(entries, labels, False, forest.Parameters(trees=2, small=25))
+    assert len(model.levels) > 1
+    for table in ("at-2", "subtrees"):
+        assert "SortMergeJoin [row#" in plans[table] and "BroadcastHashJoin [row#" not in plans[table]
